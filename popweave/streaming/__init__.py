@@ -1,0 +1,2 @@
+"""Empty on purpose: every operator needs a closed set of rows (ranks inside
+groups, margins over whole tables), so there is nothing to run as a stream."""
