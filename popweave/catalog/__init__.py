@@ -1,6 +1,9 @@
 """The registered queries: every operator acted out on the given tables."""
 
-from popweave.catalog import q_recodes  # noqa: F401
+from popweave.catalog import (  # noqa: F401
+    q_recodes,
+    q_tables,
+)
 from popweave.catalog.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
