@@ -2,7 +2,11 @@
 
 from popweave.catalog import (  # noqa: F401
     q_recodes,
+    q_joins,
     q_tables,
+    q_ranks,
+    q_functions,
+    q_merges,
 )
 from popweave.catalog.registry import QUERIES, SQL
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from popweave.catalog.registry import query
-from popweave.catalog.standins import UNITS_SQL, case_sql, money, units
-from popweave.functions import geo
+from popweave.catalog.standins import money
 from popweave.operators import checks, profile, reshape, tabulate
 from popweave.operators.groups import exact_quantiles, group_count, group_sum, selection_probability, with_group_stats
 from popweave.operators.joins import add_tables, subtract_tables
+from popweave.session import constant_table
 
 STATUS = ["F", "O", "P"]
 
@@ -136,7 +136,7 @@ SELECT coalesce(code, o_orderstatus) AS code, label, coalesce(n, 0) AS n, round_
 FROM l FULL JOIN c ON code = o_orderstatus""")
 def ag_15(t):
     names = t.lineitem.select(F.col("l_linestatus").alias("code")).distinct().withColumn("label", F.concat(F.lit("status "), "code"))
-    names = names.unionByName(t.spark.createDataFrame([("X", "status X")], "code string, label string"))
+    names = names.unionByName(constant_table(t.spark, ["code", "label"], [("X", "status X")]))
     rows = t.orders.select("o_orderstatus", money("o_totalprice").alias("w"))
     out = profile.category_table(rows, "o_orderstatus", names, "code", "w")
     return out.withColumn("weighted", F.col("weighted").cast("double"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from popweave.operators.groups import with_group_stats
@@ -35,6 +36,11 @@ def _remaining(margin: Margin, done: DataFrame) -> DataFrame:
     return target.unionByName(used).groupBy(*margin.keys).agg(F.sum("_left").alias("_left"))
 
 
+def _known(keys: list[str]) -> Column:
+    """Rows with a null key meet no cell: the table says nothing about them."""
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+
+
 def graft(df: DataFrame, pk: str, trait: str, margins: list[Margin], not_applicable=None) -> DataFrame:
     """Set ``trait`` (0/1, or -999 where open) and say how in ``trait_flag``.
 
@@ -49,42 +55,43 @@ def graft(df: DataFrame, pk: str, trait: str, margins: list[Margin], not_applica
     start = (df.withColumn("value", F.when(skip, F.lit(None)).when(F.col(trait) == NOT_SET, 1).otherwise(F.col(trait)).cast("int"))
              .withColumn("flag", F.when(skip, "not applicable").when(F.col(trait) == NOT_SET, "open").otherwise("given"))
              .withColumn("totalprob", F.lit(1.0)))
-    done = cut(start, "graft").filter(F.col("flag") != "open")
-    rows_open = cut(start.filter(F.col("flag") == "open"), "graft")
-    given = done
+    start = cut(start, "graft")
+    done, rows_open = start.filter(F.col("flag") != "open"), start.filter(F.col("flag") == "open")
     for m in margins:
         left = _remaining(m, done.limit(0) if m.exclusive else done)
         cells = with_group_stats(rows_open, m.keys, _sum=F.sum("value"))
         joined = spread_join(cells, left, m.keys, "left").withColumn("_left", F.coalesce("_left", F.lit(0)))
         prob = F.when(F.col("_sum") == 0, 0.0).otherwise(F.col("_left") / F.col("_sum"))
-        joined = joined.withColumn("_p", prob)
+        joined = joined.withColumn("_p", F.when(_known(m.keys), prob))
+        all_in, none_in = F.col("_p") == 1, F.col("_p") == 0
         stepped = (joined
-                   .withColumn("flag", F.when(F.col("_p") == 1, f"certain {m.name}").when(F.col("_p") == 0, f"none {m.name}").otherwise("open"))
-                   .withColumn("value", F.when(F.col("_p") == 1, m.value).when(F.col("_p") == 0, 0).otherwise(F.col("value")))
-                   .withColumn("totalprob", F.when(F.col("_p").isin(0.0, 1.0), F.col("_p")).otherwise(F.col("totalprob") * F.col("_p")))
+                   .withColumn("flag", F.when(all_in, f"certain {m.name}").when(none_in, f"none {m.name}").otherwise("open"))
+                   .withColumn("value", F.when(all_in, m.value).when(none_in, 0).otherwise(F.col("value")))
+                   .withColumn("totalprob", F.col("totalprob") * F.coalesce("_p", F.lit(1.0)))
                    .drop("_sum", "_left", "_p"))
         stepped = cut(stepped, "graft")
         done = done.unionByName(stepped.filter(F.col("flag") != "open"))
         rows_open = stepped.filter(F.col("flag") == "open")
     for i, m in enumerate(margins):
-        rows_open = random_rank(rows_open, m.keys, pk, None, [("totalprob", False)], f"_counter{i}")
-    rows_open = cut(rows_open, "graft")
+        rows_open = cut(random_rank(rows_open, m.keys, pk, None, [("totalprob", False)], f"_counter{i}"), "graft")
+    # Rows given at the start count against a table only when the tables are
+    # split by group; otherwise their share is already outside the counts.
+    count_given = bool(margins) and margins[-1].exclusive
     for i, m in enumerate(margins):
-        left = _remaining(m, done.join(given.select(pk), pk, "left_anti") if m.exclusive else done)
+        counted = done if count_given else done.filter(~F.col("flag").isin("given", "not applicable"))
+        left = _remaining(m, counted)
         joined = spread_join(rows_open, left, m.keys, "left").withColumn("_left", F.coalesce("_left", F.lit(0)))
-        take = F.col(f"_counter{i}") <= F.col("_left")
+        take = _known(m.keys) & (F.col(f"_counter{i}") <= F.col("_left"))
         stepped = cut(joined.withColumn("flag", F.when(take, f"counted {m.name}").otherwise("open"))
                       .withColumn("value", F.when(take, m.value).otherwise(F.col("value")))
-                      .withColumn(f"_over{i}", F.col(f"_counter{i}") > F.col("_left")).drop("_left"), "graft")
+                      .withColumn(f"_over{i}", _known(m.keys) & ~take).drop("_left"), "graft")
         done = done.unionByName(stepped.filter(F.col("flag") != "open").select(*done.columns))
         rows_open = stepped.filter(F.col("flag") == "open")
-    if margins:
-        last = F.lit("open")
-        flipped = F.col("value")
-        for i, m in reversed(list(enumerate(margins))):
-            over = F.coalesce(F.col(f"_over{i}"), F.lit(False))
-            flipped = F.when(over, 1 - m.value).otherwise(flipped)
-            last = F.when(over, f"beyond {m.name}").otherwise(last)
-        rows_open = rows_open.withColumn("value", flipped).withColumn("flag", last)
+    flipped, last = F.col("value"), F.lit("open")
+    for i, m in reversed(list(enumerate(margins))):
+        over = F.col(f"_over{i}")
+        flipped = F.when(over, 1 - m.value).otherwise(flipped)
+        last = F.when(over, f"beyond {m.name}").otherwise(last)
+    rows_open = rows_open.withColumn("value", flipped).withColumn("flag", last)
     out = done.unionByName(rows_open.select(*done.columns))
     return out.withColumn(trait, F.col("value")).withColumnRenamed("flag", f"{trait}_flag").drop("value", "totalprob")

@@ -29,8 +29,8 @@ class Side:
 @dataclass
 class Round:
     """Group keys of one pass.  A key is a column name found on both sides or a
-    (name, primary Column, secondary Column) triple; a null key makes a row
-    wait for a later pass."""
+    (name, primary, secondary) triple of SQL texts or Columns; a null key makes
+    a row wait for a later pass."""
 
     name: str
     keys: list
@@ -39,7 +39,8 @@ class Round:
 def _keys(rnd: Round, side: int) -> dict[str, Column]:
     named = {}
     for i, key in enumerate(rnd.keys):
-        column = F.col(key) if isinstance(key, str) else key[1 + side]
+        value = key if isinstance(key, str) else key[1 + side]
+        column = F.expr(value) if isinstance(value, str) else value
         named[f"_g{i}"] = column.cast("string")
     return named
 
@@ -70,8 +71,18 @@ def random_merge(primary: Side, secondary: Side, rnd: Round, seed: int) -> DataF
     return merged.withColumn("merge_state", F.when(has_p & has_s, "both").when(has_p, "left_only").otherwise("right_only"))
 
 
+@dataclass
+class CascadeResult:
+    """Pairs of a cascade and the rows of both sides that stayed alone."""
+
+    pairs: DataFrame
+    primary_left: DataFrame
+    secondary_left: DataFrame
+    rounds: int
+
+
 def merge_cascade(primary: Side, secondary: Side, rounds: list[Round], seed: int, reuse: str | None = None,
-                  stop_early: bool = False, max_rounds: int = 100) -> DataFrame:
+                  stop_early: bool = False, max_rounds: int = 100, first_round: int = 1) -> CascadeResult:
     """Pairs (primary key, secondary key, match_round) over all rounds.
 
     Each round is written once; its unpaired rows feed the next round, so the
@@ -86,13 +97,12 @@ def merge_cascade(primary: Side, secondary: Side, rounds: list[Round], seed: int
     shared = set(p_cols) & set(s_cols)
     if shared:
         raise ValueError(f"columns on both sides: {sorted(shared)}")
+    watch = stop_early or reuse == "cycles"
     pairs: list[DataFrame] = []
-    number = 0
-    while True:
-        found = 0
+    number, going = first_round - 1, True
+    while going:
+        found, going = False, False
         for rnd in rounds:
-            if number >= max_rounds:
-                break
             number += 1
             state = cut(merge_round(Side(p, primary.pk, primary.sort), Side(s, secondary.pk, secondary.sort), rnd,
                                     seed + number), "round")
@@ -100,19 +110,17 @@ def merge_cascade(primary: Side, secondary: Side, rounds: list[Round], seed: int
             pairs.append(both.select(primary.pk, secondary.pk, F.lit(number).alias("match_round")))
             p = state.filter(F.col(secondary.pk).isNull()).select(*p_cols)
             s = state.filter(F.col(primary.pk).isNull()).select(*s_cols)
-            if reuse == "cycles":
-                found += both.limit(1).count()
-            if (stop_early or reuse == "cycles") and p.isEmpty():
-                return reduce(DataFrame.unionByName, pairs)
-            if (stop_early or reuse == "cycles") and s.isEmpty():
+            found = found or (reuse == "cycles" and not both.isEmpty())
+            if number - first_round + 1 >= max_rounds or (watch and (p.isEmpty() or s.isEmpty())):
                 break
-        if reuse == "cycles" and found and number < max_rounds:
-            s = secondary.df
-            continue
-        break
+        if reuse == "cycles" and found and number - first_round + 1 < max_rounds and not p.isEmpty():
+            s, going = secondary.df, True
     if reuse == "modulo":
-        pairs.append(_wrap_around(Side(p, primary.pk, primary.sort), secondary, rounds[-1], seed + number + 1, number + 1))
-    return reduce(DataFrame.unionByName, pairs)
+        number += 1
+        wrapped = cut(_wrap_around(Side(p, primary.pk, primary.sort), secondary, rounds[-1], seed + number, number), "wrap")
+        pairs.append(wrapped)
+        p = p.join(wrapped.select(primary.pk), primary.pk, "left_anti")
+    return CascadeResult(reduce(DataFrame.unionByName, pairs), p, s, number)
 
 
 def _wrap_around(primary: Side, secondary: Side, rnd: Round, seed: int, number: int) -> DataFrame:

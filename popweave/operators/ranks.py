@@ -65,8 +65,8 @@ def value_rank(df: DataFrame, group: list[str], by: str, ties=(), out: str = "ra
     """
     n = spread(df.sparkSession)
     value = F.col(by).cast("double")
-    low = df.agg(F.min(value)).scalar()
-    high = df.agg(F.max(value)).scalar()
+    ends = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
     slice_no = F.when(high > low, F.least(F.floor((value - low) / (high - low) * n), F.lit(n - 1))).otherwise(F.lit(0))
     keyed = df.withColumn(_PIECE, F.coalesce(slice_no.cast("int"), F.lit(-1)))
     first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_first()

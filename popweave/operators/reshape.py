@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from popweave.operators.groups import with_group_stats
+from popweave.session import constant_table
 
 CHUNK = 10_000
 
@@ -83,7 +84,7 @@ def solve_equations(counts: DataFrame, equations: DataFrame, keys: list[str], ta
 
 def equation_table(spark, equations: dict[str, dict[str, int]]) -> DataFrame:
     rows = [(out, source, coef) for out, terms in equations.items() for source, coef in terms.items()]
-    return spark.createDataFrame(rows, "out_key string, in_key string, coef int")
+    return constant_table(spark, ["out_key", "in_key", "coef"], rows)
 
 
 def exclusive_columns(df: DataFrame, keys: list[str], equations: dict[str, dict[str, int]]) -> DataFrame:

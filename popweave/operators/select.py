@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from popweave.functions.seeded import uniform
 from popweave.operators.groups import attach_stats, with_group_stats
 from popweave.operators.ranks import random_rank, value_rank
+from popweave.session import cut
 
 
 def weighted_sample(df: DataFrame, group: list[str], pk: str, weight: str, n: str | int, seed: int) -> DataFrame:
@@ -35,8 +36,8 @@ def select_jobs(df: DataFrame, choice: list[str], pair: list[str], pk: str, expe
     lead = [seed_column] if seed_column else []
     keys = [pk, *lead]
     first = random_rank(df, [*lead, *choice], keys, seed, out="_first")
-    picked = first.withColumn("select_job", F.when((F.col("_first") == 1) | certain, 1).otherwise(0))
-    counted = with_group_stats(picked, [*lead, *pair], _have=F.sum("select_job"))
+    picked = cut(first.withColumn("select_job", F.when((F.col("_first") == 1) | certain, 1).otherwise(0)), "picked")
+    counted = cut(with_group_stats(picked, [*lead, *pair], _have=F.sum("select_job")), "counted")
     ranked = random_rank(counted, [*lead, *pair, "select_job"], keys, seed, out="_turn")
     # A top-up takes the rows right after those already chosen for the pair.
     want = F.col(expected)

@@ -62,3 +62,11 @@ def spread(spark: SparkSession) -> int:
     if fixed:
         return int(fixed)
     return max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def constant_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
+    """A short fixed table as a literal relation (no Python workers, known size)."""
+    def text(v):
+        return "NULL" if v is None else "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+    values = ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
