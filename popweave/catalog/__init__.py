@@ -7,6 +7,8 @@ from popweave.catalog import (  # noqa: F401
     q_ranks,
     q_functions,
     q_merges,
+    q_sources,
+    q_spatial,
 )
 from popweave.catalog.registry import QUERIES, SQL
 

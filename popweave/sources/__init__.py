@@ -17,14 +17,13 @@ def read_delimited(spark: SparkSession, path: str, schema: str, encoding: str =
     return df.select(*columns) if columns else df
 
 
-def read_header_json(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+def read_header_json(spark: SparkSession, path: str, columns: dict[str, str], body_per_line: bool = False) -> DataFrame:
     """JSON bodies that are arrays of arrays with the names in the first one.
 
-    Each file is one request body (one area), so files are the unit of
-    parallelism.  ``columns`` maps wanted names to types; order in the file is
-    free.
+    A file is one request body (one area) unless bodies stand on lines of their
+    own.  ``columns`` maps wanted names to types; order in the file is free.
     """
-    body = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<string>>").alias("b"))
+    body = spark.read.text(path, wholetext=not body_per_line).select(F.from_json("value", "array<array<string>>").alias("b"))
     rows = body.select(F.element_at("b", 1).alias("head"), F.posexplode("b").alias("at", "row")).filter(F.col("at") > 0)
     return rows.select(*[F.element_at("row", F.array_position("head", F.lit(name)).cast("int")).cast(kind).alias(name)
                          for name, kind in columns.items()])
@@ -42,10 +41,10 @@ def read_job_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.select("*", *[F.regexp_extract(name, JOB_FILE, i + 1).alias(p) for i, p in enumerate(JOB_FILE_PARTS)])
 
 
-def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """GeoJSON point features as rows with a point; one collection per file."""
+def read_features(spark: SparkSession, path: str, properties: str, collection_per_line: bool = False) -> DataFrame:
+    """GeoJSON point features as rows with a point."""
     schema = f"features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<{properties}>>>"
-    features = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    features = spark.read.schema(schema).json(path, multiLine=not collection_per_line).select(F.explode("features").alias("f"))
     at = F.col("f.geometry.coordinates")
     return features.select("f.properties.*", point(at[0], at[1]).alias("geometry"))
 
