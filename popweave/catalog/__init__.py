@@ -9,6 +9,9 @@ from popweave.catalog import (  # noqa: F401
     q_merges,
     q_sources,
     q_spatial,
+    q_jobs,
+    q_populations,
+    q_links,
 )
 from popweave.catalog.registry import QUERIES, SQL
 
