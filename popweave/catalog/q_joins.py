@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from popweave.catalog.registry import query
 from popweave.catalog.standins import money
 from popweave.operators import joins, ranks
-from popweave.operators.groups import null_safe
+from popweave.operators.hot import null_safe
 
 
 @query("jn_01", """

@@ -152,7 +152,7 @@ u AS (SELECT block, code, unnest(range(1, n + 1)) AS copy FROM w), k AS (SELECT
 h AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY md5(pk), pk) AS counter FROM k),
 hk AS (SELECT *, block || 'H' || lpad(counter::VARCHAR, length((SELECT max(counter) FROM h)::VARCHAR)::INT, '0') AS huid FROM h),
 a AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY md5(concat_ws('|', huid, {SEED})), huid) AS rk FROM hk),
-s AS (SELECT l_suppkey AS s_block, concat_ws('|', l_orderkey, l_linenumber, l_partkey) AS slot FROM lineitem WHERE l_quantity > 25),
+s AS (SELECT l_suppkey AS s_block, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS slot FROM lineitem WHERE l_quantity > 25),
 b AS (SELECT *, row_number() OVER (PARTITION BY s_block ORDER BY md5(concat_ws('|', slot, {SEED})), slot) AS rk FROM s),
 m AS (SELECT code, CASE WHEN slot IS NULL THEN 'left_only' ELSE 'both' END AS merge_state FROM a LEFT JOIN b ON block = s_block AND a.rk = b.rk)
 SELECT coalesce(code, 'Total') AS code, count(*) FILTER (merge_state = 'both') AS both, count(*) FILTER (merge_state = 'left_only') AS left_only, count(*) AS "Total" FROM m GROUP BY ROLLUP (code)""")
@@ -163,9 +163,10 @@ def entry_units_to_slots(t):
     cells = reshape.unpivot_stem(wide, ["block"], "H016", "code", "n")
     opened = reshape.expand_rows(cells, "n", "copy").withColumn("pk", F.concat_ws("-", F.col("block").cast("string"), "code", F.col("copy").cast("string")))
     counted = random_rank(opened.drop("copy"), ["block"], "pk", out="counter")
-    hui = synthetic_key(counted, "counter", F.col("block"), "H", "huid").select("huid", "block", "code")
+    largest = cells.groupBy("block").agg(F.sum("n").alias("n")).agg(F.max("n")).scalar()
+    hui = synthetic_key(counted, "counter", F.col("block"), "H", "huid", largest).select("huid", "block", "code")
     slot = t.lineitem.filter("l_quantity > 25").select(F.col("l_suppkey").alias("s_block"), F.concat_ws(
-        "|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("slot"))
+        "|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("slot"))
     merged = random_merge(Side(cut(hui), "huid"), Side(slot, "slot"), Round("block", [BLOCK]), SEED)
     table = tabulate.two_way(merged.filter("huid IS NOT NULL"), "code", "merge_state", ["both", "left_only"], F.count(F.lit(1)))
     return table

@@ -88,7 +88,7 @@ def pl_04(t):
 
 def _person_inventory(t):
     rows = cut(t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("pk"),
+        F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("pk"),
         F.col("c_nationkey").alias("block"), F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("sex"), (F.col("l_partkey") % 23 + 1).cast("int").alias("agegroupP12"),
         (F.col("l_suppkey") % 4 + 1).cast("int").alias("race"), (F.col("l_discount") > 0.08).alias("hisp_truth"), (F.col("l_partkey") % 101).cast("int").alias("age_truth")), "persons")
     counts = rows.groupBy("block", "sex", "agegroupP12", "race").agg(F.count(F.lit(1)).alias("n"))
@@ -248,7 +248,7 @@ def pl_13(t):
     persons = t.lineitem.join(orders.select("o_orderkey", "block"), F.col("l_orderkey") == F.col("o_orderkey"))
     age = (F.col("l_partkey") % 101).cast("int")
     persons = cut(persons.select(
-        F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("precid"),
+        F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("precid"),
         F.col("block").alias("p_block"), F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("p_sex"), (F.col("l_suppkey") % 4).alias("p_race"), (F.col("l_partkey") % 2).alias("p_hispan"),
         bands.band(age, bands.AGE_H17, 0).alias("p_h17"), bands.band(age, bands.AGE_H18, 0).alias("p_h18"), bands.band(age, bands.AGE_P43, 0).alias("p_p43"),
         F.when(age < 18, 1).otherwise(0).alias("p_child")), "persons")

@@ -21,7 +21,8 @@ WITH c AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custk
 SELECT o_orderkey, o_custkey || 'H' || lpad(counter::VARCHAR, length((SELECT max(counter) FROM c)::VARCHAR)::INT, '0') AS huid FROM c""")
 def wn_02(t):
     counted = ranks.value_rank(t.orders.select("o_orderkey", "o_custkey"), ["o_custkey"], "o_orderkey", out="counter")
-    return ranks.synthetic_key(counted, "counter", F.col("o_custkey"), "H", "huid").select("o_orderkey", "huid")
+    largest = ranks.largest_group(t.orders, ["o_custkey"])
+    return ranks.synthetic_key(counted, "counter", F.col("o_custkey"), "H", "huid", largest).select("o_orderkey", "huid")
 
 
 @query("wn_03", f"""

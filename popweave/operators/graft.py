@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from popweave.operators.groups import with_group_stats
-from popweave.operators.joins import spread_join
+from popweave.operators.hot import spread_join
 from popweave.operators.ranks import random_rank
 from popweave.session import cut
 

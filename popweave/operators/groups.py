@@ -2,39 +2,30 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from popweave.session import spread
-
-HOT_GROUPS = 1000  # a group is hot when it holds at least 1/1000 of the rows
-
-
-def null_safe(left: DataFrame, right: DataFrame, keys) -> Column:
-    """Join condition that lets null match null."""
-    pairs = [(k, k) if isinstance(k, str) else k for k in keys]
-    return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in pairs])
+from popweave.operators.hot import null_safe, renamed
+from popweave.session import is_small, spread
 
-
-def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+BIG_GROUPS = 1000
 
 
 def attach_stats(df: DataFrame, by: list[str], stats: DataFrame, size: str) -> DataFrame:
     """Join per-group ``stats`` (one row per group, ``size`` = its rows) onto rows.
 
-    Groups with at least 1/HOT_GROUPS of the rows number at most HOT_GROUPS, so
+    Groups with at least 1/BIG_GROUPS of the rows number at most BIG_GROUPS, so
     they go by broadcast and their rows are never shuffled.  What is left holds
     no hot group and takes an ordinary shuffle join.
     """
-    total = stats.agg(F.sum(size)).scalar()
-    right = _renamed(stats, by)
+    right = renamed(stats, by)
     drop = [f"_r_{k}" for k in by]
-    hot = F.broadcast(right.filter(F.col(size) * HOT_GROUPS >= total))
-    cold = right.filter(F.col(size) * HOT_GROUPS < total)
+    if is_small(df):
+        return df.join(right, null_safe(df, right, [(k, f"_r_{k}") for k in by])).drop(*drop)
+    total = stats.agg(F.sum(size)).scalar()
+    hot = F.broadcast(right.filter(F.col(size) * BIG_GROUPS >= total))
+    cold = right.filter(F.col(size) * BIG_GROUPS < total)
     pairs = [(k, f"_r_{k}") for k in by]
     in_hot = df.join(hot, null_safe(df, hot, pairs)).drop(*drop)
     rest = df.join(hot.select(*drop), null_safe(df, hot, pairs), "left_anti")
@@ -62,7 +53,7 @@ def selection_probability(df: DataFrame, by: list[str], value: str, out: str = "
     fine = df.groupBy(*by, value).agg(F.count(value).alias("_num"))
     coarse = fine.groupBy(*by).agg(F.sum("_num").alias("_den"))
     # Both sides are aggregates; the row table meets only the joined result.
-    left, right = fine, _renamed(coarse, by)
+    left, right = fine, renamed(coarse, by)
     stats = left.join(right, null_safe(left, right, [(k, f"_r_{k}") for k in by])).select(
         *by, value, (F.col("_num") / F.col("_den")).alias(out), F.col("_num"))
     return attach_stats(df, [*by, value], stats, "_num").drop("_num")

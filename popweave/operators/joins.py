@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from popweave.operators.groups import null_safe
+from popweave.operators.hot import null_safe, spread_join
 from popweave.operators.ranks import random_rank
-from popweave.session import spread
 
 
 def outer_indicator(left: DataFrame, right: DataFrame, keys: list[str], out: str = "merge_state") -> DataFrame:
@@ -64,21 +63,6 @@ def first_row_join(left: DataFrame, right: DataFrame, key: str, order: str, valu
                                for v in values}).drop("_first")
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi join that splits every key of ``big`` over several tasks.
-
-    ``small`` has few rows per key and is copied once per split; use it where a
-    third of ``big`` may share one key and ``small`` may be too large to
-    broadcast.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError("the big side must be the preserved side")
-    n = spread(big.sparkSession)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(n)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
 def range_lookup(df: DataFrame, value: str, bands: DataFrame, lo: str, hi: str, code: str, width: float) -> DataFrame:
     """Code of the band [lo, hi] holding a value; the highest code wins on overlap.
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from popweave.operators.joins import spread_join
+from popweave.operators.hot import spread_join
 from popweave.operators.ranks import random_rank
 from popweave.session import cut
 
@@ -92,11 +92,12 @@ def merge_cascade(primary: Side, secondary: Side, rounds: list[Round], seed: int
     are left and pairs are found; ``reuse='modulo'`` gives every row left after
     the last round a secondary row of its last group, as many times as needed.
     """
-    p, s = primary.df, secondary.df
-    p_cols, s_cols = p.columns, s.columns
+    p_cols, s_cols = primary.df.columns, secondary.df.columns
     shared = set(p_cols) & set(s_cols)
     if shared:
         raise ValueError(f"columns on both sides: {sorted(shared)}")
+    p, s = cut(primary.df, "primary"), cut(secondary.df, "secondary")
+    everything = s
     watch = stop_early or reuse == "cycles"
     pairs: list[DataFrame] = []
     number, going = first_round - 1, True
@@ -114,10 +115,10 @@ def merge_cascade(primary: Side, secondary: Side, rounds: list[Round], seed: int
             if number - first_round + 1 >= max_rounds or (watch and (p.isEmpty() or s.isEmpty())):
                 break
         if reuse == "cycles" and found and number - first_round + 1 < max_rounds and not p.isEmpty():
-            s, going = secondary.df, True
+            s, going = everything, True
     if reuse == "modulo":
         number += 1
-        wrapped = cut(_wrap_around(Side(p, primary.pk, primary.sort), secondary, rounds[-1], seed + number, number), "wrap")
+        wrapped = cut(_wrap_around(Side(p, primary.pk, primary.sort), Side(everything, secondary.pk, secondary.sort), rounds[-1], seed + number, number), "wrap")
         pairs.append(wrapped)
         p = p.join(wrapped.select(primary.pk), primary.pk, "left_anti")
     return CascadeResult(reduce(DataFrame.unionByName, pairs), p, s, number)

@@ -1,9 +1,9 @@
 """Counters inside groups that stay parallel when one group is huge.
 
-A plain window puts a whole group into one task.  Here each group is first
-split into pieces that follow the order (by the digest of the key, or by value),
-rows are numbered inside a piece, and the size of the earlier pieces is added.
-The result is exactly the plain ``row_number``.
+A plain window puts a whole group into one task.  Here the rows of a hot group
+are cut into pieces that follow the order (by the digest of the key, or by
+value), rows are numbered inside a piece, and the size of the earlier pieces is
+added.  The result is exactly the plain ``row_number``.
 """
 
 from __future__ import annotations
@@ -13,33 +13,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popweave.functions.seeded import hash_bucket, order_key
-from popweave.session import spread
-
-_PIECE = "_piece"
-
-
-def _number(df: DataFrame, group: list[str], pieces: list, order: list, out: str) -> DataFrame:
-    """Number rows given piece columns (name, ascending) that follow ``order``."""
-    names = [n for n, _ in pieces]
-    # Null group keys are a group of their own; coded keys keep the joins plain
-    # equalities, so the numbered rows are not shuffled a second time.
-    coded = {}
-    for c in group + names:
-        coded[f"_k_{c}"] = F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-    keyed = df.withColumns(coded)
-    g_keys = [f"_k_{c}" for c in group]
-    p_keys = [f"_k_{c}" for c in names]
-    inner = W.partitionBy(*g_keys, *p_keys).orderBy(*order)
-    numbered = keyed.withColumn(out, F.row_number().over(inner).cast("long"))
-    sizes = keyed.groupBy(*g_keys, *p_keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.first(n).alias(f"_o_{n}") for n in names])
-    before = (W.partitionBy(*(g_keys or [F.lit(0)]))
-              .orderBy(*[F.col(f"_o_{n}").asc() if asc else F.col(f"_o_{n}").desc() for n, asc in pieces])
-              .rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select(*g_keys, *p_keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return (numbered.join(offsets, g_keys + p_keys)
-            .withColumn(out, F.col(out) + F.col("_before"))
-            .drop("_before", *coded, _PIECE, "_order"))
+from popweave.operators.hot import null_safe, renamed, with_pieces
+from popweave.session import is_small
+
+
+def _number(df: DataFrame, group: list[str], sort: list, piece, order: list, out: str) -> DataFrame:
+    """Number rows; ``piece`` maps a number of pieces to the piece of a row and
+    follows ``order`` after the ``sort`` columns.
+
+    In a table that is small as a whole no group can be too large for a task,
+    so a plain window does."""
+    if is_small(df):
+        rank = F.row_number().over(W.partitionBy(*(group or [F.lit(0)])).orderBy(*order))
+        return df.withColumn(out, rank.cast("long")).drop("_order")
+    hot = F.col("_pieces").isNotNull()
+    front = {f"_s{i}": F.when(hot, F.col(c)) for i, (c, _) in enumerate(sort)}
+    keyed = with_pieces(df, group)
+    keyed = keyed.withColumns({"_piece": F.when(hot, piece(F.col("_pieces"))).otherwise(F.lit(0)), **front})
+    keys = [*group, *front, "_piece"]
+    numbered = keyed.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
+    sizes = keyed.filter(hot).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    directed = [F.col(f"_s{i}").asc() if asc else F.col(f"_s{i}").desc() for i, (_, asc) in enumerate(sort)]
+    before = W.partitionBy(*(group or [F.lit(0)])).orderBy(*directed, F.col("_piece")).rowsBetween(W.unboundedPreceding, -1)
+    offsets = renamed(sizes.select(*keys, F.sum("_n").over(before).alias("_before")), keys)
+    if not sort:  # fewer than 2 x spread rows
+        offsets = F.broadcast(offsets)
+    joined = numbered.join(offsets, null_safe(numbered, offsets, [(k, f"_r_{k}") for k in keys]), "left")
+    return joined.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop(
+        "_before", "_piece", "_pieces", "_order", *front, *[f"_r_{k}" for k in keys])
 
 
 def random_rank(df: DataFrame, group: list[str], pk, seed=None, sort=(), out: str = "rank") -> DataFrame:
@@ -49,28 +50,33 @@ def random_rank(df: DataFrame, group: list[str], pk, seed=None, sort=(), out: st
     these columns should hold few distinct values per group.
     """
     keys = [pk] if isinstance(pk, str) else list(pk)
-    keyed = df.withColumn("_order", order_key(keys, seed))
-    keyed = keyed.withColumn(_PIECE, hash_bucket(F.col("_order"), spread(df.sparkSession)))
     order = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in sort]
     order += [F.col("_order"), *[F.col(k) for k in keys]]
-    return _number(keyed, group, [*sort, (_PIECE, True)], order, out)
+    return _number(df.withColumn("_order", order_key(keys, seed)), group, list(sort),
+                   lambda n: hash_bucket(F.col("_order"), n), order, out)
 
 
-def value_rank(df: DataFrame, group: list[str], by: str, ties=(), out: str = "rank",
-               descending: bool = False) -> DataFrame:
+def value_rank(df: DataFrame, group: list[str], by: str, ties=(), out: str = "rank", descending: bool = False,
+               slice_by: Column | None = None) -> DataFrame:
     """1-based rank in each group ordered by a numeric column.
 
     Pieces are equal slices between the smallest and largest value, so ``by``
-    should be spread out (a key, a position, a measure).
+    should be spread out; where it is not, ``slice_by`` gives a rising function
+    of it that is.
     """
-    n = spread(df.sparkSession)
-    value = F.col(by).cast("double")
-    ends = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
-    low, high = ends["low"], ends["high"]
-    slice_no = F.when(high > low, F.least(F.floor((value - low) / (high - low) * n), F.lit(n - 1))).otherwise(F.lit(0))
-    keyed = df.withColumn(_PIECE, F.coalesce(slice_no.cast("int"), F.lit(-1)))
     first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_first()
-    return _number(keyed, group, [(_PIECE, not descending)], [first, *[F.col(t) for t in ties]], out)
+    order = [first, *[F.col(t) for t in ties]]
+    if is_small(df):
+        return _number(df, group, [], None, order, out)
+    value = (F.col(by) if slice_by is None else slice_by).cast("double")
+    ends = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
+    at = F.try_divide(value - ends["low"], ends["high"] - ends["low"])
+
+    def piece(n: Column) -> Column:
+        up = F.coalesce(F.least(F.floor(at * n), n - 1), F.lit(0)).cast("int")
+        return n - 1 - up if descending else up
+
+    return _number(df, group, [], piece, order, out)
 
 
 def first_per_group(df: DataFrame, group: list[str], order: list, keep: list[str]) -> DataFrame:
@@ -90,8 +96,14 @@ def top_k(df: DataFrame, group: list[str], order: list, k: int, out: str = "rank
     return df.withColumn(out, F.row_number().over(window).cast("long")).filter(F.col(out) <= k)
 
 
-def synthetic_key(df: DataFrame, counter: str, part: Column, letter: str, out: str) -> DataFrame:
+def largest_group(df: DataFrame, group: list[str]) -> Column:
+    """Rows of the largest group, as a scalar: the largest counter without
+    computing the counters."""
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
+
+
+def synthetic_key(df: DataFrame, counter: str, part: Column, letter: str, out: str, largest: Column | None = None) -> DataFrame:
     """part + letter + counter padded to the width of the largest counter."""
-    width = df.agg(F.max(F.col(counter))).scalar().cast("string")
-    padded = F.lpad(F.col(counter).cast("string"), F.length(width), F.lit("0"))
+    top = (df.agg(F.max(F.col(counter))).scalar() if largest is None else largest).cast("string")
+    padded = F.lpad(F.col(counter).cast("string"), F.length(top), F.lit("0"))
     return df.withColumn(out, F.concat(part.cast("string"), F.lit(letter), padded))

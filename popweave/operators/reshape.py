@@ -49,13 +49,13 @@ def expand_rows(df: DataFrame, count: str | Column, index: str, keep_count: bool
     """
     n = (F.col(count) if isinstance(count, str) else count).cast("long")
     name = count if isinstance(count, str) else None
-    base = df.withColumn("_n", n).filter(F.col("_n") > 0)
-    base = base.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / CHUNK))))
+    base = df.withColumn("_copies", n).filter(F.col("_copies") > 0)
+    base = base.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / CHUNK))))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = base.repartition(parts, *[F.col(c) for c in base.columns])
-    start = F.col("_c") * CHUNK + 1
-    out = base.withColumn(index, F.explode(F.sequence(start, F.least(start + CHUNK - 1, F.col("_n")))))
-    out = out.drop("_n", "_c")
+    start = F.col("_chunk") * CHUNK + 1
+    out = base.withColumn(index, F.explode(F.sequence(start, F.least(start + CHUNK - 1, F.col("_copies")))))
+    out = out.drop("_copies", "_chunk")
     return out.drop(name) if name and not keep_count else out
 
 

@@ -17,7 +17,7 @@ def weighted_sample(df: DataFrame, group: list[str], pk: str, weight: str, n: st
     Each row draws -ln(u)/w; the n smallest draws are the sample.
     """
     drawn = df.withColumn("_draw", -F.log(F.greatest(uniform(pk, seed), F.lit(2.0**-52))) / F.col(weight))
-    ranked = value_rank(drawn, group, "_draw", [pk], "_take")
+    ranked = value_rank(drawn, group, "_draw", [pk], "_take", slice_by=F.log("_draw"))
     limit = F.col(n) if isinstance(n, str) else F.lit(n)
     return ranked.filter(F.col("_take") <= limit).drop("_draw", "_take")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popweave.functions.geo import inside, plane_distance, ring_bounds
-from popweave.operators.joins import spread_join
+from popweave.operators.hot import spread_join
 from popweave.operators.ranks import first_per_group, top_k
 from popweave.session import cut
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from popweave.functions import bands
 from popweave.functions.seeded import random_int
-from popweave.operators.joins import add_tables, spread_join
+from popweave.operators.hot import spread_join
+from popweave.operators.joins import add_tables
 from popweave.operators.random_merge import CascadeResult, Round, Side, merge_cascade
 from popweave.operators.ranks import synthetic_key, value_rank
 from popweave.operators.recode import fill_rules
@@ -37,7 +38,8 @@ def base_inventory(groups: list[DataFrame], block: str, count: str, letter: str,
     before = W.partitionBy(block).orderBy(*[F.col(c).asc_nulls_first() for c in traits]).rowsBetween(W.unboundedPreceding, -1)
     placed = merged.withColumn("_before", F.coalesce(F.sum(count).over(before), F.lit(0)))
     opened = expand_rows(placed, count, "_copy").withColumn("counter", F.col("_before") + F.col("_copy")).drop("_before", "_copy")
-    return synthetic_key(opened, "counter", F.col(block), letter, key)
+    largest = merged.groupBy(block).agg(F.sum(count).alias("n")).agg(F.max("n")).scalar()
+    return synthetic_key(opened, "counter", F.col(block), letter, key, largest)
 
 
 def with_income(df: DataFrame, key: str, group: str, seed: int, out: str = "randincome") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from popweave.functions.ids import geo_part
 from popweave.operators.checks import margin_fitness, margin_table
-from popweave.operators.joins import spread_join
+from popweave.operators.hot import spread_join
 from popweave.operators.ranks import random_rank
 from popweave.operators.reshape import exclusive_columns, expand_rows, job_type_equations, stem_columns
 from popweave.operators.select import select_jobs, weighted_sample

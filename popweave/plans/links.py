@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from popweave.functions.geo import line_text
 from popweave.functions.schools import expand_code
 from popweave.operators.random_merge import CascadeResult, Round, Side, merge_cascade
-from popweave.operators.ranks import first_per_group, random_rank, synthetic_key
+from popweave.operators.ranks import first_per_group, largest_group, random_rank, synthetic_key
 from popweave.operators.recode import prefer_right
 from popweave.operators.reshape import expand_rows
 from popweave.operators.spatial import nearest
@@ -29,7 +29,8 @@ def student_records(wide: DataFrame, school: str, level: str, columns: list[str]
     opened = expand_rows(coded, "_n", "_copy").withColumn("_pk", F.concat_ws("|", school, "variable", F.col("_copy").cast("string")))
     counted = random_rank(opened, [school], "_pk", out="srec_counter").drop("_pk", "_copy", "variable")
     part = F.concat(F.lit("S"), F.col(school).cast("string"), F.lit("syr" + school_year))
-    keyed = synthetic_key(counted, "srec_counter", part, "c", "srecid")
+    largest = long.groupBy(school).agg(F.sum("_n").alias("n")).agg(F.max("n")).scalar()
+    keyed = synthetic_key(counted, "srec_counter", part, "c", "srecid", largest)
     zones = {f"ncessch_{i}": F.when(F.col(level) == str(i), F.col(school)) for i in (1, 2, 3, 4)}
     return keyed.withColumns(zones)
 
@@ -59,7 +60,7 @@ def jobs_to_establishments(jobs: Side, places: Side, levels: list[tuple], indust
 def outside_workers(jobs: DataFrame, block: str, job_pk: str) -> DataFrame:
     """Person rows for jobs held from outside the area."""
     counted = random_rank(jobs, [block], job_pk, out="prec_counter")
-    return synthetic_key(counted, "prec_counter", F.col(block).cast("string"), "PJ", "precid")
+    return synthetic_key(counted, "prec_counter", F.col(block).cast("string"), "PJ", "precid", largest_group(jobs, [block]))
 
 
 def person_school_job(persons: DataFrame, students: DataFrame, jobs: DataFrame, establishments: DataFrame, pk: str, job: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from popweave.functions.ids import zfill
 from popweave.functions.labels import block_error_code
-from popweave.operators.joins import slot_join, spread_join
+from popweave.operators.hot import spread_join
+from popweave.operators.joins import slot_join
 from popweave.operators.random_merge import Round, Side, merge_cascade
 from popweave.operators.ranks import random_rank
 from popweave.operators.recode import address_flags, tenure_guesses, updated_tenure
