@@ -149,7 +149,8 @@ _AGE_BANDS = {"agegroupP12": bands.AGE_P12, "agegroupH17": bands.AGE_H17, "agegr
     f'CASE WHEN age IS NULL THEN 0 ELSE {band_sql("age", b)} END AS "{n}"' for n, b in _AGE_BANDS.items()) + " FROM a")
 def fn_16(t):
     age = F.when(F.col("l_partkey") % 29 != 0, F.col("l_partkey") % 115)
-    return t.lineitem.select("l_orderkey", "l_linenumber", *[bands.band(age, b, 0).alias(n) for n, b in _AGE_BANDS.items()])
+    aged = t.lineitem.select("l_orderkey", "l_linenumber", age.alias("age"))
+    return aged.select("l_orderkey", "l_linenumber", *[bands.band(F.col("age"), b, 0).alias(n) for n, b in _AGE_BANDS.items()])
 
 
 @query("fn_17", f"SELECT p_partkey, {band_sql('(p_size % 23)', bands.SUPERSECTOR)} AS supersector FROM part")

@@ -87,11 +87,11 @@ def pl_04(t):
 
 
 def _person_inventory(t):
-    rows = cut(t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("pk"),
-        F.col("c_nationkey").alias("block"), F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("sex"), (F.col("l_partkey") % 23 + 1).cast("int").alias("agegroupP12"),
+    homes = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = cut(t.lineitem.join(homes, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("c_nationkey").alias("block"), F.col("n_regionkey").alias("tract"), F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("sex"), (F.col("l_partkey") % 23 + 1).cast("int").alias("agegroupP12"),
         (F.col("l_suppkey") % 4 + 1).cast("int").alias("race"), (F.col("l_discount") > 0.08).alias("hisp_truth"), (F.col("l_partkey") % 101).cast("int").alias("age_truth")), "persons")
-    counts = rows.groupBy("block", "sex", "agegroupP12", "race").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("block", "tract", "sex", "agegroupP12", "race").agg(F.count(F.lit(1)).alias("n"))
     persons = inventory.base_inventory([counts], "block", "n", "P", "precid").withColumn("hispan", F.lit(-999))
     hisp = rows.filter("hisp_truth")
     margins = [Margin("P12", hisp.groupBy("block", "sex", "agegroupP12").agg(F.count(F.lit(1)).alias("n")), ["block", "sex", "agegroupP12"], "n"),
@@ -101,9 +101,13 @@ def _person_inventory(t):
 
 def _with_ages(rows, persons):
     """Single-year ages from the coarser area's table, inside sex and age band."""
-    single = rows.select(F.col("pk").alias("aid"), F.col("sex").alias("a_sex"), bands.band(F.col("age_truth"), bands.AGE_P12).alias("a_band"), F.col("age_truth").alias("randage"))
-    slim = persons.select("precid", "sex", "agegroupP12")
-    linked = merge_cascade(Side(slim, "precid"), Side(single, "aid"), [Round("band", [("sex", "sex", "a_sex"), ("band", "agegroupP12", "a_band")])], 1000)
+    counts = rows.groupBy("tract", F.col("sex").alias("a_sex"), F.col("age_truth").alias("randage")).agg(F.count(F.lit(1)).alias("n"))
+    single = inventory.base_inventory([counts], "tract", "n", "A", "aid").select(
+        "aid", F.col("tract").alias("a_tract"), "a_sex", "randage", bands.band(F.col("randage"), bands.AGE_P12).alias("a_band"))
+    single = cut(single, "ages")
+    slim = persons.select("precid", "tract", "sex", "agegroupP12")
+    rounds = [Round("band", [("tract", "tract", "a_tract"), ("sex", "sex", "a_sex"), ("band", "agegroupP12", "a_band")])]
+    linked = merge_cascade(Side(slim, "precid"), Side(single, "aid"), rounds, 1000)
     aged = inventory.take_trait(persons, "precid", linked, single, "aid", ["randage"])
     low, high = bands.band_low(F.col("agegroupP12"), bands.AGE_P12), bands.band_high(F.col("agegroupP12"), bands.AGE_P12)
     return aged.withColumn("randage", F.coalesce(F.col("randage").cast("long"), random_int(low, high, "precid", 1000)))

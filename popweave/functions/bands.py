@@ -37,8 +37,18 @@ SUPERSECTOR = [(1, 1, 5), (2, 6, 8), (3, 9, 20)]
 
 
 def band(value: Column, bands, missing=None) -> Column:
-    """Code of the band holding ``value``; on overlap the last band wins."""
-    code = last_match([(value.between(lo, hi), F.lit(c)) for c, lo, hi in bands])
+    """Code of the band holding ``value``; on overlap the last band wins.
+
+    Bands over a short range of whole numbers become one array lookup.
+    """
+    low, high = min(lo for _, lo, _ in bands), max(hi for _, _, hi in bands)
+    if high - low <= 200:
+        codes = {v: c for c, lo, hi in bands for v in range(lo, hi + 1)}
+        table = F.array(*[F.lit(codes.get(v)).cast("int") for v in range(low, high + 1)])
+        code = F.when(value == F.floor(value), F.get(table, (value - low).cast("int")))
+        code = F.when(value.between(low, high), code)
+    else:
+        code = last_match([(value.between(lo, hi), F.lit(c)) for c, lo, hi in bands])
     return code if missing is None else F.when(value.isNull(), F.lit(missing)).otherwise(code)
 
 

@@ -53,29 +53,36 @@ def plane_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 
 
-def _edges(ring: Column) -> Column:
-    n = F.size(ring)
-    return F.transform(ring, lambda p, i: F.struct(
-        p["x"].alias("ax"), p["y"].alias("ay"),
-        F.element_at(ring, F.try_mod(i + F.lit(1), n) + F.lit(1))["x"].alias("bx"),
-        F.element_at(ring, F.try_mod(i + F.lit(1), n) + F.lit(1))["y"].alias("by")))
+def ring_edges(ring: Column) -> Column:
+    """Edges of a ring as array<struct<ax,ay,bx,by>>, closing the ring."""
+    ends = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return F.zip_with(ring, ends, lambda a, b: F.struct(
+        a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
 
 
-def inside(ring: Column, x: Column, y: Column) -> Column:
-    """Point in ring by crossing count; points on the border count as inside."""
-    edges = _edges(ring)
+BORDER = 1 << 20
+
 
-    def crosses(e):
-        return ((e["ay"] > y) != (e["by"] > y)) & (
-            x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"])
+def edge_score(e: Column, x: Column, y: Column) -> Column:
+    """1 where the edge lies right of the point at its height, a large number
+    where the point is on the edge.  The sum over a ring tells inside (odd, or
+    at least BORDER) from outside."""
+    rise = (e["bx"] - e["ax"]) * (y - e["ay"])
+    run = (e["by"] - e["ay"]) * (x - e["ax"])
+    on = ((rise == run) & x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"]))
+          & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"])))
+    spans = (e["ay"] > y) != (e["by"] > y)
+    left = x < F.try_divide(rise, e["by"] - e["ay"]) + e["ax"]
+    return F.when(on, BORDER).when(spans & left, 1).otherwise(0)
 
-    def on_edge(e):
-        cross = (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
-        return ((cross == 0) & x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"]))
-                & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"])))
 
-    odd = F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    return odd | F.exists(edges, on_edge)
+def is_inside(score: Column) -> Column:
+    return (score >= BORDER) | (score % 2 == 1)
+
+
+def inside(ring: Column, x: Column, y: Column) -> Column:
+    """Point in ring by crossing count; points on the border count as inside."""
+    return is_inside(F.aggregate(ring_edges(ring), F.lit(0), lambda s, e: s + edge_score(e, x, y)))
 
 
 def ring_bounds(ring: Column) -> dict[str, Column]:
@@ -85,12 +92,12 @@ def ring_bounds(ring: Column) -> dict[str, Column]:
 
 def ring_area(ring: Column) -> Column:
     """Signed area (shoelace)."""
-    return F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e["ax"] * e["by"] - e["bx"] * e["ay"]) / 2
+    return F.aggregate(ring_edges(ring), F.lit(0.0), lambda s, e: s + e["ax"] * e["by"] - e["bx"] * e["ay"]) / 2
 
 
 def ring_centroid(ring: Column) -> Column:
     """Area centroid; the vertex mean where the ring has no area."""
-    edges = _edges(ring)
+    edges = ring_edges(ring)
     cx = F.aggregate(edges, F.lit(0.0), lambda s, e: s + (e["ax"] + e["bx"]) * (e["ax"] * e["by"] - e["bx"] * e["ay"]))
     cy = F.aggregate(edges, F.lit(0.0), lambda s, e: s + (e["ay"] + e["by"]) * (e["ax"] * e["by"] - e["bx"] * e["ay"]))
     area = ring_area(ring)

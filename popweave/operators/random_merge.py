@@ -48,20 +48,14 @@ def _keys(rnd: Round, side: int) -> dict[str, Column]:
 def merge_round(primary: Side, secondary: Side, rnd: Round, seed: int) -> DataFrame:
     """One pass as a full outer join on (group, rank), all columns kept.
 
-    Rows with a null key come through unpaired.  Every (group, rank) is unique
-    on both sides, so the join spreads evenly however large a group is.
+    Rows with a null key match nothing and come through unpaired.  Every
+    (group, rank) is unique on both sides, so the join spreads evenly however
+    large a group is.
     """
-    ranked, waiting = [], []
-    for i, side in enumerate((primary, secondary)):
-        keys = _keys(rnd, i)
-        keyed = side.df.withColumns(keys) if keys else side.df
-        ready = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
-        ranked.append(random_rank(keyed.filter(ready), list(keys), side.pk, seed, side.sort, "_rank"))
-        if keys:
-            waiting.append(keyed.filter(~ready).drop(*keys))
     on = [*_keys(rnd, 0), "_rank"]
-    paired = ranked[0].join(ranked[1], on, "full").drop(*on)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), waiting, paired)
+    ranked = [random_rank(side.df.withColumns(keys) if keys else side.df, list(keys), side.pk, seed, side.sort, "_rank")
+              for side, keys in ((primary, _keys(rnd, 0)), (secondary, _keys(rnd, 1)))]
+    return ranked[0].join(ranked[1], on, "full").drop(*on)
 
 
 def random_merge(primary: Side, secondary: Side, rnd: Round, seed: int) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popweave.functions.geo import inside, plane_distance, ring_bounds
+from popweave.functions.geo import edge_score, is_inside, plane_distance, ring_bounds, ring_edges
 from popweave.operators.hot import spread_join
 from popweave.operators.ranks import first_per_group, top_k
-from popweave.session import cut
+from popweave.session import cut, is_small
 
 LEVELS = 40
 
@@ -18,7 +18,8 @@ def _cell(value, level, cell: float):
 
 
 def polygon_cells(polygons: DataFrame, ring: str, cell: float) -> DataFrame:
-    """Each polygon on the level where its box covers at most 2 x 2 cells."""
+    """Each polygon (as edges and box) on the level where its box covers at most
+    2 x 2 cells."""
     box = ring_bounds(F.col(ring))
     boxed = polygons.withColumns({f"_{k}": v for k, v in box.items()})
     extent = F.greatest(F.col("_max_x") - F.col("_min_x"), F.col("_max_y") - F.col("_min_y"))
@@ -26,8 +27,8 @@ def polygon_cells(polygons: DataFrame, ring: str, cell: float) -> DataFrame:
     boxed = boxed.withColumn("_level", F.least(level, F.lit(LEVELS)).cast("int"))
     span = lambda axis: F.sequence(_cell(F.col(f"_min_{axis}"), F.col("_level"), cell),
                                    _cell(F.col(f"_max_{axis}"), F.col("_level"), cell))
-    return (boxed.withColumn("_cx", F.explode(span("x"))).withColumn("_cy", F.explode(span("y")))
-            .drop("_min_x", "_min_y", "_max_x", "_max_y"))
+    edged = boxed.withColumn("_edges", ring_edges(F.col(ring))).drop(ring)
+    return edged.withColumn("_cx", F.explode(span("x"))).withColumn("_cy", F.explode(span("y")))
 
 
 def point_in_polygon(points: DataFrame, pk: str, x: str, y: str, polygons: DataFrame, poly_id: str, ring: str,
@@ -38,15 +39,24 @@ def point_in_polygon(points: DataFrame, pk: str, x: str, y: str, polygons: DataF
     ``multi='all'``.  Points outside every polygon keep nulls.
     """
     cells = polygon_cells(polygons.select(poly_id, ring, *carry), ring, cell)
-    top = cells.agg(F.max("_level")).scalar()
-    located = points.select(pk, x, y).withColumn("_level", F.explode(F.sequence(F.lit(0), F.coalesce(top, F.lit(0)))))
+    levels = cells.agg(F.collect_set("_level")).scalar()  # at most LEVELS + 1 values
+    located = points.select(pk, x, y)
+    if is_small(points):  # one file is one task; deal its rows over the cores
+        located = located.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), pk)
+    located = located.withColumn("_level", F.explode(levels))
     located = located.withColumns({"_cx": _cell(F.col(x), F.col("_level"), cell), "_cy": _cell(F.col(y), F.col("_level"), cell)})
-    hits = spread_join(located, cells, ["_level", "_cx", "_cy"]).filter(inside(F.col(ring), F.col(x), F.col(y)))
+    in_box = F.col(x).between(F.col("_min_x"), F.col("_max_x")) & F.col(y).between(F.col("_min_y"), F.col("_max_y"))
     keep = [poly_id, *carry]
-    hits = hits.select(pk, *keep)
+    near = spread_join(located, cells, ["_level", "_cx", "_cy"]).filter(in_box)
+    # A point meets a polygon in one cell only.  The edges of such a pair are
+    # opened in place and summed up again before anything is shuffled.
+    edges = near.select(pk, *keep, x, y, F.explode("_edges").alias("_e"))
+    scored = edges.groupBy(pk, *keep).agg(F.sum(edge_score(F.col("_e"), F.col(x), F.col(y))).alias("_score"))
+    hits = scored.filter(is_inside(F.col("_score"))).drop("_score")
     if multi != "all":
         hits = first_per_group(hits, [pk], [poly_id], keep)
-    return points.join(hits, pk, "left")
+    # Stored once, so that several layers in a row do not repeat each other.
+    return points.join(cut(hits, "hits"), pk, "left")
 
 
 def nearest(a: DataFrame, a_pk: str, b: DataFrame, b_pk: str, k: int = 1, cutoff: float | None = None,
