@@ -70,7 +70,7 @@ def pl_15(t):
 # Jobs to persons: order lines as jobs, orders as persons.
 _JOB_SQL = f"""{UNITS_SQL}, pe AS (SELECT o_orderkey AS precid, block, tract, CASE WHEN o_orderkey % 97 BETWEEN 18 AND 29 THEN 1 WHEN o_orderkey % 97 BETWEEN 30 AND 54 THEN 2 WHEN o_orderkey % 97 BETWEEN 55 AND 65 THEN 3 END AS agegrp, o_orderkey % 2 + 1 AS p_sex,
   o_custkey % 3 + 1 AS earn_1, (o_custkey + 1) % 3 + 1 AS earn_2 FROM orders JOIN units ON o_custkey = c_custkey),
-jb AS (SELECT l_partkey * 1000000 + l_orderkey * 10 + l_linenumber AS jobid, s_nationkey AS j_block, n_regionkey AS j_tract, l_linenumber % 3 + 1 AS j_age, l_partkey % 2 + 1 AS j_sex, l_suppkey % 3 + 1 AS j_earn FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity > 45)"""
+jb AS (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS jobid, s_nationkey AS j_block, n_regionkey AS j_tract, l_linenumber % 3 + 1 AS j_age, l_partkey % 2 + 1 AS j_sex, l_suppkey % 3 + 1 AS j_earn FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
 _JOB_ROUNDS = [([lvl, "agegrp", "p_sex", e], [f"j_{lvl}", "j_age", "j_sex", "j_earn"]) for e in ("earn_1", "earn_2") for lvl in ("block", "tract")]
 _JOB_CTES, _JOB_PAIRS = cascade_sql("pe", "precid", "jb", "jobid", _JOB_ROUNDS, 133)
 
@@ -85,8 +85,9 @@ def _workers(t):
 
 def _jobs(t):
     at = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_regionkey")
-    rows = t.lineitem.filter("l_quantity > 45").join(at, F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.select((F.col("l_partkey") * 1000000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("jobid"), F.col("s_nationkey").alias("j_block"), F.col("n_regionkey").alias("j_tract"),
+    rows = t.lineitem.join(at, F.col("l_suppkey") == F.col("s_suppkey"))
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    return rows.select(key.alias("jobid"), F.col("s_nationkey").alias("j_block"), F.col("n_regionkey").alias("j_tract"),
                        (F.col("l_linenumber") % 3 + 1).alias("j_age"), (F.col("l_partkey") % 2 + 1).alias("j_sex"), (F.col("l_suppkey") % 3 + 1).alias("j_earn"))
 
 
@@ -103,7 +104,7 @@ def pl_16(t):
     return _jobs_linked(t)[1].pairs
 
 
-@query("pl_16_outside", f"""WITH {_JOB_SQL}, o AS (SELECT jobid, j_block, row_number() OVER (PARTITION BY j_block ORDER BY md5(jobid::VARCHAR), jobid) AS c FROM jb WHERE j_tract = 1)
+@query("pl_16_outside", f"""WITH {_JOB_SQL}, o AS (SELECT jobid, j_block, row_number() OVER (PARTITION BY j_block ORDER BY md5(jobid), jobid) AS c FROM jb WHERE j_tract = 1)
 SELECT jobid, j_block || 'PJ' || lpad(c::VARCHAR, length((SELECT max(c) FROM o)::VARCHAR)::INT, '0') AS precid FROM o""")
 def pl_16_outside(t):
     return links.outside_workers(_jobs(t).filter("j_tract = 1"), "j_block", "jobid").select("jobid", "precid")
@@ -163,14 +164,14 @@ def pl_28(t):
 
 
 @query("pl_29", """
-WITH s AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'A') AS fte, count(*) FILTER (l_returnflag = 'N' AND l_quantity > 30) AS p410, count(*) AS hrt FROM lineitem WHERE l_suppkey % 3 > 0 GROUP BY 1)
-SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 4 > 0 THEN fte END, CASE WHEN s_suppkey % 8 > 0 THEN p410 END, hrt) AS numstaff, coalesce(hrt, 0) AS students FROM s RIGHT JOIN supplier ON l_suppkey = s_suppkey""")
+WITH s AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'A') AS fte, count(*) FILTER (l_returnflag = 'N' AND l_quantity > 30) AS p410, count(*) AS hrt FROM lineitem GROUP BY 1)
+SELECT s_suppkey, coalesce(CASE WHEN s_acctbal > 4000 THEN fte END, CASE WHEN s_acctbal > 0 THEN p410 END, hrt) AS numstaff, coalesce(hrt, 0) AS students FROM s RIGHT JOIN supplier ON l_suppkey = s_suppkey""")
 def pl_29(t):
     n = lambda c: F.count(F.when(c, 1))
-    counts = t.lineitem.filter("l_suppkey % 3 > 0").groupBy("l_suppkey").agg(
+    counts = t.lineitem.groupBy("l_suppkey").agg(
         n(F.col("l_returnflag") == "A").alias("fte"), n((F.col("l_returnflag") == "N") & (F.col("l_quantity") > 30)).alias("p410"), F.count(F.lit(1)).alias("hrt"))
-    joined = counts.join(t.supplier.select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"), "right")
-    staff = F.coalesce(F.when(F.col("s_suppkey") % 4 > 0, F.col("fte")), F.when(F.col("s_suppkey") % 8 > 0, F.col("p410")), F.col("hrt"))
+    joined = counts.join(t.supplier.select("s_suppkey", "s_acctbal"), F.col("l_suppkey") == F.col("s_suppkey"), "right")
+    staff = F.coalesce(F.when(F.col("s_acctbal") > 4000, F.col("fte")), F.when(F.col("s_acctbal") > 0, F.col("p410")), F.col("hrt"))
     return joined.select("s_suppkey", staff.alias("numstaff"), F.coalesce("hrt", F.lit(0)).alias("students"))
 
 

@@ -45,38 +45,37 @@ def jn_07(t):
     return merged.select("c_custkey", "o_orderkey", "merge_state")
 
 
-# The slots of one status are few enough to run out, so every level has work.
-_ROUNDS = [(["block", "cls"], ["s_block", "s_cls"]), (["block"], ["s_block"]), (["tract", "cls"], ["s_tract", "s_cls"]), (["tract"], ["s_tract"])]
-_CTES, _PAIRS = cascade_sql("prim", "c_custkey", "few", "o_orderkey", _ROUNDS, SEED)
+# Orders look for customers here: ten rows compete for one, so every level has
+# work and rows are left over.
+_ROUNDS = [(["s_block", "s_cls"], ["block", "cls"]), (["s_block"], ["block"]), (["s_tract", "s_cls"], ["tract", "cls"]), (["s_tract"], ["tract"])]
+_CTES, _PAIRS = cascade_sql("secd", "o_orderkey", "prim", "c_custkey", _ROUNDS, SEED)
+TO_BLOCK, TO_TRACT, TO_CLS = ("block", "s_block", "block"), ("tract", "s_tract", "tract"), ("cls", "s_cls", "cls")
 
 
-def _few(t):
-    return secondary(t).filter("o_orderstatus = 'P' AND s_cls < 3").drop("o_orderstatus")
+def _seekers(t):
+    return Side(secondary(t), "o_orderkey"), Side(primary(t), "c_custkey")
 
 
-@query("jn_08", f"WITH {_P}, {_S}, few AS (SELECT * FROM secd WHERE o_orderstatus = 'P' AND s_cls < 3), {_CTES} {_PAIRS}")
+@query("jn_08", f"WITH {_P}, {_S}, {_CTES} {_PAIRS}")
 def jn_08(t):
-    rounds = [Round("block cls", [BLOCK, CLS]), Round("block", [BLOCK]), Round("tract cls", [TRACT, CLS]), Round("tract", [TRACT])]
-    return merge_cascade(Side(primary(t), "c_custkey"), Side(_few(t), "o_orderkey"), rounds, SEED).pairs
+    rounds = [Round("block cls", [TO_BLOCK, TO_CLS]), Round("block", [TO_BLOCK]), Round("tract cls", [TO_TRACT, TO_CLS]), Round("tract", [TO_TRACT])]
+    return merge_cascade(*_seekers(t), rounds, SEED).pairs
 
 
-_CTES2, _PAIRS2 = cascade_sql("prim", "c_custkey", "few", "o_orderkey", [(["block"], ["s_block"])], SEED)
+_CTES2, _PAIRS2 = cascade_sql("secd", "o_orderkey", "prim", "c_custkey", [(["s_block"], ["block"])], SEED)
 
 
-@query("jn_08_modulo", f"""WITH {_P}, {_S}, few AS (SELECT * FROM secd WHERE o_orderstatus = 'P' AND s_cls < 1), {_CTES2},
-l AS (SELECT c_custkey, block, row_number() OVER (PARTITION BY block ORDER BY md5(concat_ws('|', c_custkey, {SEED + 2})), c_custkey) AS rk FROM p1),
-r AS (SELECT o_orderkey, s_block, row_number() OVER (PARTITION BY s_block ORDER BY md5(concat_ws('|', o_orderkey, {SEED + 2})), o_orderkey) AS rk, count(*) OVER (PARTITION BY s_block) AS n FROM few)
-{_PAIRS2} UNION ALL SELECT c_custkey, o_orderkey, 2 FROM l JOIN r ON block = s_block AND (l.rk - 1) % n + 1 = r.rk""")
+@query("jn_08_modulo", f"""WITH {_P}, {_S}, {_CTES2},
+l AS (SELECT o_orderkey, s_block, row_number() OVER (PARTITION BY s_block ORDER BY md5(concat_ws('|', o_orderkey, {SEED + 2})), o_orderkey) AS rk FROM p1),
+r AS (SELECT c_custkey, block, row_number() OVER (PARTITION BY block ORDER BY md5(concat_ws('|', c_custkey, {SEED + 2})), c_custkey) AS rk, count(*) OVER (PARTITION BY block) AS n FROM prim)
+{_PAIRS2} UNION ALL SELECT o_orderkey, c_custkey, 2 FROM l JOIN r ON s_block = block AND (l.rk - 1) % n + 1 = r.rk""")
 def jn_08_modulo(t):
-    few = secondary(t).filter("o_orderstatus = 'P' AND s_cls < 1")
-    return merge_cascade(Side(primary(t), "c_custkey"), Side(few, "o_orderkey"), [Round("block", [BLOCK])], SEED, reuse="modulo").pairs
+    return merge_cascade(*_seekers(t), [Round("block", [TO_BLOCK])], SEED, reuse="modulo").pairs
 
 
 @query("jn_08_cycles")
 def jn_08_cycles(t):
-    few = secondary(t).filter("o_orderstatus = 'P' AND s_cls < 1")
-    return merge_cascade(Side(primary(t), "c_custkey"), Side(few, "o_orderkey"), [Round("block", [BLOCK]), Round("tract", [TRACT])],
-                         SEED, reuse="cycles", max_rounds=12).pairs
+    return merge_cascade(*_seekers(t), [Round("block", [TO_BLOCK]), Round("tract", [TO_TRACT])], SEED, reuse="cycles").pairs
 
 
 _FLAG_CTE, _FLAG_PAIRS = cascade_sql("prim2", "c_custkey", "secd", "o_orderkey", [(["block", "req"], ["s_block", "s_cls"])], SEED)

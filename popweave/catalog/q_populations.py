@@ -200,32 +200,31 @@ def pl_10(t):
     return places.link_community(units, "c_custkey", allocation, points, "addrptid", buildings, "p_partkey", ["archetype", "x", "y"])
 
 
-# Householder ages: units (customers) take an age record (orders) by tenure, race and ethnicity.
+# Householder ages: units (orders) take an age record (customers) by tenure, race and ethnicity.
 _H17_ROUNDS = [(["block", "own", "his", "race"], ["a_block", "a_own", "a_his", "a_race"]), (["block", "his", "race"], ["a_block", "a_his", "a_race"]), (["block", "race"], ["a_block", "a_race"]), (["block"], ["a_block"]),
                (["tract", "own", "his", "race"], ["a_tract", "a_own", "a_his", "a_race"]), (["tract"], ["a_tract"])]
-_H17_CTES, _H17_PAIRS = cascade_sql("un", "c_custkey", "ag", "o_orderkey", _H17_ROUNDS, 133)
+_H17_CTES, _H17_PAIRS = cascade_sql("un", "o_orderkey", "ag", "c_custkey", _H17_ROUNDS, 133)
 
 
-@query("pl_11", f"""WITH un AS (SELECT c_custkey, c_nationkey AS block, n_regionkey AS tract, c_custkey % 2 + 1 AS own, c_custkey % 3 AS his, c_custkey % 4 AS race FROM customer JOIN nation ON c_nationkey = n_nationkey),
-ag AS (SELECT o_orderkey, c_nationkey AS a_block, n_regionkey AS a_tract, o_orderkey % 2 + 1 AS a_own, o_orderkey % 3 AS a_his, o_orderkey % 5 AS a_race, (15 + o_orderkey % 80)::BIGINT AS lo, (15 + o_orderkey % 80 + 9)::BIGINT AS hi
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'P' AND o_totalprice < 160000), {_H17_CTES}, pairs AS ({_H17_PAIRS}),
-r AS (SELECT c_custkey, match_round, floor(lo + {u_sql('o_orderkey', 133)} * (hi - lo))::BIGINT AS age FROM pairs JOIN ag USING (o_orderkey))
-SELECT u.c_custkey, match_round, age AS "randageH17", CASE WHEN age IS NULL THEN -999 ELSE {band_sql('age', bands.AGE_H17)} END AS "agegroupH17" FROM un u LEFT JOIN r ON u.c_custkey = r.c_custkey""")
+@query("pl_11", f"""WITH un AS (SELECT o_orderkey, c_nationkey AS block, n_regionkey AS tract, o_orderkey % 2 + 1 AS own, o_orderkey % 3 AS his, o_orderkey % 5 AS race FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+ag AS (SELECT c_custkey, c_nationkey AS a_block, n_regionkey AS a_tract, c_custkey % 2 + 1 AS a_own, c_custkey % 3 AS a_his, c_custkey % 6 AS a_race, (15 + c_custkey % 80)::BIGINT AS lo, (15 + c_custkey % 80 + 9)::BIGINT AS hi
+  FROM customer JOIN nation ON c_nationkey = n_nationkey), {_H17_CTES}, pairs AS ({_H17_PAIRS}),
+r AS (SELECT o_orderkey, match_round, floor(lo + {u_sql('c_custkey', 133)} * (hi - lo))::BIGINT AS age FROM pairs JOIN ag USING (c_custkey))
+SELECT u.o_orderkey, match_round, age AS "randageH17", CASE WHEN age IS NULL THEN -999 ELSE {band_sql('age', bands.AGE_H17)} END AS "agegroupH17" FROM un u LEFT JOIN r ON u.o_orderkey = r.o_orderkey""")
 def pl_11(t):
     located = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_nationkey").alias("block"), F.col("n_regionkey").alias("tract"))
     key, o = F.col("c_custkey"), F.col("o_orderkey")
-    units = located.withColumns({"own": key % 2 + 1, "his": key % 3, "race": key % 4})
-    homes = located.withColumnsRenamed({"c_custkey": "o_custkey", "block": "a_block", "tract": "a_tract"})
-    low = 15 + o % 80
-    ages = t.orders.filter("o_orderstatus = 'P' AND o_totalprice < 160000").join(homes, "o_custkey").select(
-        "o_orderkey", "a_block", "a_tract", (o % 2 + 1).alias("a_own"), (o % 3).alias("a_his"), (o % 5).alias("a_race"), random_int(low, low + 9, "o_orderkey", 133).alias("randageH17"))
+    units = t.orders.join(located, F.col("o_custkey") == key).select("o_orderkey", "block", "tract", (o % 2 + 1).alias("own"), (o % 3).alias("his"), (o % 5).alias("race"))
+    low = 15 + key % 80
+    ages = located.select("c_custkey", F.col("block").alias("a_block"), F.col("tract").alias("a_tract"), (key % 2 + 1).alias("a_own"), (key % 3).alias("a_his"), (key % 6).alias("a_race"),
+                          random_int(low, low + 9, "c_custkey", 133).alias("randageH17"))
     k = {n: (n, n, f"a_{n}") for n in ("block", "tract", "own", "his", "race")}
     all_keys = [k["own"], k["his"], k["race"]]
     rounds = [Round("block all", [k["block"], *all_keys]), Round("block who", [k["block"], k["his"], k["race"]]), Round("block race", [k["block"], k["race"]]), Round("block", [k["block"]]),
               Round("tract all", [k["tract"], *all_keys]), Round("tract", [k["tract"]])]
-    linked = merge_cascade(Side(units, "c_custkey"), Side(ages.drop("randageH17"), "o_orderkey"), rounds, 133)
-    out = inventory.take_trait(units, "c_custkey", linked, ages, "o_orderkey", ["randageH17"])
-    return out.select("c_custkey", "match_round", "randageH17", F.coalesce(bands.band(F.col("randageH17"), bands.AGE_H17), F.lit(-999)).alias("agegroupH17"))
+    linked = merge_cascade(Side(units, "o_orderkey"), Side(ages.drop("randageH17"), "c_custkey"), rounds, 133)
+    out = inventory.take_trait(units, "o_orderkey", linked, ages, "c_custkey", ["randageH17"])
+    return out.select("o_orderkey", "match_round", "randageH17", F.coalesce(bands.band(F.col("randageH17"), bands.AGE_H17), F.lit(-999)).alias("agegroupH17"))
 
 
 @query("pl_12", """

@@ -89,7 +89,7 @@ def jn_12(t):
     return links.link_nearest(customer_points(t), "c_custkey", supplier_points(t), "s_suppkey", ("cat",))
 
 
-@query("jn_13", f"""WITH {CUST_SQL}, {SUPP_SQL}, c AS (SELECT p_partkey, {spot_sql('p_partkey', 13)} AS cx, {spot_sql('p_partkey', 29)} AS cy FROM part WHERE p_size > 25),
+@query("jn_13", f"""WITH {CUST_SQL}, {SUPP_SQL}, c AS (SELECT p_partkey, {spot_sql('p_partkey', 13)} AS cx, {spot_sql('p_partkey', 29)} AS cy FROM part),
 n1 AS (SELECT c_custkey, s_suppkey, {DIST} AS d FROM a JOIN b ON {DIST} <= 0.8 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY {DIST}, s_suppkey) = 1),
 k1 AS (SELECT s_suppkey, c_custkey FROM n1 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY d, c_custkey) = 1),
 m AS (SELECT concat_ws('-', a.c_custkey, b.s_suppkey) AS m_id, a.c_custkey AS a_id, b.s_suppkey AS b_id, coalesce(x, bx) AS x, coalesce(y, "by") AS y
@@ -100,7 +100,7 @@ SELECT m.m_id, a_id, b_id, c_id, distance FROM m LEFT JOIN n2 ON m.m_id = n2.m_i
 def jn_13(t):
     first = customer_points(t).select(F.col("c_custkey").alias("a_id"), "x", "y")
     second = supplier_points(t).select(F.col("s_suppkey").alias("b_id"), "bx", "by")
-    third = t.part.filter("p_size > 25").select(F.col("p_partkey").alias("c_id"), spot(F.col("p_partkey"), 13).alias("cx"), spot(F.col("p_partkey"), 29).alias("cy"))
+    third = t.part.select(F.col("p_partkey").alias("c_id"), spot(F.col("p_partkey"), 13).alias("cx"), spot(F.col("p_partkey"), 29).alias("cy"))
     return links.reconcile_points(first, second, third, 0.8).select("m_id", "a_id", "b_id", "c_id", "distance")
 
 

@@ -70,7 +70,7 @@ def test_selection_by_agreement_meets_expected_numbers(spark):
 
 def test_best_seed_is_really_the_best(spark):
     cand = spark.range(120).select(F.col("id").cast("string").alias("pk"), (F.col("id") % 3).alias("b"), (F.col("id") % 12).alias("ch"), (F.col("id") % 2).alias("t"), F.lit(4).alias("want"))
-    target = margin_table(cand.filter("id < 40") if "id" in cand.columns else cand.filter("cast(pk as int) < 40"), ["b"], ["t"])
+    target = margin_table(cand.filter("cast(pk as int) < 40"), ["b"], ["t"])
     best = jobs.select_by_fit(cand, target, ["b"], ["b", "ch"], ["b"], "pk", "want", F.lit(False), ["t"], 6).collect()
     for block in range(3):
         fits = []
