@@ -267,7 +267,18 @@ def pl_13(t):
     return linked.pairs
 
 
-@query("pl_30")
+def _profile_sql(column):
+    deciles = ", ".join(f"quantile_cont({column}, {i / 10})::DOUBLE AS p{i}0" for i in range(1, 10))
+    names = ["n", "valid", "missing", "min", "max", "mean", "sd", *[f"p{i}0" for i in range(1, 10)]]
+    return (f"SELECT variable, name AS statistic, round(value, 4) AS value FROM (UNPIVOT (SELECT '{column}' AS variable, count(*)::DOUBLE AS n, count({column})::DOUBLE AS valid, (count(*) - count({column}))::DOUBLE AS missing, "
+            f"min({column})::DOUBLE AS min, max({column})::DOUBLE AS max, avg({column}) AS mean, stddev_samp({column}) AS sd, {deciles} FROM orders) ON {', '.join(names)} INTO NAME name VALUE value)")
+
+
+_TEXT_SQL = """SELECT variable, name AS statistic, value FROM (UNPIVOT (SELECT 'o_orderpriority' AS variable, count(*)::DOUBLE AS n, count(o_orderpriority)::DOUBLE AS valid, count(DISTINCT o_orderpriority)::DOUBLE AS "distinct",
+  min(length(o_orderpriority))::DOUBLE AS min_length, max(length(o_orderpriority))::DOUBLE AS max_length FROM orders) ON n, valid, "distinct", min_length, max_length INTO NAME name VALUE value)"""
+
+
+@query("pl_30", f"{_profile_sql('o_totalprice')} UNION ALL {_profile_sql('o_custkey')} UNION ALL {_TEXT_SQL}")
 def pl_30(t):
     """Profile of a table: one row per numeric column and statistic."""
     parts = []
@@ -278,4 +289,4 @@ def pl_30(t):
     text = profile.text_profile(t.orders.select("o_orderpriority"), "o_orderpriority")
     names = [c for c in text.columns if c != "variable"]
     parts.append(text.select("variable", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["variable"], names, "statistic", "value"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("value", F.round("value", 4))
