@@ -34,9 +34,11 @@ def school_wide(t):
     return counts.groupBy("school", "level").pivot("variable", _SCHOOL_COLS).agg(F.first("n"))
 
 
-@query("pl_14", f"""WITH c AS (SELECT school, level, variable, unnest(range(1, n + 1)) AS i FROM (SELECT school, level, variable, count(*) AS n FROM {_CODE_SQL} GROUP BY 1, 2, 3)),
-k AS (SELECT *, row_number() OVER (PARTITION BY school ORDER BY md5(concat_ws('|', school, variable, i)), concat_ws('|', school, variable, i)) AS srec_counter FROM c)
-SELECT 'S' || school || 'syr20092010c' || lpad(srec_counter::VARCHAR, length((SELECT max(srec_counter) FROM k)::VARCHAR)::INT, '0') AS srecid, CASE substr(variable, 1, 2) WHEN 'AM' THEN 1 WHEN 'AS' THEN 2 WHEN 'HI' THEN 3 WHEN 'BL' THEN 4 ELSE 5 END AS racecat5,
+_STUDENT_SQL = f"""c AS (SELECT school, level, variable, unnest(range(1, n + 1)) AS i FROM (SELECT school, level, variable, count(*) AS n FROM {_CODE_SQL} GROUP BY 1, 2, 3)),
+k AS (SELECT *, row_number() OVER (PARTITION BY school ORDER BY md5(concat_ws('|', school, variable, i)), concat_ws('|', school, variable, i)) AS srec_counter FROM c)"""
+
+
+@query("pl_14", f"""WITH {_STUDENT_SQL} SELECT 'S' || school || 'syr20092010c' || lpad(srec_counter::VARCHAR, length((SELECT max(srec_counter) FROM k)::VARCHAR)::INT, '0') AS srecid, CASE substr(variable, 1, 2) WHEN 'AM' THEN 1 WHEN 'AS' THEN 2 WHEN 'HI' THEN 3 WHEN 'BL' THEN 4 ELSE 5 END AS racecat5,
  CASE WHEN substr(variable, 5, 1) = 'F' THEN 2 ELSE 1 END AS sex, CASE WHEN substr(variable, 3, 2) IN ('PK', 'KG', 'UG') THEN substr(variable, 3, 2) ELSE 'G' || substr(variable, 3, 2) END AS gradelevel,
  CASE WHEN level = 1 THEN school END AS ncessch_1, CASE WHEN level = 3 THEN school END AS ncessch_3 FROM k""")
 def pl_14(t):
@@ -62,7 +64,17 @@ def _students_linked(t):
     return students, links.students_to_persons(Side(_pupils(t), "precid"), Side(slim, "srecid"), zones, grades, ("sex", "p_sex", "sex"), ("race", "p_race", "racecat5"), 133)
 
 
-@query("pl_15")
+_PUPIL_ROUNDS = [([zone, grade, *p], [s, "gradelevel", *b]) for grade in ("grade_1", "grade_2") for zone, s in (("zone_1", "s_1"), ("zone_3", "s_3"))
+                 for p, b in ((["p_sex", "p_race"], ["sex", "racecat5"]), (["p_sex"], ["sex"]), ([], []))]
+_PUPIL_CTES, _PUPIL_PAIRS = cascade_sql("pu", "precid", "su", "srecid", _PUPIL_ROUNDS, 133)
+_PUPILS_SQL = f"""{_STUDENT_SQL}, su AS MATERIALIZED (SELECT 'S' || school || 'syr20092010c' || lpad(srec_counter::VARCHAR, length((SELECT max(srec_counter) FROM k)::VARCHAR)::INT, '0') AS srecid, CASE substr(variable, 1, 2) WHEN 'AM' THEN 1 WHEN 'AS' THEN 2 WHEN 'HI' THEN 3 WHEN 'BL' THEN 4 ELSE 5 END AS racecat5,
+ CASE WHEN substr(variable, 5, 1) = 'F' THEN 2 ELSE 1 END AS sex, CASE WHEN substr(variable, 3, 2) IN ('PK', 'KG', 'UG') THEN substr(variable, 3, 2) ELSE 'G' || substr(variable, 3, 2) END AS gradelevel,
+ CASE WHEN level IN (1, 2) THEN school END AS s_1, CASE WHEN level IN (3, 4) THEN school END AS s_3 FROM k),
+pu AS MATERIALIZED (SELECT o_orderkey AS precid, o_custkey % n AS zone_1, o_orderkey % n AS zone_3, 'G' || lpad((o_orderkey % 12 + 1)::VARCHAR, 2, '0') AS grade_1, 'G' || lpad(((o_orderkey + 1) % 12 + 1)::VARCHAR, 2, '0') AS grade_2,
+ CASE WHEN o_orderstatus = 'O' THEN 2 ELSE 1 END AS p_sex, o_custkey % 5 + 1 AS p_race FROM orders, (SELECT max(s_suppkey) + 1 AS n FROM supplier))"""
+
+
+@query("pl_15", f"WITH {_PUPILS_SQL}, {_PUPIL_CTES} {_PUPIL_PAIRS}")
 def pl_15(t):
     return _students_linked(t)[1].pairs
 

@@ -75,7 +75,7 @@ def jn_08_modulo(t):
 
 @query("jn_08_cycles")
 def jn_08_cycles(t):
-    return merge_cascade(*_seekers(t), [Round("block", [TO_BLOCK]), Round("tract", [TO_TRACT])], SEED, reuse="cycles").pairs
+    return merge_cascade(*_seekers(t), [Round("block", [TO_BLOCK], "block"), Round("tract", [TO_TRACT], "tract")], SEED, reuse="cycles").pairs
 
 
 _FLAG_CTE, _FLAG_PAIRS = cascade_sql("prim2", "c_custkey", "secd", "o_orderkey", [(["block", "req"], ["s_block", "s_cls"])], SEED)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from popweave.catalog.q_merges import graft_base
 from popweave.catalog.q_tables import WIDE_SQL, wide_counts
 from popweave.catalog.registry import query
-from popweave.catalog.standins import band_sql, cascade_sql, case_sql, spot, u_sql
+from popweave.catalog.standins import band_sql, cascade_sql, spot, spot_sql, u_sql
 from popweave.functions import bands
 from popweave.functions.seeded import random_int
 from popweave.operators import profile, recode
@@ -73,7 +73,8 @@ def _with_income_groups(rows, units):
     income = households.join(fam.pairs.select("tid", F.lit(1).alias("t_family")), "tid", "left").fillna(0, ["t_family"])
     level = ("tract", "tract", "t_tract")
     who = ("who", inventory.by_ethnicity("hispan", "race"), inventory.by_ethnicity("t_hispan", "t_race"))
-    rounds = [Round("family", [level, who, ("f", "family", "t_family")]), Round("no family", [level, who]), Round("race", [level, ("r", "race", "t_race")]), Round("tract", [level])]
+    county = ("county", "1", "1")
+    rounds = inventory.trait_rounds([level, county], [("family", [who, ("f", "family", "t_family")]), ("no family", [who]), ("race", [("r", "race", "t_race")]), ("none", [])])
     slim = units.select("huid", "tract", "hispan", "race", "family")
     linked = merge_cascade(Side(slim, "huid"), Side(income, "tid"), rounds, 2564, reuse="cycles", max_rounds=20)
     return inventory.take_trait(units, "huid", linked, income, "tid", ["incomegroup"])
@@ -188,12 +189,38 @@ def _allocate(t):
     return units, points, allocation
 
 
-@query("pl_09")
+def _allocation_sql():
+    guess = lambda j: (["ublk", "{p}", "ten"], ["blk", "place", f"g{j}"])
+    update = """(CASE WHEN r > 2 THEN 2 WHEN r > 1 AND r < 2 THEN 1 WHEN r < 1 THEN -777 ELSE r END)::INT"""
+    parts, ctes, held = [], [], "held0"
+    people = "people"
+    for place in (1, 2, 3):
+        rounds = [([k.replace("{p}", str(place)) for k in a], b) for a, b in (guess(1), guess(2), guess(3))]
+        text, pairs = cascade_sql(people, "c_custkey", held, "addrptid", rounds, 42, prefix=f"c{place}", first=3 * place - 2)
+        parts.append(pairs)
+        ctes += [text, f"""done{place} AS ({' UNION ALL '.join(parts)})""",
+                 f"""mean{place} AS (SELECT strctid, avg(own) AS m FROM done{place} JOIN ad2 USING (addrptid) JOIN un USING (c_custkey) GROUP BY 1)""",
+                 f"""held{place} AS MATERIALIZED (SELECT addrptid, strctid, place, blk, bg, {update} AS g1, g2, g3 FROM (SELECT h.*, CASE WHEN g1 = 1 AND m IS NOT NULL AND m <> g1 THEN m ELSE g1 END AS r FROM c{place}s3 h LEFT JOIN mean{place} USING (strctid)))"""]
+        people, held = f"c{place}p3", f"held{place}"
+    rounds = [(["ublk", "ten"], ["blk", "g1"]), (["ublk"], ["blk"]), (["ubg", "ten"], ["bg", "g1"]), (["ubg"], ["bg"])]
+    text, pairs = cascade_sql(people, "c_custkey", held, "addrptid", rounds, 42, prefix="c4", first=10)
+    body = ", ".join([*ctes, text])
+    return f"""{_ADDR_SQL}, ad2 AS MATERIALIZED (SELECT strctid || 'AP' || lpad(apcounter::VARCHAR, 6, '0') AS addrptid, strctid, p_partkey, block, apcounter + 1 AS place, huestimate FROM ad),
+un AS (SELECT c_custkey, c_nationkey AS ublock, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 2 + 1)::INT END AS own FROM customer), people AS (SELECT c_custkey, coalesce(own, 0) AS ten, ublock AS ublk, ublock // 5 AS ubg FROM un),
+held0 AS (SELECT addrptid, strctid, place, block AS blk, block // 5 AS bg, CASE WHEN huestimate IN (1, 2) THEN 1 ELSE -777 END AS g1, CASE WHEN huestimate > 2 THEN 2 ELSE -777 END AS g2, CASE WHEN huestimate > 0 THEN 2 ELSE -777 END AS g3 FROM ad2),
+{body}, alloc AS ({' UNION ALL '.join([*parts, pairs])})"""
+
+
+_ALLOC_SQL = _allocation_sql()
+
+
+@query("pl_09", f"WITH {_ALLOC_SQL} SELECT * FROM alloc")
 def pl_09(t):
     return _allocate(t)[2]
 
 
-@query("pl_10")
+@query("pl_10", f"""WITH {_ALLOC_SQL} SELECT u.c_custkey, u.ublock, u.own AS ownershp, a.addrptid, a.match_round, ad2.strctid, coalesce(ad2.p_partkey::VARCHAR, 'missing building id') AS p_partkey,
+  p_type AS archetype, {spot_sql('part.p_partkey', 13)} AS x, {spot_sql('part.p_partkey', 29)} AS y FROM un u LEFT JOIN alloc a ON u.c_custkey = a.c_custkey LEFT JOIN ad2 ON a.addrptid = ad2.addrptid LEFT JOIN part ON ad2.p_partkey = part.p_partkey""")
 def pl_10(t):
     units, points, allocation = _allocate(t)
     buildings = t.part.select(F.col("p_partkey"), F.col("p_type").alias("archetype"), spot(F.col("p_partkey"), 13).alias("x"), spot(F.col("p_partkey"), 29).alias("y"))
@@ -240,7 +267,24 @@ def pl_12(t):
     return inventory.adjust_large_units(units, persons, "block").select("o_orderkey", "numprec")
 
 
-@query("pl_13")
+_PLACE_ROUNDS = [(["p_block", *p], ["block", *b]) for p, b in [
+    (["p_h17", "p_sex", "p_race", "p_hispan"], ["h17", "sex", "race", "hispan"]), (["p_sex", "p_p43"], ["sex", "age_gq"]), (["p_race", "p_hispan", "p_child"], ["race", "hispan", "child"]),
+    (["p_child"], ["child"]), (["p_race", "p_hispan", "p_h17"], ["race", "hispan", "h17"]), (["p_h18", "p_sex", "p_race", "p_hispan"], ["h18", "sex", "race", "hispan"]), ([], [])]]
+_PLACE_CTES, _PLACE_PAIRS = cascade_sql("pe", "precid", "sp", "place_id", _PLACE_ROUNDS, 133)
+
+
+@query("pl_13", f"""WITH o AS MATERIALIZED (SELECT o_orderkey, c_nationkey AS block, (o_custkey % 8)::BIGINT AS numprec, CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS gqtype, o_custkey % 4 AS race, o_custkey % 2 AS hispan, o_orderkey % 3 AS s,
+  o_orderkey % 2 AS family, o_orderkey % 9 + 1 AS h17, o_orderkey % 3 + 1 AS h18 FROM orders JOIN customer ON o_custkey = c_custkey),
+pe0 AS (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS precid, block AS p_block, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS p_sex, l_suppkey % 4 AS p_race, l_partkey % 2 AS p_hispan, l_partkey % 101 AS age FROM lineitem JOIN o ON l_orderkey = o_orderkey),
+pe AS MATERIALIZED (SELECT *, {band_sql('age', bands.AGE_H17, '0')} AS p_h17, {band_sql('age', bands.AGE_H18, '0')} AS p_h18, {band_sql('age', bands.AGE_P43, '0')} AS p_p43, CASE WHEN age < 18 THEN 1 ELSE 0 END AS p_child FROM pe0),
+pn AS (SELECT p_block AS block, count(*) AS persons FROM pe GROUP BY 1),
+g AS (SELECT o.block, floor((max(persons) - sum(numprec)) / count(*) FILTER (numprec = 7 AND gqtype = 0)::DOUBLE)::BIGINT AS add FROM o JOIN pn ON o.block = pn.block GROUP BY 1 HAVING count(*) FILTER (numprec = 7 AND gqtype = 0) > 0),
+sz AS (SELECT o.* EXCLUDE (numprec), CASE WHEN numprec = 7 AND gqtype = 0 THEN greatest(7 + coalesce(add, 0), 7) ELSE numprec END AS numprec FROM o LEFT JOIN g ON o.block = g.block),
+op AS (SELECT *, unnest(range(1, numprec + 1)) AS pernum FROM sz),
+rl AS (SELECT *, CASE WHEN s = 0 THEN -999 ELSE s END AS sx, family = 1 AND gqtype = 0 AND ((s = 0 AND pernum > 2) OR (s <> 0 AND pernum > 1)) AS ch FROM op),
+sp AS MATERIALIZED (SELECT o_orderkey || 'P' || pernum AS place_id, block, race, hispan, CASE WHEN ch THEN -999 ELSE sx END AS sex, CASE WHEN ch THEN 1 ELSE -999 END AS child,
+  CASE WHEN ch OR (gqtype = 0 AND pernum > 2) THEN -999 ELSE h17 END AS h17, CASE WHEN ch OR (gqtype = 0 AND pernum > 2) THEN -999 ELSE rl.h18 END AS h18, CASE WHEN gqtype > 0 THEN rl.h18 END AS age_gq FROM rl),
+{_PLACE_CTES} {_PLACE_PAIRS}""")
 def pl_13(t):
     """Order lines as persons, orders as housing units; both sit in the block of their customer."""
     homes = t.customer.select("c_custkey", F.col("c_nationkey").alias("block"))

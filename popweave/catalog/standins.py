@@ -62,7 +62,7 @@ def money(c) -> Column:
 
 
 def cascade_sql(p_cte: str, p_pk: str, s_cte: str, s_pk: str, rounds: list, seed: int, p_sort: str = "", s_sort: str = "",
-                prefix: str = "") -> tuple[str, str]:
+                prefix: str = "", first: int = 1) -> tuple[str, str]:
     """SQL of a merge cascade with plain windows: (CTE text, union of pairs).
 
     ``rounds`` lists (primary key expressions, secondary key expressions).
@@ -75,9 +75,9 @@ def cascade_sql(p_cte: str, p_pk: str, s_cte: str, s_pk: str, rounds: list, seed
             part = ("PARTITION BY " + ", ".join(exprs)) if exprs else ""
             ready = " AND ".join(f"({e}) IS NOT NULL" for e in exprs) or "true"
             return (f"(SELECT {key}{cols}, row_number() OVER ({part} ORDER BY {sort + ', ' if sort else ''}"
-                    f"md5(concat_ws('|', {key}, {seed + i})), {key}) AS rk FROM {src} WHERE {ready})")
+                    f"md5(concat_ws('|', {key}, {seed + first - 1 + i})), {key}) AS rk FROM {src} WHERE {ready})")
         on = " AND ".join([f"a.g{j} = b.g{j}" for j in range(len(pk))] + ["a.rk = b.rk"])
-        ctes.append(f"{x}m{i} AS MATERIALIZED (SELECT {p_pk}, {s_pk}, {i} AS match_round FROM {ranked(p_now, p_pk, pk, p_sort)} a JOIN {ranked(s_now, s_pk, sk, s_sort)} b ON {on})")
+        ctes.append(f"{x}m{i} AS MATERIALIZED (SELECT {p_pk}, {s_pk}, {first - 1 + i} AS match_round FROM {ranked(p_now, p_pk, pk, p_sort)} a JOIN {ranked(s_now, s_pk, sk, s_sort)} b ON {on})")
         ctes.append(f"{x}p{i} AS MATERIALIZED (SELECT * FROM {p_now} WHERE {p_pk} NOT IN (SELECT {p_pk} FROM {x}m{i}))")
         ctes.append(f"{x}s{i} AS MATERIALIZED (SELECT * FROM {s_now} WHERE {s_pk} NOT IN (SELECT {s_pk} FROM {x}m{i}))")
         pairs.append(f"SELECT * FROM {x}m{i}")

@@ -30,10 +30,12 @@ class Side:
 class Round:
     """Group keys of one pass.  A key is a column name found on both sides or a
     (name, primary, secondary) triple of SQL texts or Columns; a null key makes
-    a row wait for a later pass."""
+    a row wait for a later pass.  Passes with the same ``level`` belong together:
+    when the secondary rows run out, the rest of the level is skipped."""
 
     name: str
     keys: list
+    level: str = ""
 
 
 def _keys(rnd: Round, side: int) -> dict[str, Column]:
@@ -82,9 +84,10 @@ def merge_cascade(primary: Side, secondary: Side, rounds: list[Round], seed: int
     Each round is written once; its unpaired rows feed the next round, so the
     plan stays short and a lost executor repeats one round at most.
 
-    ``reuse='cycles'`` starts again with the whole secondary table while rows
-    are left and pairs are found; ``reuse='modulo'`` gives every row left after
-    the last round a secondary row of its last group, as many times as needed.
+    ``reuse='cycles'``: when all secondary rows are used they become free
+    again, the next level follows, and the whole cascade is repeated.
+    ``reuse='modulo'`` gives every row left after the last round a secondary row
+    of its last group, as many times as needed.
     """
     p_cols, s_cols = primary.df.columns, secondary.df.columns
     shared = set(p_cols) & set(s_cols)
@@ -94,10 +97,13 @@ def merge_cascade(primary: Side, secondary: Side, rounds: list[Round], seed: int
     everything = s
     watch = stop_early or reuse == "cycles"
     pairs: list[DataFrame] = []
-    number, going = first_round - 1, True
-    while going:
-        found, going = False, False
+    number, again, finished = first_round - 1, True, False
+    while again and not finished:
+        again, skipped = False, None
         for rnd in rounds:
+            if finished or (skipped is not None and rnd.level == skipped):
+                continue
+            skipped = None
             number += 1
             state = cut(merge_round(Side(p, primary.pk, primary.sort), Side(s, secondary.pk, secondary.sort), rnd,
                                     seed + number), "round")
@@ -105,11 +111,11 @@ def merge_cascade(primary: Side, secondary: Side, rounds: list[Round], seed: int
             pairs.append(both.select(primary.pk, secondary.pk, F.lit(number).alias("match_round")))
             p = state.filter(F.col(secondary.pk).isNull()).select(*p_cols)
             s = state.filter(F.col(primary.pk).isNull()).select(*s_cols)
-            found = found or (reuse == "cycles" and not both.isEmpty())
-            if number - first_round + 1 >= max_rounds or (watch and (p.isEmpty() or s.isEmpty())):
-                break
-        if reuse == "cycles" and found and number - first_round + 1 < max_rounds and not p.isEmpty():
-            s, going = everything, True
+            finished = number - first_round + 1 >= max_rounds or (watch and p.isEmpty())
+            if watch and not finished and s.isEmpty():
+                skipped = rnd.level
+                if reuse == "cycles":
+                    s, again = everything, True
     if reuse == "modulo":
         number += 1
         wrapped = cut(_wrap_around(Side(p, primary.pk, primary.sort), Side(everything, secondary.pk, secondary.sort), rounds[-1], seed + number, number), "wrap")

@@ -67,7 +67,7 @@ def by_ethnicity(hispanic: str, race: str) -> Column:
 
 def trait_rounds(levels: list[tuple], options: list[tuple[str, list]]) -> list[Round]:
     """Rounds for every geography level and, inside it, every option."""
-    return [Round(f"{level[0]} {name}", [level, *keys]) for level in levels for name, keys in options]
+    return [Round(f"{level[0]} {name}", [level, *keys], level[0]) for level in levels for name, keys in options]
 
 
 def take_trait(primary: DataFrame, pk: str, result: CascadeResult, secondary: DataFrame, spk: str, traits: list[str],
