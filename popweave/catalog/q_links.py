@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from popweave.catalog.q_spatial import CUST_SQL, DIST, SUPP_SQL, customer_points, supplier_points
 from popweave.catalog.registry import query
-from popweave.catalog.standins import SLOTS_SQL, UNITS_SQL, cascade_sql, slots, spot, units
+from popweave.catalog.standins import SLOTS_SQL, UNITS_SQL, cascade_sql, slots, spot, spot_sql, units
 from popweave.functions import bands
 from popweave.functions.schools import count_columns
 from popweave.operators import recode
@@ -142,15 +142,25 @@ def pl_17(t):
     return _establishments_linked(t)[1].pairs
 
 
-@query("pl_18")
+_J_CTES, _J_PAIRS = cascade_sql("pe", "precid", "jb", "jobid", _JOB_ROUNDS, 133, prefix="j")
+_E_CTES, _E_PAIRS = cascade_sql("jj", "jobid", "ej", "jestabid", [(["j_block", "industry"], ["e_block", "e_industry"]), (["j_tract", "industry"], ["e_tract", "e_industry"])], 133, s_sort="size", prefix="e")
+_U_CTES, _U_PAIRS = cascade_sql("pu", "precid", "su", "srecid", _PUPIL_ROUNDS, 133, prefix="u")
+
+
+@query("pl_18", f"""WITH {_EST_JOBS_SQL}, {_PUPILS_SQL}, {_J_CTES}, {_E_CTES}, {_U_CTES}, jp AS ({_J_PAIRS}), ep AS ({_E_PAIRS}), up AS ({_U_PAIRS}),
+ho AS (SELECT o_orderkey AS precid, block, {spot_sql('o_orderkey', 71)} + 1 AS hx, {spot_sql('o_orderkey', 89)} + 1 AS hy FROM orders JOIN units ON o_custkey = c_custkey),
+sc AS (SELECT precid, coalesce(s_1, s_3) AS school, {spot_sql('coalesce(s_1, s_3)', 31)} + 1 AS sx, {spot_sql('coalesce(s_1, s_3)', 43)} + 1 AS sy FROM up JOIN su USING (srecid)),
+wk AS (SELECT precid, jp.jobid, estab, {spot_sql('estab', 13)} + 1 AS wx, {spot_sql('estab', 29)} + 1 AS wy FROM jp LEFT JOIN ep USING (jobid) LEFT JOIN (SELECT 'J' || estab || 'c' || c AS jestabid, estab FROM ee) x USING (jestabid))
+SELECT ho.precid, block, school, jobid, estab, 'LINESTRING ( ' || hx || ' ' || hy || ', ' || sx || ' ' || sy || ')' AS home_school_line, 'LINESTRING ( ' || hx || ' ' || hy || ', ' || wx || ' ' || wy || ')' AS home_work_line
+FROM ho LEFT JOIN sc ON ho.precid = sc.precid LEFT JOIN wk ON ho.precid = wk.precid""")
 def pl_18(t):
     _, worked = _jobs_linked(t)
     places, hired = _establishments_linked(t)
     students, learned = _students_linked(t)
     persons = t.orders.join(units(t), F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("precid"), F.col("block").alias("block"), spot(F.col("o_orderkey"), 71).alias("hx"), spot(F.col("o_orderkey"), 89).alias("hy"))
-    school = learned.pairs.join(students.select("srecid", "school"), "srecid").select("precid", "school", spot(F.col("school"), 31).alias("sx"), spot(F.col("school"), 43).alias("sy"))
-    estab = hired.pairs.join(places.select("jestabid", "estab"), "jestabid").select("jobid", "estab", spot(F.col("estab"), 13).alias("wx"), spot(F.col("estab"), 29).alias("wy"))
+        F.col("o_orderkey").alias("precid"), F.col("block").alias("block"), (spot(F.col("o_orderkey"), 71) + 1).alias("hx"), (spot(F.col("o_orderkey"), 89) + 1).alias("hy"))
+    school = learned.pairs.join(students.select("srecid", "school"), "srecid").select("precid", "school", (spot(F.col("school"), 31) + 1).alias("sx"), (spot(F.col("school"), 43) + 1).alias("sy"))
+    estab = hired.pairs.join(places.select("jestabid", "estab"), "jestabid").select("jobid", "estab", (spot(F.col("estab"), 13) + 1).alias("wx"), (spot(F.col("estab"), 29) + 1).alias("wy"))
     jobs = worked.pairs.select("precid", "jobid").withColumn("block", F.lit(None).cast("int"))
     return links.person_school_job(persons, school, jobs, estab, "precid", "jobid").select("precid", "block", "school", "jobid", "estab", "home_school_line", "home_work_line")
 
