@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from popweave.catalog.registry import query
-from popweave.catalog.standins import band_sql, case_sql, money, spot, spot_sql, u_sql
+from popweave.catalog.standins import band_sql, case_sql, spot, spot_sql, u_sql
 from popweave.functions import bands, geo, ids, label_text, schools
 from popweave.functions.labels import count_percent_text
 from popweave.functions.seeded import random_int

@@ -6,22 +6,22 @@ from pyspark.sql import functions as F
 
 from popweave.catalog.registry import query
 from popweave.catalog.standins import money
-from popweave.operators import joins, ranks
-from popweave.operators.hot import null_safe
+from popweave.operators import joins
+from popweave.operators.hot import lookup
 
 
 @query("jn_01", """
 SELECT o_orderkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""")
 def jn_01(t):
     c = t.customer.filter("c_acctbal > 0").select("c_custkey", "c_name")
-    return t.orders.select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name")
+    return lookup(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", c, "c_custkey", "left").select("o_orderkey", "c_name")
 
 
 @query("jn_02", """
 SELECT l_orderkey, l_linenumber, o_orderstatus, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def jn_02(t):
     o = t.orders.select("o_orderkey", "o_orderstatus")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag").join(o, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    return lookup(t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag"), "l_orderkey", o, "o_orderkey")
 
 
 @query("jn_03", """
@@ -81,8 +81,8 @@ def jn_14(t):
 SELECT l_orderkey, l_linenumber, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def jn_15(t):
     p = t.part.select("p_partkey", "p_brand", "p_type")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").join(p, F.col("l_partkey") == F.col("p_partkey")).select(
-        "l_orderkey", "l_linenumber", "p_brand", "p_type")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    return lookup(rows, "l_partkey", p, "p_partkey").select("l_orderkey", "l_linenumber", "p_brand", "p_type")
 
 
 @query("jn_17", """
@@ -127,15 +127,16 @@ def jn_22(t):
     home = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("home_nation"))
     work = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("work_nation"))
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey")
-    return (rows.join(work, F.col("l_suppkey") == F.col("s_suppkey"), "left").join(home, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-            .select("l_orderkey", "l_linenumber", "work_nation", "home_nation"))
+    both = lookup(lookup(rows, "l_suppkey", work, "s_suppkey", "left"), "l_orderkey", home, "o_orderkey", "left")
+    return both.select("l_orderkey", "l_linenumber", "work_nation", "home_nation")
 
 
 @query("jn_24", """
 SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25""")
 def jn_24(t):
     pole = t.part.filter("p_size > 25").select("p_partkey", "p_name")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").join(pole, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_name")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    return lookup(rows, "l_partkey", pole, "p_partkey").select("l_orderkey", "l_linenumber", "p_name")
 
 
 # --- set operations ---------------------------------------------------------

@@ -9,7 +9,6 @@ from popweave.catalog.registry import query
 from popweave.catalog.standins import SLOTS_SQL, UNITS_SQL, cascade_sql, slots, spot, spot_sql, units
 from popweave.functions import bands
 from popweave.functions.schools import count_columns
-from popweave.operators import recode
 from popweave.operators.random_merge import Round, Side, random_merge
 from popweave.operators.reshape import expand_rows
 from popweave.plans import ensemble, links

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from popweave.catalog.registry import query
-from popweave.catalog.standins import SLOTS_SQL, money, slots, u_sql
+from popweave.catalog.standins import SLOTS_SQL, slots, u_sql
 from popweave.operators import profile, ranks, select
 from popweave.operators.groups import with_group_stats
 from popweave.session import cut

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from popweave.catalog.registry import query
 from popweave.catalog.standins import money
 from popweave.operators import checks, profile, reshape, tabulate
-from popweave.operators.groups import exact_quantiles, group_count, group_sum, selection_probability, with_group_stats
+from popweave.operators.groups import exact_quantiles, group_count, group_sum, selection_probability
 from popweave.operators.joins import add_tables, subtract_tables
 from popweave.session import constant_table
 

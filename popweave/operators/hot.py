@@ -44,13 +44,19 @@ def with_pieces(df: DataFrame, keys: list[str]) -> DataFrame:
     return joined.drop(*[f"_r_{k}" for k in keys])
 
 
+def lookup(big: DataFrame, key: str, small: DataFrame, small_key: str, how: str = "inner") -> DataFrame:
+    """``spread_join`` on differently named keys; the key of ``big`` is kept."""
+    return spread_join(big, small.withColumnRenamed(small_key, key), [key], how)
+
+
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi join in which the rows of a hot key of ``big`` go to many tasks.
 
     Where either table is small as a whole, Spark's own choice is enough: no
     task can get more than that table.  Otherwise the rows of a hot key are
     dealt over its pieces and the matching rows of ``small`` are copied once per
-    piece; all other keys join as usual.
+    piece; all other keys join as usual.  ``big`` is read twice (its keys are
+    counted first), so hand over a stored table where it is costly to compute.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the big side must be the preserved side")

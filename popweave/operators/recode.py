@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from popweave.functions.bands import AGE_JOBS, band, earnings_group
 from popweave.functions.ids import zfill
+from popweave.operators.hot import spread_join
 
 
 def keep_listed(df: DataFrame, column: str, values: DataFrame, key: str) -> DataFrame:
     """Rows whose value is listed; the list is a DataFrame and may be long."""
-    return df.join(values.select(F.col(key).alias(column)), column, "left_semi")
+    return spread_join(df, values.select(F.col(key).alias(column)), [column], "left_semi")
 
 
 def keep_either(df: DataFrame, first: tuple[str, DataFrame], second: tuple[str, DataFrame]) -> DataFrame:
@@ -22,7 +23,7 @@ def keep_either(df: DataFrame, first: tuple[str, DataFrame], second: tuple[str,
     out = df
     for i, (column, values) in enumerate((first, second), 1):
         listed = values.distinct().toDF(column).withColumn(f"match_{i}", F.lit(1))
-        out = out.join(listed, column, "left").fillna(0, [f"match_{i}"])
+        out = spread_join(out, listed, [column], "left").fillna(0, [f"match_{i}"])
     return out.filter((F.col("match_1") == 1) | (F.col("match_2") == 1))
 
 

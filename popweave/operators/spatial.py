@@ -83,7 +83,7 @@ def nearest(a: DataFrame, a_pk: str, b: DataFrame, b_pk: str, k: int = 1, cutoff
                  .withColumn("_cx", F.floor(x / radius).cast("long") + F.col("_dx"))
                  .withColumn("_cy", F.floor(y / radius).cast("long") + F.col("_dy")).drop("_dx", "_dy"))
         cells = targets.withColumn("_cx", F.floor(bx / radius).cast("long")).withColumn("_cy", F.floor(by / radius).cast("long"))
-        near = probe.join(cells, [*within, "_cx", "_cy"]).withColumn("distance", plane_distance(x, y, bx, by))
+        near = spread_join(probe, cells, [*within, "_cx", "_cy"]).withColumn("distance", plane_distance(x, y, bx, by))
         near = near.filter(F.col("distance") <= radius).select(a_pk, b_pk, "distance")
         ranked = top_k(near, [a_pk], [F.col("distance"), F.col(b_pk)], k, "neighbor")
         if radius >= limit:

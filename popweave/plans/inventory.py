@@ -5,17 +5,16 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popweave.functions import bands
 from popweave.functions.seeded import random_int
 from popweave.operators.hot import spread_join
-from popweave.operators.joins import add_tables
 from popweave.operators.random_merge import CascadeResult, Round, Side, merge_cascade
-from popweave.operators.ranks import synthetic_key, value_rank
+from popweave.operators.ranks import synthetic_key
 from popweave.operators.recode import fill_rules
 from popweave.operators.reshape import expand_rows, unpivot_stem
-from popweave.session import cut
 
 
 def characteristic_rows(wide: DataFrame, ids: list[str], stem: str, catalogue: DataFrame, count: str) -> DataFrame:
@@ -32,7 +31,6 @@ def base_inventory(groups: list[DataFrame], block: str, count: str, letter: str,
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), groups)
     # Number units from the sizes of the count cells: the cells of a block are
     # bounded by the catalogue, so their running total is a small window.
-    from pyspark.sql import Window as W
     traits = [c for c in rows.columns if c not in (block, count)]
     merged = rows.groupBy(block, *traits).agg(F.sum(count).alias(count))
     before = W.partitionBy(block).orderBy(*[F.col(c).asc_nulls_first() for c in traits]).rowsBetween(W.unboundedPreceding, -1)

@@ -60,8 +60,9 @@ def append_out_of_state(residence: DataFrame, pairs: DataFrame, work_state: Colu
     """Residence rows of home blocks that lie in another state than the work
     block, appended once per block and row."""
     wanted = pairs.filter(work_state != home_state).select(home).distinct()
-    extra = outside.join(wanted, home, "left_semi").dropDuplicates()
-    return residence.unionByName(extra.join(residence.select(home).distinct(), home, "left_anti"), allowMissingColumns=True)
+    extra = spread_join(outside, wanted, [home], "left_semi")
+    extra = spread_join(extra, residence.select(home).distinct(), [home], "left_anti").dropDuplicates()
+    return residence.unionByName(extra, allowMissingColumns=True)
 
 
 def three_way_match(od: DataFrame, wac: DataFrame, rac: DataFrame, traits: list[str], state: dict) -> DataFrame:
@@ -73,11 +74,11 @@ def three_way_match(od: DataFrame, wac: DataFrame, rac: DataFrame, traits: list[
     joins see each pair once.
     """
     pair = ["w_geocode", "h_geocode", "jobidod"]
-    counters = od.groupBy(*pair).agg(F.max("jobidod_counter").alias("_jobs"), *[F.first(c).alias(c) for c in ("jobtype", "year")])
+    counters = cut(od.groupBy(*pair).agg(F.max("jobidod_counter").alias("_jobs"), *[F.first(c).alias(c) for c in ("jobtype", "year")]), "pairs")
     work = wac.select("w_geocode", "jobidod", "jobidac", "jobidac_counter", "year", *traits)
     home = rac.select("h_geocode", "jobidod", "jobidac", "jobidac_counter", "year", *traits)
-    at_work = spread_join(counters.drop("year"), work, ["w_geocode", "jobidod"])
-    matched = at_work.join(home, ["h_geocode", "jobidod", "jobidac", "jobidac_counter", "year", *traits])
+    at_work = cut(spread_join(counters.drop("year"), work, ["w_geocode", "jobidod"]), "at_work")
+    matched = cut(spread_join(at_work, home, ["h_geocode", "jobidod", "jobidac", "jobidac_counter", "year", *traits]), "matched")
     away = F.expr(state["work"]) != F.expr(state["home"])
     alone = counters.filter(away).join(matched.select(*pair).distinct(), pair, "left_anti")
     both = matched.unionByName(alone, allowMissingColumns=True)
@@ -151,7 +152,7 @@ def select_jobs_by_agreement(candidates: DataFrame, margins: dict[str, DataFrame
                 for i, m in enumerate((first, second))]
         agreed = cut(runs[0].join(runs[1].select(pk), pk, "left_semi"), "agreed")
         winners = agreed.groupBy(*choice).agg(F.min(pk).alias("_winner"))
-        joined = pool.join(winners, choice, "left")
+        joined = spread_join(pool, winners, choice, "left")
         keep = F.col("_winner").isNull() | (F.col(pk) == F.col("_winner"))
         pool = cut(joined.filter(keep).withColumn("_sure", F.col("_sure") | F.col("_winner").isNotNull()).drop("_winner"), "pool")
     both = reduce(DataFrame.unionByName, [first, second]).groupBy(*block, "trait", "code").agg(F.max("n").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popweave.functions.ids import zfill
@@ -100,7 +100,7 @@ def allocate_units(units: Side, points: DataFrame, point_pk: str, structure: str
             units.df.select(units.pk, F.col(tenure).alias("_t")), units.pk)
         mean = placed.groupBy(structure).agg(F.avg("_t").alias("_mean"))
         people = result.primary_left
-        held = result.secondary_left.join(mean, structure, "left")
+        held = spread_join(result.secondary_left, mean, [structure], "left")
         held = held.withColumn("ownershp1", updated_tenure(F.col("ownershp1").cast("double"), F.col("_mean")).cast("int")).drop("_mean")
     rounds = [Round("block tenure", [at_block, guess(1)]), Round("block", [at_block]),
               Round("group tenure", [at_group, guess(1)]), Round("group", [at_group])]

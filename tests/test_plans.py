@@ -1,6 +1,5 @@
 """Invariants of the whole jobs that have no SQL."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF, rows

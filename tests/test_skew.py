@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from popweave.functions.seeded import order_key
-from popweave.operators.groups import selection_probability, with_group_stats
+from popweave.operators.groups import selection_probability
 from popweave.operators.hot import hot_groups, spread_join
 from popweave.operators.random_merge import Round, Side, merge_cascade
 from popweave.operators.ranks import random_rank, value_rank
