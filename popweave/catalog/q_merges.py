@@ -161,7 +161,7 @@ def entry_units_to_slots(t):
         F.count(F.when(flag == f, 1)).alias(f"H016{c}") for f, c in (("A", "003"), ("N", "004"), ("R", "005"))])
     cells = reshape.unpivot_stem(wide, ["block"], "H016", "code", "n")
     opened = reshape.expand_rows(cells, "n", "copy").withColumn("pk", F.concat_ws("-", F.col("block").cast("string"), "code", F.col("copy").cast("string")))
-    counted = random_rank(opened.drop("copy"), ["block"], "pk", out="counter")
+    counted = random_rank(cut(opened.drop("copy")), ["block"], "pk", out="counter")
     largest = cells.groupBy("block").agg(F.sum("n").alias("n")).agg(F.max("n")).scalar()
     hui = synthetic_key(counted, "counter", F.col("block"), "H", "huid", largest).select("huid", "block", "code")
     slot = t.lineitem.filter("l_quantity > 25").select(F.col("l_suppkey").alias("s_block"), F.concat_ws(

@@ -172,7 +172,7 @@ def jobs_from_margins(wide: DataFrame, block: str, total: str, stems: dict[str,
         values = wide.unpivot([block], stem_columns(wide, stem), "_code", "_n").filter("_n > 0")
         values = values.withColumn(name, F.regexp_replace("_code", f"^{stem}", "").cast("int")).drop("_code")
         opened = expand_rows(values, "_n", "_copy")
-        ranked = random_rank(opened, [block], [block, name, "_copy"], seed + i, out="job").select(block, "job", name)
+        ranked = random_rank(cut(opened, "values"), [block], [block, name, "_copy"], seed + i, out="job").select(block, "job", name)
         jobs = jobs.join(ranked, [block, "job"], "left")
     return jobs
 

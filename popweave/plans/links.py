@@ -12,6 +12,7 @@ from popweave.operators.ranks import first_per_group, largest_group, random_rank
 from popweave.operators.recode import prefer_right
 from popweave.operators.reshape import expand_rows
 from popweave.operators.spatial import nearest
+from popweave.session import cut
 
 # Industries whose institution name is kept.
 INSTITUTION_INDUSTRIES = ("61", "62", "92")
@@ -27,7 +28,7 @@ def student_records(wide: DataFrame, school: str, level: str, columns: list[str]
     long = wide.unpivot([school, level], columns, "variable", "_n").filter("_n > 0")
     coded = long.withColumns(expand_code(F.col("variable")))
     opened = expand_rows(coded, "_n", "_copy").withColumn("_pk", F.concat_ws("|", school, "variable", F.col("_copy").cast("string")))
-    counted = random_rank(opened, [school], "_pk", out="srec_counter").drop("_pk", "_copy", "variable")
+    counted = random_rank(cut(opened, "students"), [school], "_pk", out="srec_counter").drop("_pk", "_copy", "variable")
     part = F.concat(F.lit("S"), F.col(school).cast("string"), F.lit("syr" + school_year))
     largest = long.groupBy(school).agg(F.sum("_n").alias("n")).agg(F.max("n")).scalar()
     keyed = synthetic_key(counted, "srec_counter", part, "c", "srecid", largest)

@@ -16,6 +16,7 @@ from popweave.operators.ranks import random_rank
 from popweave.operators.recode import address_flags, tenure_guesses, updated_tenure
 from popweave.operators.reshape import expand_rows
 from popweave.operators.spatial import point_in_polygon
+from popweave.session import cut
 
 
 def estimate_units(buildings: DataFrame, expected: DataFrame, block: str, area: str, first: str) -> DataFrame:
@@ -30,17 +31,17 @@ def estimate_units(buildings: DataFrame, expected: DataFrame, block: str, area:
 
     exp = expected.groupBy(block).agg(F.sum("expected").alias("expected"))
     r1 = spread_join(buildings, exp, [block], "left").withColumn("expected", F.coalesce("expected", F.lit(0)))
-    r1 = r1.withColumn("ap1", F.when(F.col("expected") == 0, 0).otherwise(F.col(first)))
+    r1 = cut(r1.withColumn("ap1", F.when(F.col("expected") == 0, 0).otherwise(F.col(first))), "round1")
     code = block_error_code(F.col("expected"), F.col("_sum"), F.col("_b"))
     b1 = block_table(r1, "ap1", "_sum").join(exp, block, "left").withColumn("expected", F.coalesce("expected", F.lit(0)))
     b1 = b1.select(block, code.alias("error1"), (F.col("expected") - F.col("_sum")).alias("_gap"))
     r2 = spread_join(r1, b1, [block]).withColumn("ap1", F.when(F.col("error1") == 5, 1).otherwise(F.col("ap1")))
-    r2 = r2.withColumn("_area", F.when(F.col("ap1") == 1, F.coalesce(F.col(area), F.lit(0)).cast("long")).otherwise(F.lit(0)))
+    r2 = cut(r2.withColumn("_area", F.when(F.col("ap1") == 1, F.coalesce(F.col(area), F.lit(0)).cast("long")).otherwise(F.lit(0))), "round2")
     sums = r2.groupBy(block).agg(F.sum("_area").alias("_area_sum"))
     r2 = spread_join(r2, sums, [block])
     added = F.bround(F.try_divide(F.col("_area").cast("double"), F.col("_area_sum").cast("double")) * F.col("_gap"), 0).cast("long")
-    r2 = r2.withColumn("ap2", F.when(F.col("error1").isin(2, 3, 9), F.col("ap1")).when(F.col("error1") == 1, 0)
-                       .otherwise(added + F.col("ap1")).cast("long"))
+    r2 = cut(r2.withColumn("ap2", F.when(F.col("error1").isin(2, 3, 9), F.col("ap1")).when(F.col("error1") == 1, 0)
+                           .otherwise(added + F.col("ap1")).cast("long")), "round2")
     b2 = r2.groupBy(block).agg(F.coalesce(F.sum("ap2"), F.lit(0)).alias("_sum"), F.count(F.lit(1)).alias("_b"), F.max("expected").alias("expected"))
     b2 = b2.select(block, code.alias("error2"))
     r3 = spread_join(r2.drop("_area", "_area_sum", "_gap"), b2, [block])
@@ -64,11 +65,12 @@ def address_points(buildings: DataFrame, blocks: DataFrame, building: str, block
     slots = slots.withColumn("_slot", F.concat_ws("|", F.col(building).cast("string"), F.col("_i").cast("string"))).drop("_i")
     census = expand_rows(blocks.select(block, expected), expected, "_c", keep_count=True)
     census = census.withColumn("_cslot", F.concat_ws("|", F.col(block).cast("string"), F.col("_c").cast("string"))).drop("_c")
-    paired = slot_join(slots, census, [block], "_slot", "_cslot")
+    # Each table is read several times by the ranks, so it is stored first.
+    paired = slot_join(cut(slots, "slots"), cut(census, "census"), [block], "_slot", "_cslot")
     structure = F.when(F.col(building).isNull(), F.concat(F.lit("C"), zfill(F.col(block), 36))).otherwise(
         F.concat(F.lit("ST"), zfill(F.col(building), 36)))
     paired = paired.withColumn("strctid", structure).withColumn("_pk", F.concat_ws("|", F.coalesce("_slot", F.lit("")), F.coalesce("_cslot", F.lit(""))))
-    counted = random_rank(paired, ["strctid"], "_pk", out="apcounter").withColumn("apcounter", F.col("apcounter") - 1)
+    counted = random_rank(cut(paired, "paired"), ["strctid"], "_pk", out="apcounter").withColumn("apcounter", F.col("apcounter") - 1)
     flags = address_flags(F.col(building), F.col(expected), F.col(block), F.col("apcounter"), F.col(units))
     counted = counted.withColumns(flags).withColumn("addrptid", F.concat("strctid", F.lit("AP"), zfill(F.col("apcounter"), 6)))
     return counted.drop("_slot", "_cslot", "_pk", "slot")
