@@ -30,13 +30,13 @@ def shared_root(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder; a cluster must
     name a folder that every executor can reach.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("popweave.local.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="popweave-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set("popweave.local.dir", folder)
     return folder
 
 
