@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.llm import decontaminate, language, licenses
+from popweave.llm import decontaminate, language, licenses, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     model = language.fit(docs, language.remainder("i", 4) != 2)
     return language.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", (language.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    trees = quality.fit(docs, table(spark, folder, "labels"), language.remainder("i", 3) != 1)
+    return quality.score(docs.select("doc_id", "text"), trees).select(
+        "doc_id", (language.remainder("doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once.
 SLICE_BYTES = 1 << 20
+#: Texts handled at once.
+SLICE_ROWS = 1 << 16
 #: Bytes whose word hashes are computed at once.
 HASH_BYTES = 1 << 20
 
@@ -82,11 +84,11 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray,
 
 
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes each; a longer text is a range of its own."""
+    """Row ranges of at most ``limit`` bytes and ``SLICE_ROWS`` rows each; a longer text is a range of its own."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
-        j = min(n, max(i + 1, j))
+        j = min(n, max(i + 1, j), i + SLICE_ROWS)
         yield i, j
         i = j
 
