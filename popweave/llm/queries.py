@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.llm import decontaminate, language, licenses, quality
+from popweave.llm import bpe, decontaminate, language, licenses, quality
+
+#: The rank file of the byte-level BPE queries.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +86,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), trees).select(
         "doc_id", (language.remainder("doc_id", 3) == 1).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.token_digests(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).withColumnRenamed("key", "doc_id")
