@@ -235,18 +235,20 @@ class Bpe:
 _loaded: dict = {}
 
 
-def _shared(broadcast) -> Bpe:
+def _shared(vocabulary: tuple) -> Bpe:
     """One encoder per process and rank file, so that tasks after the first find it ready."""
-    if broadcast.id not in _loaded:
+    key, content = vocabulary
+    if key not in _loaded:
         _loaded.clear()
-        _loaded[broadcast.id] = Bpe.parse(*broadcast.value)
-    return _loaded[broadcast.id]
+        _loaded[key] = Bpe.parse(*content.value)
+    return _loaded[key]
 
 
 def vocabulary(spark, path: str, pattern: str):
-    """The rank file and pattern as a broadcast (the file is a fixed vocabulary, under 1 MB)."""
+    """Digest and broadcast of rank file and pattern (the file is a fixed vocabulary, under 1 MB)."""
     with open(path, "rb") as f:
-        return spark.sparkContext.broadcast((f.read(), pattern))
+        content = (f.read(), pattern)
+    return hashlib.sha256(content[0] + pattern.encode()).hexdigest(), spark.sparkContext.broadcast(content)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:

@@ -80,10 +80,11 @@ _built: dict = {}
 
 def _shard(shards, k: int, window: int) -> Items:
     """An automaton of this process; only the last one is kept."""
-    key = (shards[k].id if hasattr(shards[k], "id") else id(shards[k]), window)
+    digest, content = shards[k]
+    key = (digest, window)
     if key not in _built:
         _built.clear()
-        _built[key] = Items(shards[k].value, window)
+        _built[key] = Items(content.value, window)
     return _built[key]
 
 
@@ -114,22 +115,26 @@ def scan(column: pa.Array, shards, window: int) -> Iterator[list[tuple]]:
 
 
 def item_shards(items: DataFrame, item_col: str, text_col: str) -> list:
-    """The test items as broadcast shards of at most ``SHARD_BYTES`` of text.
+    """The test items as broadcast shards (with their digests) of at most ``SHARD_BYTES`` of text.
 
     A benchmark is a hand-made collection; it is read shard by shard, so that neither the driver nor
     a task ever holds more than one shard and its automaton.  Items without words match nothing.
     """
     sc = items.sparkSession.sparkContext
     shards, part, size = [], [], 0
+
+    def close():
+        shards.append((hashlib.sha256(repr(part).encode()).hexdigest(), sc.broadcast(part)))
+
     for row in items.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where(
             F.col("t").isNotNull() & F.col("i").isNotNull()).orderBy("i").toLocalIterator():
         if part and size + len(row["t"]) > SHARD_BYTES:
-            shards.append(sc.broadcast(part))
+            close()
             part, size = [], 0
         part.append((row["i"], row["t"]))
         size += len(row["t"])
     if part:
-        shards.append(sc.broadcast(part))
+        close()
     return shards
 
 
@@ -173,7 +178,3 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, doc_col: str = "doc_i
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(batches, docs.schema)
-
-
-def items_digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
