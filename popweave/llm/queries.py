@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.llm import bpe, decontaminate, language, licenses, quality
+from popweave.llm import bpe, decontaminate, language, licenses, pii, quality
 
 #: The rank file of the byte-level BPE queries.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -91,3 +91,17 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_digests(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).withColumnRenamed("key", "doc_id")
+
+
+def _listed(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op3_pii")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = pii.find_spans(docs, pii.fit(docs))
+    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        F.col("key").alias("doc_id"), *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
