@@ -101,7 +101,7 @@ def _listed(spans: str) -> Column:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = pii.find_spans(docs, pii.fit(docs))
-    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select(
         F.col("key").alias("doc_id"), *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
