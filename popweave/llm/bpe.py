@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Pre-tokens up to this many bytes are remembered.
 REMEMBERED_BYTES = 64
 #: Remembered pre-tokens of a task; all are forgotten when there are more (they are only encoded again).
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 class RankQueue:
@@ -75,6 +75,14 @@ class Bpe:
         self.split = regex.compile(pattern).findall
         self.decimal = {i: str(i) for i in self.bytes_of}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.byte_ids = [ranks.get(bytes([b]), -1) for b in range(256)]
+        # the rank of each pair of ids that may merge
+        self.pairs = {ranks[w[:k]] << 17 | ranks[w[k:]]: rank for w, rank in ranks.items()
+                      for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks}
+        size = max(self.bytes_of, default=0) + 1
+        self.buckets = [0] * size
+        self.low = [0] * ((size >> 6) + 1)
+        self.middle = [0] * ((size >> 12) + 1)
 
     @classmethod
     def read(cls, path: str, pattern: str) -> Bpe:
@@ -93,35 +101,27 @@ class Bpe:
         return self._merge_short(piece) if len(piece) <= 64 else self._merge_long(piece)
 
     def _merge_short(self, piece: bytes) -> list[int]:
-        """``_merge_long`` for at most 64 bytes: a bucket is a bitmap of positions, and all calls are inlined."""
-        get, n = self.ranks.get, len(piece)
-        end = list(range(1, n + 1))
+        """``_merge_long`` for at most 64 bytes: a bucket is a bitmap of positions, and all calls are inlined.
+
+        The tables of buckets and bitmaps are those of the encoder; they are empty again at the end.
+        """
+        get, buckets, low, middle = self.pairs.get, self.buckets, self.low, self.middle
+        n = len(piece)
+        ids = [self.byte_ids[b] for b in piece]
+        after = list(range(1, n + 1))
         before = list(range(-1, n))
-        buckets: dict[int, int] = {}
-        low: dict[int, int] = {}
-        middle: dict[int, int] = {}
         top = 0
-        todo = [(get(piece[i:i + 2]), i) for i in range(n - 1)]
-        while True:
-            for rank, i in todo:
-                if rank is None:
-                    continue
-                if rank in buckets:
-                    buckets[rank] |= 1 << i
-                    continue
-                buckets[rank] = 1 << i
-                word, high = rank >> 6, rank >> 12
-                if word in low:
-                    low[word] |= 1 << (rank & 63)
-                else:
-                    low[word] = 1 << (rank & 63)
-                    if high in middle:
-                        middle[high] |= 1 << (word & 63)
-                    else:
-                        middle[high] = 1 << (word & 63)
-                        top |= 1 << high
-            if not top:
-                break
+        i, last = 0, ids[0]
+        for own in ids[1:]:
+            rank = get(last << 17 | own)
+            if rank is not None:
+                buckets[rank] |= 1 << i
+                low[rank >> 6] |= 1 << (rank & 63)
+                middle[rank >> 12] |= 1 << (rank >> 6 & 63)
+                top |= 1 << (rank >> 12)
+            last = own
+            i += 1
+        while top:
             high = (top & -top).bit_length() - 1
             bits = middle[high]
             word = high << 6 | (bits & -bits).bit_length() - 1
@@ -130,37 +130,37 @@ class Bpe:
             bucket = buckets[rank]
             i = (bucket & -bucket).bit_length() - 1
             bucket &= bucket - 1
-            if bucket:
-                buckets[rank] = bucket
-            else:
-                del buckets[rank]
+            buckets[rank] = bucket
+            if not bucket:
                 bits ^= 1 << (rank & 63)
-                if bits:
-                    low[word] = bits
-                else:
-                    del low[word]
-                    bits = middle[high] ^ 1 << (word & 63)
-                    if bits:
-                        middle[high] = bits
-                    else:
-                        del middle[high]
+                low[word] = bits
+                if not bits:
+                    middle[high] ^= 1 << (word & 63)
+                    if not middle[high]:
                         top ^= 1 << high
-            todo = []
-            e = end[i]
-            if not e or e >= n or get(piece[i:end[e]]) != rank:
+            e = after[i]
+            if e >= n or ids[i] < 0 or get(ids[i] << 17 | ids[e]) != rank:
                 continue  # stale
-            after = end[e]
-            end[i], end[e] = after, 0
-            if after < n:
-                before[after] = i
-                todo.append((get(piece[i:end[after]]), i))
+            ids[i] = rank
+            ids[e] = -1
+            e = after[i] = after[e]
+            if e < n:
+                before[e] = i
+                r = get(rank << 17 | ids[e])
+                if r is not None:
+                    buckets[r] |= 1 << i
+                    low[r >> 6] |= 1 << (r & 63)
+                    middle[r >> 12] |= 1 << (r >> 6 & 63)
+                    top |= 1 << (r >> 12)
             if i:
-                todo.append((get(piece[before[i]:after]), before[i]))
-        out, i = [], 0
-        while i < n:
-            out.append(get(piece[i:end[i]]))
-            i = end[i]
-        return out
+                b = before[i]
+                r = get(ids[b] << 17 | rank)
+                if r is not None:
+                    buckets[r] |= 1 << b
+                    low[r >> 6] |= 1 << (r & 63)
+                    middle[r >> 12] |= 1 << (r >> 6 & 63)
+                    top |= 1 << (r >> 12)
+        return [x for x in ids if x >= 0]
 
     def _merge_long(self, piece: bytes) -> list[int]:
         ranks, n = self.ranks, len(piece)
@@ -204,10 +204,6 @@ class Bpe:
         """The ids of each pre-token."""
         known = self.known
         parts = self.split(text)
-        try:
-            return [known[p] for p in parts]
-        except KeyError:
-            pass
         if len(known) > REMEMBERED:
             known.clear()
         out = []
