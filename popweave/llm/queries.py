@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.llm import bpe, chat, decontaminate, jaccard, language, licenses, pii, quality, topk
+from popweave.llm import bpe, chat, decontaminate, jaccard, language, licenses, lm_score, pii, quality, topk
 
 #: The rank file of the byte-level BPE queries.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -156,3 +156,9 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, s
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"), width=4, num=85, den=100)
+
+
+@query("op5_lm_scoring")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return lm_score.score(docs, *lm_score.fit(docs)).withColumnRenamed("key", "doc_id")
