@@ -14,11 +14,14 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from popweave.llm.text import buffers, slices
+
 #: Pre-tokens up to this many bytes are remembered.
 REMEMBERED_BYTES = 64
 #: Remembered pre-tokens of a task; all are forgotten when there are more (they are only encoded again).
@@ -283,32 +286,39 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", out:
     return docs.mapInArrow(batches, schema)
 
 
-def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+                  with_ids: bool = False) -> DataFrame:
     """Per document: key, n_tokens, ids_sha256 and decoded_sha256, encoded and decoded text by text.
 
-    Ids and bytes stay inside the task, so nothing but digests is written.
+    Without ``with_ids`` ids and bytes stay inside the task, and nothing but digests is written.  A null or
+    empty text has no ids; repeated documents give a row each; other columns play no part.
     """
     shared = vocabulary(docs.sparkSession, path, pattern)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _shared(shared)
         for batch in it:
-            n, ids_digest, bytes_digest = [], [], []
-            for text in batch.column(1):
-                ids = bpe.encode(text.as_py() or "")
-                n.append(len(ids))
-                ids_digest.append(bpe.digest(ids))
-                bytes_digest.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(bytes_digest, pa.string())],
-                names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part in small(batch, 1):
+                n, ids_digest, bytes_digest, all_ids = [], [], [], []
+                for text in part.column(1):
+                    ids = bpe.encode(text.as_py() or "")
+                    n.append(len(ids))
+                    ids_digest.append(bpe.digest(ids))
+                    bytes_digest.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                    if with_ids:
+                        all_ids.append(pa.array(ids, pa.int32()))
+                columns = {"key": part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_digest, pa.string()),
+                           "decoded_sha256": pa.array(bytes_digest, pa.string())}
+                if with_ids:
+                    ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                    columns["ids"] = pa.ListArray.from_arrays(ends, pa.concat_arrays([pa.array([], pa.int32()), *all_ids]))
+                yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).mapInArrow(
-        batches, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        batches, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def small(batch: pa.RecordBatch, at: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``limit`` bytes of text; a longer text is a part of its own."""
-    from popweave.llm.text import buffers, slices
     for lo, hi in slices(buffers(batch.column(at))[1], limit):
         yield batch.slice(lo, hi - lo)
