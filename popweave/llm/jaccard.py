@@ -4,8 +4,8 @@
    smallest document stands for.
 2. A set is cut by the order of its (hashed) shingles into so many parts that two sets which link differ in
    fewer places than there are parts: some part of both must be equal.  Classes that share a part are
-   similar; each goes to the group around the class with which it shares most parts.  Large groups are cut
-   into chunks of bounded size, each with the centre.
+   similar; each follows the class with which it shares most parts, to the centre of a family.  Large
+   families are cut into groups of bounded size, each with the centre.
 3. In a group the matrix of tokens and members gives all overlaps exactly; links become components.
 4. For parts that still stand in several components, each class is a query against the other groups there.
    The overlap with a group's token union bounds the overlap with every member: only groups that reach
@@ -32,7 +32,7 @@ from popweave.llm.text import SPACED, Words, buffers, mix, slices, words_of
 from popweave.session import cut
 
 #: Tokens of the members of a group, and of the queries that meet it at once, about.
-GROUP_TOKENS = 300_000
+GROUP_TOKENS = 1_000_000
 #: From the smallest to the largest size of a size band.
 BAND = 1.35
 
@@ -238,14 +238,24 @@ def link_group(classes: list[int], sets: list[np.ndarray], t: Threshold) -> list
 
 
 def _groups(parts: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cls, hub, chunk) of every class that shares a part, and the chunks of each hub."""
+    """(cls, rep, fam, chunk) of every class that shares a part, and the chunks of each family.
+
+    A class follows the smaller class with which it shares most parts, that one its own, and so on to the
+    centre of their family.  A family of many tokens is cut into chunks; the followers of one class stay
+    together unless they are many themselves.
+    """
     shared = parts.groupBy("cls", "hub").count()
-    home = shared.groupBy("cls").agg(
-        F.max(F.struct(F.col("hub") != F.col("cls"), F.col("count"), -F.col("hub"), F.col("hub"))).alias("best")
-    ).select("cls", F.col("best.hub").alias("hub"))
-    home = home.join(sizes, "cls")
-    chunks = home.groupBy("hub").agg((F.floor(F.sum("n") / GROUP_TOKENS) + 1).alias("chunks"))
-    return home.join(chunks, "hub").select("cls", "rep", "hub", F.pmod(F.xxhash64("cls"), "chunks").alias("chunk")), chunks
+    home = cut(shared.groupBy("cls").agg(
+        F.max(F.struct(F.col("hub") != F.col("cls"), F.col("count"), F.bitwise_not("hub"), F.col("hub"))).alias("best")
+    ).select("cls", F.col("best.hub").alias("hub")), "home")
+    root = components(home.select(F.col("cls").alias("a"), F.col("hub").alias("b")), "families")
+    home = (home.join(root, home["cls"] == root["node"], "left").select("cls", "hub", F.coalesce("root", "cls").alias("fam"))
+            .join(sizes, "cls"))
+    chunks = home.groupBy("fam").agg((F.floor(F.sum("n") / GROUP_TOKENS) + 1).alias("chunks"))
+    stars = home.groupBy("hub").agg(F.sum("n").alias("tokens"))
+    together = F.when(F.col("tokens") * 4 <= GROUP_TOKENS, F.col("hub")).otherwise(F.col("cls"))
+    return home.join(stars, "hub").join(chunks, "fam").select(
+        "cls", "rep", "fam", F.pmod(F.xxhash64(together), "chunks").alias("chunk")), chunks
 
 
 def link_components(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -257,35 +267,36 @@ def link_components(docs: DataFrame, classes: DataFrame, width: int, num: int, d
     parts = cut(sig.select("sig", "cls", F.min("cls").over(bucket).alias("hub"), F.max("cls").over(bucket).alias("top"))
                 .where(F.col("hub") < F.col("top")).select("sig", "cls", "hub").distinct(), "parts")
     home, chunks = _groups(parts, sizes)
-    home = cut(home, "home")
-    centres = (chunks.join(sizes, chunks["hub"] == sizes["cls"])
-               .select("cls", "rep", "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")))
+    home = cut(home, "groups")
+    centres = (chunks.join(sizes, chunks["fam"] == sizes["cls"])
+               .select("cls", "rep", "fam", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")))
     wanted = home.unionByName(centres).distinct()
-    members = cut(docs.where(F.col("text").isNotNull()).join(wanted, F.col("doc_id") == F.col("rep")).select("hub", "chunk", "cls", "text"), "members")
+    members = cut(docs.where(F.col("text").isNotNull()).join(wanted, F.col("doc_id") == F.col("rep")).select("fam", "chunk", "cls", "text"), "members")
 
     def inside(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(link_group(*_read_sets(frame, width), t), columns=["a", "b"], dtype="int64")
 
-    links = cut(members.groupBy("hub", "chunk").applyInPandas(inside, "a long, b long"), "links")
+    links = cut(members.groupBy("fam", "chunk").applyInPandas(inside, "a long, b long"), "links")
     first = components(links)
-    placed = home.join(first, home["cls"] == first["node"], "left").select("cls", "hub", "chunk", F.coalesce("root", "cls").alias("comp"))
+    placed = home.join(first, home["cls"] == first["node"], "left").select("cls", "fam", "chunk", F.coalesce("root", "cls").alias("comp"))
     spread = parts.select("sig", "cls").join(placed, "cls")
     open_ = cut(spread.select("*", F.min("comp").over(bucket).alias("lo"), F.max("comp").over(bucket).alias("hi"))
                 .where(F.col("lo") < F.col("hi")).drop("lo", "hi"), "open")
-    asked = (open_.select("sig", F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("hub").alias("q_hub"), F.col("chunk").alias("q_chunk"))
-             .join(open_.select("sig", "hub", "chunk", "comp").distinct(), "sig")
-             .where((F.col("q_comp") < F.col("comp")) & ((F.col("q_hub") != F.col("hub")) | (F.col("q_chunk") != F.col("chunk"))))
-             .select("q", "q_hub", "q_chunk", "hub", "chunk").distinct())
-    asked = cut(asked, "asked")
+    there = open_.groupBy("sig", "fam", "chunk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    asking = open_.select("sig", F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("fam").alias("q_fam"), F.col("chunk").alias("q_chunk"))
+    asked = cut(asking.join(there, "sig").where(
+        ((F.col("q_fam") < F.col("fam")) | (F.col("q_fam") == F.col("fam")) & (F.col("q_chunk") < F.col("chunk")))
+        & ((F.col("lo") != F.col("q_comp")) | (F.col("hi") != F.col("q_comp")))
+    ).select("q", "q_fam", "q_chunk", "fam", "chunk").distinct(), "asked")
     if asked.isEmpty():
         return first
-    own = members.select(F.col("hub").alias("q_hub"), F.col("chunk").alias("q_chunk"), F.col("cls").alias("q"), F.col("text"))
-    per_group = asked.join(sizes.select(F.col("cls").alias("q"), "n"), "q").groupBy("hub", "chunk").agg(
+    own = members.select(F.col("fam").alias("q_fam"), F.col("chunk").alias("q_chunk"), F.col("cls").alias("q"), F.col("text").alias("asked_text"))
+    per_group = asked.join(sizes.select(F.col("cls").alias("q"), "n"), "q").groupBy("fam", "chunk").agg(
         (F.floor(F.sum("n") / GROUP_TOKENS) + 1).alias("rounds"))
-    queries = (asked.join(per_group, ["hub", "chunk"]).join(own, ["q", "q_hub", "q_chunk"])
-               .select("hub", "chunk", F.pmod(F.xxhash64("q"), "rounds").alias("round"), F.col("q").alias("cls"), F.col("text").alias("asked_text")))
-    groups = (members.join(per_group, ["hub", "chunk"])
-              .select("hub", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).alias("round"), "cls", "text"))
+    queries = (asked.join(per_group, ["fam", "chunk"]).join(own, ["q", "q_fam", "q_chunk"])
+               .select("fam", "chunk", F.pmod(F.xxhash64("q"), "rounds").alias("round"), F.col("q").alias("cls"), "asked_text"))
+    groups = (members.join(per_group, ["fam", "chunk"])
+              .select("fam", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).alias("round"), "cls", "text"))
 
     def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
@@ -300,7 +311,7 @@ def link_components(docs: DataFrame, classes: DataFrame, width: int, num: int, d
                     out += [(c, names[j]) for j in hit.tolist() if names[j] != c]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    more = queries.groupBy("hub", "chunk", "round").cogroup(groups.groupBy("hub", "chunk", "round")).applyInPandas(across, "a long, b long")
+    more = queries.groupBy("fam", "chunk", "round").cogroup(groups.groupBy("fam", "chunk", "round")).applyInPandas(across, "a long, b long")
     return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
