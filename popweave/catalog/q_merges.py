@@ -73,7 +73,19 @@ def jn_08_modulo(t):
     return merge_cascade(*_seekers(t), [Round("block", [TO_BLOCK])], SEED, reuse="modulo").pairs
 
 
-@query("jn_08_cycles")
+def _wrap_sql(left: str, p_key: str, s_key: str, number: int) -> str:
+    return f"""SELECT o_orderkey, c_custkey, {number} AS match_round FROM
+  (SELECT o_orderkey, {p_key}, row_number() OVER (PARTITION BY {p_key} ORDER BY md5(concat_ws('|', o_orderkey, {SEED + number})), o_orderkey) AS rk FROM {left}) l
+  JOIN (SELECT c_custkey, {s_key}, row_number() OVER (PARTITION BY {s_key} ORDER BY md5(concat_ws('|', c_custkey, {SEED + number})), c_custkey) AS rk,
+               count(*) OVER (PARTITION BY {s_key}) AS n FROM prim) r ON {p_key} = {s_key} AND (l.rk - 1) % n + 1 = r.rk"""
+
+
+_CTES3, _PAIRS3 = cascade_sql("secd", "o_orderkey", "prim", "c_custkey", [(["s_block"], ["block"]), (["s_tract"], ["tract"])], SEED)
+
+
+@query("jn_08_cycles", f"""WITH {_P}, {_S}, {_CTES3}, w3 AS MATERIALIZED ({_wrap_sql("p2", "s_block", "block", 3)}),
+p3 AS MATERIALIZED (SELECT * FROM p2 WHERE o_orderkey NOT IN (SELECT o_orderkey FROM w3)), w4 AS ({_wrap_sql("p3", "s_tract", "tract", 4)})
+{_PAIRS3} UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4""")
 def jn_08_cycles(t):
     return merge_cascade(*_seekers(t), [Round("block", [TO_BLOCK], "block"), Round("tract", [TO_TRACT], "tract")], SEED, reuse="cycles").pairs
 

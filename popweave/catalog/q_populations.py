@@ -76,7 +76,7 @@ def _with_income_groups(rows, units):
     county = ("county", "1", "1")
     rounds = inventory.trait_rounds([level, county], [("family", [who, ("f", "family", "t_family")]), ("no family", [who]), ("race", [("r", "race", "t_race")]), ("none", [])])
     slim = units.select("huid", "tract", "hispan", "race", "family")
-    linked = merge_cascade(Side(slim, "huid"), Side(income, "tid"), rounds, 2564, reuse="cycles", max_rounds=20)
+    linked = merge_cascade(Side(slim, "huid"), Side(income, "tid"), rounds, 2564, reuse="cycles")
     return inventory.take_trait(units, "huid", linked, income, "tid", ["incomegroup"])
 
 

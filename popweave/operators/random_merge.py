@@ -31,7 +31,7 @@ class Round:
     """Group keys of one pass.  A key is a column name found on both sides or a
     (name, primary, secondary) triple of SQL texts or Columns; a null key makes
     a row wait for a later pass.  Passes with the same ``level`` belong together:
-    when the secondary rows run out, the rest of the level is skipped."""
+    the last of them is the one in which secondary rows serve again."""
 
     name: str
     keys: list
@@ -78,16 +78,18 @@ class CascadeResult:
 
 
 def merge_cascade(primary: Side, secondary: Side, rounds: list[Round], seed: int, reuse: str | None = None,
-                  stop_early: bool = False, max_rounds: int = 100, first_round: int = 1) -> CascadeResult:
+                  stop_early: bool = False, first_round: int = 1) -> CascadeResult:
     """Pairs (primary key, secondary key, match_round) over all rounds.
 
     Each round is written once; its unpaired rows feed the next round, so the
     plan stays short and a lost executor repeats one round at most.
 
-    ``reuse='cycles'``: when all secondary rows are used they become free
-    again, the next level follows, and the whole cascade is repeated.
-    ``reuse='modulo'`` gives every row left after the last round a secondary row
-    of its last group, as many times as needed.
+    ``reuse='cycles'`` lets secondary rows serve again: after the rounds, each
+    level from fine to coarse gives the rows that are left a secondary row of
+    their group in its last round, as many times as needed.  Rows stay alone
+    only where no level's group has a secondary row; the number of jobs is that
+    of rounds and levels, whatever the sizes of the tables.
+    ``reuse='modulo'`` does so for the last round's group only.
     """
     p_cols, s_cols = primary.df.columns, secondary.df.columns
     shared = set(p_cols) & set(s_cols)
@@ -95,30 +97,22 @@ def merge_cascade(primary: Side, secondary: Side, rounds: list[Round], seed: int
         raise ValueError(f"columns on both sides: {sorted(shared)}")
     p, s = cut(primary.df, "primary"), cut(secondary.df, "secondary")
     everything = s
-    watch = stop_early or reuse == "cycles"
     pairs: list[DataFrame] = []
-    number, again, finished = first_round - 1, True, False
-    while again and not finished:
-        again, skipped = False, None
-        for rnd in rounds:
-            if finished or (skipped is not None and rnd.level == skipped):
-                continue
-            skipped = None
-            number += 1
-            state = cut(merge_round(Side(p, primary.pk, primary.sort), Side(s, secondary.pk, secondary.sort), rnd,
-                                    seed + number), "round")
-            both = state.filter(F.col(primary.pk).isNotNull() & F.col(secondary.pk).isNotNull())
-            pairs.append(both.select(primary.pk, secondary.pk, F.lit(number).alias("match_round")))
-            p = state.filter(F.col(secondary.pk).isNull()).select(*p_cols)
-            s = state.filter(F.col(primary.pk).isNull()).select(*s_cols)
-            finished = number - first_round + 1 >= max_rounds or (watch and p.isEmpty())
-            if watch and not finished and s.isEmpty():
-                skipped = rnd.level
-                if reuse == "cycles":
-                    s, again = everything, True
-    if reuse == "modulo":
+    number = first_round - 1
+    for rnd in rounds:
         number += 1
-        wrapped = cut(_wrap_around(Side(p, primary.pk, primary.sort), Side(everything, secondary.pk, secondary.sort), rounds[-1], seed + number, number), "wrap")
+        state = cut(merge_round(Side(p, primary.pk, primary.sort), Side(s, secondary.pk, secondary.sort), rnd,
+                                seed + number), "round")
+        both = state.filter(F.col(primary.pk).isNotNull() & F.col(secondary.pk).isNotNull())
+        pairs.append(both.select(primary.pk, secondary.pk, F.lit(number).alias("match_round")))
+        p = state.filter(F.col(secondary.pk).isNull()).select(*p_cols)
+        s = state.filter(F.col(primary.pk).isNull()).select(*s_cols)
+        if stop_early and (p.isEmpty() or s.isEmpty()):
+            break
+    last_of_level = list({rnd.level: rnd for rnd in rounds}.values())
+    for rnd in {"cycles": last_of_level, "modulo": rounds[-1:]}.get(reuse, []):
+        number += 1
+        wrapped = cut(_wrap_around(Side(p, primary.pk, primary.sort), Side(everything, secondary.pk, secondary.sort), rnd, seed + number, number), "wrap")
         pairs.append(wrapped)
         p = p.join(wrapped.select(primary.pk), primary.pk, "left_anti")
     return CascadeResult(reduce(DataFrame.unionByName, pairs), p, s, number)

@@ -14,9 +14,11 @@ from popweave.session import cut
 def weighted_sample(df: DataFrame, group: list[str], pk: str, weight: str, n: str | int, seed: int) -> DataFrame:
     """n rows per group without replacement, with chance in proportion to weight.
 
-    Each row draws -ln(u)/w; the n smallest draws are the sample.
+    Each row draws -ln(u)/w; the n smallest draws are the sample.  Rows of a
+    zero or null weight are never drawn; a negative weight fails the job.
     """
-    drawn = df.withColumn("_draw", -F.log(F.greatest(uniform(pk, seed), F.lit(2.0**-52))) / F.col(weight))
+    weighed = F.when(F.col(weight) < 0, F.raise_error(F.lit("negative weight"))).otherwise(F.col(weight) > 0)
+    drawn = df.filter(weighed).withColumn("_draw", -F.log(F.greatest(uniform(pk, seed), F.lit(2.0**-52))) / F.col(weight))
     ranked = value_rank(drawn, group, "_draw", [pk], "_take", slice_by=F.log("_draw"))
     limit = F.col(n) if isinstance(n, str) else F.lit(n)
     return ranked.filter(F.col("_take") <= limit).drop("_draw", "_take")

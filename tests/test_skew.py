@@ -113,3 +113,18 @@ def test_polygons_of_very_different_size(spark, paths):
     pts = spark.createDataFrame([(1, 3.2, 3.2), (2, 995.0, 995.0), (3, 1005.0, 1005.0), (4, 2000.0, 0.0), (5, 1000.0, 500.0)], "p int, x double, y double")
     got = rows(point_in_polygon(pts, "p", "x", "y", polys, "k", "ring", 1.0, multi="all"), "p", "k")
     assert got == [(1, 1), (1, 2), (2, 1), (2, 3), (3, 3), (4, None), (5, 1)]
+
+
+def test_one_partner_serves_hundreds(spark):
+    p = spark.range(300).select(F.col("id").alias("p"), (F.col("id") % 2).alias("b"), F.lit(1).alias("c"))
+    s = spark.createDataFrame([(1, 0, 1)], "s int, sb int, sc int")
+    rounds = [Round("b", [("b", "b", "sb")], "fine"), Round("c", [("c", "c", "sc")], "coarse")]
+    out = merge_cascade(Side(p, "p"), Side(s, "s"), rounds, 5, reuse="cycles")
+    assert sorted(r["p"] for r in out.pairs.collect()) == list(range(300)) and out.primary_left.isEmpty()
+
+
+def test_zero_weights_are_never_drawn(spark):
+    from popweave.operators.select import weighted_sample
+    df = spark.createDataFrame([(i, i % 2, 0.0 if i % 3 else 1.0) for i in range(60)] + [(99, 0, None)], "k int, g int, w double")
+    got = weighted_sample(df, ["g"], "k", "w", 25, 3).collect()
+    assert sorted(r["k"] for r in got) == [i for i in range(60) if i % 3 == 0]
