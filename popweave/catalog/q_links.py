@@ -79,10 +79,14 @@ def pl_15(t):
 
 
 # Jobs to persons: order lines as jobs, orders as persons.
-_JOB_SQL = f"""{UNITS_SQL}, pe AS (SELECT o_orderkey AS precid, block, tract, CASE WHEN o_orderkey % 97 BETWEEN 18 AND 29 THEN 1 WHEN o_orderkey % 97 BETWEEN 30 AND 54 THEN 2 WHEN o_orderkey % 97 BETWEEN 55 AND 65 THEN 3 END AS agegrp, o_orderkey % 2 + 1 AS p_sex,
-  o_custkey % 3 + 1 AS earn_1, (o_custkey + 1) % 3 + 1 AS earn_2 FROM orders JOIN units ON o_custkey = c_custkey),
-jb AS (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS jobid, s_nationkey AS j_block, n_regionkey AS j_tract, l_linenumber % 3 + 1 AS j_age, l_partkey % 2 + 1 AS j_sex, l_suppkey % 3 + 1 AS j_earn FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
-_JOB_ROUNDS = [([lvl, "agegrp", "p_sex", e], [f"j_{lvl}", "j_age", "j_sex", "j_earn"]) for e in ("earn_1", "earn_2") for lvl in ("block", "tract")]
+_JOB_SQL = f"""{UNITS_SQL}, pe AS MATERIALIZED (SELECT o_orderkey AS precid, block, tract, CASE WHEN o_orderkey % 97 BETWEEN 18 AND 29 THEN 1 WHEN o_orderkey % 97 BETWEEN 30 AND 54 THEN 2 WHEN o_orderkey % 97 BETWEEN 55 AND 65 THEN 3 END AS agegrp, o_orderkey % 2 + 1 AS p_sex,
+  o_custkey % 3 + 1 AS earn_1, (o_custkey + 1) % 3 + 1 AS earn_2, (o_custkey + 2) % 3 + 1 AS earn_3, block // 2 AS blockgroup, 1 AS county,
+  o_orderkey % 3 + 1 AS p_race, o_custkey % 2 AS p_hispan FROM orders JOIN units ON o_custkey = c_custkey),
+jb AS MATERIALIZED (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS jobid, s_nationkey AS j_block, n_regionkey AS j_tract, l_linenumber % 3 + 1 AS j_age, l_partkey % 2 + 1 AS j_sex, l_suppkey % 3 + 1 AS j_earn, s_nationkey // 2 AS j_blockgroup, 1 AS j_county,
+  l_orderkey % 3 + 1 AS j_race, l_partkey % 3 % 2 AS j_hispan FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
+_LEVELS = ("block", "blockgroup", "tract", "county")
+_JOB_ROUNDS = [([lvl, "agegrp", "p_sex", "p_race", "p_hispan", e], [f"j_{lvl}", "j_age", "j_sex", "j_race", "j_hispan", "j_earn"])
+               for e in ("earn_1", "earn_2", "earn_3") for lvl in _LEVELS]
 _JOB_CTES, _JOB_PAIRS = cascade_sql("pe", "precid", "jb", "jobid", _JOB_ROUNDS, 133)
 
 
@@ -91,7 +95,8 @@ def _workers(t):
     people = t.orders.join(units(t), F.col("o_custkey") == F.col("c_custkey"))
     code = bands.band(o % 97, bands.AGE_JOBS)
     return people.select(o.alias("precid"), "block", "tract", F.when(code.isin(1, 2, 3), code).alias("agegrp"), (o % 2 + 1).alias("p_sex"),
-                         (F.col("o_custkey") % 3 + 1).alias("earn_1"), ((F.col("o_custkey") + 1) % 3 + 1).alias("earn_2"))
+                         (F.col("o_custkey") % 3 + 1).alias("earn_1"), ((F.col("o_custkey") + 1) % 3 + 1).alias("earn_2"), ((F.col("o_custkey") + 2) % 3 + 1).alias("earn_3"),
+                         F.expr("block div 2").alias("blockgroup"), F.lit(1).alias("county"), (o % 3 + 1).alias("p_race"), (F.col("o_custkey") % 2).alias("p_hispan"))
 
 
 def _jobs(t):
@@ -99,13 +104,14 @@ def _jobs(t):
     rows = t.lineitem.join(at, F.col("l_suppkey") == F.col("s_suppkey"))
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     return rows.select(key.alias("jobid"), F.col("s_nationkey").alias("j_block"), F.col("n_regionkey").alias("j_tract"),
-                       (F.col("l_linenumber") % 3 + 1).alias("j_age"), (F.col("l_partkey") % 2 + 1).alias("j_sex"), (F.col("l_suppkey") % 3 + 1).alias("j_earn"))
+                       (F.col("l_linenumber") % 3 + 1).alias("j_age"), (F.col("l_partkey") % 2 + 1).alias("j_sex"), (F.col("l_suppkey") % 3 + 1).alias("j_earn"),
+                       F.expr("s_nationkey div 2").alias("j_blockgroup"), F.lit(1).alias("j_county"), (F.col("l_orderkey") % 3 + 1).alias("j_race"), (F.col("l_partkey") % 3 % 2).alias("j_hispan"))
 
 
 def _jobs_linked(t):
-    levels = [("block", "block", "j_block"), ("tract", "tract", "j_tract")]
-    traits = [("age", "agegrp", "j_age"), ("sex", "p_sex", "j_sex")]
-    guesses = [(f"earnings {i}", f"earn_{i}", "j_earn") for i in (1, 2)]
+    levels = [(lvl, lvl, f"j_{lvl}") for lvl in _LEVELS]
+    traits = [("age", "agegrp", "j_age"), ("sex", "p_sex", "j_sex"), ("race", "p_race", "j_race"), ("hispan", "p_hispan", "j_hispan")]
+    guesses = [(f"earnings {i}", f"earn_{i}", "j_earn") for i in (1, 2, 3)]
     jobs = cut(_jobs(t), "jobs")
     return jobs, links.jobs_to_persons(Side(_workers(t), "precid"), Side(jobs, "jobid"), levels, traits, guesses, 133)
 
@@ -115,15 +121,19 @@ def pl_16(t):
     return _jobs_linked(t)[1].pairs
 
 
-@query("pl_16_outside", f"""WITH {_JOB_SQL}, o AS (SELECT jobid, j_block, row_number() OVER (PARTITION BY j_block ORDER BY md5(jobid), jobid) AS c FROM jb WHERE j_tract = 1)
-SELECT jobid, j_block || 'PJ' || lpad(c::VARCHAR, length((SELECT max(c) FROM o)::VARCHAR)::INT, '0') AS precid FROM o""")
+_OUTSIDE_SQL = """SELECT jobid, j_block, j_block || 'PJ' || lpad(c::VARCHAR, length((max(c) OVER ())::VARCHAR)::INT, '0') AS precid FROM
+  (SELECT jobid, j_block, row_number() OVER (PARTITION BY j_block ORDER BY md5(jobid), jobid) AS c FROM {left})"""
+
+
+@query("pl_16_outside", f"WITH {_JOB_SQL}, {_JOB_CTES}, o AS ({_OUTSIDE_SQL.format(left=f's{len(_JOB_ROUNDS)}')}) SELECT jobid, precid FROM o")
 def pl_16_outside(t):
-    return links.outside_workers(_jobs(t).filter("j_tract = 1"), "j_block", "jobid").select("jobid", "precid")
+    """Jobs that found no person are held from outside the area."""
+    return links.outside_workers(cut(_jobs_linked(t)[1].secondary_left, "outside"), "j_block", "jobid").select("jobid", "precid")
 
 
-_EST_JOBS_SQL = f"""{_JOB_SQL}, jj AS (SELECT jobid, j_block, j_tract, j_age AS industry FROM jb),
+_EST_JOBS_SQL = f"""{_JOB_SQL}, jj AS MATERIALIZED (SELECT jobid, j_block, j_tract, j_age AS industry FROM jb),
 es AS (SELECT p_partkey AS estab, p_size % 5 + 1 AS size, p_partkey % 25 AS e_block, (p_partkey % 3 + 1) AS e_industry FROM part), ee AS (SELECT *, unnest(range(1, size::BIGINT + 1)) AS c FROM es),
-ej AS (SELECT 'J' || estab || 'c' || c AS jestabid, size, e_block, n_regionkey AS e_tract, e_industry FROM ee JOIN nation ON e_block = n_nationkey)"""
+ej AS MATERIALIZED (SELECT 'J' || estab || 'c' || c AS jestabid, size, e_block, n_regionkey AS e_tract, e_industry FROM ee JOIN nation ON e_block = n_nationkey)"""
 _EST_CTES, _EST_PAIRS = cascade_sql("jj", "jobid", "ej", "jestabid", [(["j_block", "industry"], ["e_block", "e_industry"]), (["j_tract", "industry"], ["e_tract", "e_industry"])], 133, s_sort="size")
 
 
@@ -146,21 +156,25 @@ _E_CTES, _E_PAIRS = cascade_sql("jj", "jobid", "ej", "jestabid", [(["j_block", "
 _U_CTES, _U_PAIRS = cascade_sql("pu", "precid", "su", "srecid", _PUPIL_ROUNDS, 133, prefix="u")
 
 
-@query("pl_18", f"""WITH {_EST_JOBS_SQL}, {_PUPILS_SQL}, {_J_CTES}, {_E_CTES}, {_U_CTES}, jp AS ({_J_PAIRS}), ep AS ({_E_PAIRS}), up AS ({_U_PAIRS}),
-ho AS (SELECT o_orderkey AS precid, block, {spot_sql('o_orderkey', 71)} + 1 AS hx, {spot_sql('o_orderkey', 89)} + 1 AS hy FROM orders JOIN units ON o_custkey = c_custkey),
-sc AS (SELECT precid, coalesce(s_1, s_3) AS school, {spot_sql('coalesce(s_1, s_3)', 31)} + 1 AS sx, {spot_sql('coalesce(s_1, s_3)', 43)} + 1 AS sy FROM up JOIN su USING (srecid)),
-wk AS (SELECT precid, jp.jobid, estab, {spot_sql('estab', 13)} + 1 AS wx, {spot_sql('estab', 29)} + 1 AS wy FROM jp LEFT JOIN ep USING (jobid) LEFT JOIN (SELECT 'J' || estab || 'c' || c AS jestabid, estab FROM ee) x USING (jestabid))
-SELECT ho.precid, block, school, jobid, estab, 'LINESTRING ( ' || hx || ' ' || hy || ', ' || sx || ' ' || sy || ')' AS home_school_line, 'LINESTRING ( ' || hx || ' ' || hy || ', ' || wx || ' ' || wy || ')' AS home_work_line
-FROM ho LEFT JOIN sc ON ho.precid = sc.precid LEFT JOIN wk ON ho.precid = wk.precid""")
+@query("pl_18", f"""WITH {_EST_JOBS_SQL}, {_PUPILS_SQL}, {_J_CTES}, {_E_CTES}, {_U_CTES}, jp AS MATERIALIZED ({_J_PAIRS}), ep AS MATERIALIZED ({_E_PAIRS}), up AS MATERIALIZED ({_U_PAIRS}),
+op AS ({_OUTSIDE_SQL.format(left=f'js{len(_JOB_ROUNDS)}')}),
+aj AS (SELECT precid::VARCHAR AS precid, jobid, NULL AS j_block FROM jp UNION ALL SELECT precid, jobid, j_block FROM op),
+ho AS (SELECT o_orderkey::VARCHAR AS precid, block, {spot_sql('o_orderkey', 71)} + 1 AS hx, {spot_sql('o_orderkey', 89)} + 1 AS hy FROM orders JOIN units ON o_custkey = c_custkey),
+sc AS (SELECT precid::VARCHAR AS precid, coalesce(s_1, s_3) AS school, {spot_sql('coalesce(s_1, s_3)', 31)} + 1 AS sx, {spot_sql('coalesce(s_1, s_3)', 43)} + 1 AS sy FROM up JOIN su USING (srecid)),
+wk AS (SELECT precid, aj.jobid, j_block, estab, {spot_sql('estab', 13)} + 1 AS wx, {spot_sql('estab', 29)} + 1 AS wy FROM aj LEFT JOIN ep USING (jobid) LEFT JOIN (SELECT 'J' || estab || 'c' || c AS jestabid, estab FROM ee) x USING (jestabid))
+SELECT coalesce(ho.precid, wk.precid) AS precid, coalesce(block, j_block)::INT AS block, school, jobid, estab, 'LINESTRING ( ' || hx || ' ' || hy || ', ' || sx || ' ' || sy || ')' AS home_school_line, 'LINESTRING ( ' || hx || ' ' || hy || ', ' || wx || ' ' || wy || ')' AS home_work_line
+FROM ho LEFT JOIN sc ON ho.precid = sc.precid FULL JOIN wk ON ho.precid = wk.precid""")
 def pl_18(t):
     _, worked = _jobs_linked(t)
     places, hired = _establishments_linked(t)
     students, learned = _students_linked(t)
     persons = t.orders.join(units(t), F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("precid"), F.col("block").alias("block"), (spot(F.col("o_orderkey"), 71) + 1).alias("hx"), (spot(F.col("o_orderkey"), 89) + 1).alias("hy"))
-    school = learned.pairs.join(students.select("srecid", "school"), "srecid").select("precid", "school", (spot(F.col("school"), 31) + 1).alias("sx"), (spot(F.col("school"), 43) + 1).alias("sy"))
+        F.col("o_orderkey").cast("string").alias("precid"), "block", (spot(F.col("o_orderkey"), 71) + 1).alias("hx"), (spot(F.col("o_orderkey"), 89) + 1).alias("hy"))
+    school = learned.pairs.join(students.select("srecid", "school"), "srecid").select(F.col("precid").cast("string").alias("precid"), "school", (spot(F.col("school"), 31) + 1).alias("sx"), (spot(F.col("school"), 43) + 1).alias("sy"))
     estab = hired.pairs.join(places.select("jestabid", "estab"), "jestabid").select("jobid", "estab", (spot(F.col("estab"), 13) + 1).alias("wx"), (spot(F.col("estab"), 29) + 1).alias("wy"))
-    jobs = worked.pairs.select("precid", "jobid").withColumn("block", F.lit(None).cast("int"))
+    outside = links.outside_workers(cut(worked.secondary_left, "outside"), "j_block", "jobid")
+    jobs = worked.pairs.select(F.col("precid").cast("string").alias("precid"), "jobid", F.lit(None).cast("int").alias("block")).unionByName(
+        outside.select("precid", "jobid", F.col("j_block").cast("int").alias("block")))
     return links.person_school_job(persons, school, jobs, estab, "precid", "jobid").select("precid", "block", "school", "jobid", "estab", "home_school_line", "home_work_line")
 
 

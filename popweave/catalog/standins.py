@@ -78,8 +78,8 @@ def cascade_sql(p_cte: str, p_pk: str, s_cte: str, s_pk: str, rounds: list, seed
                     f"md5(concat_ws('|', {key}, {seed + first - 1 + i})), {key}) AS rk FROM {src} WHERE {ready})")
         on = " AND ".join([f"a.g{j} = b.g{j}" for j in range(len(pk))] + ["a.rk = b.rk"])
         ctes.append(f"{x}m{i} AS MATERIALIZED (SELECT {p_pk}, {s_pk}, {first - 1 + i} AS match_round FROM {ranked(p_now, p_pk, pk, p_sort)} a JOIN {ranked(s_now, s_pk, sk, s_sort)} b ON {on})")
-        ctes.append(f"{x}p{i} AS MATERIALIZED (SELECT * FROM {p_now} WHERE {p_pk} NOT IN (SELECT {p_pk} FROM {x}m{i}))")
-        ctes.append(f"{x}s{i} AS MATERIALIZED (SELECT * FROM {s_now} WHERE {s_pk} NOT IN (SELECT {s_pk} FROM {x}m{i}))")
+        for side, now, key in (("p", p_now, p_pk), ("s", s_now, s_pk)):
+            ctes.append(f"{x}{side}{i} AS MATERIALIZED (SELECT * FROM {now} WHERE NOT EXISTS (SELECT 1 FROM {x}m{i} WHERE {x}m{i}.{key} = {now}.{key}))")
         pairs.append(f"SELECT * FROM {x}m{i}")
         p_now, s_now = f"{x}p{i}", f"{x}s{i}"
     return ",\n".join(ctes), " UNION ALL ".join(pairs)
