@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from popweave.operators.hot import null_safe, renamed
-from popweave.session import is_small, spread
+from popweave.operators.hot import hot_groups, null_safe, piece_of, renamed, value_limits
+from popweave.session import cut, is_small
 
 BIG_GROUPS = 1000
 
@@ -62,11 +62,10 @@ def selection_probability(df: DataFrame, by: list[str], value: str, out: str = "
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one column per name.
 
-    Rows shrink to (group, value, count); value slices find the slice holding
-    each wanted position, and only those slices are ordered.  No task ever
-    holds a whole group.
+    Rows shrink to (group, value, count).  Groups of many values are sliced at
+    approximate percentiles; the sizes of the slices tell which of them hold the
+    wanted positions, and only those are ordered.
     """
-    n_slices = spread(df.sparkSession) * 4
     src = df.filter(F.col(value).isNotNull())
     counts = (src.select(*[F.coalesce(F.col(b).cast("string"), F.lit("\0")).alias(f"_k_{b}") for b in by],
                          *by, F.col(value).cast("double").alias("_v"))
@@ -75,11 +74,11 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     if not by:
         counts = counts.withColumn("_k_all", F.lit(0))
         keys = ["_k_all"]
-    bounds = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                      F.sum("_n").alias("_total"), *[F.first(b).alias(b) for b in by])
-    part = F.when(F.col("_hi") > F.col("_lo"), F.least(
-        F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * n_slices), F.lit(n_slices - 1))).otherwise(0)
-    sliced = counts.drop(*by).join(bounds.drop("_total", *by), keys).withColumn("_s", part.cast("int"))
+    counts = cut(counts, "value-counts")
+    bounds = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), F.sum("_n").alias("_total"), *[F.first(b).alias(b) for b in by])
+    hot = hot_groups(bounds, keys, "_size")
+    limits = F.broadcast(value_limits(counts, hot, keys, F.col("_v")).drop("_pieces"))
+    sliced = counts.drop(*by).join(limits, keys, "left").withColumn("_s", F.greatest(piece_of(F.col("_v")), F.lit(0))).drop("_limits")
     sizes = sliced.groupBy(*keys, "_s").agg(F.sum("_n").alias("_sn"))
     ahead = W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_sn").over(ahead), F.lit(0)))

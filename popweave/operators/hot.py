@@ -44,6 +44,29 @@ def with_pieces(df: DataFrame, keys: list[str]) -> DataFrame:
     return joined.drop(*[f"_r_{k}" for k in keys])
 
 
+def value_limits(df: DataFrame, hot: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """The hot groups (their pieces in ``_pieces``) with ``_limits``: values that cut
+    each into pieces of about equal numbers of rows.
+
+    Limits are approximate percentiles, so pieces are even wherever the values
+    lie; what is built on them counts the rows of each piece and stays exact.
+    """
+    n = spread(df.sparkSession)
+    marked = F.broadcast(renamed(hot, keys))
+    rows = df.select(*keys, value.cast("double").alias("_value"))
+    rows = rows.join(marked, null_safe(rows, marked, [(k, f"_r_{k}") for k in keys]))
+    cuts = rows.groupBy(*keys, "_pieces").agg(
+        F.percentile_approx("_value", [i / n for i in range(1, n)], 20 * n).alias("_all"))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_pieces") - 1, F.lit(1))),
+                        lambda i: F.element_at("_all", F.floor(i * n / F.col("_pieces")).cast("int")))
+    return cuts.select(*keys, "_pieces", F.when(F.col("_pieces") > 1, every).otherwise(F.array().cast("array<double>")).alias("_limits"))
+
+
+def piece_of(value: Column) -> Column:
+    """The piece of a value: how many of the group's ``_limits`` lie below it."""
+    return F.coalesce(F.size(F.filter("_limits", lambda x: x < value.cast("double"))), F.lit(0))
+
+
 def lookup(big: DataFrame, key: str, small: DataFrame, small_key: str, how: str = "inner") -> DataFrame:
     """``spread_join`` on differently named keys; the key of ``big`` is kept."""
     return spread_join(big, small.withColumnRenamed(small_key, key), [key], how)

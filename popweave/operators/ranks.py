@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popweave.functions.seeded import hash_bucket, order_key
-from popweave.operators.hot import null_safe, renamed, with_pieces
+from popweave.operators.hot import hot_groups, null_safe, piece_of, renamed, value_limits, with_pieces
 from popweave.session import is_small
 
 
@@ -56,27 +56,27 @@ def random_rank(df: DataFrame, group: list[str], pk, seed=None, sort=(), out: st
                    lambda n: hash_bucket(F.col("_order"), n), order, out)
 
 
-def value_rank(df: DataFrame, group: list[str], by: str, ties=(), out: str = "rank", descending: bool = False,
-               slice_by: Column | None = None) -> DataFrame:
+def value_rank(df: DataFrame, group: list[str], by: str, ties=(), out: str = "rank", descending: bool = False) -> DataFrame:
     """1-based rank in each group ordered by a numeric column.
 
-    Pieces are equal slices between the smallest and largest value, so ``by``
-    should be spread out; where it is not, ``slice_by`` gives a rising function
-    of it that is.
+    A hot group is cut at approximate percentiles of its own values.  Rows of
+    one and the same value stay in one piece.
     """
     first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_first()
     order = [first, *[F.col(t) for t in ties]]
     if is_small(df):
         return _number(df, group, [], None, order, out)
-    value = (F.col(by) if slice_by is None else slice_by).cast("double")
-    ends = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
-    at = F.try_divide(value - ends["low"], ends["high"] - ends["low"])
+    keys = group or ["_all_rows"]
+    df = df if group else df.withColumn("_all_rows", F.lit(0))
+    hot = hot_groups(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), keys, "_size")
+    limits = F.broadcast(renamed(value_limits(df, hot, keys, F.col(by)).drop("_pieces"), keys))
+    keyed = df.join(limits, null_safe(df, limits, [(k, f"_r_{k}") for k in keys]), "left").drop(*[f"_r_{k}" for k in keys])
 
     def piece(n: Column) -> Column:
-        up = F.coalesce(F.least(F.floor(at * n), n - 1), F.lit(0)).cast("int")
+        up = F.least(piece_of(F.col(by)), n - 1)
         return n - 1 - up if descending else up
 
-    return _number(df, group, [], piece, order, out)
+    return _number(keyed, keys, [], piece, order, out).drop("_limits", "_all_rows")
 
 
 def first_per_group(df: DataFrame, group: list[str], order: list, keep: list[str]) -> DataFrame:

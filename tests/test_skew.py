@@ -128,3 +128,15 @@ def test_zero_weights_are_never_drawn(spark):
     df = spark.createDataFrame([(i, i % 2, 0.0 if i % 3 else 1.0) for i in range(60)] + [(99, 0, None)], "k int, g int, w double")
     got = weighted_sample(df, ["g"], "k", "w", 25, 3).collect()
     assert sorted(r["k"] for r in got) == [i for i in range(60) if i % 3 == 0]
+
+
+def test_pieces_are_even_wherever_the_values_lie(spark):
+    from popweave.operators.hot import piece_of, value_limits
+    spark.conf.set("popweave.spread", "40")
+    df = spark.range(20000).select(F.lit(1).alias("g"), (F.col("id") / 1e9).alias("v")).unionByName(
+        spark.createDataFrame([(1, 1e12), (1, -1e12), (1, None)], "g int, v double"))
+    hot = hot_groups(df.groupBy("g").count(), ["g"], "count")
+    cut_up = df.join(value_limits(df, hot, ["g"], F.col("v")), "g").groupBy(piece_of(F.col("v"))).count()
+    sizes = [r["count"] for r in cut_up.collect()]
+    assert len(sizes) == 40 and max(sizes) <= 3 * sum(sizes) / len(sizes)
+    spark.conf.unset("popweave.spread")
