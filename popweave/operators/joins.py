@@ -66,15 +66,16 @@ def first_row_join(left: DataFrame, right: DataFrame, key: str, order: str, valu
 def range_lookup(df: DataFrame, value: str, bands: DataFrame, lo: str, hi: str, code: str, width: float) -> DataFrame:
     """Code of the band [lo, hi] holding a value; the highest code wins on overlap.
 
-    Bands are spread over cells of ``width``, so this is an equi join on the cell
-    followed by the range test, at any number of bands.
+    Bands are spread over cells of ``width``, so this is an equi join of distinct
+    values and bands on the cell, the range test, and an aggregate per value; no
+    list of bands is ever built.
     """
     cell = lambda c: F.floor(c / F.lit(width)).cast("long")
-    cells = bands.withColumn("_cell", F.explode(F.sequence(cell(F.col(lo)), cell(F.col(hi)))))
-    cells = cells.groupBy("_cell").agg(F.collect_list(F.struct(F.col(code).alias("code"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))).alias("_bands"))
-    joined = spread_join(df.withColumn("_cell", cell(F.col(value))), cells, ["_cell"], "left")
-    hit = F.filter("_bands", lambda b: (F.col(value) >= b["lo"]) & (F.col(value) <= b["hi"]))
-    return joined.withColumn(code, F.array_max(F.transform(hit, lambda b: b["code"]))).drop("_cell", "_bands")
+    cells = bands.select(F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.col(code).alias(code)).withColumn(
+        "_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+    values = df.select(value).filter(F.col(value).isNotNull()).distinct().withColumn("_cell", cell(F.col(value)))
+    hits = spread_join(values, cells, ["_cell"]).filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
+    return spread_join(df, hits.groupBy(value).agg(F.max(code).alias(code)), [value], "left")
 
 
 def outer_compare(df: DataFrame, keys: list[str], period: str, periods: list) -> DataFrame:

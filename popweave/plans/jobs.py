@@ -71,13 +71,17 @@ def three_way_match(od: DataFrame, wac: DataFrame, rac: DataFrame, traits: list[
     Work-side and home-side jobs of a pair must share job id, counter, year and
     traits; pairs from another state without such a job fall back to the pair's
     own segments.  The counters of a pair are opened only at the end, so the
-    joins see each pair once.
+    joins see each pair once, and pairs and jobs without a home-side job are
+    left out before the two are joined.
     """
     pair = ["w_geocode", "h_geocode", "jobidod"]
-    counters = cut(od.groupBy(*pair).agg(F.max("jobidod_counter").alias("_jobs"), *[F.first(c).alias(c) for c in ("jobtype", "year")]), "pairs")
+    counters = cut(od.groupBy(*pair).agg(F.max("jobidod_counter").alias("_jobs"), *[F.min(c).alias(c) for c in ("jobtype", "year")]), "pairs")
     work = wac.select("w_geocode", "jobidod", "jobidac", "jobidac_counter", "year", *traits)
     home = rac.select("h_geocode", "jobidod", "jobidac", "jobidac_counter", "year", *traits)
-    at_work = cut(spread_join(counters.drop("year"), work, ["w_geocode", "jobidod"]), "at_work")
+    lived = counters.drop("year").join(home.select("h_geocode", "jobidod").distinct(), ["h_geocode", "jobidod"], "left_semi")
+    same = ["jobidod", "jobidac", "jobidac_counter", "year", *traits]
+    held = work.join(home.select(*same).distinct(), same, "left_semi")
+    at_work = spread_join(lived, held, ["w_geocode", "jobidod"])
     matched = cut(spread_join(at_work, home, ["h_geocode", "jobidod", "jobidac", "jobidac_counter", "year", *traits]), "matched")
     away = F.expr(state["work"]) != F.expr(state["home"])
     alone = counters.filter(away).join(matched.select(*pair).distinct(), pair, "left_anti")

@@ -86,7 +86,10 @@ def reconcile_points(first: DataFrame, second: DataFrame, third: DataFrame, cuto
     two become one record, and the result is matched with the third."""
     near = nearest(first.select("a_id", "x", "y"), "a_id", second.select("b_id", "bx", "by"), "b_id", 1, cutoff)
     closest = first_per_group(near, ["b_id"], ["distance", "a_id"], ["a_id"])
-    merged = first.join(closest, "a_id", "left").join(second, "b_id", "full")
+    paired = cut(first.join(closest, "a_id", "left"), "paired")
+    # Points without a partner join nothing; they would all meet in one task.
+    merged = paired.filter(F.col("b_id").isNotNull()).join(second, "b_id", "full").unionByName(
+        paired.filter(F.col("b_id").isNull()), allowMissingColumns=True)
     merged = merged.select(F.concat_ws("-", F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("m_id"), "a_id", "b_id",
                            F.coalesce("x", "bx").alias("x"), F.coalesce("y", "by").alias("y"))
     last = nearest(merged.select("m_id", "x", "y"), "m_id", third.select(F.col("c_id").alias("b_id"), F.col("cx").alias("bx"), F.col("cy").alias("by")), "b_id", 1, cutoff)

@@ -114,7 +114,9 @@ def link_community(units: DataFrame, unit_pk: str, allocation: DataFrame, points
                    building: str, carry: list[str]) -> DataFrame:
     """Every unit with its address point and building; unknown buildings named so."""
     placed = allocation.join(points.select(point_pk, building, "strctid"), point_pk)
-    joined = units.join(placed, unit_pk, "left").join(buildings.select(building, *carry), building, "left")
+    housed = cut(units.join(placed, unit_pk, "left"), "housed")
+    joined = housed.filter(F.col(building).isNotNull()).join(buildings.select(building, *carry), building, "left").unionByName(
+        housed.filter(F.col(building).isNull()), allowMissingColumns=True)
     return joined.withColumn(building, F.coalesce(F.col(building).cast("string"), F.lit("missing building id")))
 
 
