@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from popweave.llm.sampling import hashed_sample
 from popweave.llm.text import buffers, slices
 
 #: Bits of an n-gram's slot.
@@ -194,7 +195,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", label_col: str =
         learn & F.col("y").isNotNull() & F.col("t").isNotNull())
     frequency, n_docs = document_frequencies(own.select("t"), "t")
     idf = np.log((1 + n_docs) / (1 + frequency)) + 1
-    picked = [r["i"] for r in own.where(F.col("i").isNotNull()).select("i", F.xxhash64("i", F.lit("sample")).alias("h")).orderBy("h", "i").limit(SAMPLE).collect()]
+    picked = [r["i"] for r in hashed_sample(own.where(F.col("i").isNotNull()).select("i"), ["i"], SAMPLE, n_docs).collect()]
     if not picked:
         return Model([], idf, np.zeros((_SIZE, 0)), np.zeros(0))
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from popweave.llm import pii_rules
 from popweave.llm.bpe import small
 from popweave.llm.pii_rules import KINDS
+from popweave.llm.sampling import hashed_sample
 
 #: Characters of a window, and from one window to the next.
 WINDOW, STEP = 96, 48
@@ -303,9 +304,14 @@ def fit(docs: DataFrame, text_col: str = "text", seed: int = 11) -> Tagger:
             rows = [(x.tolist(), y.tolist()) for text in batch.column(0) for x, y in labelled_windows(text.as_py(), len(text.as_py()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (0, 1)], names=["x", "y"])
 
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            n = sum(len(labelled_windows(text.as_py(), len(text.as_py()))) for text in batch.column(0))
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
     with_trigger = docs.select(F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
-    picked = (with_trigger.mapInArrow(windows, "x array<int>, y array<int>")
-              .orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE).collect())
+    total = with_trigger.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+    picked = hashed_sample(with_trigger.mapInArrow(windows, "x array<int>, y array<int>"), ["x", "y"], SAMPLE, total).collect()
     tagger = Tagger(seed)
     if picked:
         plain = [np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)]

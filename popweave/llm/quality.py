@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from popweave.llm.sampling import hashed_sample
 from popweave.llm.text import SPACED, Words, buffers, slices
 
 #: Labelled rows the trees are fitted on, at most; only their statistics go to the driver.
@@ -160,8 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     Rows of null ids, texts or labels are not learned from.  At most ``SAMPLE`` labels, by hash of their id.
     """
-    picked = (labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where(learn & F.col("i").isNotNull() & F.col("y").isNotNull())
-              .groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i", F.lit("sample")), "i").limit(SAMPLE))
+    given = (labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where(learn & F.col("i").isNotNull() & F.col("y").isNotNull())
+             .groupBy("i").agg(F.max("y").alias("y")))
+    picked = hashed_sample(given, ["i"], SAMPLE)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(picked), "i")
 
     def featurise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
