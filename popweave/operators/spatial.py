@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popweave.functions.geo import edge_score, is_inside, plane_distance, ring_bounds, ring_edges
@@ -11,6 +12,8 @@ from popweave.operators.ranks import first_per_group, top_k
 from popweave.session import cut, is_small
 
 LEVELS = 40
+#: The finest grid of targets has 2 ** FINEST cells in a row.
+FINEST = 22
 
 
 def _cell(value, level, cell: float):
@@ -64,60 +67,62 @@ def nearest(a: DataFrame, a_pk: str, b: DataFrame, b_pk: str, k: int = 1, cutoff
     """The k nearest rows of ``b`` for each row of ``a``, with distance and number.
 
     ``cutoff`` is the largest allowed distance.  ``within`` names columns that
-    must be equal on both sides.  The search radius starts where cells of ``b``
-    are small and doubles for rows that still miss neighbours, so dense places
-    are settled with few candidates and empty places are still searched fully.
+    must be equal on both sides.  The targets lie in a hierarchy of grids whose
+    cells know how many they hold and in which box.  Every row goes from coarse
+    to fine cells and keeps those that may hold one of its k nearest: cells no
+    farther than the greatest distance within which k targets are certain.  Only
+    the targets of the last cells are opened, few per row wherever it lies.
     """
     within = list(within)
     x, y, bx, by = F.col(xy[0]), F.col(xy[1]), F.col(b_xy[0]), F.col(b_xy[1])
+    placed = b.select(*within, b_pk, *b_xy).filter(bx.isNotNull() & by.isNotNull())
     # At one location only the k smallest ids can ever be among the k nearest.
-    targets = top_k(b.select(*within, b_pk, *b_xy), [*within, *b_xy], [F.col(b_pk)], k, "_at").drop("_at")
-    targets = cut(targets, "targets")
-    open_rows = a.select(*within, a_pk, *xy)
-    start, reach = _search_radii(targets, open_rows, within, xy, b_xy, k)
-    limit = reach if cutoff is None else min(cutoff, reach)
-    found, radius = [], min(start, limit)
-    while True:
-        span = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        probe = (open_rows.withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span))
-                 .withColumn("_cx", F.floor(x / radius).cast("long") + F.col("_dx"))
-                 .withColumn("_cy", F.floor(y / radius).cast("long") + F.col("_dy")).drop("_dx", "_dy"))
-        cells = targets.withColumn("_cx", F.floor(bx / radius).cast("long")).withColumn("_cy", F.floor(by / radius).cast("long"))
-        near = spread_join(probe, cells, [*within, "_cx", "_cy"]).withColumn("distance", plane_distance(x, y, bx, by))
-        near = near.filter(F.col("distance") <= radius).select(a_pk, b_pk, "distance")
-        ranked = top_k(near, [a_pk], [F.col("distance"), F.col(b_pk)], k, "neighbor")
-        if radius >= limit:
-            found.append(ranked)
-            break
-        ranked = cut(ranked, "near")
-        done = ranked.filter(F.col("neighbor") == k).select(a_pk)
-        found.append(ranked.join(done, a_pk, "left_semi"))
-        open_rows = cut(open_rows.join(done, a_pk, "left_anti"), "open")
-        if open_rows.isEmpty():
-            break
-        radius = min(radius * 2, limit)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _search_radii(targets: DataFrame, a: DataFrame, within: list, xy, b_xy, k: int) -> tuple[float, float]:
-    """First radius (busiest cell holds few targets) and the largest useful one."""
-    box = (targets.select(F.col(b_xy[0]).alias("x"), F.col(b_xy[1]).alias("y"))
-           .unionByName(a.select(F.col(xy[0]).alias("x"), F.col(xy[1]).alias("y"))))
-    lo_x, hi_x, lo_y, hi_y = box.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if lo_x is None:
-        return 1.0, 1.0
-    diagonal = max(((hi_x - lo_x) ** 2 + (hi_y - lo_y) ** 2) ** 0.5, 1e-9)
-    sizes = F.explode(F.sequence(F.lit(0), F.lit(20)))
-    cells = targets.withColumn("_l", sizes)
-    side = F.lit(diagonal) / F.pow(F.lit(2.0), F.col("_l"))
-    busy = (cells.withColumn("_cx", F.floor(F.col(b_xy[0]) / side)).withColumn("_cy", F.floor(F.col(b_xy[1]) / side))
-            .groupBy(*within, "_l", "_cx", "_cy").count().groupBy("_l").agg(F.max("count").alias("most"))
-            .filter(F.col("most") <= 16 * k).agg(F.min("_l")).first()[0])
-    level = 20 if busy is None else busy
-    return diagonal / 2**level, diagonal * 1.0001
+    targets = cut(top_k(placed, [*within, *b_xy], [F.col(b_pk)], k, "_at").drop("_at"), "targets")
+    lo_x, hi_x, lo_y, hi_y = targets.agg(F.min(bx), F.max(bx), F.min(by), F.max(by)).first()
+    side = max(hi_x - lo_x, hi_y - lo_y, 1e-9) if lo_x is not None else 1.0
+    at = lambda v, low: F.least(F.floor((v - F.lit(low or 0.0)) / F.lit(side) * 2**FINEST), F.lit(2**FINEST - 1)).cast("long")
+    targets = targets.withColumns({"_fx": at(bx, lo_x), "_fy": at(by, lo_y)})
+    last = _last_level(targets, within, k)
+    up = lambda c, level: F.shiftright(c, FINEST - level)
+    box = {"_x0": F.min(bx), "_x1": F.max(bx), "_y0": F.min(by), "_y1": F.max(by)}
+    finest = cut(targets.groupBy(*within, "_fx", "_fy").agg(F.count(F.lit(1)).alias("_n"), *[f.alias(n) for n, f in box.items()]), "cells")
+
+    def cells(level: int, above: int) -> DataFrame:
+        own = finest.withColumns({"_cx": up(F.col("_fx"), level), "_cy": up(F.col("_fy"), level)})
+        merged = own.groupBy(*within, "_cx", "_cy").agg(F.sum("_n").alias("_n"), F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
+                                                        F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"))
+        return merged.withColumns({"_px": F.shiftright("_cx", level - above), "_py": F.shiftright("_cy", level - above)})
+
+    zero = F.lit(0).cast("long")
+    front = a.select(*within, a_pk, *xy).withColumns({"_px": zero, "_py": zero})
+    near_by = F.hypot(F.greatest(F.col("_x0") - x, x - F.col("_x1"), F.lit(0.0)), F.greatest(F.col("_y0") - y, y - F.col("_y1"), F.lit(0.0)))
+    far_off = F.hypot(F.greatest(x - F.col("_x0"), F.col("_x1") - x), F.greatest(y - F.col("_y0"), F.col("_y1") - y))
+    certain = W.partitionBy(a_pk).orderBy("_far").rangeBetween(W.unboundedPreceding, W.currentRow)
+    slack = 1 + 1e-9
+    levels = [0, *range(2 - last % 2, last + 1, 2)] if last else [0]
+    for above, level in zip([0, *levels], levels):
+        met = front.join(cells(level, above), [*within, "_px", "_py"]).withColumns({"_near": near_by, "_far": far_off})
+        if cutoff is not None:
+            met = met.filter(F.col("_near") <= cutoff)
+        if level:
+            met = met.withColumn("_sure", F.when(F.sum("_n").over(certain) >= k, F.col("_far")))
+            met = met.withColumn("_reach", F.min("_sure").over(W.partitionBy(a_pk)))
+            met = met.filter(F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach") * slack))
+        front = met.select(*within, a_pk, *xy, F.col("_cx").alias("_px"), F.col("_cy").alias("_py"))
+    located = targets.withColumns({"_px": up(F.col("_fx"), levels[-1]), "_py": up(F.col("_fy"), levels[-1])}).drop("_fx", "_fy")
+    found = front.join(located, [*within, "_px", "_py"]).withColumn("distance", plane_distance(x, y, bx, by))
+    if cutoff is not None:
+        found = found.filter(F.col("distance") <= cutoff)
+    return top_k(found.select(a_pk, b_pk, "distance"), [a_pk], [F.col("distance"), F.col(b_pk)], k, "neighbor")
+
+
+def _last_level(targets: DataFrame, within: list, k: int) -> int:
+    """The coarsest level at which no cell holds more than a few times k targets."""
+    cells = targets.groupBy(*within, "_fx", "_fy").count().withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(FINEST))))
+    up = lambda c: F.expr(f"shiftright({c}, {FINEST} - _l)")
+    busy = (cells.groupBy(*within, "_l", up("_fx").alias("_cx"), up("_fy").alias("_cy")).agg(F.sum("count").alias("n"))
+            .groupBy("_l").agg(F.max("n").alias("most")).filter(F.col("most") <= 16 * k).agg(F.min("_l")).first()[0])
+    return FINEST if busy is None else busy
 
 
 def outlier_cutoff(df: DataFrame, distance: str = "distance") -> DataFrame:

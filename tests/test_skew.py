@@ -140,3 +140,16 @@ def test_pieces_are_even_wherever_the_values_lie(spark):
     sizes = [r["count"] for r in cut_up.collect()]
     assert len(sizes) == 40 and max(sizes) <= 3 * sum(sizes) / len(sizes)
     spark.conf.unset("popweave.spread")
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_far_rows_do_not_meet_a_whole_dense_place(spark, k):
+    import random
+    r = random.Random(4)
+    targets = [(i, 500 + r.gauss(0, 1), 500 + r.gauss(0, 1)) for i in range(2000)] + [(9000, 0.0, 1000.0)]
+    far = [(i, r.uniform(0, 60), r.uniform(0, 60)) for i in range(300)]
+    near = nearest(spark.createDataFrame(far, "a int, x double, y double"), "a", spark.createDataFrame(targets, "b int, bx double, by double"), "b", k)
+    got = {(r["a"], r["neighbor"]): r["b"] for r in near.collect()}
+    for i, x, y in far:
+        order = sorted(((x - bx) ** 2 + (y - by) ** 2, j) for j, bx, by in targets)[:k]
+        assert [got[i, n + 1] for n in range(k)] == [j for _, j in order]
