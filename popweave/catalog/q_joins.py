@@ -11,9 +11,9 @@ from popweave.operators.hot import lookup
 
 
 @query("jn_01", """
-SELECT o_orderkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""")
+SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey * 2""")
 def jn_01(t):
-    c = t.customer.filter("c_acctbal > 0").select("c_custkey", "c_name")
+    c = t.customer.select((F.col("c_custkey") * 2).alias("c_custkey"), "c_name")
     return lookup(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", c, "c_custkey", "left").select("o_orderkey", "c_name")
 
 
@@ -25,31 +25,30 @@ def jn_02(t):
 
 
 @query("jn_03", """
-WITH s AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 300000 GROUP BY 1) SELECT c_custkey, n FROM s RIGHT JOIN customer ON o_custkey = c_custkey""")
+WITH s AS (SELECT o_custkey * 2 AS o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT c_custkey, n FROM s RIGHT JOIN customer ON o_custkey = c_custkey""")
 def jn_03(t):
-    counts = t.orders.filter("o_totalprice > 300000").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    counts = t.orders.groupBy((F.col("o_custkey") * 2).alias("o_custkey")).agg(F.count(F.lit(1)).alias("n"))
     keyed = joins.require_unique(t.customer.select("c_custkey"), ["c_custkey"])
     return counts.join(keyed, F.col("o_custkey") == F.col("c_custkey"), "right").select("c_custkey", "n")
 
 
 @query("jn_04", """
-WITH a AS (SELECT l_partkey, count(*) AS units FROM lineitem WHERE l_quantity > 45 GROUP BY 1), b AS (SELECT p_partkey, p_size FROM part WHERE p_size > 10)
+WITH a AS (SELECT l_partkey * 2 AS l_partkey, count(*) AS units FROM lineitem GROUP BY 1), b AS (SELECT p_partkey, p_size FROM part)
 SELECT coalesce(l_partkey, p_partkey) AS partkey, coalesce(units, 0) AS units, coalesce(p_size, 0) AS p_size FROM a FULL JOIN b ON l_partkey = p_partkey""")
 def jn_04(t):
-    a = t.lineitem.filter("l_quantity > 45").groupBy(F.col("l_partkey").alias("partkey")).agg(F.count(F.lit(1)).alias("units"))
-    b = t.part.filter("p_size > 10").select(F.col("p_partkey").alias("partkey"), "p_size")
+    a = t.lineitem.groupBy((F.col("l_partkey") * 2).alias("partkey")).agg(F.count(F.lit(1)).alias("units"))
+    b = t.part.select(F.col("p_partkey").alias("partkey"), "p_size")
     return a.join(b, "partkey", "full").fillna(0, ["units", "p_size"])
 
 
 @query("jn_05", """
-WITH a AS (SELECT CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE l_partkey END AS k, count(*) AS left_n FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 30 GROUP BY 1),
-b AS (SELECT CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE l_partkey END AS k, count(*) AS right_n FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 30 GROUP BY 1)
+WITH a AS (SELECT CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE l_partkey END AS k, count(*) AS left_n FROM lineitem GROUP BY 1),
+b AS (SELECT CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE o_custkey * 2 END AS k, count(*) AS right_n FROM orders GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, left_n, right_n, CASE WHEN left_n IS NOT NULL AND right_n IS NOT NULL THEN 'both' WHEN left_n IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS merge_state
 FROM a FULL JOIN b ON coalesce(a.k, -1) = coalesce(b.k, -1)""")
 def jn_05(t):
-    key = F.when(F.col("l_partkey") % 50 != 0, F.col("l_partkey")).alias("k")
-    side = lambda f, n: t.lineitem.filter((F.col("l_returnflag") == f) & (F.col("l_quantity") > 30)).groupBy(key).agg(F.count(F.lit(1)).alias(n))
-    return joins.outer_indicator(side("A", "left_n"), side("N", "right_n"), ["k"])
+    side = lambda df, key, times, n: df.groupBy(F.when(F.col(key) % 50 != 0, F.col(key) * times).alias("k")).agg(F.count(F.lit(1)).alias(n))
+    return joins.outer_indicator(side(t.lineitem, "l_partkey", 1, "left_n"), side(t.orders, "o_custkey", 2, "right_n"), ["k"])
 
 
 @query("jn_06", "SELECT l_partkey, l_suppkey, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -159,10 +158,9 @@ def st_02(t):
 
 
 @query("st_03", """
-SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40 INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 40 INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40""")
+SELECT l_partkey FROM lineitem INTERSECT SELECT o_custkey * 2 FROM orders INTERSECT SELECT p_partkey * 3 FROM part""")
 def st_03(t):
-    side = lambda f: t.lineitem.filter((F.col("l_returnflag") == f) & (F.col("l_quantity") > 40)).select("l_partkey")
-    return side("A").intersect(side("N")).intersect(side("R"))
+    return t.lineitem.select("l_partkey").intersect(t.orders.select(F.col("o_custkey") * 2)).intersect(t.part.select(F.col("p_partkey") * 3))
 
 
 @query("st_04", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")

@@ -179,12 +179,12 @@ def pl_18(t):
 
 
 @query("pl_27", f"""
-WITH {UNITS_SQL}, u AS (SELECT c_custkey, tract, c_custkey % 5 AS race, c_custkey % 2 AS his FROM units), {SLOTS_SQL}, j AS (SELECT o_orderkey, n_regionkey AS j_tract, o_orderkey % 6 AS j_race, o_orderkey % 2 AS j_his FROM slots JOIN nation ON block = n_nationkey WHERE o_totalprice > 450000),
+WITH {UNITS_SQL}, u AS (SELECT c_custkey, tract, c_custkey % 5 AS race, c_custkey % 2 AS his FROM units), {SLOTS_SQL}, j AS (SELECT o_orderkey, n_regionkey AS j_tract, o_orderkey % 6 AS j_race, o_orderkey % 2 AS j_his FROM slots JOIN nation ON block = n_nationkey),
 a AS (SELECT *, row_number() OVER (PARTITION BY tract, race, his ORDER BY md5(concat_ws('|', c_custkey, 9)), c_custkey) AS rk FROM u), b AS (SELECT *, row_number() OVER (PARTITION BY j_tract, j_race, j_his ORDER BY md5(concat_ws('|', o_orderkey, 9)), o_orderkey) AS rk FROM j)
 SELECT c_custkey, o_orderkey, CASE WHEN o_orderkey IS NOT NULL THEN 'job linked' ELSE 'no job' END AS availability FROM a LEFT JOIN b ON tract = j_tract AND race = j_race AND his = j_his AND a.rk = b.rk""")
 def pl_27(t):
     homes = units(t).select("c_custkey", "tract", (F.col("c_custkey") % 5).alias("race"), (F.col("c_custkey") % 2).alias("his"))
-    jobs = slots(t).filter("o_totalprice > 450000").join(t.nation, F.col("block") == F.col("n_nationkey")).select(
+    jobs = slots(t).join(t.nation, F.col("block") == F.col("n_nationkey")).select(
         "o_orderkey", F.col("n_regionkey").alias("j_tract"), (F.col("o_orderkey") % 6).alias("j_race"), (F.col("o_orderkey") % 2).alias("j_his"))
     merged = random_merge(Side(homes, "c_custkey"), Side(jobs, "o_orderkey"), Round("tract", [("tract", "tract", "j_tract"), ("race", "race", "j_race"), ("his", "his", "j_his")]), 9)
     return merged.filter("c_custkey IS NOT NULL").select("c_custkey", "o_orderkey", F.when(F.col("o_orderkey").isNotNull(), "job linked").otherwise("no job").alias("availability"))
