@@ -8,10 +8,11 @@
    families are cut into groups of bounded size, each with the centre.
 3. In a group the matrix of tokens and members gives all overlaps exactly; links become components.
 4. For parts that still stand in several components, each class is a query against the other groups there.
-   The overlap with a group's token union bounds the overlap with every member: only groups that reach
-   the threshold are opened.  Links found there join the components.
+   The parts it shares with a group bound those it shares with a member, and the overlap with the group's
+   token union bounds the overlap with every member: only groups that reach both are opened.  Links found
+   there join the components.
 
-Classes that share no part cannot link, so nothing is missed; copies and near copies meet one centre each,
+Classes that share too few parts cannot link, so nothing is missed; copies and near copies meet one centre each,
 never each other in pairs.
 """
 
@@ -116,14 +117,14 @@ def _tail(mean: float, k: int) -> float:
     return max(0.0, 1 - total)
 
 
-def part_signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of the parts of a set, for each band it may meet others in.
+def part_signatures(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """Hashes of the parts of a set, for each band it may meet others in, and how many it shares with any linked set.
 
     Two linked sets agree in more than ``spare`` parts of their band.  Empty parts say nothing and are left
     out, unless a set has more than ``spare`` of them: then all the parts two sets agree in may be empty,
     in both, and both give their empty parts as well.
     """
-    found = []
+    found, need = [], 1 << 30
     sums = np.zeros(len(tokens) + 1, dtype=_U)
     np.cumsum(tokens, out=sums[1:])
     for number, parts, spare, _ in bands(num, den, len(tokens)):
@@ -131,11 +132,13 @@ def part_signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
         edge = np.searchsorted(part, np.arange(parts + 1, dtype=_U))
         body = sums[edge[1:]] - sums[edge[:-1]]
         full = edge[1:] > edge[:-1]
-        if parts - int(full.sum()) > spare:
+        empty = parts - int(full.sum())
+        need = min(need, max(1, 1 + spare - empty))
+        if empty > spare:
             full = np.ones(parts, dtype=bool)
         where = mix((np.arange(parts, dtype=_U) << _U(20)) + _U(number + 1))
         found.append(mix(body[full] ^ where[full]))
-    return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+    return (np.concatenate(found).view(np.int64), need) if found else (np.zeros(0, np.int64), 1)
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[list[np.ndarray]]:
@@ -158,20 +161,23 @@ def document_classes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def class_parts(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(sig, cls) of every class; a class that a task meets again gives no further rows there."""
+    """(sig, cls, need) of every class; a class that a task meets again gives no further rows there."""
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in it:
             for sets in _sets(batch.column(0), width):
-                sig, cls = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                sig, cls, needs = ([np.zeros(0, np.int64)] for _ in range(3))
                 for s in sets:
                     if len(s) and (c := class_of(s)) not in seen:
                         seen.add(c)
-                        sig.append(part_signatures(s, num, den))
-                        cls.append(np.full(len(sig[-1]), c))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig)), pa.array(np.concatenate(cls))], names=["sig", "cls"])
+                        own, need = part_signatures(s, num, den)
+                        sig.append(own)
+                        cls.append(np.full(len(own), c))
+                        needs.append(np.full(len(own), need))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig)), pa.array(np.concatenate(cls)),
+                                                  pa.array(np.concatenate(needs).astype(np.int32))], names=["sig", "cls", "need"])
 
-    return docs.select("text").mapInArrow(batches, "sig long, cls long")
+    return docs.select("text").mapInArrow(batches, "sig long, cls long, need int")
 
 
 class Matrix:
@@ -264,8 +270,12 @@ def link_components(docs: DataFrame, classes: DataFrame, width: int, num: int, d
     sizes = classes.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     sig = class_parts(docs, width, num, den)
     bucket = Window.partitionBy("sig")
-    parts = cut(sig.select("sig", "cls", F.min("cls").over(bucket).alias("hub"), F.max("cls").over(bucket).alias("top"))
-                .where(F.col("hub") < F.col("top")).select("sig", "cls", "hub").distinct(), "parts")
+    ends = [F.min("cls").over(bucket).alias("hub"), F.max("cls").over(bucket).alias("top")]
+    shared = cut(sig.select("sig", "cls", "need", *ends).where(F.col("hub") < F.col("top")).select("sig", "cls", "need").distinct(), "shared")
+    # a class that shares fewer parts with all others than it must share with a linked one has no links
+    able = shared.groupBy("cls").agg(F.count("*").alias("n"), F.max("need").alias("need")).where(F.col("n") >= F.col("need"))
+    parts = cut(shared.join(able.select("cls"), "cls", "left_semi").select("sig", "cls", "need", *ends)
+                .where(F.col("hub") < F.col("top")).drop("top"), "parts")
     home, chunks = _groups(parts, sizes)
     home = cut(home, "groups")
     centres = (chunks.join(sizes, chunks["fam"] == sizes["cls"])
@@ -279,15 +289,16 @@ def link_components(docs: DataFrame, classes: DataFrame, width: int, num: int, d
     links = cut(members.groupBy("fam", "chunk").applyInPandas(inside, "a long, b long"), "links")
     first = components(links)
     placed = home.join(first, home["cls"] == first["node"], "left").select("cls", "fam", "chunk", F.coalesce("root", "cls").alias("comp"))
-    spread = parts.select("sig", "cls").join(placed, "cls")
+    spread = parts.select("sig", "cls", "need").join(placed, "cls")
     open_ = cut(spread.select("*", F.min("comp").over(bucket).alias("lo"), F.max("comp").over(bucket).alias("hi"))
                 .where(F.col("lo") < F.col("hi")).drop("lo", "hi"), "open")
     there = open_.groupBy("sig", "fam", "chunk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    asking = open_.select("sig", F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("fam").alias("q_fam"), F.col("chunk").alias("q_chunk"))
+    asking = open_.select("sig", "need", F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("fam").alias("q_fam"), F.col("chunk").alias("q_chunk"))
     asked = cut(asking.join(there, "sig").where(
         ((F.col("q_fam") < F.col("fam")) | (F.col("q_fam") == F.col("fam")) & (F.col("q_chunk") < F.col("chunk")))
         & ((F.col("lo") != F.col("q_comp")) | (F.col("hi") != F.col("q_comp")))
-    ).select("q", "q_fam", "q_chunk", "fam", "chunk").distinct(), "asked")
+    ).groupBy("q", "q_fam", "q_chunk", "fam", "chunk").agg(F.count("*").alias("n"), F.max("need").alias("need"))
+        .where(F.col("n") >= F.col("need")).drop("n", "need"), "asked")
     if asked.isEmpty():
         return first
     own = members.select(F.col("fam").alias("q_fam"), F.col("chunk").alias("q_chunk"), F.col("cls").alias("q"), F.col("text").alias("asked_text"))

@@ -214,11 +214,16 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", label_col: str =
                  pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["y", "ids", "x"])
 
     sample = own.where(F.col("i").isin(picked)).select("t", F.col("y").cast("string").alias("y")).mapInArrow(featurise, "y string, ids array<int>, x array<float>")
-    rows = sorted(((r["y"], r["ids"], r["x"]) for r in sample.limit(2 * SAMPLE).toLocalIterator() if r["ids"]), key=lambda r: (r[0], len(r[1]), r[1][:8], r[2][:8]))
+    got = sample.limit(2 * SAMPLE).toArrow().combine_chunks()
+    lists = [(got[c].combine_chunks() if isinstance(got[c], pa.ChunkedArray) else got[c]) for c in ("ids", "x")]
+    ends = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    ids, x = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
+    rows = sorted(((y, ids[a:b], x[a:b]) for y, a, b in zip(got["y"].to_pylist(), ends[:-1], ends[1:]) if b > a),
+                  key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     labels = sorted({r[0] for r in rows})
     if not labels:
         return Model([], idf, np.zeros((_SIZE, 0)), np.zeros(0))
-    vectors = [(np.array(r[1]), np.array(r[2], dtype=float)) for r in rows]
+    vectors = [r[1:] for r in rows]
     y = np.array([labels.index(r[0]) for r in rows])
     held = np.arange(len(rows)) % 5 == 4
     w, b = ftrl([v for v, h in zip(vectors, held) if not h], y[~held], len(labels))
