@@ -48,7 +48,9 @@ def test_community_keeps_every_unit(spark):
 
 def test_final_person_table_keeps_everyone(spark):
     out = run(spark, "pl_18")
-    assert out.filter("precid is not null").select("precid").distinct().count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+    inside = out.filter("precid not like '%PJ%'")
+    assert inside.select("precid").distinct().count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert out.filter("jobid is not null").select("jobid").distinct().count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
 
 
 def test_allocation_follows_place_and_tenure(spark):
