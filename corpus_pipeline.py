@@ -11,11 +11,13 @@ from popweave.session import cut
 
 #: Calibrated probability below which a language is not trusted; it is far below what running text of a known language gets.
 MIN_LANGUAGE_SCORE = 0.4
+#: Characters below which a text is too short to be distrusted.
+SHORT_TEXT = 80
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters (null and empty ones too) and texts of no trusted language; changes no row.
+    """Drops texts without letters (null and empty ones too) and longer texts of no trusted language; changes no row.
 
     The model learns from the labelled rows of ``docs``.  If none is labelled nothing can be told apart, and
     only texts without letters go.
@@ -24,7 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.labels:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     named = language.identify(docs, model, lang_out="_language", score_out="_language_score")
-    return named.where((F.col("_language") != language.UNKNOWN) & (F.col("_language_score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    trusted = (F.col("_language_score") >= MIN_LANGUAGE_SCORE) | (F.length("text") < SHORT_TEXT)
+    return named.where((F.col("_language") != language.UNKNOWN) & trusted).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
