@@ -3,8 +3,9 @@
 A small network sees the words around a place, two on each side, and predicts the word that stands there;
 the sum of the log-probabilities of all words of a document is its score.  The vocabulary comes from word
 counts over the whole corpus; words outside it are told apart by their length only.  Every word is a
-cluster and a place in the cluster, so a prediction costs two short softmaxes.  The network is trained in
-numpy on places drawn from every part of the corpus; the draw grows with the corpus up to ``SAMPLE``.
+cluster and a place in the cluster, so a prediction costs two short softmaxes.  The driver begins the network
+in numpy on a draw of at most ``SAMPLE`` places; then every place of the corpus is learned from, as often as
+it occurs: tasks train copies of that network on shards of the texts and Spark averages them.
 """
 
 from __future__ import annotations
@@ -28,10 +29,16 @@ EDGE = VOCABULARY + OTHERS
 HIDDEN = 24
 #: Words seen on each side.
 SIDE = 2
-#: Places the network is trained on, at most.
+#: Places the network begins with on the driver, at most.
 SAMPLE = 200_000
-#: Equal places that count, so that copied passages do not rule the training.
+#: Equal places that count in the beginning, so that copied passages do not rule it.
 REPEATS = 8
+#: Places of a shard, about; the number of shards grows with the corpus.
+SHARD = 2_000_000
+#: Places shuffled together, and places of a step, in a shard.
+MIXED, STEP = 1 << 16, 4096
+#: Parts in which Spark averages the networks of the shards.
+PARTS = 128
 #: Words scored at once.
 BATCH = 16384
 
@@ -82,6 +89,7 @@ class Network:
             "near": r.normal(0, 0.1, (2 * SIDE, SIZE, HIDDEN)), "near_b": np.zeros(HIDDEN),
             "cluster": r.normal(0, 0.1, (HIDDEN, CLUSTERS)), "cluster_b": np.zeros(CLUSTERS),
             "inside": r.normal(0, 0.1, (CLUSTERS, HIDDEN, CLUSTERS)), "inside_b": np.zeros((CLUSTERS, CLUSTERS))}
+        self.seen = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         p = self.p
@@ -110,9 +118,9 @@ class Network:
         return out
 
     def train(self, around: np.ndarray, ids: np.ndarray, epochs: int = 2, rows: int = 512, rate: float = 0.3, seed: int = 4) -> None:
-        """Adagrad on shuffled places."""
+        """Adagrad on shuffled places; the sums of squares are kept in ``seen``."""
         p, r = self.p, np.random.default_rng(seed)
-        seen = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+        seen = self.seen
 
         def step(key, at, g):
             seen[key][at] += g * g
@@ -148,8 +156,55 @@ class Network:
                     seen["near"][k, word] += g * g
                     p["near"][k, word] -= rate * 0.3 * g / np.sqrt(seen["near"][k, word])
 
+    def advance(self, around: np.ndarray, ids: np.ndarray, rate: float = 0.09) -> None:
+        """One Adagrad step on all the places given, in the order of their clusters."""
+        p, seen, n = self.p, self.seen, np.float32(len(ids))
+
+        def step(key, at, g):
+            s = seen[key]
+            s[at] += g * g
+            p[key][at] -= rate * g / np.sqrt(s[at])
+
+        order = np.argsort((ids % CLUSTERS).astype(np.int16), kind="stable")
+        near, own = around[:, order], ids[order]
+        cluster, place = own % CLUSTERS, own // CLUSTERS
+        edge = np.searchsorted(cluster, np.arange(CLUSTERS + 1)).tolist()
+        h = self.hidden(near)
+        q = _softmax(h @ p["cluster"] + p["cluster_b"])
+        q[np.arange(len(own)), cluster] -= 1
+        dh = q @ p["cluster"].T
+        for c in range(CLUSTERS):
+            a, b = edge[c], edge[c + 1]
+            if a == b:
+                continue
+            u = _softmax(h[a:b] @ p["inside"][c] + p["inside_b"][c])
+            u[np.arange(b - a), place[a:b]] -= 1
+            dh[a:b] += u @ p["inside"][c].T
+            step("inside", c, h[a:b].T @ u / n)
+            step("inside_b", c, u.sum(axis=0) / n)
+        step("cluster", slice(None), h.T @ q / n)
+        step("cluster_b", slice(None), q.sum(axis=0) / n)
+        dh *= (1 - h * h) / n
+        step("near_b", slice(None), dh.sum(axis=0))
+        for k in range(2 * SIDE):
+            by = np.argsort(near[k].astype(np.int16), kind="stable")
+            word = near[k][by]
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            step("near", (k, word[first]), np.add.reduceat(dh[by], first, axis=0))
+
     def compact(self) -> Network:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self.seen = {k: v.astype(np.float32) for k, v in self.seen.items()}
+        return self
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()]).astype(np.float64)
+
+    def fill(self, flat: np.ndarray) -> Network:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = flat[at:at + v.size].reshape(v.shape).astype(v.dtype)
+            at += v.size
         return self
 
 
@@ -158,6 +213,13 @@ def _log_sum(s: np.ndarray) -> np.ndarray:
     return m + np.log(np.exp(s - m[:, None]).sum(axis=1))
 
 
+def _softmax(s: np.ndarray) -> np.ndarray:
+    s -= s.max(axis=1, keepdims=True)
+    np.exp(s, out=s)
+    s /= s.sum(axis=1, keepdims=True)
+    return s
+
+
 def training_places(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], total: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Neighbours and words of about ``SAMPLE`` places (all, if there are fewer), drawn by a hash of what stands there.
 
@@ -188,6 +250,78 @@ def training_places(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], total
     return np.repeat(around, times, axis=0).T, np.repeat(got["word"].to_numpy().astype(np.int64), times)
 
 
+def train_on_all(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], total: int, network: Network,
+                 text_col: str = "text", id_col: str = "doc_id") -> Network:
+    """The network after every place of the corpus, each as often as it occurs.
+
+    Texts go as word numbers to shards by their hash (and that of their id, so that copies are spread).  Every
+    shard trains a copy of ``network`` on its places in the order of the hashes; the copies' changes are
+    averaged by places in Spark, and only the average comes to the driver.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((words, network))
+    shards = max(1, -(-total // SHARD))
+
+    def number(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, _ = shared.value
+        for batch in it:
+            data, offsets, _ = buffers(batch.column(1))
+            at = 0
+            for lo, hi in slices(offsets):
+                w = Words(data, offsets[lo:hi + 1], ALNUM)
+                ids = numbers(w, known).astype(np.int16).tobytes()
+                edge = (2 * w.first).tolist()
+                own = batch.column(0).slice(at, hi - lo)
+                at += hi - lo
+                yield pa.RecordBatch.from_arrays([own, pa.array([ids[a:b] for a, b in zip(edge, edge[1:])], pa.binary())], names=["id", "ids"])
+
+    def learn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = shared.value[1]
+        net = Network.__new__(Network)
+        net.p, net.seen = ({k: v.copy() for k, v in x.items()} for x in (begun.p, begun.seen))
+        r, n = np.random.default_rng(5), 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def run(held):
+            around, ids = (np.concatenate(x, axis=-1) for x in zip(*held))
+            order = r.permutation(len(ids))
+            for i in range(0, len(ids), STEP):
+                net.advance(around[:, order[i:i + STEP]], ids[order[i:i + STEP]])
+
+        size = 0
+        for batch in it:
+            for row in batch.column(0):
+                ids = np.frombuffer(row.as_buffer(), np.int16).astype(np.int64)
+                around = contexts(ids, np.array([0, len(ids)]))
+                for i in range(0, len(ids), MIXED):
+                    held.append((around[:, i:i + MIXED], ids[i:i + MIXED]))
+                    size += len(held[-1][1])
+                    if size >= MIXED:
+                        run(held)
+                        held, size = [], 0
+                n += len(ids)
+        if held:
+            run(held)
+        if n:
+            parts = np.array_split((net.flat() - begun.flat()) * n, PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([n] * PARTS, pa.int64()),
+                                              pa.array([x.astype(np.float32).tobytes() for x in parts], pa.binary())], names=["part", "n", "change"])
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n", "ascending"), ("change", "ascending")])
+        change = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in table["change"])
+        return pa.table({"part": table["part"][:1].cast(pa.int32()), "n": pa.array([sum(table["n"].to_pylist())], pa.int64()),
+                         "change": pa.array([change.tobytes()], pa.binary())})
+
+    own = F.xxhash64(F.col(id_col)) if id_col in docs.columns else F.lit(0).cast("long")
+    texts = docs.select(own.alias("id"), F.col(text_col).alias("text")).mapInArrow(number, "id long, ids binary").where(F.length("ids") > 0)
+    dealt = texts.withColumn("at", F.xxhash64("id", "ids")).repartition(shards, "at").sortWithinPartitions("at", "id", "ids")
+    learned = dealt.select("ids").mapInArrow(learn, "part int, n long, change binary")
+    rows = learned.groupBy("part").applyInArrow(add, "part int, n long, change binary").orderBy("part").collect()
+    if rows:
+        network.fill(network.flat() + np.concatenate([np.frombuffer(x["change"]) / x["n"] for x in rows]))
+    return network
+
+
 def fit(docs: DataFrame, text_col: str = "text") -> tuple[tuple[np.ndarray, np.ndarray], Network]:
     """Vocabulary and network of a corpus; from an empty corpus an untrained network."""
     counts = cut(word_counts(docs, text_col), "words")
@@ -200,7 +334,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[tuple[np.ndarray, np.n
     around, ids = training_places(docs, words, total, text_col)
     if len(ids):
         network.train(around, ids)
-    return words, network.compact()
+    return words, train_on_all(docs, words, total, network.compact(), text_col)
 
 
 def score(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -142,6 +142,24 @@ def test_lm_counts_every_word(spark):
     assert got == len(words_of([r["text"] for r in docs.collect()], ALNUM).hash)
 
 
+def test_lm_learns_from_all_places(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(lm_score, "SAMPLE", 2000)
+    monkeypatch.setattr(lm_score, "SHARD", 100_000)
+    words, net = lm_score.fit(docs.repartition(3))
+    total = lm_score.word_counts(docs).agg(F.sum("n")).first()[0]
+    around, ids = lm_score.training_places(docs, words, total)
+    begun = lm_score.Network()
+    begun.train(around, ids)
+    begun.compact()
+    w = words_of(list(texts().text), ALNUM)
+    ids = lm_score.numbers(w, words)
+    around = lm_score.contexts(ids, w.first)
+    assert net.log_probability(around, ids).mean() > begun.log_probability(around, ids).mean() + 0.2
+    again = lm_score.fit(docs.repartition(7))[1]
+    assert all(np.allclose(net.p[k], again.p[k], atol=1e-5) for k in net.p)
+
+
 def test_lm_neighbours_stay_inside_a_text():
     w = words_of(["a b c", "", "d"], ALNUM)
     ids = np.arange(4)
