@@ -167,9 +167,9 @@ def jobs_from_margins(wide: DataFrame, block: str, total: str, stems: dict[str,
     """One row per job whose trait margins equal the block's counts.
 
     For each trait the counted values are opened into rows, ordered at random
-    inside the block and given to the block's jobs by number.  Values beyond the
-    number of jobs are dropped and missing ones stay null, which is what the
-    margin comparison reports.
+    inside the block and given to the block's jobs by number.  Where a trait has
+    fewer values than jobs the rest stay null; surplus values are rows of their
+    own, with job numbers beyond the block's total.
     """
     jobs = expand_rows(wide.select(block, total), total, "job")
     for i, (stem, name) in enumerate(stems.items()):
@@ -177,8 +177,9 @@ def jobs_from_margins(wide: DataFrame, block: str, total: str, stems: dict[str,
         values = values.withColumn(name, F.regexp_replace("_code", f"^{stem}", "").cast("int")).drop("_code")
         opened = expand_rows(values, "_n", "_copy")
         ranked = random_rank(cut(opened, "values"), [block], [block, name, "_copy"], seed + i, out="job").select(block, "job", name)
-        jobs = jobs.join(ranked, [block, "job"], "left")
-    return jobs
+        jobs = jobs.unionByName(ranked, allowMissingColumns=True)
+    # A block and job has at most one value of each trait.
+    return jobs.groupBy(block, "job").agg(*[F.max(name).alias(name) for name in stems.values()])
 
 
 def combine_segments(lists: DataFrame, block: str, ids: list[str], segment: str, segments: list[str], lead: str, seed: int) -> DataFrame:

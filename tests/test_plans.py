@@ -83,6 +83,14 @@ def test_best_seed_is_really_the_best(spark):
         assert len(mine) == 4 and mine[0]["fitness"] == min(fits)
 
 
+def test_jobs_from_margins_keep_surplus_values(spark):
+    wide = spark.createDataFrame([("b", 2, 2, 2, 1, 0), ("c", 0, 0, 1, 0, 2), (None, 1, 1, 0, 1, 0)], "block string, C000 int, CA01 int, CA02 int, CE01 int, CE02 int")
+    out = jobs.jobs_from_margins(wide, "block", "C000", {"CA": "Age", "CE": "Earnings"}, 1)
+    assert rows(out, "block", "job") == [("b", 1), ("b", 2), ("b", 3), ("b", 4), ("c", 1), ("c", 2), (None, 1)]
+    assert rows(out.filter("Age is not null").groupBy("block", "Age").count()) == [("b", 1, 2), ("b", 2, 2), ("c", 2, 1), (None, 1, 1)]
+    assert rows(out.filter("Earnings is not null").groupBy("block", "Earnings").count()) == [("b", 1, 1), ("c", 2, 2), (None, 1, 1)]
+
+
 def test_jobs_from_margins_match_counts(spark):
     wide = spark.createDataFrame([("b", 5, 2, 3, 4, 1), ("c", 2, 2, 0, 1, 0)], "block string, C000 int, CA01 int, CA02 int, CE01 int, CE02 int")
     out = jobs.jobs_from_margins(wide, "block", "C000", {"CA": "Age", "CE": "Earnings"}, 1)
