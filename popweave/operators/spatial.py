@@ -67,7 +67,8 @@ def nearest(a: DataFrame, a_pk: str, b: DataFrame, b_pk: str, k: int = 1, cutoff
     """The k nearest rows of ``b`` for each row of ``a``, with distance and number.
 
     ``cutoff`` is the largest allowed distance.  ``within`` names columns that
-    must be equal on both sides.  The targets lie in a hierarchy of grids whose
+    must be equal on both sides.  Rows of either side without a place have no
+    neighbours.  The targets lie in a hierarchy of grids whose
     cells know how many they hold and in which box.  Every row goes from coarse
     to fine cells and keeps those that may hold one of its k nearest: cells no
     farther than the greatest distance within which k targets are certain.  Only
@@ -94,7 +95,7 @@ def nearest(a: DataFrame, a_pk: str, b: DataFrame, b_pk: str, k: int = 1, cutoff
         return merged.withColumns({"_px": F.shiftright("_cx", level - above), "_py": F.shiftright("_cy", level - above)})
 
     zero = F.lit(0).cast("long")
-    front = a.select(*within, a_pk, *xy).withColumns({"_px": zero, "_py": zero})
+    front = a.select(*within, a_pk, *xy).filter(x.isNotNull() & y.isNotNull()).withColumns({"_px": zero, "_py": zero})
     near_by = F.hypot(F.greatest(F.col("_x0") - x, x - F.col("_x1"), F.lit(0.0)), F.greatest(F.col("_y0") - y, y - F.col("_y1"), F.lit(0.0)))
     far_off = F.hypot(F.greatest(x - F.col("_x0"), F.col("_x1") - x), F.greatest(y - F.col("_y0"), F.col("_y1") - y))
     certain = W.partitionBy(a_pk).orderBy("_far").rangeBetween(W.unboundedPreceding, W.currentRow)

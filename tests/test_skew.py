@@ -96,6 +96,14 @@ def test_reuse_gives_every_row_a_partner(spark, reuse):
     assert max(uses) - min(uses) <= 1
 
 
+def test_nearest_leaves_out_rows_without_a_place(spark, paths):
+    from popweave.plans.links import link_nearest
+    a = spark.createDataFrame([(1, None, 1.0), (2, 1.0, None), (3, None, None), (4, 1.0, 1.0)], "a int, x double, y double")
+    b = spark.createDataFrame([(1, 1.0, 2.0), (2, 5.0, 5.0), (3, None, 1.0)], "b int, bx double, by double")
+    assert rows(nearest(a, "a", b, "b", 2), "a", "b") == [(4, 1), (4, 2)]
+    assert rows(link_nearest(a, "a", b, "b", k=2), "b", "a") == [(1, 4), (2, 4)]
+
+
 def test_nearest_brute_force_with_dense_spot(spark, paths):
     a = [(i, (i * 37 % 101) / 10.0, (i * 53 % 103) / 10.0) for i in range(60)] + [(100 + i, 5.0, 5.0) for i in range(20)]
     b = [(i, (i * 71 % 97) / 9.0, (i * 13 % 89) / 8.0) for i in range(40)] + [(100 + i, 5.0, 5.0) for i in range(30)] + [(999, 900.0, 900.0)]
