@@ -110,7 +110,7 @@ def scan(column: pa.Array, shards, window: int) -> Iterator[list[tuple]]:
             if found.get(row):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].view(np.int8), [0]])))
                 spans = [{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])]
-            out.append((b - a, sum(s["end"] - s["start"] for s in spans), sorted(found.get(row, ())), longest.get(row, 0), spans))
+            out.append((b - a, sum(s["end"] - s["start"] for s in spans), sorted(found.get(row, ()), key=lambda x: (x is None, x)), longest.get(row, 0), spans))
         yield out
 
 
@@ -127,7 +127,7 @@ def item_shards(items: DataFrame, item_col: str, text_col: str) -> list:
         shards.append((hashlib.sha256(repr(part).encode()).hexdigest(), sc.broadcast(part)))
 
     for row in items.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where(
-            F.col("t").isNotNull() & F.col("i").isNotNull()).orderBy("i").toLocalIterator():
+            F.col("t").isNotNull()).orderBy("i").toLocalIterator():
         if part and size + len(row["t"]) > SHARD_BYTES:
             close()
             part, size = [], 0
@@ -143,7 +143,8 @@ def mark_contamination(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id
     """One row per document: key, n_words, n_hit, n_items, items, longest (longest match), spans (of hit words).
 
     Null or empty text: no words, nothing hit.  Repeated documents give a row each; items of equal text
-    are all named.  An empty ``items`` table hits nothing.  Other columns of both tables play no part.
+    are all named.  Items without an id hit like others; in ``items`` they are one null, the last, which
+    ``n_items`` counts.  An empty ``items`` table hits nothing.  Other columns of both tables play no part.
     """
     shards = item_shards(items, item_col, item_text_col)
 

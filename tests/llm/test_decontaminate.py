@@ -37,6 +37,15 @@ def test_against_brute_force(spark):
     assert kept.count() == sum(not (w[3] > 0 and 20 * w[3] >= w[2]) for w in want)
 
 
+def test_items_without_an_id_hit(spark):
+    lost, known = prose(20, 70), prose(20, 71)
+    bench = spark.createDataFrame([(None, lost), (None, prose(15, 72)), (3, known)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, lost), (2, f"{lost} . {prose(15, 72)} . {known}"), (3, "nothing here")], "doc_id long, text string")
+    got = sorted((r["key"], r["n_hit"], r["n_items"], r["items"]) for r in d.mark_contamination(docs, bench).collect())
+    assert got == [(1, 20, 1, [None]), (2, 55, 2, ["3", None]), (3, 0, 0, [])]
+    assert [r["doc_id"] for r in d.remove_contaminated(docs, bench).collect()] == [3]
+
+
 def test_empty_tables_and_shards(spark, monkeypatch):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = edge_docs(spark)
