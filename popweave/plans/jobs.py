@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,22 +144,30 @@ def select_by_fit(candidates: DataFrame, expected: DataFrame, block: list[str],
 
 
 def select_jobs_by_agreement(candidates: DataFrame, margins: dict[str, DataFrame], block: list[str], choice: list[str],
-                             pair: list[str], pk: str, want: str, traits: list[str], seeds: int, passes: int = 4) -> DataFrame:
+                             pair: list[str], pk: str, want: str, traits: list[str], seeds: int) -> DataFrame:
     """Selection against two splits of the margins, repeated.
 
     A job chosen under both splits becomes certain and its rivals for the same
-    choice are dropped; a final selection runs on what is left.
+    choice are dropped, until a pass makes no job certain and drops none; a
+    final selection runs on what is left.
     """
     pool = candidates.withColumn("_sure", F.col("prob_selected") == 1)
     (first_name, first), (second_name, second) = margins.items()
-    for step in range(passes):
-        runs = [select_by_fit(pool, m, [*block], choice, pair, pk, want, F.col("_sure"), traits, seeds, 1 + 1000 * (2 * step + i)).select(pk, *choice)
-                for i, m in enumerate((first, second))]
+    size = lambda df: tuple(df.agg(F.count(F.lit(1)), F.count(F.when(F.col("_sure"), 1))).first())
+    last = size(pool)
+    # Passes end: the pool never grows, and in a pool that stays jobs only become certain.
+    for step in count():
+        # The seeds from 9001 on are those of the final selection.
+        runs = [select_by_fit(pool, m, [*block], choice, pair, pk, want, F.col("_sure"), traits, seeds, 1 + 1000 * (k + (k >= 9))).select(pk, *choice)
+                for k, m in enumerate((first, second), 2 * step)]
         agreed = cut(runs[0].join(runs[1].select(pk), pk, "left_semi"), "agreed")
         winners = agreed.groupBy(*choice).agg(F.min(pk).alias("_winner"))
         joined = spread_join(pool, winners, choice, "left")
         keep = F.col("_winner").isNull() | (F.col(pk) == F.col("_winner"))
         pool = cut(joined.filter(keep).withColumn("_sure", F.col("_sure") | F.col("_winner").isNotNull()).drop("_winner"), "pool")
+        last, before = size(pool), last
+        if last == before:
+            break
     both = reduce(DataFrame.unionByName, [first, second]).groupBy(*block, "trait", "code").agg(F.max("n").alias("n"))
     return select_by_fit(pool, both, block, choice, pair, pk, want, F.col("_sure"), traits, seeds, 9001).drop("_sure")
 

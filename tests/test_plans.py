@@ -70,6 +70,26 @@ def test_selection_by_agreement_meets_expected_numbers(spark):
     assert got.count() == got.select("pk").distinct().count() > 0
 
 
+def test_agreement_runs_until_no_job_becomes_certain(spark, monkeypatch):
+    cand = spark.range(60).select(F.col("id").cast("string").alias("pk"), F.lit(0).alias("b"), (F.col("id") % 12).alias("ch"), F.lit(1).alias("t"),
+                                  F.lit(12).alias("want"), F.lit(0.0).alias("prob_selected"))
+    target = margin_table(cand.filter("cast(pk as int) < 12"), ["b"], ["t"])
+    chosen = [["0"], ["0", "1"], ["0", "1", "2"], ["0", "1", "2"]]
+    passes = []
+
+    def select(pool, m, block, choice, pair, pk, want, certain, traits, seeds, first_seed):
+        passes.append(first_seed)
+        return pool.filter(F.col(pk).isin(chosen[min((len(passes) - 1) // 2, 3)]))
+
+    monkeypatch.setattr(jobs, "select_by_fit", select)
+    jobs.select_jobs_by_agreement(cand, {"x": target, "y": target}, ["b"], ["b", "ch"], ["b"], "pk", "want", ["t"], 1)
+    assert passes == [1, 1001, 2001, 3001, 4001, 5001, 6001, 7001, 9001]
+    passes.clear()
+    chosen[:] = [["0"]] * 4
+    jobs.select_jobs_by_agreement(cand, {"x": target, "y": target}, ["b"], ["b", "ch"], ["b"], "pk", "want", ["t"], 1)
+    assert passes == [1, 1001, 2001, 3001, 9001]
+
+
 def test_best_seed_is_really_the_best(spark):
     cand = spark.range(120).select(F.col("id").cast("string").alias("pk"), (F.col("id") % 3).alias("b"), (F.col("id") % 12).alias("ch"), (F.col("id") % 2).alias("t"), F.lit(4).alias("want"))
     target = margin_table(cand.filter("cast(pk as int) < 40"), ["b"], ["t"])
