@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.llm import bpe, chat, decontaminate, jaccard, language, licenses, lm_score, pii, quality, topk
+from popweave.llm import bpe, chat, decontaminate, jaccard, language, licenses, line_dedup, lm_score, pii, quality, topk
 
 #: The rank file of the byte-level BPE queries.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -162,3 +162,27 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return lm_score.score(docs, *lm_score.fit(docs)).withColumnRenamed("key", "doc_id")
+
+
+@query("op13_line_dedup")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+SQL["op13_line_dedup"] = f"""
+WITH doc AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+line AS MATERIALIZED (
+  SELECT r, doc_id, i, w[i] AS body,
+         translate(trim(w[i], {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w))) AS i FROM doc)),
+owner AS (
+  SELECT k, min(doc_id) AS first FROM line WHERE len(k) >= 10
+  GROUP BY k HAVING min(doc_id) < max(doc_id) OR (min(doc_id) IS NOT NULL AND count(*) > count(doc_id))),
+marked AS (
+  SELECT line.*, owner.k IS NOT NULL AND (doc_id IS NULL OR doc_id <> first) AS gone
+  FROM line LEFT JOIN owner USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r"""
