@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.llm import bpe, chat, decontaminate, jaccard, language, licenses, line_dedup, lm_score, pii, quality, topk
+from popweave.llm import bpe, chat, decontaminate, jaccard, language, licenses, line_dedup, lm_score, pii, prefix_trie, quality, topk
 
 #: The rank file of the byte-level BPE queries.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -186,3 +186,45 @@ marked AS (
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY r"""
+
+
+@query("op11_conversation_prefix_trie")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefix_trie.numbered_turns(table(spark, folder, "conversations"))
+    conv = F.col("conv")
+    return prefix_trie.prefix_nodes(*prefix_trie.shared_beginnings(turns, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4, 3))
+
+
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of an ASCII text; needs the one-row table ``crc`` of ``_CRC_TABLE``."""
+    return f"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+_CRC_TABLE = """crc AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i)))"""
+SQL["op11_conversation_prefix_trie"] = f"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (
+  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, md5(len(role) || ':' || role || text)) AS p FROM t GROUP BY conv_id),
+built AS MATERIALIZED (
+  SELECT o.conv_id, list_concat(coalesce(b.p[1:h], []), o.p[h + 1:]) AS p
+  FROM (SELECT own.*, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM own, crc) o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+node AS MATERIALIZED (
+  SELECT pre, len(pre) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(p) = d), '') AS ends
+  FROM (SELECT conv_id, p, d, p[1:d] AS pre FROM (SELECT conv_id, p, unnest(generate_series(0, len(p))) AS d FROM built)) GROUP BY pre),
+family AS MATERIALIZED (
+  SELECT n.*, CASE WHEN depth > 0 THEN pre[1:depth - 1] END AS up,
+         coalesce((n_convs - 1) * len(regexp_extract_all(pre[depth].text, '[^\\x20\\x09-\\x0D]+')), 0) AS saved FROM node n),
+kids AS (SELECT up AS pre, count(*) AS n_children FROM family WHERE depth > 0 GROUP BY up),
+one AS MATERIALIZED (SELECT f.*, coalesce(n_children, 0) AS n_children FROM family f LEFT JOIN kids USING (pre)),
+summed AS (
+  SELECT pre[1:k] AS pre, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved
+  FROM (SELECT pre, n_children, saved, unnest(generate_series(0, depth)) AS k FROM one) GROUP BY 1)
+SELECT one.conv_id, one.depth, parent.conv_id AS parent_conv_id, one.n_convs, one.n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, sha256(one.ends) AS ends_sha256
+FROM one JOIN summed s ON s.pre = one.pre LEFT JOIN node parent ON parent.pre = one.up"""
