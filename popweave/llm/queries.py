@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popweave.llm import bpe, chat, decontaminate, jaccard, language, licenses, line_dedup, lm_score, pii, prefix_trie, quality, topk
+from popweave.llm import bpe, chat, decontaminate, jaccard, language, licenses, line_dedup, lm_score, pii, prefix_trie, quality, repair, topk
 
 #: The rank file of the byte-level BPE queries.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -228,3 +228,92 @@ summed AS (
 SELECT one.conv_id, one.depth, parent.conv_id AS parent_conv_id, one.n_convs, one.n_children, CAST(leaves AS BIGINT) AS n_leaves,
        CAST(s.saved AS BIGINT) AS saved_tokens, sha256(one.ends) AS ends_sha256
 FROM one JOIN summed s ON s.pre = one.pre LEFT JOIN node parent ON parent.pre = one.up"""
+
+
+def damaged(given: DataFrame) -> DataFrame:
+    """Conversations with faults: by the crc32 of ``conv_id:turn`` a row goes, loses its text or its full stops, is repeated, or becomes a user's."""
+    space = F.lit(" ")
+    kind = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space)).cast("binary")) % 20
+    text = F.coalesce("text", space)
+    rows = given.select("conv_id", "turn", F.coalesce("role", space).alias("role"), text.alias("text"), kind.alias("kind")).where("kind <> 0")
+    changed = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), changed.alias("text"),
+                       F.explode(times).alias("copy")).drop("copy")
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations")
+    found = repair.repair_conversations(damaged(given))
+    every = given.select("conv_id", repair.conversation_key(F.col("conv_id")).alias("k")).distinct()
+    joined = every.join(found.conversations.drop("conv_id"), "k", "left").join(repair.repaired_digests(found.turns), "k", "left")
+    return joined.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+# The cheapest repair by a vector of (cost, audit) for the grammar's four states, from the last turn to the first.
+_TO, _FAR = (2, 2, 3, 2), 10 ** 12
+_LEGAL = ("x.l IN ('s', 'S') OR x.l IN ('u', 'U')", "x.l IN ('u', 'U')", "x.l IN ('a', 'A')", "x.l IN ('u', 'U')")
+_KEPT = ("CASE WHEN x.l IN ('s', 'S') THEN v[2] ELSE v[3] END", "v[3]", "v[4]", "v[3]")
+_PLAIN = ", ".join(
+    f"""least({{'c': 2 + v[{q + 1}].c, 'a': 'D' || v[{q + 1}].a}},
+    {{'c': CASE WHEN {_LEGAL[q]} THEN x.more + ({_KEPT[q]}).c ELSE {_FAR} END, 'a': 'K' || ({_KEPT[q]}).a}},
+    {{'c': CASE WHEN x.l = 'd' THEN {_FAR} ELSE 1 + x.more + v[{_TO[q] + 1}].c END, 'a': 'R' || v[{_TO[q] + 1}].a}})""" for q in range(4))
+
+
+def _with_insertion(plain: str, best: str) -> str:
+    return ", ".join(f"least({plain}[{q + 1}], {{'c': 5 + {best}[{_TO[q] + 1}].c, 'a': 'I' || {best}[{_TO[q] + 1}].a}})" for q in range(4))
+
+
+SQL["op12_conversation_repair"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+kinds AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations, crc),
+hurt AS (
+  SELECT k, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, md5(len(role) || ':' || role || text)) AS pos FROM hurt),
+looked AS (
+  SELECT *, rtrim(text, {_BLANKS}) AS seen, row_number() OVER (PARTITION BY k, role, text ORDER BY pos) AS nth, role[1:1] AS initial,
+         lead(role[1:1]) OVER (PARTITION BY k ORDER BY pos) AS beside FROM placed),
+faulty AS MATERIALIZED (
+  SELECT *, CASE WHEN seen = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM looked),
+counted AS (
+  SELECT k, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE beside IS NOT NULL AND initial || beside NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY k),
+letters AS MATERIALIZED (
+  SELECT k, list({{'l': CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' WHEN fault = 'truncated' THEN upper(c) ELSE c END,
+                  'more': CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END}} ORDER BY pos) AS s
+  FROM (SELECT *, CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'x' END AS c FROM faulty) GROUP BY k),
+step AS (
+  SELECT k, s, len(s) AS i, [{{'c': CAST(0 AS BIGINT), 'a': ''}}, {{'c': 10, 'a': 'II'}}, {{'c': 5, 'a': 'I'}}, {{'c': 0, 'a': ''}}] AS v FROM letters
+  UNION ALL
+  SELECT k, s, i, [{_with_insertion('p', 'b')}] AS v FROM (
+    SELECT k, s, i, p, [{_with_insertion('p', 'p')}] AS b FROM (
+      SELECT k, s, i - 1 AS i, [{_PLAIN}] AS p FROM (SELECT k, s, i, v, s[i] AS x FROM step WHERE i > 0)))),
+solved AS MATERIALIZED (SELECT k, v[1].c AS cost, v[1].a AS audit FROM step WHERE i = 0),
+edits AS (SELECT k, audit, unnest(generate_series(1, len(audit))) AS j FROM solved),
+numbered AS (
+  SELECT k, j, audit[j:j] AS e, count(*) FILTER (WHERE audit[j:j] <> 'I') OVER (PARTITION BY k ORDER BY j) AS pos,
+         count(*) FILTER (WHERE audit[j:j] <> 'D') OVER (PARTITION BY k ORDER BY j) AS place FROM edits),
+kept AS (
+  SELECT n.*, f.role, f.text, max(CASE WHEN place = 1 AND e = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.k) AS led
+  FROM numbered n LEFT JOIN faulty f ON f.k = n.k AND f.pos = n.pos AND n.e <> 'I' WHERE e <> 'D'),
+lines AS (
+  SELECT k, string_agg(CASE e WHEN 'K' THEN role ELSE CASE WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':'
+                       || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS whole FROM kept GROUP BY k)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted ON counted.k = coalesce(CAST(o.conv_id AS VARCHAR), ' ')
+LEFT JOIN solved ON solved.k = coalesce(CAST(o.conv_id AS VARCHAR), ' ')
+LEFT JOIN lines ON lines.k = coalesce(CAST(o.conv_id AS VARCHAR), ' ')"""

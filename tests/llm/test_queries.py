@@ -38,10 +38,10 @@ def sha(text):
 
 def test_all_are_registered():
     keys = {k.split("_")[0] for k in entry.queries() if k.startswith("op")}
-    assert keys == {f"op{n}" for n in (*range(1, 12), 13)} and "pipeline" in entry.queries()
+    assert keys == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("key", ["op2_chat_formatting", "op8_benchmark_decontamination", "op9_exact_top_k", "op11_conversation_prefix_trie", "op13_line_dedup"])
+@pytest.mark.parametrize("key", ["op2_chat_formatting", "op8_benchmark_decontamination", "op9_exact_top_k", "op11_conversation_prefix_trie", "op12_conversation_repair", "op13_line_dedup"])
 def test_sql(spark, key):
     con = duckdb.connect()
     for t in TABLES:
