@@ -1,7 +1,8 @@
 """Seeded random merge: pair rows of two tables inside common groups.
 
 Both sides are ranked in random order inside a group and equal ranks are
-paired.  A cascade repeats this with coarser groups for what is left.
+paired.  A cascade repeats this with coarser groups for what is left; it ranks
+and counts in every round and pairs once, at the end.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from popweave.operators.hot import spread_join
+from popweave.functions.seeded import order_key
+from popweave.operators.hot import null_safe, renamed, spread_join
 from popweave.operators.ranks import random_rank
-from popweave.session import cut
+from popweave.session import cut, discard, scratch_path, spread
 
 
 @dataclass
@@ -77,12 +81,113 @@ class CascadeResult:
     rounds: int
 
 
+#: Leading digest values by which the rows of hot groups are counted.
+BUCKETS = 256
+
+
+class _Cascade:
+    """Both sides of a cascade as one table of keys: ``_p`` or ``_s`` (the row's key), its priorities, and the
+    key columns of all rounds as text."""
+
+    def __init__(self, primary: Side, secondary: Side, rounds: list[Round]):
+        self.columns: list[list[str]] = []  # of each round
+        named: dict[str, str] = {}
+        exprs: list[tuple[Column, Column]] = []
+        for rnd in rounds:
+            mine = []
+            for k0, k1 in zip(_keys(rnd, 0).values(), _keys(rnd, 1).values()):
+                text = f"{k0} {k1}"
+                if text not in named:
+                    named[text] = f"_k{len(named)}"
+                    exprs.append((k0, k1))
+                mine.append(named[text])
+            self.columns.append(mine)
+        self.order = []
+        tables = []
+        for i, (side, key) in enumerate(((primary, "_p"), (secondary, "_s"))):
+            sort = [(f"{key}o{j}", c, asc) for j, (c, asc) in enumerate(side.sort)]
+            self.order += [(name, asc) for name, _, asc in sort]
+            tables.append(side.df.select(F.col(side.pk).alias(key), *[F.col(c).alias(name) for name, c, _ in sort],
+                                         *[e[i].alias(f"_k{j}") for j, e in enumerate(exprs)]))
+        self.spark = primary.df.sparkSession
+        self.path = scratch_path(self.spark, "cascade")
+        self.all = cut(tables[0].unionByName(tables[1], allowMissingColumns=True), "cascade-rows")
+
+    def group(self, number: int) -> tuple[Column, Column]:
+        """Whether a row has all keys of a round, and its group there."""
+        keys = [F.col(c) for c in self.columns[number]]
+        group = F.array(*keys) if keys else F.expr("cast(array() as array<string>)")
+        return reduce(lambda a, b: a & b, [k.isNotNull() for k in keys], F.lit(True)), group
+
+    def rank(self, rows: DataFrame, number: int, seed: int) -> DataFrame:
+        """Rows with ``_group``, ``_rank`` in their side of the group and ``_limit``, the rows of the other side.
+
+        One count per group, side and leading digest bits gives the hot groups, the pieces they are cut into,
+        the rows in front of each piece and the sizes of hot groups; all other groups are numbered and sized
+        where they meet.  Rows without a group are dealt over the tasks and get no rank.
+        """
+        n = spread(self.spark)
+        ready, group = self.group(number)
+        keyed = rows.withColumns({"_group": F.when(ready, group), "_first": F.col("_p").isNotNull(), "_order": order_key(["_p", "_s"], seed)})
+        keyed = keyed.withColumn("_bucket", F.conv(F.substring("_order", 1, 2), 16, 10).cast("int"))
+        front = [name for name, _ in self.order]
+        counts = keyed.where(F.col("_group").isNotNull()).groupBy("_group", "_first", *front, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        total = counts.agg(F.sum("_n")).scalar()
+        sizes = counts.groupBy("_group").agg(F.sum("_n").alias("_all"), F.sum(F.when(F.col("_first"), F.col("_n")).otherwise(0)).alias("_np"))
+        hot = F.broadcast(sizes.where(F.col("_all") * n > total).select(
+            "_group", "_np", (F.col("_all") - F.col("_np")).alias("_ns"), F.ceil(F.col("_all") * n / total).cast("int").alias("_pieces")))
+        piece = F.floor(F.col("_bucket") * F.least(F.col("_pieces"), F.lit(BUCKETS)) / BUCKETS).cast("int")
+        directed = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in self.order]
+        cut_up = counts.join(hot, "_group").withColumn("_piece", piece).groupBy("_group", "_first", *front, "_piece").agg(F.sum("_n").alias("_n"))
+        ahead = W.partitionBy("_group", "_first").orderBy(*directed, "_piece").rowsBetween(W.unboundedPreceding, -1)
+        offsets = cut_up.select("_group", "_first", *[F.col(c).alias(f"_f{c}") for c in front], "_piece", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+        if not front:  # fewer than 4 x spread rows
+            offsets = F.broadcast(offsets)
+        is_hot = F.col("_pieces").isNotNull()
+        dealt = keyed.join(hot, "_group", "left").withColumn(
+            "_piece", F.when(F.col("_group").isNull(), -1 - F.pmod(F.xxhash64("_p", "_s"), F.lit(n)).cast("int")).when(is_hot, piece).otherwise(0))
+        fronts = {f"_f{c}": F.when(is_hot, F.col(c)) for c in front}
+        dealt = dealt.withColumns(fronts) if fronts else dealt
+        place = ["_group", "_piece", *fronts]
+        met = W.partitionBy(*place)
+        numbered = dealt.withColumns({
+            "_mp": F.when(is_hot, F.col("_np")).otherwise(F.count_if("_first").over(met)),
+            "_ms": F.when(is_hot, F.col("_ns")).otherwise(F.count_if(~F.col("_first")).over(met))})
+        numbered = numbered.withColumn("_rank", F.row_number().over(W.partitionBy(*place, "_first").orderBy(*directed, "_order", "_p", "_s")).cast("long"))
+        marked = renamed(offsets, ["_group", "_first", "_piece", *fronts])
+        on = null_safe(numbered, marked, [(c, f"_r_{c}") for c in fronts]) if fronts else F.lit(True)
+        on = on & (F.col("_group") == F.col("_r__group")) & (F.col("_first") == F.col("_r__first")) & (F.col("_piece") == F.col("_r__piece"))
+        ranked = numbered.join(marked, on, "left")
+        return ranked.select(*rows.columns, "_group", "_first", F.when(F.col("_group").isNotNull(), F.col("_rank") + F.coalesce("_before", F.lit(0))).alias("_rank"),
+                             F.when(F.col("_first"), F.col("_ms")).otherwise(F.col("_mp")).alias("_limit"))
+
+    def run(self, number: int, rows: DataFrame, name: int, seed: int) -> DataFrame:
+        """One round: settled rows are written for good, the rows still open are returned."""
+        later = {c for cols in self.columns[number + 1:] for c in cols}
+        done = F.coalesce(F.col("_rank") <= F.col("_limit"), F.lit(False))
+        ranked = self.rank(rows, number, seed).withColumn("_done", done)
+        keep = ["_p", "_s", *[c for c, _ in self.order], *sorted(later)]
+        state = ranked.select(*[c for c in keep if c in ranked.columns], F.when(done, F.col("_group")).alias("_group"), F.when(done, F.col("_rank")).alias("_rank"), "_done")
+        state.write.partitionBy("_done").parquet(f"{self.path}/match_round={name}")
+        return self.read(name, state.schema).where(~F.col("_done")).drop("_group", "_rank", "_done")
+
+    def read(self, name: int | None, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.path if name is None else f"{self.path}/match_round={name}")
+
+    def forget(self, name: int) -> None:
+        """Deletes the open rows of a round that has a later one."""
+        discard(self.spark, f"{self.path}/match_round={name}/_done=false")
+
+
 def merge_cascade(primary: Side, secondary: Side, rounds: list[Round], seed: int, reuse: str | None = None,
                   stop_early: bool = False, first_round: int = 1) -> CascadeResult:
     """Pairs (primary key, secondary key, match_round) over all rounds.
 
-    Each round is written once; its unpaired rows feed the next round, so the
-    plan stays short and a lost executor repeats one round at most.
+    A row pairs in a round exactly when its rank in its group is not above the rows that the other side has
+    there, so a round only ranks and counts keys: no row meets another one.  Settled rows keep round, group and
+    rank; one equi join at the end makes the pairs of all rounds.  Each round is written once and read by the
+    next one, so the plan stays short and a lost executor repeats one round at most; the open rows of earlier
+    rounds are deleted.
 
     ``reuse='cycles'`` lets secondary rows serve again: after the rounds, each
     level from fine to coarse gives the rows that are left a secondary row of
@@ -90,46 +195,52 @@ def merge_cascade(primary: Side, secondary: Side, rounds: list[Round], seed: int
     only where no level's group has a secondary row; the number of jobs is that
     of rounds and levels, whatever the sizes of the tables.
     ``reuse='modulo'`` does so for the last round's group only.
+
+    ``primary_left`` and ``secondary_left`` read the given tables again.
     """
-    p_cols, s_cols = primary.df.columns, secondary.df.columns
-    shared = set(p_cols) & set(s_cols)
+    shared = set(primary.df.columns) & set(secondary.df.columns)
     if shared:
         raise ValueError(f"columns on both sides: {sorted(shared)}")
-    p, s = cut(primary.df, "primary"), cut(secondary.df, "secondary")
-    everything = s
-    pairs: list[DataFrame] = []
-    number = first_round - 1
-    for rnd in rounds:
+    cascade = _Cascade(primary, secondary, rounds)
+    rows, number = cascade.all, first_round - 1
+    for i, rnd in enumerate(rounds):
         number += 1
-        state = cut(merge_round(Side(p, primary.pk, primary.sort), Side(s, secondary.pk, secondary.sort), rnd,
-                                seed + number), "round")
-        both = state.filter(F.col(primary.pk).isNotNull() & F.col(secondary.pk).isNotNull())
-        pairs.append(both.select(primary.pk, secondary.pk, F.lit(number).alias("match_round")))
-        p = state.filter(F.col(secondary.pk).isNull()).select(*p_cols)
-        s = state.filter(F.col(primary.pk).isNull()).select(*s_cols)
-        if stop_early and (p.isEmpty() or s.isEmpty()):
+        rows = cascade.run(i, rows, number, seed + number)
+        if number > first_round:
+            cascade.forget(number - 1)
+        if stop_early and (rows.where("_p is not null").isEmpty() or rows.where("_s is not null").isEmpty()):
             break
-    last_of_level = list({rnd.level: rnd for rnd in rounds}.values())
-    for rnd in {"cycles": last_of_level, "modulo": rounds[-1:]}.get(reuse, []):
+    schema = StructType([*rows.schema.fields[:2], *[StructField(n, t) for n, t in (
+        ("_group", ArrayType(StringType())), ("_rank", LongType()), ("match_round", IntegerType()), ("_done", BooleanType()))]])
+    settled = cascade.read(None, schema).where("_done")
+    on = ["match_round", "_group", "_rank"]
+    pairs = settled.where("_p is not null").select(*on, "_p").join(settled.where("_s is not null").select(*on, "_s"), on).select(
+        F.col("_p").alias(primary.pk), F.col("_s").alias(secondary.pk), "match_round")
+    p, s = rows.where("_p is not null"), rows.where("_s is not null").select("_s")
+    last_of_level = list({rnd.level: i for i, rnd in enumerate(rounds)}.values())
+    for i in {"cycles": last_of_level, "modulo": [len(rounds) - 1]}.get(reuse, []):
         number += 1
-        wrapped = cut(_wrap_around(Side(p, primary.pk, primary.sort), Side(everything, secondary.pk, secondary.sort), rnd, seed + number, number), "wrap")
-        pairs.append(wrapped)
-        p = p.join(wrapped.select(primary.pk), primary.pk, "left_anti")
-    return CascadeResult(reduce(DataFrame.unionByName, pairs), p, s, number)
+        wrapped = cut(_wrap_around(cascade, p, i, seed + number).select(
+            F.col("_p").alias(primary.pk), F.col("_s").alias(secondary.pk), F.lit(number).alias("match_round")), "wrap")
+        pairs = pairs.unionByName(wrapped)
+        p = p.join(wrapped.select(F.col(primary.pk).alias("_p")), "_p", "left_anti")
+    return CascadeResult(pairs, primary.df.join(p.select(F.col("_p").alias(primary.pk)), primary.pk, "left_semi").select(*primary.df.columns),
+                         secondary.df.join(s.select(F.col("_s").alias(secondary.pk)), secondary.pk, "left_semi").select(*secondary.df.columns), number)
 
 
-def _wrap_around(primary: Side, secondary: Side, rnd: Round, seed: int, number: int) -> DataFrame:
+def _wrap_around(cascade: _Cascade, left: DataFrame, number: int, seed: int) -> DataFrame:
     """Give row r of a group the secondary row ((r - 1) mod n) + 1 of the group."""
-    p_keys, s_keys = _keys(rnd, 0), _keys(rnd, 1)
-    names = list(p_keys)
-    left = random_rank(primary.df.withColumns(p_keys), names, primary.pk, seed, primary.sort, "_rank")
-    right = random_rank(secondary.df.withColumns(s_keys), names, secondary.pk, seed, secondary.sort, "_rank")
-    right = right.select(*names, "_rank", secondary.pk)
-    sizes = right.groupBy(*names).agg(F.max("_rank").alias("_size"))
-    sized = spread_join(left.select(*names, "_rank", primary.pk), sizes, names)
+    ready, group = cascade.group(number)
+    ranked = []
+    # rows that are left keep the keys of later rounds only, so they are read with all keys again
+    for rows, key in ((cascade.all.join(left.select("_p"), "_p", "left_semi"), "_p"), (cascade.all.where("_s is not null"), "_s")):
+        sort = [(c, asc) for c, asc in cascade.order if c.startswith(key)]
+        grouped = rows.where(ready).select(key, *[c for c, _ in sort], group.alias("_group"))
+        ranked.append(random_rank(grouped, ["_group"], key, seed, sort, "_rank").select("_group", "_rank", key))
+    sizes = ranked[1].groupBy("_group").agg(F.max("_rank").alias("_size"))
+    sized = spread_join(ranked[0], sizes, ["_group"])
     wrapped = sized.withColumn("_rank", F.pmod(F.col("_rank") - 1, F.col("_size")) + 1)
-    return spread_join(wrapped, right, [*names, "_rank"]).select(
-        primary.pk, secondary.pk, F.lit(number).alias("match_round"))
+    return spread_join(wrapped, ranked[1], ["_group", "_rank"])
 
 
 def match_flag(new_value: Column, not_set, has_primary: Column, has_secondary: Column, keys_known: Column,

@@ -56,6 +56,12 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder below the shared folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(spark: SparkSession) -> int:
     """How many pieces a hot group is split into: a few per shuffle partition."""
     fixed = spark.conf.get("popweave.spread", None)
