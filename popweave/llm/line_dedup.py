@@ -225,14 +225,12 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in it:
             texts = []
             for whole, gone in zip(batch.column(at), batch.column(batch.num_columns - 1)):
-                lines, gone = whole.as_py().split("\n"), set(gone.as_py())
-                texts.append("\n".join(line for i, line in enumerate(lines) if i not in gone))
+                text, gone = whole.as_py(), set(gone.as_py() or ())
+                texts.append("\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone) if gone else text)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     whole = marked.where(F.size("_suspects") == 0).drop("_suspects").withColumn("_drops", F.lit(None).cast("array<int>"))
     open_ = marked.where(F.size("_suspects") > 0).drop("_suspects").join(drops, "_row", "left").select(*whole.columns)
-    shorter = open_.where(F.col("_drops").isNotNull())
-    out = whole.unionByName(open_.where(F.col("_drops").isNull())).unionByName(shorter.mapInArrow(shorten, shorter.schema))
-    return out.select(*named.columns, F.col("_n").alias(n_lines), F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias(n_dropped))
+    return whole.unionByName(open_.mapInArrow(shorten, open_.schema)).select(*named.columns, F.col("_n").alias(n_lines), F.when(F.col("_drops").isNull(), 0).otherwise(F.size("_drops")).cast("long").alias(n_dropped))
