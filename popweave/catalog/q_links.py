@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from popweave.catalog.q_spatial import CUST_SQL, DIST, SUPP_SQL, customer_points, supplier_points
 from popweave.catalog.registry import query
-from popweave.catalog.standins import SLOTS_SQL, UNITS_SQL, cascade_sql, slots, spot, spot_sql, units
+from popweave.catalog.standins import LINES_SQL, SLOTS_SQL, UNITS_SQL, cascade_sql, lines, slots, spot, spot_sql, units
 from popweave.functions import bands
 from popweave.functions.schools import count_columns
 from popweave.operators.random_merge import Round, Side, random_merge
@@ -82,8 +82,8 @@ def pl_15(t):
 _JOB_SQL = f"""{UNITS_SQL}, pe AS MATERIALIZED (SELECT o_orderkey AS precid, block, tract, CASE WHEN o_orderkey % 97 BETWEEN 18 AND 29 THEN 1 WHEN o_orderkey % 97 BETWEEN 30 AND 54 THEN 2 WHEN o_orderkey % 97 BETWEEN 55 AND 65 THEN 3 END AS agegrp, o_orderkey % 2 + 1 AS p_sex,
   o_custkey % 3 + 1 AS earn_1, (o_custkey + 1) % 3 + 1 AS earn_2, (o_custkey + 2) % 3 + 1 AS earn_3, block // 2 AS blockgroup, 1 AS county,
   o_orderkey % 3 + 1 AS p_race, o_custkey % 2 AS p_hispan FROM orders JOIN units ON o_custkey = c_custkey),
-jb AS MATERIALIZED (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS jobid, s_nationkey AS j_block, n_regionkey AS j_tract, l_linenumber % 3 + 1 AS j_age, l_partkey % 2 + 1 AS j_sex, l_suppkey % 3 + 1 AS j_earn, s_nationkey // 2 AS j_blockgroup, 1 AS j_county,
-  l_orderkey % 3 + 1 AS j_race, l_partkey % 3 % 2 AS j_hispan FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
+jb AS MATERIALIZED (SELECT line_key AS jobid, s_nationkey AS j_block, n_regionkey AS j_tract, l_linenumber % 3 + 1 AS j_age, l_partkey % 2 + 1 AS j_sex, l_suppkey % 3 + 1 AS j_earn, s_nationkey // 2 AS j_blockgroup, 1 AS j_county,
+  l_orderkey % 3 + 1 AS j_race, l_partkey % 3 % 2 AS j_hispan FROM {LINES_SQL} JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
 _LEVELS = ("block", "blockgroup", "tract", "county")
 _JOB_ROUNDS = [([lvl, "agegrp", "p_sex", "p_race", "p_hispan", e], [f"j_{lvl}", "j_age", "j_sex", "j_race", "j_hispan", "j_earn"])
                for e in ("earn_1", "earn_2", "earn_3") for lvl in _LEVELS]
@@ -101,9 +101,8 @@ def _workers(t):
 
 def _jobs(t):
     at = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_regionkey")
-    rows = t.lineitem.join(at, F.col("l_suppkey") == F.col("s_suppkey"))
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
-    return rows.select(key.alias("jobid"), F.col("s_nationkey").alias("j_block"), F.col("n_regionkey").alias("j_tract"),
+    rows = lines(t).join(at, F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.select(F.col("line_key").alias("jobid"), F.col("s_nationkey").alias("j_block"), F.col("n_regionkey").alias("j_tract"),
                        (F.col("l_linenumber") % 3 + 1).alias("j_age"), (F.col("l_partkey") % 2 + 1).alias("j_sex"), (F.col("l_suppkey") % 3 + 1).alias("j_earn"),
                        F.expr("s_nationkey div 2").alias("j_blockgroup"), F.lit(1).alias("j_county"), (F.col("l_orderkey") % 3 + 1).alias("j_race"), (F.col("l_partkey") % 3 % 2).alias("j_hispan"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from popweave.catalog.registry import query
-from popweave.catalog.standins import SLOTS_SQL, UNITS_SQL, cascade_sql, slots, units
+from popweave.catalog.standins import LINES_SQL, SLOTS_SQL, UNITS_SQL, cascade_sql, lines, slots, units
 from popweave.operators import reshape, tabulate
 from popweave.operators.graft import Margin, graft
 from popweave.operators.random_merge import Round, Side, match_flag, merge_cascade, random_merge
@@ -163,7 +163,7 @@ u AS (SELECT block, code, unnest(range(1, n + 1)) AS copy FROM w), k AS (SELECT
 h AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY md5(pk), pk) AS counter FROM k),
 hk AS (SELECT *, block || 'H' || lpad(counter::VARCHAR, length((SELECT max(counter) FROM h)::VARCHAR)::INT, '0') AS huid FROM h),
 a AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY md5(concat_ws('|', huid, {SEED})), huid) AS rk FROM hk),
-s AS (SELECT (l_partkey + 19) // 20 AS s_block, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS slot FROM lineitem),
+s AS (SELECT (l_partkey + 19) // 20 AS s_block, line_key AS slot FROM {LINES_SQL}),
 b AS (SELECT *, row_number() OVER (PARTITION BY s_block ORDER BY md5(concat_ws('|', slot, {SEED})), slot) AS rk FROM s),
 m AS (SELECT code, CASE WHEN slot IS NULL THEN 'left_only' ELSE 'both' END AS merge_state FROM a LEFT JOIN b ON block = s_block AND a.rk = b.rk)
 SELECT coalesce(code, 'Total') AS code, count(*) FILTER (merge_state = 'both') AS both, count(*) FILTER (merge_state = 'left_only') AS left_only, count(*) AS "Total" FROM m GROUP BY ROLLUP (code)""")
@@ -176,8 +176,7 @@ def entry_units_to_slots(t):
     counted = random_rank(cut(opened.drop("copy")), ["block"], "pk", out="counter")
     largest = cells.groupBy("block").agg(F.sum("n").alias("n")).agg(F.max("n")).scalar()
     hui = synthetic_key(counted, "counter", F.col("block"), "H", "huid", largest).select("huid", "block", "code")
-    slot = t.lineitem.select(F.expr("(l_partkey + 19) div 20").alias("s_block"), F.concat_ws(
-        "|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("slot"))
+    slot = lines(t).select(F.expr("(l_partkey + 19) div 20").alias("s_block"), F.col("line_key").alias("slot"))
     merged = random_merge(Side(cut(hui), "huid"), Side(slot, "slot"), Round("block", [BLOCK]), SEED)
     table = tabulate.two_way(merged.filter("huid IS NOT NULL"), "code", "merge_state", ["both", "left_only"], F.count(F.lit(1)))
     return table

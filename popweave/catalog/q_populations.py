@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from popweave.catalog.q_merges import graft_base
 from popweave.catalog.q_tables import WIDE_SQL, wide_counts
 from popweave.catalog.registry import query
-from popweave.catalog.standins import band_sql, cascade_sql, spot, spot_sql, u_sql
+from popweave.catalog.standins import LINES_SQL, band_sql, cascade_sql, lines, spot, spot_sql, u_sql
 from popweave.functions import bands
 from popweave.functions.seeded import random_int
 from popweave.operators import profile, recode
@@ -275,7 +275,7 @@ _PLACE_CTES, _PLACE_PAIRS = cascade_sql("pe", "precid", "sp", "place_id", _PLACE
 
 @query("pl_13", f"""WITH o AS MATERIALIZED (SELECT o_orderkey, c_nationkey AS block, (o_custkey % 8)::BIGINT AS numprec, CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS gqtype, o_custkey % 4 AS race, o_custkey % 2 AS hispan, o_orderkey % 3 AS s,
   o_orderkey % 2 AS family, o_orderkey % 9 + 1 AS h17, o_orderkey % 3 + 1 AS h18 FROM orders JOIN customer ON o_custkey = c_custkey),
-pe0 AS (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS precid, block AS p_block, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS p_sex, l_suppkey % 4 AS p_race, l_partkey % 2 AS p_hispan, l_partkey % 101 AS age FROM lineitem JOIN o ON l_orderkey = o_orderkey),
+pe0 AS (SELECT line_key AS precid, block AS p_block, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS p_sex, l_suppkey % 4 AS p_race, l_partkey % 2 AS p_hispan, l_partkey % 101 AS age FROM {LINES_SQL} JOIN o ON l_orderkey = o_orderkey),
 pe AS MATERIALIZED (SELECT *, {band_sql('age', bands.AGE_H17, '0')} AS p_h17, {band_sql('age', bands.AGE_H18, '0')} AS p_h18, {band_sql('age', bands.AGE_P43, '0')} AS p_p43, CASE WHEN age < 18 THEN 1 ELSE 0 END AS p_child FROM pe0),
 pn AS (SELECT p_block AS block, count(*) AS persons FROM pe GROUP BY 1),
 g AS (SELECT o.block, floor((max(persons) - sum(numprec)) / count(*) FILTER (numprec = 7 AND gqtype = 0)::DOUBLE)::BIGINT AS add FROM o JOIN pn ON o.block = pn.block GROUP BY 1 HAVING count(*) FILTER (numprec = 7 AND gqtype = 0) > 0),
@@ -292,10 +292,10 @@ def pl_13(t):
         "o_orderkey", "block", (F.col("o_custkey") % 8).alias("numprec"), F.when(F.col("o_orderkey") % 9 == 0, 1).otherwise(0).alias("gqtype"),
         (F.col("o_custkey") % 4).alias("race"), (F.col("o_custkey") % 2).alias("hispan"), (F.col("o_orderkey") % 3).alias("s"), (F.col("o_orderkey") % 2).cast("int").alias("family"),
         (F.col("o_orderkey") % 9 + 1).cast("int").alias("h17"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("h18")), "units")
-    persons = t.lineitem.join(orders.select("o_orderkey", "block"), F.col("l_orderkey") == F.col("o_orderkey"))
+    persons = lines(t).join(orders.select("o_orderkey", "block"), F.col("l_orderkey") == F.col("o_orderkey"))
     age = (F.col("l_partkey") % 101).cast("int")
     persons = cut(persons.select(
-        F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("precid"),
+        F.col("line_key").alias("precid"),
         F.col("block").alias("p_block"), F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("p_sex"), (F.col("l_suppkey") % 4).alias("p_race"), (F.col("l_partkey") % 2).alias("p_hispan"),
         bands.band(age, bands.AGE_H17, 0).alias("p_h17"), bands.band(age, bands.AGE_H18, 0).alias("p_h18"), bands.band(age, bands.AGE_P43, 0).alias("p_p43"),
         F.when(age < 18, 1).otherwise(0).alias("p_child")), "persons")

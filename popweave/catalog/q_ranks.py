@@ -37,7 +37,7 @@ def wn_03(t):
 SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount DESC, md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey)), l_orderkey, l_linenumber, l_partkey) AS counter FROM lineitem""")
 def wn_04(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount")
-    # Keys are unique inside a supplier.
+    # Rows of equal keys agree in all columns, so it does not matter which of them comes first.
     return ranks.random_rank(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], None, [("l_discount", False)], "counter").select(
         "l_orderkey", "l_linenumber", "counter")
 

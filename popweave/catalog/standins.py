@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from popweave.operators.ranks import value_rank
+
 
 def case_sql(expr: str, table: dict, otherwise: str = "NULL") -> str:
     """CASE text for a code table."""
@@ -56,6 +58,21 @@ def spot_sql(key: str, salt: int, size: float = 20.0) -> str:
     return f"(floor((({key} * {salt} + {salt * 7}) % 1009) * {size * 1024 / 1009!r}::DOUBLE) / 1024)"
 
 
+_LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_LINE_REST = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def lines(t) -> DataFrame:
+    """lineitem with a key: its four ids and, where they repeat, the number of the repeat."""
+    numbered = value_rank(t.lineitem, _LINE_KEYS, "l_extendedprice", _LINE_REST, "_nth")
+    parts = [*_LINE_KEYS, F.when(F.col("_nth") > 1, F.col("_nth"))]
+    return numbered.withColumn("line_key", F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in parts])).drop("_nth")
+
+
+LINES_SQL = f"""(SELECT *, concat_ws('|', {', '.join(_LINE_KEYS)}, CASE WHEN nth > 1 THEN nth END) AS line_key FROM (
+  SELECT *, row_number() OVER (PARTITION BY {', '.join(_LINE_KEYS)} ORDER BY l_extendedprice, {', '.join(_LINE_REST)}) AS nth FROM lineitem))"""
+
+
 def money(c) -> Column:
     """Exact sums of two-decimal amounts."""
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(18,2)")

@@ -14,7 +14,7 @@ from popweave.operators.hot import spread_join
 from popweave.operators.ranks import random_rank
 from popweave.operators.reshape import exclusive_columns, expand_rows, job_type_equations, stem_columns
 from popweave.operators.select import select_jobs, weighted_sample
-from popweave.session import cut
+from popweave.session import cut, discard, scratch_path
 
 SEGMENTS = ["Age", "Earnings", "SuperSector"]
 
@@ -133,43 +133,65 @@ def select_by_fit(candidates: DataFrame, expected: DataFrame, block: list[str],
     ``expected`` is long (block keys, trait, code, n).  Every seed is one random
     selection of the whole table; only the winning seed of a block is kept.
     """
-    seeded = candidates.withColumn("seed", F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + seeds - 1))))
+    return select_by_fits(candidates, [expected], block, choice, pair, pk, want, certain, traits, seeds, [first_seed]).drop("_split")
+
+
+def select_by_fits(candidates: DataFrame, expected: list[DataFrame], block: list[str], choice: list[str], pair: list[str],
+                   pk: str, want: str, certain: Column, traits: list[str], seeds: int, first_seeds: list[int]) -> DataFrame:
+    """``select_by_fit`` for several margin tables at once, each with its own
+    seeds; ``_split`` is the number of the table."""
+    ranges = [[first + k for k in range(seeds)] for first in first_seeds]
+    pairs = F.array(*[F.struct(F.lit(i).alias("split"), F.lit(seed).alias("seed")) for i, r in enumerate(ranges) for seed in r])
+    seeded = candidates.withColumn("_draw", F.explode(pairs)).withColumns({"_split": F.col("_draw.split"), "seed": F.col("_draw.seed")}).drop("_draw")
     chosen = cut(select_jobs(seeded, choice, pair, pk, want, certain, None, "seed").filter("select_job = 1"), "selected")
-    made = margin_table(chosen, [*block, "seed"], traits)
-    targets = expected.withColumn("seed", F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + seeds - 1))))
-    fit = margin_fitness(made, targets, [*block, "seed"])
-    best = fit.groupBy(*block).agg(F.min(F.struct("fitness", "seed")).alias("_best"))
-    best = best.select(*block, F.col("_best.seed").alias("seed"), F.col("_best.fitness").alias("fitness"))
-    return spread_join(chosen, best, [*block, "seed"])
+    made = margin_table(chosen, [*block, "_split", "seed"], traits)
+    targets = reduce(DataFrame.unionByName, [
+        table.withColumns({"_split": F.lit(i), "seed": F.explode(F.array(*[F.lit(s) for s in r]))}) for i, (table, r) in enumerate(zip(expected, ranges))])
+    fit = margin_fitness(made, targets, [*block, "_split", "seed"])
+    best = fit.groupBy(*block, "_split").agg(F.min(F.struct("fitness", "seed")).alias("_best"))
+    best = best.select(*block, "_split", F.col("_best.seed").alias("seed"), F.col("_best.fitness").alias("fitness"))
+    return spread_join(chosen, best, [*block, "_split", "seed"])
 
 
 def select_jobs_by_agreement(candidates: DataFrame, margins: dict[str, DataFrame], block: list[str], choice: list[str],
                              pair: list[str], pk: str, want: str, traits: list[str], seeds: int) -> DataFrame:
-    """Selection against two splits of the margins, repeated.
+    """Selection against two splits of the margins, repeated block by block.
 
     A job chosen under both splits becomes certain and its rivals for the same
-    choice are dropped, until a pass makes no job certain and drops none; a
-    final selection runs on what is left.
+    choice are dropped.  A block is worked on until a pass makes none of its
+    jobs certain and drops none, or no choice of it is open; then its rows are
+    set aside, so a pass costs what is still open.  Passes end: a block's pool
+    never grows, and in one that stays jobs only become certain.  A final
+    selection runs on what is left.  Choices lie inside a block; the result of
+    a block does not depend on other blocks.
     """
-    pool = candidates.withColumn("_sure", F.col("prob_selected") == 1)
-    (first_name, first), (second_name, second) = margins.items()
-    size = lambda df: tuple(df.agg(F.count(F.lit(1)), F.count(F.when(F.col("_sure"), 1))).first())
-    last = size(pool)
-    # Passes end: the pool never grows, and in a pool that stays jobs only become certain.
+    spark = candidates.sparkSession
+    first, second = margins.values()
+    pool, settled = candidates.withColumn("_sure", F.col("prob_selected") == 1), []
     for step in count():
         # The seeds from 9001 on are those of the final selection.
-        runs = [select_by_fit(pool, m, [*block], choice, pair, pk, want, F.col("_sure"), traits, seeds, 1 + 1000 * (k + (k >= 9))).select(pk, *choice)
-                for k, m in enumerate((first, second), 2 * step)]
-        agreed = cut(runs[0].join(runs[1].select(pk), pk, "left_semi"), "agreed")
+        starts = [1 + 1000 * (k + (k >= 9)) for k in (2 * step, 2 * step + 1)]
+        runs = select_by_fits(pool, [first, second], block, choice, pair, pk, want, F.col("_sure"), traits, seeds, starts)
+        agreed = runs.groupBy(pk, *choice).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 2")
         winners = agreed.groupBy(*choice).agg(F.min(pk).alias("_winner"))
-        joined = spread_join(pool, winners, choice, "left")
-        keep = F.col("_winner").isNull() | (F.col(pk) == F.col("_winner"))
-        pool = cut(joined.filter(keep).withColumn("_sure", F.col("_sure") | F.col("_winner").isNotNull()).drop("_winner"), "pool")
-        last, before = size(pool), last
-        if last == before:
+        won = F.col(pk) == F.col("_winner")
+        path = scratch_path(spark, "agreement")
+        spread_join(pool, cut(winners, "winners"), choice, "left").withColumns({
+            "_gone": F.coalesce(~won, F.lit(False)), "_new": F.coalesce(won & ~F.col("_sure"), F.lit(False)),
+            "_sure": F.col("_sure") | F.coalesce(won, F.lit(False))}).drop("_winner").write.parquet(path)
+        marked = spark.read.parquet(path)
+        choices = marked.groupBy(*{*block, *choice}).agg(F.max("_sure").alias("_sure"), F.max(F.col("_gone") | F.col("_new")).alias("_moved"))
+        active = cut(choices.groupBy(*block).agg(F.max("_moved").alias("_moved"), F.min("_sure").alias("_closed")).filter("_moved and not _closed").select(*block), "active")
+        left = marked.filter(~F.col("_gone")).drop("_gone", "_new")
+        settled.append(cut(spread_join(left, active, block, "left_anti"), "settled"))
+        if active.isEmpty():
+            discard(spark, path)
             break
+        pool = cut(spread_join(left, active, block, "left_semi"), "pool")
+        discard(spark, path)
     both = reduce(DataFrame.unionByName, [first, second]).groupBy(*block, "trait", "code").agg(F.max("n").alias("n"))
-    return select_by_fit(pool, both, block, choice, pair, pk, want, F.col("_sure"), traits, seeds, 9001).drop("_sure")
+    rest = reduce(DataFrame.unionByName, settled)
+    return select_by_fit(rest, both, block, choice, pair, pk, want, F.col("_sure"), traits, seeds, 9001).drop("_sure")
 
 
 def jobs_from_margins(wide: DataFrame, block: str, total: str, stems: dict[str, str], seed: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from popweave.functions.geo import line_text
 from popweave.functions.schools import expand_code
+from popweave.operators.joins import require_unique
 from popweave.operators.random_merge import CascadeResult, Round, Side, merge_cascade
 from popweave.operators.ranks import first_per_group, largest_group, random_rank, synthetic_key
 from popweave.operators.recode import prefer_right
@@ -66,8 +67,9 @@ def outside_workers(jobs: DataFrame, block: str, job_pk: str) -> DataFrame:
 
 def person_school_job(persons: DataFrame, students: DataFrame, jobs: DataFrame, establishments: DataFrame, pk: str, job: str) -> DataFrame:
     """Final table: every person with school, job and establishment and the
-    lines from home to both.  Jobs held by people outside the area add rows."""
-    worked = jobs.join(establishments, job, "left")
+    lines from home to both.  Jobs held by people outside the area add rows.
+    The job fails when an establishment row repeats a job."""
+    worked = jobs.join(require_unique(establishments, [job]), job, "left")
     merged = persons.join(students, pk, "left").join(worked.withColumnsRenamed({"block": "block_y"}), pk, "full")
     merged = prefer_right(merged.withColumnRenamed("block", "block_x"), ["block"])
     c = F.col

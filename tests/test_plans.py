@@ -1,9 +1,16 @@
 """Invariants of the whole jobs that have no SQL."""
 
+import hashlib
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF, rows
 from popweave.catalog import QUERIES, SQL
+from popweave.catalog.registry import Tables
+from popweave.catalog.standins import lines
 from popweave.plans import jobs, places
 from popweave.operators.checks import margin_table
 
@@ -50,8 +57,9 @@ def test_final_person_table_keeps_everyone(spark):
     out = run(spark, "pl_18")
     inside = out.filter("precid not like '%PJ%'")
     assert inside.select("precid").distinct().count() == spark.read.parquet(f"{SF}/orders.parquet").count()
-    jobs = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)").distinct()
-    assert out.filter("jobid is not null").select("jobid").distinct().count() == jobs.count()
+    jobs = lines(Tables(spark, SF)).select("line_key")
+    assert jobs.distinct().count() == jobs.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert rows(out.filter("jobid is not null").select("jobid")) == rows(jobs)
 
 
 def test_allocation_follows_place_and_tenure(spark):
@@ -70,24 +78,77 @@ def test_selection_by_agreement_meets_expected_numbers(spark):
     assert got.count() == got.select("pk").distinct().count() > 0
 
 
-def test_agreement_runs_until_no_job_becomes_certain(spark, monkeypatch):
-    cand = spark.range(60).select(F.col("id").cast("string").alias("pk"), F.lit(0).alias("b"), (F.col("id") % 12).alias("ch"), F.lit(1).alias("t"),
-                                  F.lit(12).alias("want"), F.lit(0.0).alias("prob_selected"))
-    target = margin_table(cand.filter("cast(pk as int) < 12"), ["b"], ["t"])
-    chosen = [["0"], ["0", "1"], ["0", "1", "2"], ["0", "1", "2"]]
-    passes = []
-
-    def select(pool, m, block, choice, pair, pk, want, certain, traits, seeds, first_seed):
-        passes.append(first_seed)
-        return pool.filter(F.col(pk).isin(chosen[min((len(passes) - 1) // 2, 3)]))
-
-    monkeypatch.setattr(jobs, "select_by_fit", select)
-    jobs.select_jobs_by_agreement(cand, {"x": target, "y": target}, ["b"], ["b", "ch"], ["b"], "pk", "want", ["t"], 1)
-    assert passes == [1, 1001, 2001, 3001, 4001, 5001, 6001, 7001, 9001]
-    passes.clear()
-    chosen[:] = [["0"]] * 4
-    jobs.select_jobs_by_agreement(cand, {"x": target, "y": target}, ["b"], ["b", "ch"], ["b"], "pk", "want", ["t"], 1)
-    assert passes == [1, 1001, 2001, 3001, 9001]
+def _brute_selection(pool, seed, want):
+    """Chosen keys of one seed; pool: (pk, block, choice, traits, sure)."""
+    order = lambda r: (hashlib.md5(f"{r[0]}|{seed}".encode()).hexdigest(), r[0])
+    ranked = sorted(pool, key=order)
+    first = {}
+    for r in ranked:
+        first.setdefault((r[1], r[2]), r[0])
+    picked = {r[0]: first[r[1], r[2]] == r[0] or r[4] for r in pool}
+    have, turn, out = Counter(r[1] for r in pool if picked[r[0]]), Counter(), set()
+    for r in ranked:
+        block, sel = r[1], picked[r[0]]
+        turn[block, sel] += 1
+        w, h, n = want[block], have[block], turn[block, sel]
+        if sel if w == h else (sel and n <= w) or (not sel and n <= w - h):
+            out.add(r[0])
+    return out
+
+
+def _brute_best(pool, targets, seeds, want):
+    best = {}
+    for seed in seeds:
+        chosen = _brute_selection(pool, seed, want)
+        for block in {r[1] for r in pool} | {t[0] for t in targets}:
+            made = Counter((t, str(v)) for r in pool if r[1] == block and r[0] in chosen for t, v in zip("xy", r[3]))
+            gap = {k: made[k] for k in made}
+            for (b, t, v), n in targets.items():
+                if b == block:
+                    gap[t, v] = gap.get((t, v), 0) - n
+            mine = {r[0] for r in pool if r[1] == block and r[0] in chosen}
+            fit = (sum(map(abs, gap.values())), seed)
+            if block not in best or fit < best[block][0]:
+                best[block] = (fit, mine)
+    return best
+
+
+def _brute_agreement(rows, margins, want, seeds):
+    """Every block on its own, until a pass changes nothing or nothing is open."""
+    left = []
+    for block in sorted({r[1] for r in rows}):
+        pool = [r for r in rows if r[1] == block]
+        for step in range(100):
+            starts = [1 + 1000 * (k + (k >= 9)) for k in (2 * step, 2 * step + 1)]
+            runs = [_brute_best(pool, {k: n for k, n in m.items() if k[0] == block}, range(a, a + seeds), want)[block][1] for m, a in zip(margins, starts)]
+            winner = {}
+            for r in pool:
+                if r[0] in runs[0] & runs[1]:
+                    winner[r[2]] = min(winner.get(r[2], r[0]), r[0])
+            after = [(*r[:4], r[4] or winner.get(r[2]) == r[0]) for r in pool if winner.get(r[2], r[0]) == r[0]]
+            moved, pool = after != pool, after
+            if not moved or {r[2] for r in pool} == {r[2] for r in pool if r[4]}:
+                break
+        left += pool
+    both = {}
+    for m in margins:
+        for k, n in m.items():
+            both[k] = max(n, both.get(k, 0))
+    final = _brute_best(left, both, range(9001, 9001 + seeds), want)
+    return sorted((pk, fit[1], fit[0]) for fit, chosen in final.values() for pk in chosen)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_agreement_against_brute_force(spark, parts):
+    g = random.Random(3)
+    rows = [(f"j{i}", i % 4, g.randrange(12), (g.randrange(3), g.randrange(2)), False) for i in range(150)]
+    want = {b: 9 - b for b in range(4)}
+    taken = rows[::7]
+    margins = [Counter((r[1], t, str(r[3][k])) for r in taken) for k, t in enumerate("xy")]
+    cand = spark.createDataFrame([(r[0], r[1], r[2], *r[3], want[r[1]], 0.0) for r in rows], "pk string, b int, ch int, x int, y int, want int, prob_selected double").repartition(parts)
+    tables = {t: spark.createDataFrame([(*k, n) for k, n in m.items()], "b int, trait string, code string, n long") for t, m in zip("xy", margins)}
+    got = jobs.select_jobs_by_agreement(cand, tables, ["b"], ["b", "ch"], ["b"], "pk", "want", ["x", "y"], 2)
+    assert sorted((r["pk"], r["seed"], r["fitness"]) for r in got.collect()) == _brute_agreement(rows, margins, want, 2)
 
 
 def test_best_seed_is_really_the_best(spark):
