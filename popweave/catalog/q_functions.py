@@ -239,6 +239,18 @@ def fn_26(t):
     return rows.select("p_partkey", F.round("c.x", 6).alias("cx"), F.round("c.y", 6).alias("cy"), geo.inside(F.col("ring"), F.col("c.x"), F.col("c.y")).alias("is_inside"))
 
 
+# A block shaped like a C: its centroid lies in the gap.
+@query("fn_26_inner", """
+SELECT p_partkey, p_partkey + 0.5::DOUBLE * p_size AS x, 1.5::DOUBLE * p_size AS y, true AS is_inside, false AS centroid_inside FROM part""")
+def fn_26_inner(t):
+    k, s = F.col("p_partkey").cast("double"), F.col("p_size").cast("double")
+    corners = [(0, 0), (4, 0), (4, 1), (1, 1), (1, 2), (4, 2), (4, 3), (0, 3)]
+    ring = F.array(*[geo.point(k + s * a, s * b) for a, b in corners])
+    rows = t.part.select("p_partkey", F.array(ring).alias("rings"), geo.ring_centroid(ring).alias("c")).withColumn("p", geo.inner_point(F.col("rings")))
+    held = lambda c: geo.inside_rings(F.col("rings"), F.col(f"{c}.x"), F.col(f"{c}.y"))
+    return rows.select("p_partkey", "p.x", "p.y", held("p").alias("is_inside"), held("c").alias("centroid_inside"))
+
+
 @query("fn_27", "SELECT p_partkey, concat_ws('-', p_partkey, p_brand, p_type) AS bldg_id FROM part")
 def fn_27(t):
     return t.part.select("p_partkey", F.concat_ws("-", F.col("p_partkey").cast("string"), "p_brand", "p_type").alias("bldg_id"))

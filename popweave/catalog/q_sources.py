@@ -90,6 +90,21 @@ def src_08(t):
                          geo.ring_area(F.col("r")).alias("area"))
 
 
+# A square with a square hole, and a second part beside it.
+@query("src_08_parts", """
+SELECT p_partkey, 3 AS n_rings, (p_partkey + 9 * p_size)::DOUBLE AS max_x, true AS in_part, false AS in_hole, true AS in_second, false AS between FROM part""")
+def src_08_parts(t):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    square = lambda a, b: F.concat(F.lit("("), F.concat_ws(", ", *[
+        F.concat_ws(" ", (k + s * p).cast("string"), (s * q).cast("string")) for p, q in ((a, a), (b, a), (b, b), (a, b), (a, a))]), F.lit(")"))
+    text = F.concat(F.lit("MULTIPOLYGON (("), square(0, 6), F.lit(", "), square(2, 4), F.lit("), ("), square(7, 9), F.lit("))"))
+    parsed = t.part.select("p_partkey", k.alias("k"), s.alias("s"), geo.parse_rings(text).alias("r"))
+    corner = F.flatten(F.transform("r", lambda ring: F.transform(ring, lambda p: p["x"])))
+    spots = {"in_part": 1, "in_hole": 3, "in_second": 8, "between": 6.5}
+    held = [geo.inside_rings(F.col("r"), F.col("k") + F.col("s") * d, F.col("s") * F.lit(float(d))).alias(n) for n, d in spots.items()]
+    return parsed.select("p_partkey", F.size("r").alias("n_rings"), F.array_max(corner).alias("max_x"), *held)
+
+
 @query("src_09", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
 def src_09(t):
     path = scratch_path(t.spark, "saved")

@@ -62,6 +62,20 @@ def jn_10_all(t):
     return joined.select("o_orderkey", "n_nationkey")
 
 
+# One square per nation with a square hole and a small square inside the hole, read from text.
+@query("jn_10_parts", f"""WITH {DIAMOND_SQL}, {ORDER_POINTS_SQL}, d AS (SELECT o_orderkey, n_nationkey, greatest(abs(x - cx), abs(y - cy)) AS d FROM pts, diamonds),
+h AS (SELECT o_orderkey, min(n_nationkey) AS n_nationkey FROM d WHERE d <= 0.5 OR d BETWEEN 1 AND 2 GROUP BY 1)
+SELECT o_orderkey, h.n_nationkey, n_name FROM pts LEFT JOIN h USING (o_orderkey) LEFT JOIN nation ON h.n_nationkey = nation.n_nationkey""")
+def jn_10_parts(t):
+    cx, cy = F.col("n_nationkey") % 5 * 4 + 2, F.floor(F.col("n_nationkey") / 5) * 4 + 2
+    square = lambda r: F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", (cx + a * r).cast("string"), (cy + b * r).cast("string"))
+                                                               for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]), F.lit(")"))
+    text = F.concat(F.lit("MULTIPOLYGON (("), square(2), F.lit(", "), square(1), F.lit("), ("), square(0.5), F.lit("))"))
+    blocks = t.nation.select("n_nationkey", "n_name", geo.parse_rings(text).alias("rings"))
+    joined = point_in_polygon(order_points(t), "o_orderkey", "x", "y", blocks, "n_nationkey", "rings", 1.0, ("n_name",))
+    return joined.select("o_orderkey", "n_nationkey", "n_name")
+
+
 @query("jn_11", f"""WITH {CUST_SQL}, {SUPP_SQL}
 SELECT c_custkey, s_suppkey, {DIST} AS distance, row_number() OVER (PARTITION BY c_custkey ORDER BY {DIST}, s_suppkey) AS neighbor FROM a, b QUALIFY neighbor <= 3""")
 def jn_11(t):

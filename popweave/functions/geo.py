@@ -1,4 +1,8 @@
-"""Geometry as plain columns: points are struct<x,y>, rings array<struct<x,y>>."""
+"""Geometry as plain columns: points are struct<x,y>, a ring is array<struct<x,y>>.
+
+A polygon with holes, or of several parts, is the array of all its rings: a place
+is inside where it lies in an odd number of them.
+"""
 
 from __future__ import annotations
 
@@ -31,6 +35,23 @@ def parse_ring(wkt: Column) -> Column:
     return F.when(wkt.rlike("^POLYGON"), F.when(closed, F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring))
 
 
+def parse_rings(wkt: Column) -> Column:
+    """All rings of a ``POLYGON`` or ``MULTIPOLYGON``, holes too, each without
+    its closing point; null for other texts, no ring for ``EMPTY``."""
+    def ring(body: Column) -> Column:
+        numbers = F.transform(F.split(F.trim(body), r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+"))
+        points = F.transform(numbers, lambda p: point(p[0], p[1]))
+        closed = (F.size(points) > 1) & (F.element_at(points, 1) == F.element_at(points, -1))
+        return F.when(closed, F.slice(points, 1, F.size(points) - 1)).otherwise(points)
+    bodies = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))
+    return F.when(wkt.rlike(r"^\s*(MULTI)?POLYGON"), F.transform(bodies, ring))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def point_text(x: Column, y: Column) -> Column:
     return F.concat(F.lit("POINT ("), x.cast("string"), F.lit(" "), y.cast("string"), F.lit(")"))
 
@@ -85,6 +106,45 @@ def inside(ring: Column, x: Column, y: Column) -> Column:
     return is_inside(F.aggregate(ring_edges(ring), F.lit(0), lambda s, e: s + edge_score(e, x, y)))
 
 
+def rings_edges(rings: Column) -> Column:
+    """Edges of all rings."""
+    return F.flatten(F.transform(rings, ring_edges))
+
+
+def inside_rings(rings: Column, x: Column, y: Column) -> Column:
+    """Point in a polygon of several rings; borders, also of holes, count as inside."""
+    return is_inside(F.aggregate(rings_edges(rings), F.lit(0), lambda s, e: s + edge_score(e, x, y)))
+
+
+def inner_point(rings: Column) -> Column:
+    """A point inside a polygon: the middle of the widest inner stretch (the left
+    one of equals) of a line halfway between two neighbouring corner heights, as
+    near to the middle of the box as some edge reaches.  Null where the polygon
+    has no height."""
+    def across(edges: Column, y: Column) -> Column:
+        hit = F.filter(edges, lambda e: (e["ay"] > y) != (e["by"] > y))
+        xs = F.array_sort(F.transform(hit, lambda e: e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])))
+        return let(xs, lambda x: let(F.array_max(F.transform(F.sequence(F.lit(1), F.size(x) - 1, F.lit(2)), lambda i: F.struct(
+            (F.element_at(x, i + 1) - F.element_at(x, i)).alias("width"), (-(F.element_at(x, i + 1) + F.element_at(x, i)) / 2).alias("left")))),
+            lambda best: point(-best["left"], y)))
+
+    def nearest_edge(sloped: Column, mid: Column) -> Column:
+        def reach(e):
+            low, high = F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"])
+            at = F.greatest(low, F.least(high, mid))
+            return F.struct(F.abs(at - mid).alias("off"), at.alias("at"), high.alias("high"))
+        return F.array_min(F.transform(sloped, reach))
+
+    def height(edges: Column) -> Column:
+        ys = F.transform(edges, lambda e: e["ay"])
+        sloped = F.filter(edges, lambda e: e["ay"] != e["by"])
+        return let(ys, lambda v: let(nearest_edge(sloped, (F.array_min(v) + F.array_max(v)) / 2), lambda e: F.when(
+            e["at"] < e["high"], F.array_max(F.filter(v, lambda a: a <= e["at"])) + F.array_min(F.filter(v, lambda a: a > e["at"]))
+        ).otherwise(F.array_max(F.filter(v, lambda a: a < e["high"])) + e["high"]) / 2))
+
+    return let(rings_edges(rings), lambda e: let(height(e), lambda y: F.when(y.isNotNull(), across(e, y))))
+
+
 def ring_bounds(ring: Column) -> dict[str, Column]:
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     return {"min_x": F.array_min(xs), "min_y": F.array_min(ys), "max_x": F.array_max(xs), "max_y": F.array_max(ys)}

@@ -33,10 +33,3 @@ def random_int(lo, hi, pk, seed=None) -> Column:
     low, high = _col(lo), _col(hi)
     drawn = F.floor(low + uniform(pk, seed) * (high - low)).cast("long")
     return F.when(low == high, low.cast("long")).when(low < high, drawn)
-
-
-def hash_bucket(digest: Column, buckets) -> Column:
-    """Bucket of an md5 digest; buckets rise with the digest, so ranks can be
-    built bucket by bucket."""
-    head = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    return F.shiftright(head * F.lit(buckets), 32).cast("int")

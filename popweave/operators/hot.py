@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from popweave.session import is_small, spread
+from popweave.session import spread
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys) -> Column:
@@ -34,16 +34,6 @@ def hot_groups(sizes: DataFrame, keys: list[str], size: str) -> DataFrame:
     return hot.select(*keys, F.ceil(F.col(size) * n / total).cast("int").alias("_pieces"))
 
 
-def with_pieces(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the number of pieces of their group; null where it is not hot."""
-    if not keys:
-        return df.withColumn("_pieces", F.lit(spread(df.sparkSession)))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    hot = F.broadcast(renamed(hot_groups(sizes, keys, "_size"), keys))
-    joined = df.join(hot, null_safe(df, hot, [(k, f"_r_{k}") for k in keys]), "left")
-    return joined.drop(*[f"_r_{k}" for k in keys])
-
-
 def value_limits(df: DataFrame, hot: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """The hot groups (their pieces in ``_pieces``) with ``_limits``: values that cut
     each into pieces of about equal numbers of rows.
@@ -75,16 +65,12 @@ def lookup(big: DataFrame, key: str, small: DataFrame, small_key: str, how: str
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi join in which the rows of a hot key of ``big`` go to many tasks.
 
-    Where either table is small as a whole, Spark's own choice is enough: no
-    task can get more than that table.  Otherwise the rows of a hot key are
-    dealt over its pieces and the matching rows of ``small`` are copied once per
-    piece; all other keys join as usual.  ``big`` is read twice (its keys are
+    The rows of a hot key are dealt over its pieces and the matching rows of
+    ``small`` are copied once per piece; all other keys join as usual.  ``big`` is read twice (its keys are
     counted first), so hand over a stored table where it is costly to compute.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("the big side must be the preserved side")
-    if is_small(small) or is_small(big):
-        return big.join(small, keys, how)
     sizes = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     hot = F.broadcast(hot_groups(sizes, keys, "_size"))
     dealt = big.join(hot, keys, "left").withColumn(

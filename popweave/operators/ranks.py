@@ -1,9 +1,9 @@
 """Counters inside groups that stay parallel when one group is huge.
 
 A plain window puts a whole group into one task.  Here the rows of a hot group
-are cut into pieces that follow the order (by the digest of the key, or by
-value), rows are numbered inside a piece, and the size of the earlier pieces is
-added.  The result is exactly the plain ``row_number``.
+are cut into pieces that follow the order, by leading digest values or by ranges
+of any order, rows are numbered inside a piece, and the size of the earlier
+pieces is added.  The result is exactly the plain ``row_number``.
 """
 
 from __future__ import annotations
@@ -12,71 +12,96 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from popweave.functions.seeded import hash_bucket, order_key
-from popweave.operators.hot import hot_groups, null_safe, piece_of, renamed, value_limits, with_pieces
-from popweave.session import is_small
-
-
-def _number(df: DataFrame, group: list[str], sort: list, piece, order: list, out: str) -> DataFrame:
-    """Number rows; ``piece`` maps a number of pieces to the piece of a row and
-    follows ``order`` after the ``sort`` columns.
-
-    In a table that is small as a whole no group can be too large for a task,
-    so a plain window does."""
-    if is_small(df):
-        rank = F.row_number().over(W.partitionBy(*(group or [F.lit(0)])).orderBy(*order))
-        return df.withColumn(out, rank.cast("long")).drop("_order")
-    hot = F.col("_pieces").isNotNull()
-    front = {f"_s{i}": F.when(hot, F.col(c)) for i, (c, _) in enumerate(sort)}
-    keyed = with_pieces(df, group)
-    keyed = keyed.withColumns({"_piece": F.when(hot, piece(F.col("_pieces"))).otherwise(F.lit(0)), **front})
-    keys = [*group, *front, "_piece"]
-    numbered = keyed.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
-    sizes = keyed.filter(hot).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    directed = [F.col(f"_s{i}").asc() if asc else F.col(f"_s{i}").desc() for i, (_, asc) in enumerate(sort)]
-    before = W.partitionBy(*(group or [F.lit(0)])).orderBy(*directed, F.col("_piece")).rowsBetween(W.unboundedPreceding, -1)
-    offsets = renamed(sizes.select(*keys, F.sum("_n").over(before).alias("_before")), keys)
-    if not sort:  # fewer than 2 x spread rows
-        offsets = F.broadcast(offsets)
-    joined = numbered.join(offsets, null_safe(numbered, offsets, [(k, f"_r_{k}") for k in keys]), "left")
-    return joined.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop(
-        "_before", "_piece", "_pieces", "_order", *front, *[f"_r_{k}" for k in keys])
+from popweave.functions.seeded import order_key
+from popweave.operators.hot import hot_groups, null_safe, renamed
+from popweave.session import cut, spread
+
+
+#: Leading digest values by which rows are counted, and so the most pieces of a group.
+BUCKETS = 256
+
+
+def digest_bucket(digest: Column) -> Column:
+    """The leading byte of a hexadecimal digest."""
+    return F.conv(F.substring(digest, 1, 2), 16, 10).cast("int")
+
+
+def bucket_piece(bucket, pieces) -> Column:
+    """The piece of a bucket, null where the group is not cut; pieces rise with the digest."""
+    piece = F.floor(F.col(bucket) * F.least(F.col(pieces), F.lit(BUCKETS)) / BUCKETS).cast("int")
+    return F.when(F.col(pieces).isNotNull(), piece)
 
 
 def random_rank(df: DataFrame, group: list[str], pk, seed=None, sort=(), out: str = "rank") -> DataFrame:
     """1-based rank in each group, in seeded random order.
 
-    ``sort`` is a list of (column, ascending) put in front of the random order;
-    these columns should hold few distinct values per group.
+    ``sort`` is a list of (column, ascending) put in front of the random order.
+    Without it one count per group and leading digest byte gives the hot groups,
+    their pieces and the rows in front of each piece; rows are then numbered
+    inside pieces.  The input is read twice.
     """
     keys = [pk] if isinstance(pk, str) else list(pk)
-    order = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in sort]
-    order += [F.col("_order"), *[F.col(k) for k in keys]]
-    return _number(df.withColumn("_order", order_key(keys, seed)), group, list(sort),
-                   lambda n: hash_bucket(F.col("_order"), n), order, out)
+    keyed = df.withColumn("_order", order_key(keys, seed))
+    if sort:
+        order = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in sort]
+        return ordered_rank(keyed, group, [*order, F.col("_order"), *[F.col(k) for k in keys]], out).drop("_order")
+    by = group or ["_all_rows"]
+    keyed = keyed if group else keyed.withColumn("_all_rows", F.lit(0))
+    keyed = keyed.withColumn("_bucket", digest_bucket(F.col("_order")))
+    n = spread(df.sparkSession)
+    counts = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(renamed(hot_groups(counts.groupBy(*by).agg(F.sum("_n").alias("_all")), by, "_all"), by))
+    pairs = [(k, f"_r_{k}") for k in by]
+    ahead = W.partitionBy(*by).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    pieces = counts.join(hot, null_safe(counts, hot, pairs)).withColumn("_piece", bucket_piece("_bucket", "_pieces")).groupBy(*by, "_piece").agg(
+        F.sum("_n").alias("_n")).select(*by, "_piece", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    offsets = F.broadcast(renamed(pieces, [*by, "_piece"]))  # fewer than 2 x spread rows
+    dealt = keyed.join(hot, null_safe(keyed, hot, pairs), "left").withColumn("_piece", F.coalesce(bucket_piece("_bucket", "_pieces"), F.lit(0)))
+    numbered = dealt.withColumn(out, F.row_number().over(W.partitionBy(*by, "_piece").orderBy("_order", *keys)).cast("long")).drop(*[r for _, r in pairs])
+    joined = numbered.join(offsets, null_safe(numbered, offsets, [*pairs, ("_piece", "_r__piece")]), "left")
+    return joined.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop(
+        "_before", "_piece", "_pieces", "_order", "_bucket", "_all_rows", "_r__piece", *[r for _, r in pairs])
 
 
-def value_rank(df: DataFrame, group: list[str], by: str, ties=(), out: str = "rank", descending: bool = False) -> DataFrame:
-    """1-based rank in each group ordered by a numeric column.
+def ordered_rank(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
+    """1-based rank in each group in any order.
 
-    A hot group is cut at approximate percentiles of its own values.  Rows of
-    one and the same value stay in one piece.
+    Groups that are not hot are numbered where their rows meet.  The rows of
+    hot groups are cut into ranges of (group, order), whatever it is that many
+    of them share, and stored in that order; a row's place is the rows of the
+    earlier ranges and its place in its own, and its rank is counted from the
+    first place of its group.  Rows that agree in everything of ``order`` stay in
+    one range, so put a key at its end.  Hot groups are found by an action.
     """
-    first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_first()
-    order = [first, *[F.col(t) for t in ties]]
-    if is_small(df):
-        return _number(df, group, [], None, order, out)
-    keys = group or ["_all_rows"]
+    by = group or ["_all_rows"]
     df = df if group else df.withColumn("_all_rows", F.lit(0))
-    hot = hot_groups(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), keys, "_size")
-    limits = F.broadcast(renamed(value_limits(df, hot, keys, F.col(by)).drop("_pieces"), keys))
-    keyed = df.join(limits, null_safe(df, limits, [(k, f"_r_{k}") for k in keys]), "left").drop(*[f"_r_{k}" for k in keys])
+    n = spread(df.sparkSession)
+    found = hot_groups(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")), by, "_size").drop("_pieces")
+    listed = found.collect()  # fewer than ``spread`` rows
+    plain = F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long")
+    if not listed:
+        return df.withColumn(out, plain).drop("_all_rows")
+    hot = F.broadcast(renamed(df.sparkSession.createDataFrame(listed, found.schema), by))
+    on = null_safe(df, hot, [(k, f"_r_{k}") for k in by])
+    cold = df.join(hot, on, "left_anti").withColumn(out, plain)
+    front = [F.col(k).asc() for k in by]
+    ranges = df.join(hot, on, "left_semi").repartitionByRange(n, *front, *order).sortWithinPartitions(*front, *order)
+    placed = cut(ranges.withColumn("_id", F.monotonically_increasing_id()), "ranges").withColumn("_range", F.shiftright("_id", 33))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    before = F.broadcast(sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    at = F.col("_before") + F.col("_id") - F.shiftleft("_range", 33)
+    placed = placed.join(before, "_range").withColumn("_at", at).drop("_id", "_range", "_before")
+    starts = F.broadcast(renamed(placed.groupBy(*by).agg(F.min("_at").alias("_start")), by))
+    joined = placed.join(starts, null_safe(placed, starts, [(k, f"_r_{k}") for k in by]))
+    ranked = joined.withColumn(out, F.col("_at") - F.col("_start") + 1)
+    return cold.unionByName(ranked.select(*cold.columns)).drop("_all_rows")
 
-    def piece(n: Column) -> Column:
-        up = F.least(piece_of(F.col(by)), n - 1)
-        return n - 1 - up if descending else up
 
-    return _number(keyed, keys, [], piece, order, out).drop("_limits", "_all_rows")
+def value_rank(df: DataFrame, group: list[str], by: str, ties=(), out: str = "rank", descending: bool = False) -> DataFrame:
+    """1-based rank in each group ordered by a column (null is the least, or the last), then by ``ties``."""
+    first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_first()
+    return ordered_rank(df, group, [first, *[F.col(t) for t in ties]], out)
 
 
 def first_per_group(df: DataFrame, group: list[str], order: list, keep: list[str]) -> DataFrame:

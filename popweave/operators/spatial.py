@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from popweave.functions.geo import edge_score, is_inside, plane_distance, ring_bounds, ring_edges
+from popweave.functions.geo import edge_score, is_inside, plane_distance, ring_edges, rings_edges
 from popweave.operators.hot import spread_join
 from popweave.operators.ranks import first_per_group, top_k
-from popweave.session import cut, is_small
+from popweave.session import cut
 
 LEVELS = 40
 #: The finest grid of targets has 2 ** FINEST cells in a row.
@@ -20,44 +21,65 @@ def _cell(value, level, cell: float):
     return F.floor(value / (F.lit(float(cell)) * F.pow(F.lit(2.0), level))).cast("long")
 
 
-def polygon_cells(polygons: DataFrame, ring: str, cell: float) -> DataFrame:
-    """Each polygon (as edges and box) on the level where its box covers at most
-    2 x 2 cells."""
-    box = ring_bounds(F.col(ring))
-    boxed = polygons.withColumns({f"_{k}": v for k, v in box.items()})
-    extent = F.greatest(F.col("_max_x") - F.col("_min_x"), F.col("_max_y") - F.col("_min_y"))
+def polygon_edges(polygons: DataFrame, poly_id: str, ring: str) -> DataFrame:
+    """Edges of all rings of an id (id, ax, ay, bx, by).  ``ring`` holds a ring or
+    an array of rings; an id may have several rows."""
+    nested = isinstance(polygons.schema[ring].dataType.elementType, ArrayType)
+    edges = rings_edges(F.col(ring)) if nested else ring_edges(F.col(ring))
+    return polygons.filter(F.col(poly_id).isNotNull()).select(poly_id, F.explode(edges).alias("_e")).select(poly_id, "_e.*")
+
+
+def polygon_boxes(edges: DataFrame, poly_id: str, cell: float) -> DataFrame:
+    """Box, grid level and height bands of each polygon.
+
+    The level is the one where the box covers at most 2 x 2 cells.  There are so
+    many bands that an edge lies in two of them on average.
+    """
+    boxes = edges.groupBy(poly_id).agg(
+        *[f(F.least(f"a{c}", f"b{c}") if n == "min" else F.greatest(f"a{c}", f"b{c}")).alias(f"_{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in "xy"],
+        F.count(F.lit(1)).alias("_n"), F.sum(F.abs(F.col("ay") - F.col("by"))).alias("_rise"))
+    tall = F.col("_max_y") - F.col("_min_y")
+    extent = F.greatest(F.col("_max_x") - F.col("_min_x"), tall)
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(float(cell))) / F.lit(float(cell)))))
-    boxed = boxed.withColumn("_level", F.least(level, F.lit(LEVELS)).cast("int"))
-    span = lambda axis: F.sequence(_cell(F.col(f"_min_{axis}"), F.col("_level"), cell),
-                                   _cell(F.col(f"_max_{axis}"), F.col("_level"), cell))
-    edged = boxed.withColumn("_edges", ring_edges(F.col(ring))).drop(ring)
-    return edged.withColumn("_cx", F.explode(span("x"))).withColumn("_cy", F.explode(span("y")))
+    bands = F.when(F.col("_rise") > 0, F.greatest(F.lit(1), F.floor(F.col("_n") * tall / F.col("_rise")))).otherwise(1)
+    return boxes.withColumns({"_level": F.least(level, F.lit(LEVELS)).cast("int"), "_bands": bands.cast("long")}).drop("_n", "_rise")
+
+
+def _band(y: Column) -> Column:
+    """The height band of a place in its polygon's box; it never falls as y grows."""
+    tall = F.col("_max_y") - F.col("_min_y")
+    return F.when(tall > 0, F.least(F.col("_bands") - 1, F.floor((y - F.col("_min_y")) * F.col("_bands") / tall))).otherwise(0).cast("long")
 
 
 def point_in_polygon(points: DataFrame, pk: str, x: str, y: str, polygons: DataFrame, poly_id: str, ring: str,
                      cell: float, carry: tuple = (), multi: str = "first") -> DataFrame:
     """Points with the polygon that holds them (border counts as inside).
 
-    On overlap the smallest polygon id wins, or all are kept with
-    ``multi='all'``.  Points outside every polygon keep nulls.
+    ``ring`` is a ring or an array of rings: a point in an odd number of them is
+    inside, so holes and several parts need nothing else.  On overlap the smallest
+    polygon id wins, or all are kept with ``multi='all'``.  Points outside every
+    polygon, and points without a place, keep nulls.  A point meets the polygons
+    in whose box it lies, and of those only the edges in its height band.
     """
-    cells = polygon_cells(polygons.select(poly_id, ring, *carry), ring, cell)
-    levels = cells.agg(F.collect_set("_level")).scalar()  # at most LEVELS + 1 values
-    located = points.select(pk, x, y)
-    if is_small(points):  # one file is one task; deal its rows over the cores
-        located = located.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), pk)
-    located = located.withColumn("_level", F.explode(levels))
+    edges = cut(polygon_edges(polygons, poly_id, ring), "edges")
+    boxes = cut(polygon_boxes(edges, poly_id, cell), "boxes")
+    span = lambda axis: F.sequence(_cell(F.col(f"_min_{axis}"), F.col("_level"), cell), _cell(F.col(f"_max_{axis}"), F.col("_level"), cell))
+    cells = boxes.withColumn("_cx", F.explode(span("x"))).withColumn("_cy", F.explode(span("y")))
+    levels = boxes.agg(F.collect_set("_level")).scalar()  # at most LEVELS + 1 values
+    located = points.select(pk, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_level", F.explode(levels))
     located = located.withColumns({"_cx": _cell(F.col(x), F.col("_level"), cell), "_cy": _cell(F.col(y), F.col("_level"), cell)})
     in_box = F.col(x).between(F.col("_min_x"), F.col("_max_x")) & F.col(y).between(F.col("_min_y"), F.col("_max_y"))
-    keep = [poly_id, *carry]
-    near = spread_join(located, cells, ["_level", "_cx", "_cy"]).filter(in_box)
-    # A point meets a polygon in one cell only.  The edges of such a pair are
-    # opened in place and summed up again before anything is shuffled.
-    edges = near.select(pk, *keep, x, y, F.explode("_edges").alias("_e"))
-    scored = edges.groupBy(pk, *keep).agg(F.sum(edge_score(F.col("_e"), F.col(x), F.col(y))).alias("_score"))
+    near = spread_join(located, cells, ["_level", "_cx", "_cy"]).filter(in_box).select(pk, poly_id, x, y, _band(F.col(y)).alias("_band"))
+    banded = edges.join(boxes, poly_id).withColumn("_band", F.explode(F.sequence(_band(F.least("ay", "by")), _band(F.greatest("ay", "by")))))
+    sides = banded.select(poly_id, "_band", F.struct("ax", "ay", "bx", "by").alias("_e"))
+    met = spread_join(cut(near, "near"), sides, [poly_id, "_band"])
+    # Summed in the task that made the pairs, then by point and polygon.
+    scored = met.groupBy(pk, poly_id).agg(F.sum(edge_score(F.col("_e"), F.col(x), F.col(y))).alias("_score"))
     hits = scored.filter(is_inside(F.col("_score"))).drop("_score")
     if multi != "all":
-        hits = first_per_group(hits, [pk], [poly_id], keep)
+        hits = hits.groupBy(pk).agg(F.min(poly_id).alias(poly_id))
+    if carry:
+        hits = spread_join(cut(hits, "inside"), polygons.select(poly_id, *carry).dropDuplicates([poly_id]), [poly_id])
     # Stored once, so that several layers in a row do not repeat each other.
     return points.join(cut(hits, "hits"), pk, "left")
 

@@ -70,24 +70,6 @@ def spread(spark: SparkSession) -> int:
     return max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def size_estimate(df: DataFrame) -> int:
-    """Catalyst's upper estimate of the bytes of a DataFrame."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether a whole table is small enough for one task.
-
-    Decided by Catalyst's size estimate against ``popweave.small.bytes`` (32 MB
-    unless set; 0 turns the short paths off).  Plans that generate rows are
-    never called small, as the estimate does not count the generated rows.
-    """
-    limit = int(df.sparkSession.conf.get("popweave.small.bytes", str(32 * 2**20)))
-    if limit <= 0 or size_estimate(df) > limit:
-        return False
-    return "Generate " not in df._jdf.queryExecution().optimizedPlan().toString()
-
-
 def constant_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
     """A short fixed table as a literal relation (no Python workers, known size)."""
     def text(v):

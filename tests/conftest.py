@@ -18,14 +18,12 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(params=["short", "split"])
+@pytest.fixture(params=["few", "many"])
 def paths(request, spark):
-    """Run a test on the paths for small tables and on those for large ones."""
-    if request.param == "split":
-        spark.conf.set("popweave.small.bytes", "0")
+    """Run a test with hot groups in few and in many pieces."""
+    if request.param == "many":
         spark.conf.set("popweave.spread", "40")
     yield request.param
-    spark.conf.unset("popweave.small.bytes")
     spark.conf.unset("popweave.spread")
 
 

@@ -1,5 +1,7 @@
 """One group holds most rows: split paths must equal the plain window or join."""
 
+import random
+
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +28,12 @@ def test_random_rank(skewed, paths):
     assert rows(got, "id", "rank") == rows(want, "id", "rank")
 
 
+def test_random_rank_without_sort(skewed, paths):
+    got = random_rank(skewed, ["g"], "id", 7)
+    want = skewed.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy(order_key("id", 7), "id")))
+    assert rows(got, "id", "rank") == rows(want, "id", "rank")
+
+
 def test_random_rank_without_group(skewed, paths):
     got = random_rank(skewed, [], "id", 7)
     assert sorted(r[0] for r in got.select("rank").collect()) == list(range(1, 6001))
@@ -39,6 +47,25 @@ def test_value_rank(skewed, paths, down):
     assert rows(got, "id", "rank") == rows(want, "id", "rank")
 
 
+def test_one_value_of_a_hundred_thousand_rows(spark):
+    df = spark.range(100_000).select("id", F.lit("g").alias("g"), F.lit(1.5).alias("v"), (F.col("id") % 50_000).alias("s"))
+    got = value_rank(df, ["g"], "v", ["id"])
+    assert got.filter(F.col("rank") != F.col("id") + 1).isEmpty() and got.count() == 100_000
+    many = random_rank(df, ["g"], "id", 1, [("s", True)])
+    want = df.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy("s", order_key("id", 1), "id")))
+    assert many.select("id", "rank").exceptAll(want.select("id", "rank")).isEmpty()
+    per_task = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert per_task < 50_000
+
+
+def test_ranks_of_empty_tables_and_null_groups(spark):
+    none = spark.createDataFrame([], "id long, g string, v long")
+    assert value_rank(none, ["g"], "v", ["id"]).count() == 0 == random_rank(none, ["g"], "id").count()
+    nulls = spark.range(300).select("id", F.lit(None).cast("string").alias("g"), F.lit(None).cast("long").alias("v"))
+    for got in (value_rank(nulls, ["g"], "v", ["id"]), random_rank(nulls, ["g"], "id"), value_rank(nulls, ["g"], "id", descending=True)):
+        assert sorted(r["rank"] for r in got.collect()) == list(range(1, 301))
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_spread_join(spark, skewed, paths, how):
     small = spark.createDataFrame([("hot", 1), ("hot", 2), ("5", 3), ("7", 4)], "g string, w int")
@@ -123,6 +150,72 @@ def test_polygons_of_very_different_size(spark, paths):
     assert got == [(1, 1), (1, 2), (2, 1), (2, 3), (3, 3), (4, None), (5, 1)]
 
 
+def _brute_inside(rings, x, y):
+    crossings = 0
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            if (bx - ax) * (y - ay) == (by - ay) * (x - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+                return True
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                crossings += 1
+    return crossings % 2 == 1
+
+
+def test_polygons_with_holes_and_parts(spark, paths):
+    import math
+    r = random.Random(2)
+    star = [(10 + (8 if i % 2 else 3) * math.cos(i * math.pi / 100), 10 + (8 if i % 2 else 3) * math.sin(i * math.pi / 100)) for i in range(200)]
+    comb = [p for i in range(30) for p in ((i * 0.5, 0.0), (i * 0.5 + 0.25, 15.0))] + [(15.0, -1.0), (0.0, -1.0)]
+    shapes = {1: [[(0, 0), (8, 0), (8, 8), (0, 8)], [(2, 2), (2, 6), (6, 6), (6, 2)], [(3, 3), (5, 3), (5, 5), (3, 5)]], 2: [star], 3: [comb],
+              4: [[(30, 30), (31, 30), (31, 31)], [(40, 40), (44, 40), (40, 44)]], 5: [[(0, 20), (5, 20), (9, 20)]]}
+    pts = [(i, r.uniform(-2, 20), r.uniform(-2, 20)) for i in range(400)] + [(900 + i, float(i % 9), float(i // 9)) for i in range(81)]
+    pts += [(2000, 30.9, 30.1), (2001, 41.0, 41.0), (2002, 35.0, 35.0), (2003, 4.0, 20.0), (2004, None, 1.0), (2005, 1.0, None)]
+    polys = spark.createDataFrame([(k, [[{"x": float(a), "y": float(b)} for a, b in ring] for ring in v], "n") for k, v in shapes.items()] + [(6, None, "n"), (7, [], "n")],
+                                  "k int, rings array<array<struct<x: double, y: double>>>, name string")
+    got = point_in_polygon(spark.createDataFrame(pts, "p int, x double, y double"), "p", "x", "y", polys, "k", "rings", 1.0, ("name",), multi="all")
+    want = []
+    for p, x, y in pts:
+        held = [k for k, v in shapes.items() if x is not None and y is not None and _brute_inside(v, x, y)]
+        want += [(p, k) for k in held] or [(p, None)]
+    assert rows(got, "p", "k") == sorted(want, key=lambda t: tuple((v is None, str(v)) for v in t))
+    one_row_a_ring = polys.select("k", F.explode("rings").alias("ring"))
+    again = point_in_polygon(spark.createDataFrame(pts, "p int, x double, y double"), "p", "x", "y", one_row_a_ring, "k", "ring", 1.0, multi="all")
+    assert rows(again, "p", "k") == rows(got, "p", "k")
+
+
+def test_a_point_meets_the_edges_of_its_band(spark):
+    import math
+    from popweave.operators import spatial
+    ring = [{"x": 100 * math.cos(i * math.pi / 5000), "y": 100 * math.sin(i * math.pi / 5000)} for i in range(10000)]
+    polys = spark.createDataFrame([(1, ring)], "k int, ring array<struct<x: double, y: double>>")
+    edges = spatial.polygon_edges(polys, "k", "ring")
+    banded = edges.join(spatial.polygon_boxes(edges, "k", 1.0), "k").withColumn(
+        "b", F.explode(F.sequence(spatial._band(F.least("ay", "by")), spatial._band(F.greatest("ay", "by")))))
+    sizes = [r["count"] for r in banded.groupBy("b").count().collect()]
+    assert edges.count() == 10000 and sum(sizes) < 25000 and sorted(sizes)[len(sizes) // 2] <= 8
+
+
+@pytest.mark.parametrize("rings", [
+    [[(0, 0), (4, 0), (4, 1), (1, 1), (1, 2), (4, 2), (4, 3), (0, 3)]],
+    [[(0, 0), (8, 0), (8, 8), (0, 8)], [(1, 1), (1, 7), (7, 7), (7, 1)]],
+    [[(0, 0), (1, 0), (1, 1)], [(10, 5), (14, 5), (10, 9)]],
+    [[(0, 0), (5, 5), (10, 0), (5, 9)]]])
+def test_inner_point_is_inside(spark, rings):
+    from popweave.functions.geo import inner_point, inside_rings
+    df = spark.createDataFrame([([[{"x": float(a), "y": float(b)} for a, b in ring] for ring in rings],)], "r array<array<struct<x: double, y: double>>>")
+    p = df.select(inner_point(F.col("r")).alias("p")).select("p.x", "p.y").first()
+    assert _brute_inside(rings, p["x"], p["y"])
+    assert df.select(inside_rings(F.col("r"), F.lit(p["x"]), F.lit(p["y"])).alias("i")).first()["i"]
+
+
+def test_flat_and_missing_polygons_have_no_inner_point(spark):
+    from popweave.functions.geo import inner_point, parse_rings
+    texts = spark.createDataFrame([("POLYGON ((0 0, 1 0, 2 0, 0 0))",), ("POLYGON EMPTY",), (None,), ("POINT (1 2)",), ("MULTIPOLYGON (((0 0, 2 0, 2 2, 0 0)), ((5 5, 6 5, 6 6, 5 5), (5 5, 5 5, 5 5, 5 5)))",)], "w string")
+    got = [(r["n"], None if r["p"] is None else tuple(r["p"])) for r in texts.select(parse_rings(F.col("w")).alias("r")).select(
+        F.size("r").alias("n"), inner_point(F.col("r")).alias("p")).collect()]
+    assert [g[0] for g in got] == [1, 0, None, None, 3] and [g[1] is None for g in got] == [True, True, True, True, False]
+
+
 def test_one_partner_serves_hundreds(spark):
     p = spark.range(300).select(F.col("id").alias("p"), (F.col("id") % 2).alias("b"), F.lit(1).alias("c"))
     s = spark.createDataFrame([(1, 0, 1)], "s int, sb int, sc int")

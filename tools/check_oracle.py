@@ -45,8 +45,7 @@ def main():
     keys = [k for k in QUERIES if not args or any(k == a or (a.endswith("*") and k.startswith(a[:-1])) for a in args)]
     spark = local_session("check", cores=8)
     spark.sparkContext.setLogLevel("ERROR")
-    if os.environ.get("FORCE_SPLIT"):  # take the paths for large tables
-        spark.conf.set("popweave.small.bytes", "0")
+    if os.environ.get("FORCE_SPLIT"):  # split groups as in a large cluster
         spark.conf.set("popweave.spread", "300")
     con = duckdb.connect()
     for t in TABLES:
