@@ -45,31 +45,38 @@ def pl_14(t):
     return records.select("srecid", "racecat5", "sex", "gradelevel", "ncessch_1", "ncessch_3")
 
 
+#: Kinds of school zones; a school belongs to one of them.
+ZONES = (1, 2, 3, 5, 6)
+
+
 def _pupils(t):
     """Persons of school age with their school zones and grade guesses."""
     grade = lambda k: F.concat(F.lit("G"), F.lpad(((F.col("o_orderkey") + k) % 12 + 1).cast("string"), 2, "0"))
     schools = t.supplier.agg(F.max("s_suppkey")).scalar() + 1
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    zones = {1: c, 2: c + 1, 3: o, 5: o + 1, 6: c + o}
     return t.orders.select(
-        F.col("o_orderkey").alias("precid"), (F.col("o_custkey") % schools).alias("zone_1"), (F.col("o_orderkey") % schools).alias("zone_3"),
-        grade(0).alias("grade_1"), grade(1).alias("grade_2"), F.when(F.col("o_orderstatus") == "O", 2).otherwise(1).alias("p_sex"), (F.col("o_custkey") % 5 + 1).cast("int").alias("p_race"))
+        F.col("o_orderkey").alias("precid"), *[(z % schools).alias(f"zone_{i}") for i, z in zones.items()],
+        *[grade(k).alias(f"grade_{k + 1}") for k in range(3)], F.when(F.col("o_orderstatus") == "O", 2).otherwise(1).alias("p_sex"), (F.col("o_custkey") % 5 + 1).cast("int").alias("p_race"))
 
 
 def _students_linked(t):
     students = cut(links.student_records(school_wide(t), "school", "level", _SCHOOL_COLS, "20092010").select("srecid", "school", "level", "racecat5", "sex", "gradelevel"), "students")
-    home = students.withColumns({"s_1": F.when(F.col("level").isin(1, 2), F.col("school")), "s_3": F.when(F.col("level").isin(3, 4), F.col("school"))})
-    grades = [(f"grade {i}", f"grade_{i}", "gradelevel") for i in (1, 2)]
-    zones = [("primary", "zone_1", "s_1"), ("high", "zone_3", "s_3")]
-    slim = home.select("srecid", "s_1", "s_3", "racecat5", "sex", "gradelevel")
+    home = students.withColumns({f"s_{i}": F.when(F.col("school") % len(ZONES) == k, F.col("school")) for k, i in enumerate(ZONES)})
+    grades = [(f"grade {i}", f"grade_{i}", "gradelevel") for i in (1, 2, 3)]
+    zones = [(f"zone {i}", f"zone_{i}", f"s_{i}") for i in ZONES]
+    slim = home.select("srecid", *[f"s_{i}" for i in ZONES], "racecat5", "sex", "gradelevel")
     return students, links.students_to_persons(Side(_pupils(t), "precid"), Side(slim, "srecid"), zones, grades, ("sex", "p_sex", "sex"), ("race", "p_race", "racecat5"), 133)
 
 
-_PUPIL_ROUNDS = [([zone, grade, *p], [s, "gradelevel", *b]) for grade in ("grade_1", "grade_2") for zone, s in (("zone_1", "s_1"), ("zone_3", "s_3"))
+_PUPIL_ROUNDS = [([zone, grade, *p], [s, "gradelevel", *b]) for grade in ("grade_1", "grade_2", "grade_3") for zone, s in [(f"zone_{i}", f"s_{i}") for i in ZONES]
                  for p, b in ((["p_sex", "p_race"], ["sex", "racecat5"]), (["p_sex"], ["sex"]), ([], []))]
 _PUPIL_CTES, _PUPIL_PAIRS = cascade_sql("pu", "precid", "su", "srecid", _PUPIL_ROUNDS, 133)
 _PUPILS_SQL = f"""{_STUDENT_SQL}, su AS MATERIALIZED (SELECT 'S' || school || 'syr20092010c' || lpad(srec_counter::VARCHAR, length((SELECT max(srec_counter) FROM k)::VARCHAR)::INT, '0') AS srecid, CASE substr(variable, 1, 2) WHEN 'AM' THEN 1 WHEN 'AS' THEN 2 WHEN 'HI' THEN 3 WHEN 'BL' THEN 4 ELSE 5 END AS racecat5,
  CASE WHEN substr(variable, 5, 1) = 'F' THEN 2 ELSE 1 END AS sex, CASE WHEN substr(variable, 3, 2) IN ('PK', 'KG', 'UG') THEN substr(variable, 3, 2) ELSE 'G' || substr(variable, 3, 2) END AS gradelevel,
- CASE WHEN level IN (1, 2) THEN school END AS s_1, CASE WHEN level IN (3, 4) THEN school END AS s_3 FROM k),
-pu AS MATERIALIZED (SELECT o_orderkey AS precid, o_custkey % n AS zone_1, o_orderkey % n AS zone_3, 'G' || lpad((o_orderkey % 12 + 1)::VARCHAR, 2, '0') AS grade_1, 'G' || lpad(((o_orderkey + 1) % 12 + 1)::VARCHAR, 2, '0') AS grade_2,
+ school, {', '.join(f'CASE WHEN school % 5 = {k} THEN school END AS s_{i}' for k, i in enumerate(ZONES))} FROM k),
+pu AS MATERIALIZED (SELECT o_orderkey AS precid, o_custkey % n AS zone_1, (o_custkey + 1) % n AS zone_2, o_orderkey % n AS zone_3, (o_orderkey + 1) % n AS zone_5, (o_custkey + o_orderkey) % n AS zone_6,
+ {', '.join(f"'G' || lpad(((o_orderkey + {k}) % 12 + 1)::VARCHAR, 2, '0') AS grade_{k + 1}" for k in range(3))},
  CASE WHEN o_orderstatus = 'O' THEN 2 ELSE 1 END AS p_sex, o_custkey % 5 + 1 AS p_race FROM orders, (SELECT max(s_suppkey) + 1 AS n FROM supplier))"""
 
 
@@ -115,7 +122,7 @@ def _jobs_linked(t):
     return jobs, links.jobs_to_persons(Side(_workers(t), "precid"), Side(jobs, "jobid"), levels, traits, guesses, 133)
 
 
-@query("pl_16", f"WITH {_JOB_SQL}, {_JOB_CTES} {_JOB_PAIRS}")
+@query("pl_16", f"WITH {_JOB_SQL}, {_JOB_CTES}, every AS MATERIALIZED ({_JOB_PAIRS}) SELECT precid, jobid, match_round FROM every")
 def pl_16(t):
     return _jobs_linked(t)[1].pairs
 
@@ -159,7 +166,7 @@ _U_CTES, _U_PAIRS = cascade_sql("pu", "precid", "su", "srecid", _PUPIL_ROUNDS, 1
 op AS ({_OUTSIDE_SQL.format(left=f'js{len(_JOB_ROUNDS)}')}),
 aj AS (SELECT precid::VARCHAR AS precid, jobid, NULL AS j_block FROM jp UNION ALL SELECT precid, jobid, j_block FROM op),
 ho AS (SELECT o_orderkey::VARCHAR AS precid, block, {spot_sql('o_orderkey', 71)} + 1 AS hx, {spot_sql('o_orderkey', 89)} + 1 AS hy FROM orders JOIN units ON o_custkey = c_custkey),
-sc AS (SELECT precid::VARCHAR AS precid, coalesce(s_1, s_3) AS school, {spot_sql('coalesce(s_1, s_3)', 31)} + 1 AS sx, {spot_sql('coalesce(s_1, s_3)', 43)} + 1 AS sy FROM up JOIN su USING (srecid)),
+sc AS (SELECT precid::VARCHAR AS precid, school, {spot_sql('school', 31)} + 1 AS sx, {spot_sql('school', 43)} + 1 AS sy FROM up JOIN su USING (srecid)),
 wk AS (SELECT precid, aj.jobid, j_block, estab, {spot_sql('estab', 13)} + 1 AS wx, {spot_sql('estab', 29)} + 1 AS wy FROM aj LEFT JOIN ep USING (jobid) LEFT JOIN (SELECT 'J' || estab || 'c' || c AS jestabid, estab FROM ee) x USING (jestabid))
 SELECT coalesce(ho.precid, wk.precid) AS precid, coalesce(block, j_block)::INT AS block, school, jobid, estab, 'LINESTRING ( ' || hx || ' ' || hy || ', ' || sx || ' ' || sy || ')' AS home_school_line, 'LINESTRING ( ' || hx || ' ' || hy || ', ' || wx || ' ' || wy || ')' AS home_work_line
 FROM ho LEFT JOIN sc ON ho.precid = sc.precid FULL JOIN wk ON ho.precid = wk.precid""")

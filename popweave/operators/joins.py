@@ -5,14 +5,49 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popweave.operators.hot import null_safe, spread_join
 from popweave.operators.ranks import random_rank
 
 
-def outer_indicator(left: DataFrame, right: DataFrame, keys: list[str], out: str = "merge_state") -> DataFrame:
-    """Full outer join where null keys match, with left_only / right_only / both."""
+#: Sides whose keys must not repeat, by the kind of a join.
+UNIQUE_SIDES = {"one_to_one": (True, True), "one_to_many": (True, False), "many_to_one": (False, True), "many_to_many": (False, False)}
+
+
+def unique_here(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The same rows; the job fails when a key repeats, null keys included.
+
+    Rows are counted where their key meets, which is where a join on the keys
+    wants them, so the check reads and shuffles nothing again.
+    """
+    copies = F.count(F.lit(1)).over(W.partitionBy(*keys))
+    guard = F.when(F.col("_copies") > 1, F.raise_error(F.lit(f"duplicate key in {keys}")).cast("boolean")).otherwise(F.lit(True))
+    # Always true, but not known to be: filters of a join stay above it, so null keys are counted before they go.
+    stay = F.spark_partition_id() >= 0
+    return df.withColumn("_copies", copies).filter(guard & stay).drop("_copies")
+
+
+def validated(left: DataFrame, right: DataFrame, keys: list[str], kind: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join; the job fails where a side whose keys must be
+    unique repeats one.  Only that side is counted, so a hot key of the many
+    side is not gathered for it."""
+    if kind not in UNIQUE_SIDES:
+        raise ValueError(f"unknown kind of join: {kind}")
+    return tuple(unique_here(df, keys) if one else df for df, one in zip((left, right), UNIQUE_SIDES[kind]))
+
+
+def checked_join(left: DataFrame, right: DataFrame, keys: list[str], kind: str, how: str = "inner") -> DataFrame:
+    """Equi join that fails on a repeated key of a side that must be unique."""
+    left, right = validated(left, right, keys, kind)
+    return left.join(right, keys, how)
+
+
+def outer_indicator(left: DataFrame, right: DataFrame, keys: list[str], out: str = "merge_state", kind: str = "many_to_many") -> DataFrame:
+    """Full outer join where null keys match, with left_only / right_only / both;
+    ``kind`` is checked as by ``checked_join``."""
+    left, right = validated(left, right, keys, kind)
     l = left.withColumn("_in_left", F.lit(True))
     r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys}).withColumn("_in_right", F.lit(True))
     joined = l.join(r, null_safe(l, r, [(k, f"_r_{k}") for k in keys]), "full")

@@ -6,17 +6,21 @@ from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popweave.functions.ids import geo_part
 from popweave.operators.checks import margin_fitness, margin_table
 from popweave.operators.hot import spread_join
+from popweave.operators.joins import unique_here
 from popweave.operators.ranks import random_rank
 from popweave.operators.reshape import exclusive_columns, expand_rows, job_type_equations, stem_columns
 from popweave.operators.select import select_jobs, weighted_sample
 from popweave.session import cut, discard, scratch_path
 
 SEGMENTS = ["Age", "Earnings", "SuperSector"]
+# The exclusive job types that together make up all jobs.
+EXCLUSIVE_TYPES = ("JT03", "JT05", "JT07", "JT09", "JT10", "JT11")
 
 
 def with_job_ids(df: DataFrame, traits: list[str]) -> DataFrame:
@@ -52,8 +56,40 @@ def job_tables(counts: DataFrame, keys: list[str], primary_federal: bool = False
     ``counts`` is wide with one column per overlapping job type.
     """
     wide = exclusive_columns(counts, keys, job_type_equations(primary_federal))
-    kinds = ["JT03", "JT05", "JT07", "JT09", "JT10", "JT11"]
-    return wide.unpivot(keys, kinds, "jobtype", "jobcount").filter(F.col("jobcount") != 0)
+    return wide.unpivot(keys, list(EXCLUSIVE_TYPES), "jobtype", "jobcount").filter(F.col("jobcount") != 0)
+
+
+def county_job_tables(files: DataFrame, crosswalk: DataFrame, primary_federal: bool = False) -> DataFrame:
+    """Job files of all families as exclusive long tables of the study area.
+
+    ``files`` is the result of ``read_job_families``; ``crosswalk`` has a row per
+    ``block`` of the area.  Work files keep work blocks of the area, pair files
+    pairs with either end in it, home files home blocks of the area and those
+    that the kept pairs name.  Then the counts are opened, every job type goes
+    with its sign into the exclusive types it is part of, and zero counts are
+    dropped.  ``od`` and ``seg_stem`` name the table: one for pairs, and one for
+    each segment stem of work and home files.
+    """
+    area = crosswalk.select("block").distinct()
+    here = lambda df, geo: spread_join(df, area.withColumnRenamed("block", geo), [geo], "left_semi")
+    pairs = files.filter("od = 'od'")
+    beyond = spread_join(pairs, area.withColumnRenamed("block", "w_geocode"), ["w_geocode"], "left_anti")
+    kept = cut(here(pairs, "w_geocode").unionByName(here(beyond, "h_geocode")), "pairs")
+    homes = kept.select(F.col("h_geocode").alias("block")).unionByName(area).distinct()
+    home = spread_join(files.filter("od = 'rac'"), homes.withColumnRenamed("block", "h_geocode"), ["h_geocode"], "left_semi")
+    studied = reduce(DataFrame.unionByName, [kept, here(files.filter("od = 'wac'"), "w_geocode"), home])
+    signs = {}
+    for kind, terms in job_type_equations(primary_federal).items():
+        if kind in EXCLUSIVE_TYPES:
+            for source, sign in terms.items():
+                signs.setdefault(source, []).append(F.struct(F.lit(kind).alias("jobtype"), F.lit(sign).alias("sign")))
+    part = F.lit(None)
+    for source, kinds in signs.items():
+        part = F.when(F.col("jobtype") == source, F.array(*kinds)).otherwise(part)
+    keys = ["od", "segpart", "year", "w_geocode", "h_geocode"]
+    signed = studied.select(*keys, "counts", F.explode(part).alias("_t")).select(*keys, "_t.jobtype", "_t.sign", F.inline("counts"))
+    long = signed.groupBy(*keys, "jobtype", "name").agg(F.sum(F.col("sign") * F.col("n")).alias("jobcount")).filter("jobcount <> 0")
+    return long.withColumn("seg_stem", F.when(F.col("od") == "od", "na").otherwise(F.substring("segpart", 1, 2)))
 
 
 def append_out_of_state(residence: DataFrame, pairs: DataFrame, work_state: Column, home_state: Column,
@@ -73,14 +109,16 @@ def three_way_match(od: DataFrame, wac: DataFrame, rac: DataFrame, traits: list[
     traits; pairs from another state without such a job fall back to the pair's
     own segments.  The counters of a pair are opened only at the end, so the
     joins see each pair once, and pairs and jobs without a home-side job are
-    left out before the two are joined.
+    left out before the two are joined.  The job fails where a side repeats a job.
     """
     pair = ["w_geocode", "h_geocode", "jobidod"]
+    # Each side's ids are keys of its table; the joins below are one to many from the pairs.
+    same = ["jobidod", "jobidac", "jobidac_counter", "year", *traits]
+    wac, rac = unique_here(wac, ["w_geocode", *same]), unique_here(rac, ["h_geocode", *same])
     counters = cut(od.groupBy(*pair).agg(F.max("jobidod_counter").alias("_jobs"), *[F.min(c).alias(c) for c in ("jobtype", "year")]), "pairs")
     work = wac.select("w_geocode", "jobidod", "jobidac", "jobidac_counter", "year", *traits)
     home = rac.select("h_geocode", "jobidod", "jobidac", "jobidac_counter", "year", *traits)
     lived = counters.drop("year").join(home.select("h_geocode", "jobidod").distinct(), ["h_geocode", "jobidod"], "left_semi")
-    same = ["jobidod", "jobidac", "jobidac_counter", "year", *traits]
     held = work.join(home.select(*same).distinct(), same, "left_semi")
     at_work = spread_join(lived, held, ["w_geocode", "jobidod"])
     matched = cut(spread_join(at_work, home, ["h_geocode", "jobidod", "jobidac", "jobidac_counter", "year", *traits]), "matched")
@@ -213,6 +251,52 @@ def jobs_from_margins(wide: DataFrame, block: str, total: str, stems: dict[str,
     return jobs.groupBy(block, "job").agg(*[F.max(name).alias(name) for name in stems.values()])
 
 
+def repair_margins(jobs: DataFrame, pk: str, block: str, trait: str, expected: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Jobs whose ``trait`` meets the expected counts as far as both agree, and what is left over.
+
+    ``expected`` has (block, code, n).  In each block the jobs beyond a code's
+    count (in random order, and all with a null or unexpected code) are moved to
+    the codes that lack jobs: surplus jobs are numbered through the codes, the
+    missing ones too, and the k-th surplus job fills the k-th missing place, by
+    the running totals alone.  The second table lists (block, code, gap) where
+    counts still differ: positive where jobs are too many, negative where they
+    lack.  Rows of a null block form one block.
+    """
+    code = F.col(trait).cast("string")
+    made = jobs.groupBy(block, code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = expected.select(block, F.col("code").cast("string").alias("code"), "n")
+    gaps = cut(made.select(block, "code", F.col("n").alias("have"), F.lit(0).cast("long").alias("want")).unionByName(
+        wanted.select(block, "code", F.lit(0).cast("long").alias("have"), F.col("n").cast("long").alias("want"))).groupBy(block, "code").agg(
+        F.sum("have").alias("have"), F.sum("want").alias("want")), "gaps")
+    # A block has few codes; null is a code of surplus only.
+    through = W.partitionBy(block).orderBy(F.col("code").asc_nulls_first())
+    over, lack = F.greatest(F.col("have") - F.col("want"), F.lit(0)), F.greatest(F.col("want") - F.col("have"), F.lit(0))
+    lined = gaps.withColumns({"_first": F.sum(over).over(through) - over, "_upto": F.sum(lack).over(through), "_lack": lack})
+    open_places = lined.filter("_lack > 0").groupBy(block).agg(F.array_sort(F.collect_list(F.struct("_upto", "code"))).alias("_places"))
+    ranked = random_rank(jobs.withColumn("_code", code), [block, "_code"], pk, seed, out="_turn")
+    starts = lined.filter(over > 0).select(F.col(block).alias("_b"), F.col("code").alias("_c"), "want", "_first")
+    kept = attach(ranked, starts, [(block, "_b"), ("_code", "_c")])
+    surplus = F.col("_first").isNotNull() & (F.col("_turn") > F.col("want"))
+    moved = attach(kept.withColumn("_k", F.when(surplus, F.col("_first") + F.col("_turn") - F.col("want"))), open_places.withColumnRenamed(block, "_b"), [(block, "_b")])
+    place = F.try_element_at(F.filter("_places", lambda p: p["_upto"] >= F.col("_k")), F.lit(1))["code"]
+    kind = jobs.schema[trait].dataType
+    out = moved.withColumn(trait, F.when(F.col("_k").isNotNull() & place.isNotNull(), place.cast(kind)).otherwise(F.col(trait)))
+    totals = lined.groupBy(block).agg(F.sum("_lack").alias("_holes"), F.max("_first").alias("_f"), F.sum(over).alias("_extra"))
+    ends = lined.join(totals.withColumnRenamed(block, "_b"), F.col(block).eqNullSafe(F.col("_b"))).drop("_b")
+    used = F.least("_holes", "_extra")
+    left = over - F.greatest(F.least(used - F.col("_first"), over), F.lit(0))
+    unfilled = lack - F.greatest(F.least(used - (F.col("_upto") - lack), lack), F.lit(0))
+    report = ends.select(block, "code", (left - unfilled).alias("gap")).filter("gap <> 0")
+    return out.select(*jobs.columns), report
+
+
+def attach(rows: DataFrame, table: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Rows with the columns of a table that has a key once; null matches null, hot keys are dealt out."""
+    keys = [f"_j{i}" for i in range(len(pairs))]
+    named = lambda df, side: df.withColumns({k: F.coalesce(F.concat(F.lit("v"), F.col(p[side]).cast("string")), F.lit("n")) for k, p in zip(keys, pairs)})
+    return spread_join(named(rows, 0), named(table, 1).drop(*[p[1] for p in pairs]), keys, "left").drop(*keys)
+
+
 def combine_segments(lists: DataFrame, block: str, ids: list[str], segment: str, segments: list[str], lead: str, seed: int) -> DataFrame:
     """Jobs present once in every segment, topped up to the size of the lead
     segment by a weighted draw from the others."""

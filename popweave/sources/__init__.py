@@ -41,6 +41,36 @@ def read_job_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.select("*", *[F.regexp_extract(name, JOB_FILE, i + 1).alias(p) for i, p in enumerate(JOB_FILE_PARTS)])
 
 
+# Geographic ids and count stems of the job file families.
+JOB_FAMILIES = {"od": (["w_geocode", "h_geocode"], "S"), "wac": (["w_geocode"], "C"), "rac": (["h_geocode"], "C")}
+
+
+def read_job_families(spark: SparkSession, path: str, counts: dict[str, list[str]]) -> DataFrame:
+    """All job files below a folder, of every family, in one scan.
+
+    The family in a file's name says which columns its lines have: its ids, then
+    ``counts[family]`` in this order.  Every count becomes an entry of ``counts``
+    (name, n), so families share one schema; missing ids are null.  Header lines
+    are left out wherever they stand.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    name = F.col("_metadata.file_path")
+    rows = lines.select("value", *[F.regexp_extract(name, JOB_FILE, i + 1).alias(p) for i, p in enumerate(JOB_FILE_PARTS)])
+    rows = rows.filter(F.col("value").rlike("^[0-9]")).withColumn("_c", F.split("value", ",")).drop("value")
+
+    def by_family(make) -> Column:
+        out = F.lit(None)
+        for family, (ids, _) in JOB_FAMILIES.items():
+            out = F.when(F.col("od") == family, make(family, ids)).otherwise(out)
+        return out
+
+    at = lambda i: F.get("_c", F.lit(i))
+    ids = {g: by_family(lambda family, own: at(own.index(g)) if g in own else F.lit(None).cast("string")).alias(g) for g in ("w_geocode", "h_geocode")}
+    counted = by_family(lambda family, own: F.array(*[
+        F.struct(F.lit(c).alias("name"), at(len(own) + i).cast("long").alias("n")) for i, c in enumerate(counts[family])]))
+    return rows.select(*JOB_FILE_PARTS, *ids.values(), counted.alias("counts"))
+
+
 def read_features(spark: SparkSession, path: str, properties: str, collection_per_line: bool = False) -> DataFrame:
     """GeoJSON point features as rows with a point."""
     schema = f"features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<{properties}>>>"

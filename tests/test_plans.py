@@ -172,6 +172,56 @@ def test_jobs_from_margins_keep_surplus_values(spark):
     assert rows(out.filter("Earnings is not null").groupBy("block", "Earnings").count()) == [("b", 1, 1), ("c", 2, 2), (None, 1, 1)]
 
 
+def test_repair_moves_surplus_jobs_to_missing_codes(spark, paths):
+    g = random.Random(8)
+    made = [(f"j{i}", g.choice(["a", "b", None]), g.choice([1, 2, 3, None])) for i in range(400)] + [(f"z{i}", "full", 2) for i in range(5)]
+    expected = [(b, c, g.randrange(70)) for b in ("a", "b", None) for c in (1, 2, 4, 5)] + [("none", 1, 3)]
+    df = spark.createDataFrame([(*r, "x") for r in made], "pk string, block string, Age int, _places string").withColumnRenamed("_places", "extra").repartition(5)
+    out, report = jobs.repair_margins(df, "pk", "block", "Age", spark.createDataFrame(expected, "block string, code int, n long"), 3)
+    got = {r["pk"]: r for r in out.collect()}
+    assert len(got) == len(made) == out.count() and out.columns == df.columns
+    want = Counter()
+    for b, c, n in expected:
+        want[b, c] += n
+    before, after = Counter((b, c) for _, b, c in made), Counter((r["block"], r["Age"]) for r in got.values())
+    left = {(r["block"], None if r["code"] is None else int(r["code"])): r["gap"] for r in report.collect()}
+    for key in set(want) | set(after) | set(before):
+        assert after[key] - want[key] == left.get(key, 0)
+    for b in {k[0] for k in left}:
+        signs = {v > 0 for k, v in left.items() if k[0] == b}
+        assert len(signs) == 1  # nothing that could have been moved is left
+    for pk, b, c in made:  # only surplus jobs move, to codes that lacked some
+        if got[pk]["Age"] != c:
+            assert before[b, c] > want[b, c] and before[b, got[pk]["Age"]] < want[b, got[pk]["Age"]]
+
+
+@pytest.mark.parametrize("kind,left,right,fails", [
+    ("one_to_one", [1, 2, None], [1, 3, None], False), ("one_to_one", [1, 1], [1], True), ("one_to_one", [1], [2, 2], True), ("one_to_one", [None, None], [1], True),
+    ("one_to_many", [1, 2], [1, 1, None, None], False), ("one_to_many", [1, 1], [2], True), ("many_to_one", [1, 1, None, None], [1, None], False),
+    ("many_to_one", [1], [None, None], True), ("many_to_many", [1, 1], [1, 1], False)])
+def test_joins_check_their_kind(spark, kind, left, right, fails):
+    from popweave.operators.joins import checked_join, outer_indicator
+    l, r = spark.createDataFrame([(k,) for k in left], "k int"), spark.createDataFrame([(k, "r") for k in right], "k int, v string")
+    for run in (lambda: checked_join(l, r, ["k"], kind, "left").collect(), lambda: outer_indicator(l, r, ["k"], kind=kind).collect()):
+        if fails:
+            with pytest.raises(Exception, match="duplicate key"):
+                run()
+        else:
+            run()
+
+
+def test_a_checked_join_adds_no_exchange(spark):
+    from popweave.operators.joins import checked_join
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        l, r = spark.range(50).withColumnRenamed("id", "k"), spark.range(50).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        l, r = l.repartition(3), r.repartition(3)
+        assert plan(checked_join(l, r, ["k"], "one_to_one")) == plan(l.join(r, "k"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_jobs_from_margins_match_counts(spark):
     wide = spark.createDataFrame([("b", 5, 2, 3, 4, 1), ("c", 2, 2, 0, 1, 0)], "block string, C000 int, CA01 int, CA02 int, CE01 int, CE02 int")
     out = jobs.jobs_from_margins(wide, "block", "C000", {"CA": "Age", "CE": "Earnings"}, 1)
