@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from popweave.llm.components import components
 from popweave.llm.text import SPACED, Words, buffers, mix, slices, words_of
+from popweave.operators.hot import spread_join
 from popweave.session import cut
 
 #: Tokens of the members of a group, and of the queries that meet it at once, about.
@@ -148,16 +149,16 @@ def _sets(column: pa.Array, width: int) -> Iterator[list[np.ndarray]]:
 
 
 def document_classes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, cls, n) of every row; a text without words has no class and n = 0."""
+    """(doc_id, key, text_hash, cls, n) of every row; a text without words has no class and n = 0."""
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             n, cls = [], []
-            for sets in _sets(batch.column(1), width):
+            for sets in _sets(batch.column(3), width):
                 n += [len(s) for s in sets]
                 cls += [class_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cls, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "key", "text_hash", "cls", "n"])
 
-    return docs.mapInArrow(batches, "doc_id long, cls long, n long")
+    return docs.select("doc_id", "key", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(batches, "doc_id long, key string, text_hash long, cls long, n long")
 
 
 def class_parts(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -265,9 +266,9 @@ def _groups(parts: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def link_components(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(node, root) of the classes whose component has a smaller class; ``docs`` has doc_id and text."""
+    """(node, root) of the classes whose component has a smaller class; ``docs`` has key and text."""
     t = Threshold(num, den)
-    sizes = classes.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    sizes = classes.groupBy("cls").agg(F.min("key").alias("rep"), F.min("n").alias("n"))
     sig = class_parts(docs, width, num, den)
     bucket = Window.partitionBy("sig")
     ends = [F.min("cls").over(bucket).alias("hub"), F.max("cls").over(bucket).alias("top")]
@@ -281,7 +282,11 @@ def link_components(docs: DataFrame, classes: DataFrame, width: int, num: int, d
     centres = (chunks.join(sizes, chunks["fam"] == sizes["cls"])
                .select("cls", "rep", "fam", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")))
     wanted = home.unionByName(centres).distinct()
-    members = cut(docs.where(F.col("text").isNotNull()).join(wanted, F.col("doc_id") == F.col("rep")).select("fam", "chunk", "cls", "text"), "members")
+    # Rows without an id are told apart by their text alone, so copies of one are one here.
+    named = F.col("doc_id").isNotNull()
+    texts = docs.where(F.col("text").isNotNull() & named).select("key", "text").unionByName(
+        docs.where(F.col("text").isNotNull() & ~named).groupBy("key").agg(F.min("text").alias("text")))
+    members = cut(texts.join(wanted, F.col("key") == F.col("rep")).select("fam", "chunk", "cls", "text"), "members")
 
     def inside(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(link_group(*_read_sets(frame, width), t), columns=["a", "b"], dtype="int64")
@@ -327,18 +332,27 @@ def link_components(docs: DataFrame, classes: DataFrame, width: int, num: int, d
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
+    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links; then
+    text_hash (xxhash64 of the text) and first, whether the row's text is the one that stands for its component.
 
     Words are what stands between space, tab and line ends, A-Z lower-cased.  Sets of shingles of ``width``
     words link at a Jaccard similarity of at least ``num / den``.  Null and empty texts, and texts without
-    words, have 0 shingles and stand alone.  Repeated rows give a row each.  Other columns play no part.
-    Shingles and sets are told apart by 64-bit hashes.
+    words, have 0 shingles and stand alone.  Repeated rows give a row each.  Rows without an id link like
+    others; a component of such rows only has no smallest id (null).  Of a component's texts with the smallest
+    id, that of the least hash is first.  Other columns play no part.  Shingles and sets are told apart by
+    64-bit hashes.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    unnamed = F.concat(F.lit("t"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    key = F.when(F.col("doc_id").isNotNull(), F.concat(F.lit("d"), F.col("doc_id").cast("string"))).otherwise(unnamed)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", key)
     rows = cut(document_classes(docs, width), "classes")
     classes = rows.where(F.col("n") > 0)
     roots = link_components(docs, classes, width, num, den)
-    placed = classes.join(roots, classes["cls"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "cls").alias("comp"))
-    smallest = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
-        rows.where(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    # Classes learn of their component first, then the rows of each class: a class of many copies is dealt out.
+    least = classes.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("least"))
+    placed = cut(least.join(roots, least["cls"] == roots["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("comp")), "placed")
+    smallest = placed.groupBy("comp").agg(F.min("least").alias("s"))
+    known = cut(spread_join(placed, smallest, ["comp"]).select("cls", F.col("s.doc_id").alias("component_id"), F.col("s.text_hash").alias("first_hash")), "known")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
+    return spread_join(classes, known, ["cls"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash", first.alias("first")).unionByName(
+        rows.where(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash", F.lit(True).alias("first")))

@@ -155,7 +155,7 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, s
 
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, folder, "documents"), width=4, num=85, den=100)
+    return jaccard.near_duplicates(table(spark, folder, "documents"), width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op5_lm_scoring")

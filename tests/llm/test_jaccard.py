@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edge import edge_docs, empty_docs, prose
 from popweave.llm import components as c
@@ -109,3 +110,19 @@ def test_components_of_paths_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 201), (201, 200), (202, 200)]
     got = dict(c.components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**{i: 1 for i in range(2, 41)}, **{k: 100 for k in range(101, 130)}, 201: 200, 202: 200}
+
+
+def test_rows_without_an_id_link_like_others(spark):
+    text = prose(60, 77)
+    near = text + " tail"
+    rows = [(None, text), (None, text), (9, near), (None, prose(50, 78)), (None, prose(50, 78) + " end"), (4, prose(40, 79))]
+    got = m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    want = [(d is None, d or 0, len(shingle_set(t, 4)), c) for (d, t), c in zip(rows, [9, 9, 9, None, None, 4])]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got if r["component_id"]) == sorted(w for w in want if w[3])
+    assert sum(r["component_id"] is None for r in got) == 2 and sum(r["first"] for r in got) == 3
+
+
+def test_a_hundred_thousand_copies_are_one_class(spark):
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, prose(9, 1)).otherwise(F.concat(F.lit("w"), F.col("id").cast("string"))).alias("text"))
+    got = m.near_duplicates(docs, 5, 4, 5)
+    assert got.where("component_id = 0").count() == 33_334 and got.where("component_id <> doc_id").count() == 33_333

@@ -65,3 +65,11 @@ def test_clean_documents_stay(spark):
     for _, stage in p.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted((r["doc_id"], r["text"]) for r in docs.collect())
+
+
+def test_near_duplicates_judge_rows(spark):
+    a, b = prose(60, 41), prose(60, 42)
+    rows = [(3, a), (3, a + " tail"), (5, a.upper()), (5, b), (5, b), (7, b + " end"), (8, prose(30, 43))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["text"]) for r in p.near_duplicates(spark, docs, SF).collect())
+    assert [g[0] for g in got] == [3, 5, 8] and got[1] == (5, b) and got[0][1] in (a, a + " tail")
