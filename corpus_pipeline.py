@@ -33,13 +33,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of copies and near copies (5 words, similarity 0.8).
 
-    Repeated rows of one id and text become one row; rows without an id are kept, as nothing can name them.
-    Texts without words are never copies.
+    Rows are judged by id and text: where an id is repeated with other texts, a text that no other row is
+    like stays, and of near copies under the smallest id one stays.  Repeated rows of one id and text become
+    one row; rows without an id are kept, as nothing can name them.  Texts without words are never copies.
     """
     found = jaccard.near_duplicates(docs, width=5, num=4, den=5)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    gone = found.where(F.col("doc_id").isNotNull() & ~F.col("first")).select("doc_id", F.col("text_hash").alias("_text_hash")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_text_hash", F.xxhash64("text"))
+    kept = named.join(gone, ["doc_id", "_text_hash"], "left_anti").drop("_text_hash").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
