@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from popweave.llm.text import ALNUM, Words, buffers, mix, slices
@@ -31,25 +32,35 @@ HIDDEN = 24
 SIDE = 2
 #: Places the network begins with on the driver, at most.
 SAMPLE = 200_000
-#: Equal places that count in the beginning, so that copied passages do not rule it.
-REPEATS = 8
+#: Documents drawn for them, as a multiple of the share of places.
+SPREAD = 16
 #: Places of a shard, about; the number of shards grows with the corpus.
 SHARD = 2_000_000
 #: Places shuffled together, and places of a step, in a shard.
 MIXED, STEP = 1 << 16, 4096
-#: Parts in which Spark averages the networks of the shards.
-PARTS = 128
+#: Parts in which Spark averages the networks of the shards, and changes that one task adds up.
+PARTS, FAN = 128, 64
 #: Words scored at once.
 BATCH = 16384
 
 
+def word_keys(words: Words) -> np.ndarray:
+    """A number of each word: its hash, with its size in bytes (up to ``OTHERS``) in the last bits."""
+    size = np.minimum(words.end - words.start, OTHERS).astype(np.uint64) - np.uint64(1)
+    return (words.hash & ~np.uint64(OTHERS - 1)) | size
+
+
+def size_of(key: int) -> int:
+    return (key & (OTHERS - 1)) + 1
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word hash, n) over all texts; counted in each task first, then by a shuffle on the word."""
+    """(word key, n) over all texts; counted in each task first, then by a shuffle on the word."""
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offsets, _ = buffers(batch.column(0))
             for lo, hi in slices(offsets, 8 << 20):
-                word, n = np.unique(Words(data, offsets[lo:hi + 1], ALNUM).hash, return_counts=True)
+                word, n = np.unique(word_keys(Words(data, offsets[lo:hi + 1], ALNUM)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
 
     return docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -60,8 +71,9 @@ def numbers(words: Words, vocabulary: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     known, number = vocabulary
     out = VOCABULARY + np.minimum(words.end - words.start, OTHERS) - 1
     if len(known):
-        at = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
-        same = known[at] == words.hash
+        keys = word_keys(words)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        same = known[at] == keys
         out[same] = number[at[same]]
     return out
 
@@ -81,39 +93,48 @@ def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Sum of one vector per neighbour and offset, tanh, softmax over clusters, softmax inside the cluster."""
+    """Sum of one vector per neighbour and offset, tanh, softmax over clusters, softmax inside the cluster.
 
-    def __init__(self, seed: int = 3):
+    ``counts`` of all words make it begin with their frequencies as constant outputs.
+    """
+
+    def __init__(self, seed: int = 3, counts: np.ndarray | None = None):
         r = np.random.default_rng(seed)
         self.p = {
             "near": r.normal(0, 0.1, (2 * SIDE, SIZE, HIDDEN)), "near_b": np.zeros(HIDDEN),
             "cluster": r.normal(0, 0.1, (HIDDEN, CLUSTERS)), "cluster_b": np.zeros(CLUSTERS),
             "inside": r.normal(0, 0.1, (CLUSTERS, HIDDEN, CLUSTERS)), "inside_b": np.zeros((CLUSTERS, CLUSTERS))}
+        if counts is not None:
+            whole = counts.reshape(CLUSTERS, CLUSTERS).T + 0.5  # a row for each cluster
+            self.p["cluster_b"] = np.log(whole.sum(axis=1) / whole.sum())
+            self.p["inside_b"] = np.log(whole / whole.sum(axis=1, keepdims=True))
         self.seen = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         p = self.p
-        z = p["near"][0][around[0]] + p["near_b"]
+        z = p["near"][0].take(around[0], axis=0)
+        z += p["near_b"]
         for k in range(1, 2 * SIDE):
-            z += p["near"][k][around[k]]
-        return np.tanh(z)
+            z += p["near"][k].take(around[k], axis=0)
+        return np.tanh(z, out=z)
 
     def log_probability(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Of each word, given the words around it."""
         out = np.empty(len(ids))
         p = self.p
+        wide, each = bool(_wide(p["cluster"], p["cluster_b"])), _wide(p["inside"], p["inside_b"]).tolist()
         for i in range(0, len(ids), BATCH):
             own = ids[i:i + BATCH]
             h = self.hidden(around[:, i:i + BATCH])
             cluster, place = own % CLUSTERS, own // CLUSTERS
             s = h @ p["cluster"] + p["cluster_b"]
-            got = s[np.arange(len(own)), cluster] - _log_sum(s)
+            got = s[np.arange(len(own)), cluster] - _log_sum(s, wide)
             order = np.argsort(cluster, kind="stable")
             edge = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
             for c in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
                 at = order[edge[c]:edge[c + 1]]
                 s = h[at] @ p["inside"][c] + p["inside_b"][c]
-                got[at] += s[np.arange(len(at)), place[at]] - _log_sum(s)
+                got[at] += s[np.arange(len(at)), place[at]] - _log_sum(s, each[c])
             out[i:i + len(own)] = got
         return out
 
@@ -170,14 +191,15 @@ class Network:
         cluster, place = own % CLUSTERS, own // CLUSTERS
         edge = np.searchsorted(cluster, np.arange(CLUSTERS + 1)).tolist()
         h = self.hidden(near)
-        q = _softmax(h @ p["cluster"] + p["cluster_b"])
+        wide, each = bool(_wide(p["cluster"], p["cluster_b"])), _wide(p["inside"], p["inside_b"]).tolist()
+        q = _softmax(h @ p["cluster"] + p["cluster_b"], wide)
         q[np.arange(len(own)), cluster] -= 1
         dh = q @ p["cluster"].T
         for c in range(CLUSTERS):
             a, b = edge[c], edge[c + 1]
             if a == b:
                 continue
-            u = _softmax(h[a:b] @ p["inside"][c] + p["inside_b"][c])
+            u = _softmax(h[a:b] @ p["inside"][c] + p["inside_b"][c], each[c])
             u[np.arange(b - a), place[a:b]] -= 1
             dh[a:b] += u @ p["inside"][c].T
             step("inside", c, h[a:b].T @ u / n)
@@ -208,55 +230,79 @@ class Network:
         return self
 
 
-def _log_sum(s: np.ndarray) -> np.ndarray:
+#: Inputs whose exponentials can be summed as they are.
+NARROW = 60
+
+
+def _wide(weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Whether outputs may be too large for plain exponentials; hidden values lie between -1 and 1."""
+    return np.abs(weight).sum(axis=-2).max(axis=-1) + np.abs(bias).max(axis=-1) > NARROW
+
+
+def _log_sum(s: np.ndarray, wide: bool = True) -> np.ndarray:
+    if not wide:
+        return np.log(np.exp(s) @ np.ones(s.shape[1], s.dtype))
     m = s.max(axis=1)
     return m + np.log(np.exp(s - m[:, None]).sum(axis=1))
 
 
-def _softmax(s: np.ndarray) -> np.ndarray:
-    s -= s.max(axis=1, keepdims=True)
+def _softmax(s: np.ndarray, wide: bool = True) -> np.ndarray:
+    if wide:
+        s -= s.max(axis=1, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(axis=1, keepdims=True)
+    s *= (1 / (s @ np.ones(s.shape[1], s.dtype)))[:, None]
     return s
 
 
-def training_places(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], total: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Neighbours and words of about ``SAMPLE`` places (all, if there are fewer), drawn by a hash of what stands there.
+def training_places(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], total: int, text_col: str = "text",
+                    id_col: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours and words of about ``SAMPLE`` places (all, if there are fewer).
 
-    Equal places are drawn together and count as often as they occur, up to ``REPEATS`` times.
+    Documents are drawn first, ``SPREAD`` times as many as needed, then places, each on its own by a hash of its
+    word, its place and the document's id; what occurs more often is drawn more often.
     """
     share = min(1.0, SAMPLE / max(1, total))
-    limit = np.uint64(min(2 ** 64 - 1, int(share * 2 ** 64)))
+    of_docs = min(1.0, SPREAD * share)
+    limit = np.uint64(min(2 ** 64 - 1, int(share / of_docs * 2 ** 64)))
+    own = _id_hash(docs, id_col)
+    docs = docs.where(F.pmod(F.xxhash64(own, text_col), F.lit(1 << 40)) < int(of_docs * (1 << 40)))
 
     def draw(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            data, offsets, _ = buffers(batch.column(0))
+            data, offsets, _ = buffers(batch.column(1))
+            own = batch.column(0).to_numpy().view(np.uint64)
             for lo, hi in slices(offsets):
                 w = Words(data, offsets[lo:hi + 1], ALNUM)
                 ids = numbers(w, words)
                 around = contexts(ids, w.first)
-                h = w.hash.copy()
-                for k in range(2 * SIDE):
-                    h = mix(h + around[k].astype(np.uint64) + np.uint64(k + 1))
+                size = np.diff(w.first)
+                place = np.arange(len(ids)) - np.repeat(w.first[:-1], size)
+                h = mix(mix(w.hash + place.astype(np.uint64)) + np.repeat(own[lo:hi], size))
                 rows = np.flatnonzero(h <= limit)
                 yield pa.RecordBatch.from_arrays([pa.array(list(around[:, rows].T), pa.list_(pa.int32())), pa.array(ids[rows], pa.int32())], names=["around", "word"])
 
-    got = (docs.select(text_col).mapInArrow(draw, "around array<int>, word int").groupBy("around", "word").count()
+    # Rows that repeat id and text are drawn together, hence the limit; the order makes it the same everywhere.
+    got = (docs.select(own.alias("id"), text_col).mapInArrow(draw, "around array<int>, word int").groupBy("around", "word").count()
            .orderBy(F.xxhash64("around", "word"), "around", "word").limit(2 * SAMPLE).toArrow())
     if not got.num_rows:
         return np.zeros((2 * SIDE, 0), np.int64), np.zeros(0, np.int64)
-    times = np.minimum(got["count"].to_numpy(), REPEATS)
+    times = got["count"].to_numpy()
+    times = np.maximum(1, times * min(1.0, 2 * SAMPLE / times.sum())).astype(np.int64)
     around = got["around"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * SIDE).astype(np.int64)
     return np.repeat(around, times, axis=0).T, np.repeat(got["word"].to_numpy().astype(np.int64), times)
 
 
+def _id_hash(docs: DataFrame, id_col: str) -> Column:
+    return F.xxhash64(F.col(id_col)) if id_col in docs.columns else F.lit(0).cast("long")
+
+
 def train_on_all(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], total: int, network: Network,
                  text_col: str = "text", id_col: str = "doc_id") -> Network:
     """The network after every place of the corpus, each as often as it occurs.
 
     Texts go as word numbers to shards by their hash (and that of their id, so that copies are spread).  Every
     shard trains a copy of ``network`` on its places in the order of the hashes; the copies' changes are
-    averaged by places in Spark, and only the average comes to the driver.
+    averaged by places in Spark, ``FAN`` at a time, and only the average comes to the driver.
     """
     shared = docs.sparkSession.sparkContext.broadcast((words, network))
     shards = max(1, -(-total // SHARD))
@@ -303,34 +349,45 @@ def train_on_all(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], total: i
             run(held)
         if n:
             parts = np.array_split((net.flat() - begun.flat()) * n, PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([n] * PARTS, pa.int64()),
-                                              pa.array([x.astype(np.float32).tobytes() for x in parts], pa.binary())], names=["part", "n", "change"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * PARTS, pa.int32()), pa.array([n] * PARTS, pa.int64()),
+                                              pa.array([x.astype(np.float32).tobytes() for x in parts], pa.binary())], names=["part", "shard", "n", "change"])
 
     def add(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n", "ascending"), ("change", "ascending")])
+        table = table.sort_by([("shard", "ascending")])
         change = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in table["change"])
-        return pa.table({"part": table["part"][:1].cast(pa.int32()), "n": pa.array([sum(table["n"].to_pylist())], pa.int64()),
-                         "change": pa.array([change.tobytes()], pa.binary())})
+        return pa.table({"part": table["part"][:1].cast(pa.int32()), "shard": table["shard"][:1].cast(pa.int32()),
+                         "n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "change": pa.array([change.astype(np.float32).tobytes()], pa.binary())})
 
-    own = F.xxhash64(F.col(id_col)) if id_col in docs.columns else F.lit(0).cast("long")
+    own = _id_hash(docs, id_col)
     texts = docs.select(own.alias("id"), F.col(text_col).alias("text")).mapInArrow(number, "id long, ids binary").where(F.length("ids") > 0)
     dealt = texts.withColumn("at", F.xxhash64("id", "ids")).repartition(shards, "at").sortWithinPartitions("at", "id", "ids")
-    learned = dealt.select("ids").mapInArrow(learn, "part int, n long, change binary")
-    rows = learned.groupBy("part").applyInArrow(add, "part int, n long, change binary").orderBy("part").collect()
+    learned, left = dealt.select("ids").mapInArrow(learn, "part int, shard int, n long, change binary"), shards
+    while True:
+        left = -(-left // FAN)
+        learned = learned.groupBy("part", F.col("shard") % left).applyInArrow(add, "part int, shard int, n long, change binary")
+        if left == 1:
+            break
+    rows = learned.orderBy("part").collect()
     if rows:
-        network.fill(network.flat() + np.concatenate([np.frombuffer(x["change"]) / x["n"] for x in rows]))
+        network.fill(network.flat() + np.concatenate([np.frombuffer(x["change"], np.float32).astype(np.float64) / x["n"] for x in rows]))
     return network
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> tuple[tuple[np.ndarray, np.ndarray], Network]:
     """Vocabulary and network of a corpus; from an empty corpus an untrained network."""
     counts = cut(word_counts(docs, text_col), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    size = F.col("word").bitwiseAND(OTHERS - 1) + 1
+    by_size = {r["size"]: r["n"] for r in counts.groupBy(size.cast("int").alias("size")).agg(F.sum("n").alias("n")).collect()}
+    total = sum(by_size.values())
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     known = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(known)  # numbers go by frequency: the clusters share the frequent words
     words = (known[order], np.arange(len(known))[order])
-    network = Network()
+    often = np.zeros(SIZE)
+    often[:len(top)] = [r["n"] for r in top]
+    for size, n in by_size.items():
+        often[VOCABULARY + size - 1] = n - sum(r["n"] for r in top if size_of(r["word"]) == size)
+    network = Network(counts=often)
     around, ids = training_places(docs, words, total, text_col)
     if len(ids):
         network.train(around, ids)

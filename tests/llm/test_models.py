@@ -116,7 +116,7 @@ def test_lm_is_a_distribution_and_beats_word_counts(model):
     one = np.repeat(around[:, 5:6], lm_score.SIZE, axis=1)
     assert math.isclose(np.exp(net.log_probability(one, np.arange(lm_score.SIZE))).sum(), 1, rel_tol=1e-3)
     count = np.bincount(ids, minlength=lm_score.SIZE) + 0.5
-    assert net.log_probability(around, ids).mean() > np.log(count / count.sum())[ids].mean() - 0.2
+    assert net.log_probability(around, ids).mean() > np.log(count / count.sum())[ids].mean()
     shuffled = np.random.default_rng(1).permutation(ids)
     assert net.log_probability(around, ids).sum() > net.log_probability(lm_score.contexts(shuffled, w.first), shuffled).sum()
 
@@ -170,7 +170,8 @@ def test_lm_neighbours_stay_inside_a_text():
 def test_lm_random_vocabulary_numbers():
     r = random.Random(1)
     w = words_of([" ".join("w%d" % r.randrange(50) for _ in range(200))], ALNUM)
-    hashes = np.unique(w.hash)[:10]
+    hashes = np.unique(lm_score.word_keys(w))[:10]
     ids = lm_score.numbers(w, (hashes, np.arange(10)))
-    for h, i, n in zip(w.hash, ids, w.end - w.start):
+    for h, i, n in zip(lm_score.word_keys(w), ids, w.end - w.start):
+        assert lm_score.size_of(int(h)) == n
         assert (hashes[i] == h) if i < 10 else i == lm_score.VOCABULARY + n - 1
