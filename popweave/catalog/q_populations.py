@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popweave.catalog.q_merges import graft_base
 from popweave.catalog.q_tables import WIDE_SQL, wide_counts
 from popweave.catalog.registry import query
-from popweave.catalog.standins import LINES_SQL, band_sql, cascade_sql, lines, spot, spot_sql, u_sql
+from popweave.catalog.standins import LINES_SQL, band_sql, cascade_sql, lines, money, spot, spot_sql, u_sql
 from popweave.functions import bands
 from popweave.functions.seeded import random_int
 from popweave.operators import profile, recode
@@ -322,9 +325,29 @@ _TEXT_SQL = """SELECT variable, name AS statistic, value FROM (UNPIVOT (SELECT '
   min(length(o_orderpriority))::DOUBLE AS min_length, max(length(o_orderpriority))::DOUBLE AS max_length FROM orders) ON n, valid, "distinct", min_length, max_length INTO NAME name VALUE value)"""
 
 
-@query("pl_30", f"{_profile_sql('o_totalprice')} UNION ALL {_profile_sql('o_custkey')} UNION ALL {_TEXT_SQL}")
+# Categories: the summary of a code, and per label (all labels, also without rows) count, share and population.
+_CATEGORY_SQL = """SELECT variable, name AS statistic, value FROM (UNPIVOT (SELECT 'quality' AS variable, count(*)::DOUBLE AS n, count(quality)::DOUBLE AS valid, (count(*) - count(quality))::DOUBLE AS missing,
+  min(quality)::DOUBLE AS min, max(quality)::DOUBLE AS max FROM documents LEFT JOIN labels USING (doc_id)) ON n, valid, missing, min, max INTO NAME name VALUE value)
+UNION ALL SELECT 'o_orderstatus', name || ' ' || code, round(value, 4) FROM (UNPIVOT (
+  SELECT coalesce(code, o_orderstatus) AS code, coalesce(n, 0)::DOUBLE AS n, round_even(coalesce(n, 0) / (SELECT count(*) FROM orders)::DOUBLE * 100, 6) AS percent, coalesce(w, 0)::DOUBLE AS population
+  FROM (SELECT o_orderstatus, count(*) AS n, sum(o_totalprice::DECIMAL(18,2)) AS w FROM orders GROUP BY 1) FULL JOIN (SELECT unnest(['F', 'O', 'X']) AS code) ON code = o_orderstatus) ON n, percent, population INTO NAME name VALUE value)"""
+
+
+def _category_rows(t):
+    summary = profile.category_summary(t.documents.select("doc_id").join(t.labels, "doc_id", "left"), "quality")
+    names = [c for c in summary.columns if c != "variable"]
+    first = summary.select("variable", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["variable"], names, "statistic", "value")
+    labels = constant_table(t.spark, ["code", "label"], [(c, f"status {c}") for c in ("F", "O", "X")])
+    table = profile.category_table(t.orders.select("o_orderstatus", money("o_totalprice").alias("w")), "o_orderstatus", labels, "code", "w")
+    kinds = {"n": "n", "percent": "percent", "weighted": "population"}
+    wide = table.select("code", *[F.col(c).cast("double").alias(k) for c, k in kinds.items()])
+    second = wide.unpivot(["code"], list(kinds.values()), "name", "value")
+    return first.unionByName(second.select(F.lit("o_orderstatus").alias("variable"), F.concat_ws(" ", "name", "code").alias("statistic"), "value"))
+
+
+@query("pl_30", f"{_profile_sql('o_totalprice')} UNION ALL {_profile_sql('o_custkey')} UNION ALL {_TEXT_SQL} UNION ALL {_CATEGORY_SQL}")
 def pl_30(t):
-    """Profile of a table: one row per numeric column and statistic."""
+    """Profile of a table: one row per column (numeric, text or categorical) and statistic."""
     parts = []
     for column in ("o_totalprice", "o_custkey"):
         wide = profile.numeric_profile(t.orders.select(column), column)
@@ -333,4 +356,5 @@ def pl_30(t):
     text = profile.text_profile(t.orders.select("o_orderpriority"), "o_orderpriority")
     names = [c for c in text.columns if c != "variable"]
     parts.append(text.select("variable", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["variable"], names, "statistic", "value"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("value", F.round("value", 4))
+    parts.append(_category_rows(t))
+    return reduce(DataFrame.unionByName, parts).withColumn("value", F.round("value", 4))

@@ -141,8 +141,8 @@ def _brute_agreement(rows, margins, want, seeds):
 @pytest.mark.parametrize("parts", [1, 7])
 def test_agreement_against_brute_force(spark, parts):
     g = random.Random(3)
-    rows = [(f"j{i}", i % 4, g.randrange(12), (g.randrange(3), g.randrange(2)), False) for i in range(150)]
-    want = {b: 9 - b for b in range(4)}
+    rows = [(f"j{i}", i % 3, g.randrange(9), (g.randrange(3), g.randrange(2)), False) for i in range(70)]
+    want = {b: 7 - b for b in range(3)}
     taken = rows[::7]
     margins = [Counter((r[1], t, str(r[3][k])) for r in taken) for k, t in enumerate("xy")]
     cand = spark.createDataFrame([(r[0], r[1], r[2], *r[3], want[r[1]], 0.0) for r in rows], "pk string, b int, ch int, x int, y int, want int, prob_selected double").repartition(parts)
