@@ -28,3 +28,22 @@ def test_selection_stores_nothing_where_no_pair_is_hot(spark, monkeypatch):
 
     monkeypatch.setattr(select, "cut", stored)
     assert _fit(spark) == cut_up
+
+
+def _agreement(spark):
+    cand = _candidates(spark).withColumn("prob_selected", F.lit(0.0))
+    margin = lambda n: cand.groupBy("b", F.lit("t").alias("trait"), F.col("t").cast("string").alias("code")).agg(F.lit(n).alias("n"))
+    got = jobs.select_jobs_by_agreement(cand, {"x": margin(2), "y": margin(3)}, ["b"], ["b", "ch"], ["b"], "pk", "want", ["t"], 2)
+    return rows(got, "pk", "seed", "fitness")
+
+
+def test_agreement_joins_plainly_where_no_block_is_hot(spark, monkeypatch):
+    spark.conf.set("popweave.spread", "40")
+    cut_up = _agreement(spark)
+    spark.conf.unset("popweave.spread")
+
+    def dealt(*_):
+        raise AssertionError("keys were counted for a join without hot keys")
+
+    monkeypatch.setattr(jobs, "spread_join", dealt)
+    assert _agreement(spark) == cut_up
