@@ -1,9 +1,12 @@
 """What a round of a cascade or a selection costs, and that the cheap and the cut-up way give the same rows."""
 
+import os
+
 from conftest import rows
 from pyspark.sql import functions as F
 
-from popweave.operators import select
+from popweave.operators import hot, random_merge, select
+from popweave.operators.random_merge import Round, Side, merge_cascade
 from popweave.plans import jobs
 
 
@@ -47,3 +50,43 @@ def test_agreement_joins_plainly_where_no_block_is_hot(spark, monkeypatch):
 
     monkeypatch.setattr(jobs, "spread_join", dealt)
     assert _agreement(spark) == cut_up
+
+
+def _sides(spark):
+    p = spark.range(500).select(F.col("id").alias("p"), F.when(F.col("id") % 9 > 0, F.col("id") % 60).alias("b"), (F.col("id") % 2).alias("c"), F.lit("x").alias("d"))
+    s = spark.range(400).select(F.col("id").alias("s"), (F.col("id") % 50).alias("sb"), (F.col("id") % 3).alias("sc"), F.lit("y").alias("sd"), (F.col("id") % 4).alias("first"))
+    rounds = [Round("bc", [("b", "b", "sb"), ("c", "c", "sc")]), Round("none", [("d", "d", "sd")]), Round("b", [("b", "b", "sb")]), Round("c", [("c", "c", "sc")])]
+    return Side(p, "p"), Side(s, "s", [("first", False)]), rounds
+
+
+def test_rounds_rank_where_groups_meet(spark, monkeypatch):
+    def ranked(*_):
+        raise AssertionError("groups of small tables were cut up")
+
+    spark.conf.set("popweave.spread", "400")  # most groups are hot
+    cut_up = merge_cascade(*_sides(spark), 5)
+    want = rows(cut_up.pairs), rows(cut_up.primary_left, "p"), rows(cut_up.secondary_left, "s")
+    spark.conf.unset("popweave.spread")
+    monkeypatch.setattr(random_merge._Cascade, "rank", ranked)
+    met = merge_cascade(*_sides(spark), 5)
+    assert (rows(met.pairs), rows(met.primary_left, "p"), rows(met.secondary_left, "s")) == want
+    assert len(want[0]) > 300
+
+
+def test_a_round_without_partners_writes_nothing(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(random_merge, "scratch_path", lambda *a: paths.append(hot_path(*a)) or paths[-1])
+    want = rows(merge_cascade(*_sides(spark), 5).pairs)
+    monkeypatch.setattr(hot, "AT_ONCE", 0)
+    assert rows(merge_cascade(*_sides(spark), 5).pairs) == want
+    assert [f for f in ("match_round=1", "match_round=2", "match_round=3") if os.path.exists(f"{paths[-1]}/{f}")] == ["match_round=1", "match_round=3"]
+
+
+hot_path = random_merge.scratch_path
+
+
+def test_keys_that_come_together_do_not_run_into_each_other(spark):
+    p = spark.createDataFrame([(1, "a", "bc"), (2, "ab", "c"), (3, "a", None)], "p int, x string, y string")
+    s = spark.createDataFrame([(7, "ab", "c"), (8, "a:", "bc"), (9, "a", None)], "s int, u string, v string")
+    got = merge_cascade(Side(p, "p"), Side(s, "s"), [Round("xy", [("x", "x", "u"), ("y", "y", "v")])], 1)
+    assert rows(got.pairs) == [(2, 7, 1)] and rows(got.primary_left, "p") == [(1,), (3,)]
