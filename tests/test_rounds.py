@@ -90,3 +90,15 @@ def test_keys_that_come_together_do_not_run_into_each_other(spark):
     s = spark.createDataFrame([(7, "ab", "c"), (8, "a:", "bc"), (9, "a", None)], "s int, u string, v string")
     got = merge_cascade(Side(p, "p"), Side(s, "s"), [Round("xy", [("x", "x", "u"), ("y", "y", "v")])], 1)
     assert rows(got.pairs) == [(2, 7, 1)] and rows(got.primary_left, "p") == [(1,), (3,)]
+
+
+def test_repair_makes_ranks_once_and_joins_rows_once(spark, monkeypatch):
+    joins, labels = [], []
+    join, store = jobs.attach, jobs.cut
+    monkeypatch.setattr(jobs, "attach", lambda *a: joins.append(1) or join(*a))
+    monkeypatch.setattr(jobs, "cut", lambda df, label="cut": labels.append(label) or store(df, label))
+    df = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "a", 1), (4, None, 1), (5, None, None)], "pk int, b string, t int")
+    expected = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), (None, 1, 2)], "b string, code int, n long")
+    out, report = jobs.repair_margins(df, "pk", "b", "t", expected, 3)
+    assert sorted((r["b"] or "", r["t"]) for r in out.collect()) == [("", 1), ("", 1), ("a", 1), ("a", 2), ("a", 2)] and report.isEmpty()
+    assert len(joins) == 1 and labels.count("turns") == 1
