@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from popweave.operators.ranks import first_per_group, top_k
 from popweave.session import cut
 
 LEVELS = 40
+#: Rows of one task in a search of neighbours; each may meet hundreds of cells and targets there.
+AT_ONCE = 4000
 #: The finest grid of targets has 2 ** FINEST cells in a row.
 FINEST = 22
 
@@ -117,7 +121,9 @@ def nearest(a: DataFrame, a_pk: str, b: DataFrame, b_pk: str, k: int = 1, cutoff
         return merged.withColumns({"_px": F.shiftright("_cx", level - above), "_py": F.shiftright("_cy", level - above)})
 
     zero = F.lit(0).cast("long")
-    front = a.select(*within, a_pk, *xy).filter(x.isNotNull() & y.isNotNull()).withColumns({"_px": zero, "_py": zero})
+    front = a.select(*within, a_pk, *xy).filter(x.isNotNull() & y.isNotNull())
+    # Rows become many where they meet cells, so tasks follow their number, not the bytes that are shuffled.
+    front = front.repartition(max(1, math.ceil(front.count() / AT_ONCE)), a_pk).withColumns({"_px": zero, "_py": zero})
     near_by = F.hypot(F.greatest(F.col("_x0") - x, x - F.col("_x1"), F.lit(0.0)), F.greatest(F.col("_y0") - y, y - F.col("_y1"), F.lit(0.0)))
     far_off = F.hypot(F.greatest(x - F.col("_x0"), F.col("_x1") - x), F.greatest(y - F.col("_y0"), F.col("_y1") - y))
     certain = W.partitionBy(a_pk).orderBy("_far").rangeBetween(W.unboundedPreceding, W.currentRow)
