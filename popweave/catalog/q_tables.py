@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from popweave.catalog.registry import query
+from popweave.catalog.registry import Tables, query
 from popweave.catalog.standins import money
 from popweave.operators import checks, profile, reshape, tabulate
 from popweave.operators.groups import exact_quantiles, group_count, group_sum, selection_probability
 from popweave.operators.joins import add_tables, subtract_tables
-from popweave.session import constant_table
+from popweave.session import case_sensitive, constant_table
 
 STATUS = ["F", "O", "P"]
 
@@ -86,6 +86,8 @@ def ag_08(t):
 @query("ag_09", _TWO_WAY + """, p AS (SELECT *, "F" / (SELECT "F" FROM t WHERE o_orderpriority = 'Total')::DOUBLE AS share FROM t)
 SELECT o_orderpriority, "F", round_even(share * 100, 6) AS f_percent, format('{:,}', "F") || chr(9) || ' (' || printf('%.1f', share * 100) || '%)' AS f FROM p""")
 def ag_09(t):
+    # Two names of the result differ by case only, so it lives in a session of its own that tells them apart.
+    t = Tables(case_sensitive(t.spark), t.folder)
     shared = tabulate.column_percent(_two_way(t), "o_orderpriority", "F", "text")
     return shared.select("o_orderpriority", "F", F.col("text_percent").alias("f_percent"), F.col("text").alias("f"))
 
