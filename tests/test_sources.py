@@ -39,3 +39,28 @@ def test_materialize_reuses(spark):
 def test_cut_writes_below_the_shared_folder(spark):
     df = cut(spark.range(5))
     assert all(shared_root(spark) in f for f in df.inputFiles()) and df.count() == 5
+
+
+def test_job_files_are_parsed_once(spark, tmp_path):
+    from popweave import sources
+    from popweave.plans import jobs
+    counts = {"od": ["S000", "SA01"], "wac": ["C000"], "rac": ["C000"]}
+    lines = {"nc_od_main_JT00_2010.csv": ["w_geocode,h_geocode,S000,SA01", "01,02,5,3", "09,02,4,4", "09,08,7,7"],
+             "nc_od_main_JT01_2010.csv": ["01,02,2,1"], "nc_wac_SA01_JT03_2010.csv": ["w_geocode,C000", "01,6", "09,6"], "nc_rac_SE02_JT05_2010.csv": ["h_geocode,C000", "08,1", "02,2"]}
+    for name, text in lines.items():
+        (tmp_path / name).write_text("\n".join(text) + "\n")
+    area = spark.createDataFrame([("01",), ("05",), ("05",)], "block string")
+    files = sources.read_job_families(spark, str(tmp_path), counts)
+    assert files.columns == ["state", "od", "segpart", "jobtype", "year", "w_geocode", "h_geocode", "n0", "n1"] and files.count() == 8 - 1
+    out = jobs.county_job_tables(files, area, counts)
+    assert "text" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    got = {tuple(r) for r in out.select("od", "segpart", "w_geocode", "h_geocode", "jobtype", "name", "jobcount", "seg_stem").collect()}
+    sums = {}
+    for source, w, h, name, n in [("JT00", "01", "02", "S000", 5), ("JT00", "01", "02", "SA01", 3), ("JT01", "01", "02", "S000", 2), ("JT01", "01", "02", "SA01", 1)]:
+        for kind in jobs.EXCLUSIVE_TYPES:
+            key = ("od", "main", w, h, kind, name, "na")
+            sums[key] = sums.get(key, 0) + n * jobs.job_type_equations()[kind].get(source, 0)
+    for family, seg, source, w, h, n in [("wac", "SA01", "JT03", "01", None, 6), ("rac", "SE02", "JT05", None, "02", 2)]:
+        for kind in jobs.EXCLUSIVE_TYPES:
+            sums[(family, seg, w, h, kind, "C000", seg[:2])] = n * jobs.job_type_equations()[kind].get(source, 0)
+    assert got == {(*k[:6], n, k[6]) for k, n in sums.items() if n}
