@@ -102,3 +102,34 @@ def test_repair_makes_ranks_once_and_joins_rows_once(spark, monkeypatch):
     out, report = jobs.repair_margins(df, "pk", "b", "t", expected, 3)
     assert sorted((r["b"] or "", r["t"]) for r in out.collect()) == [("", 1), ("", 1), ("a", 1), ("a", 2), ("a", 2)] and report.isEmpty()
     assert len(joins) == 1 and labels.count("turns") == 1
+
+
+def _nested(spark):
+    p = spark.range(900).select(F.col("id").alias("p"), F.when(F.col("id") % 11 > 0, F.col("id") % 70).alias("b"), F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("c"),
+                                (F.col("id") % 5).alias("d"))
+    s = spark.range(700).select(F.col("id").alias("s"), F.when(F.col("id") % 13 > 0, F.col("id") % 60).alias("sb"), (F.col("id") % 3).alias("sc"), (F.col("id") % 4).alias("sd"),
+                                (F.col("id") % 3).alias("first"))
+    b, c, d = ("b", "b", "sb"), ("c", "c", "sc"), ("d", "d", "sd")
+    return Side(p, "p"), Side(s, "s", [("first", False)]), [Round("bcd", [b, c, d]), Round("bc", [b, c]), Round("b", [b]), Round("d", [d])]
+
+
+def test_rounds_that_share_keys_are_one_shuffle(spark, monkeypatch):
+    spark.conf.set("popweave.spread", "2000")  # every group is hot
+    cut_up = merge_cascade(*_nested(spark), 5, reuse="cycles")
+    want = rows(cut_up.pairs), rows(cut_up.primary_left, "p"), rows(cut_up.secondary_left, "s"), cut_up.rounds
+    spark.conf.unset("popweave.spread")
+    alone, met = [], random_merge._Cascade.meet
+    monkeypatch.setattr(random_merge._Cascade, "meet", lambda self, rows, number, seed: alone.append(number) or met(self, rows, number, seed))
+    got = merge_cascade(*_nested(spark), 5, reuse="cycles")
+    assert (rows(got.pairs), rows(got.primary_left, "p"), rows(got.secondary_left, "s"), got.rounds) == want
+    assert alone == [3]
+
+
+def test_shared_rounds_may_settle_all_rows_or_none(spark):
+    p, s = spark.range(6).select(F.col("id").alias("p"), F.col("id").alias("b"), F.lit(1).alias("c")), spark.range(6).select(F.col("id").alias("s"), F.col("id").alias("sb"), F.lit(1).alias("sc"))
+    b, c = ("b", "b", "sb"), ("c", "c", "sc")
+    rounds = [Round("bc", [b, c]), Round("b", [b]), Round("c", [c])]
+    full = merge_cascade(Side(p, "p"), Side(s, "s"), rounds, 5)
+    assert rows(full.pairs) == [(i, i, 1) for i in range(6)] and full.primary_left.isEmpty() and full.secondary_left.isEmpty()
+    none = merge_cascade(Side(p.where("false"), "p"), Side(s, "s"), rounds, 5)
+    assert none.pairs.isEmpty() and none.secondary_left.count() == 6
