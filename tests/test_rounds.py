@@ -114,13 +114,14 @@ def _nested(spark):
 
 
 def test_rounds_that_share_keys_are_one_shuffle(spark, monkeypatch):
-    spark.conf.set("popweave.spread", "2000")  # every group is hot
-    cut_up = merge_cascade(*_nested(spark), 5, reuse="cycles")
+    chain = random_merge.CHAIN
+    monkeypatch.setattr(random_merge, "CHAIN", 1)
+    cut_up = merge_cascade(*_nested(spark), 5)
     want = rows(cut_up.pairs), rows(cut_up.primary_left, "p"), rows(cut_up.secondary_left, "s"), cut_up.rounds
-    spark.conf.unset("popweave.spread")
+    monkeypatch.setattr(random_merge, "CHAIN", chain)
     alone, met = [], random_merge._Cascade.meet
     monkeypatch.setattr(random_merge._Cascade, "meet", lambda self, rows, number, seed: alone.append(number) or met(self, rows, number, seed))
-    got = merge_cascade(*_nested(spark), 5, reuse="cycles")
+    got = merge_cascade(*_nested(spark), 5)
     assert (rows(got.pairs), rows(got.primary_left, "p"), rows(got.secondary_left, "s"), got.rounds) == want
     assert alone == [3]
 
