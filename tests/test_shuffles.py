@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from popweave.catalog import q_jobs, standins
+from popweave.catalog import q_jobs, q_links, standins
 from popweave.operators import random_merge
 from popweave.operators.random_merge import Round, Side
 from popweave.plans import jobs
@@ -41,6 +41,9 @@ def test_lines_meet_where_the_join_with_orders_wants_them(spark, no_broadcast):
     t = _tables(spark)
     numbered = standins.lines(t)
     assert _plan(numbered.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))).count("Exchange hashpartitioning") == 2
+    supplier = spark.range(5).withColumnRenamed("id", "s_suppkey")
+    by_supplier = standins.lines(t, ids_only=True, meet="l_suppkey").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    assert _plan(by_supplier).count("Exchange hashpartitioning") == 2
     twice = {r["line_key"]: r["l_extendedprice"] for r in numbered.where("l_orderkey = 0 and l_linenumber = 4").collect()}
     assert twice == {"0|4|0|0": 1.0, "0|4|0|0|2": 14.0} and numbered.select("line_key").distinct().count() == 801
 
@@ -86,3 +89,12 @@ def test_ranks_shuffle_no_digests(spark):
     plan = _plan(cascade.rank(cascade.all, 0, 5))
     spark.conf.unset("popweave.spread")
     assert "_order" in plan and "_order" not in plan.split("REPARTITION_BY_NUM", 1)[1]
+
+
+def test_outside_jobs_are_stored_without_their_traits(spark, monkeypatch):
+    left = spark.createDataFrame([("a", 1, 5), ("b", 1, 6), ("c", 2, 7)], "jobid string, j_block int, j_age int")
+    stored = []
+    monkeypatch.setattr(q_links, "_jobs_linked", lambda t: (None, SimpleNamespace(secondary_left=left)))
+    monkeypatch.setattr(q_links, "cut", lambda df, *_: stored.append(df.columns) or df)
+    out = rows(q_links.pl_16_outside(None), "jobid", "precid")
+    assert stored == [["jobid", "j_block"]] and [r[0] for r in out] == ["a", "b", "c"] and {r[1] for r in out} == {"1PJ1", "1PJ2", "2PJ1"}
