@@ -134,3 +134,30 @@ def test_shared_rounds_may_settle_all_rows_or_none(spark):
     assert rows(full.pairs) == [(i, i, 1) for i in range(6)] and full.primary_left.isEmpty() and full.secondary_left.isEmpty()
     none = merge_cascade(Side(p.where("false"), "p"), Side(s, "s"), rounds, 5)
     assert none.pairs.isEmpty() and none.secondary_left.count() == 6
+
+
+def test_rows_that_take_no_part_in_a_round_are_not_moved(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(random_merge, "scratch_path", lambda *a: paths.append(hot_path(*a)) or paths[-1])
+    some = lambda k, name: F.when(F.col("id") % 3 == k, F.col("id") % 8).alias(name)
+    p = spark.range(300).select(F.col("id").alias("p"), *[some(k, f"k{k}") for k in range(3)])
+    s = spark.range(150).select(F.col("id").alias("s"), *[some(k, f"s{k}") for k in range(3)])
+    got = merge_cascade(Side(p, "p"), Side(s, "s"), [Round(f"k{k}", [(f"k{k}", f"k{k}", f"s{k}")]) for k in range(3)], 5)
+    assert got.pairs.count() == 150 and got.primary_left.count() == 150 and got.secondary_left.isEmpty()
+    assert [spark.read.parquet(f"{paths[-1]}/match_round={i}").where("_group is not null").count() for i in (1, 2, 3)] == [100] * 3
+    # 50 of the 100 rows that have the key of the last round on the left side stay alone; nothing else is there
+    assert spark.read.parquet(f"{paths[-1]}/match_round=3").count() == 150
+
+
+def test_key_values_of_one_side_take_no_part(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(random_merge, "scratch_path", lambda *a: paths.append(hot_path(*a)) or paths[-1])
+    p = spark.range(400).select(F.col("id").alias("p"), (F.col("id") % 40).alias("b"), (F.col("id") % 50).alias("c"))
+    s = spark.range(90).select(F.col("id").alias("s"), (F.col("id") % 4 + 100).alias("sb"), (F.col("id") % 5).alias("sc"))
+    s = s.unionByName(spark.range(90, 100).select(F.col("id").alias("s"), (F.col("id") % 2).alias("sb"), F.lit(None).cast("long").alias("sc")))
+    got = merge_cascade(Side(p, "p"), Side(s, "s"), [Round("b", [("b", "b", "sb")]), Round("c", [("c", "c", "sc")])], 5)
+    first = got.pairs.where("match_round = 1").select("p")
+    open_with_value = p.where("c < 5").join(first, "p", "left_anti").count()
+    assert first.count() == 10 and got.pairs.where("match_round = 2").count() == open_with_value
+    # the other open rows of the left side, more than 300, are not in the second round
+    assert spark.read.parquet(f"{paths[-1]}/match_round=2").where("_p is not null").count() == open_with_value
