@@ -161,3 +161,25 @@ def test_key_values_of_one_side_take_no_part(spark, monkeypatch):
     assert first.count() == 10 and got.pairs.where("match_round = 2").count() == open_with_value
     # the other open rows of the left side, more than 300, are not in the second round
     assert spark.read.parquet(f"{paths[-1]}/match_round=2").where("_p is not null").count() == open_with_value
+
+
+def test_an_agreement_pass_stores_rows_once(spark, monkeypatch):
+    cand = spark.range(600).select(
+        F.col("id").alias("pk"), F.when(F.col("id") % 31 > 0, F.col("id") % 20).alias("b"), F.when(F.col("id") % 13 > 0, F.col("id") % 100).alias("ch"),
+        (F.col("id") * 7 % 3).alias("t"), F.when(F.col("id") % 11 > 0, F.col("id") % 2).alias("u"), F.when(F.col("id") % 20 != 4, F.when(F.col("id") % 20 < 9, 6).otherwise(4)).alias("want"),
+        F.when(F.col("id") % 50 == 7, 1.0).otherwise(0.0).alias("prob_selected"))
+    margin = lambda trait, n: cand.groupBy("b", F.lit(trait).alias("trait"), F.col(trait[0]).cast("string").alias("code")).agg(F.lit(n).alias("n"))
+    other = cand.groupBy("b").agg(F.lit("x").alias("trait"), F.lit("1").alias("code"), F.lit(4).alias("n"))
+    agree = lambda: rows(jobs.select_jobs_by_agreement(cand, {"t": margin("t", 2).unionByName(other), "u": margin("u", 3)}, ["b"], ["b", "ch"], ["b"], "pk", "want", ["t", "u"], 2),
+                         "pk", "b", "ch", "want", "seed", "select_job", "fitness")
+    spark.conf.set("popweave.spread", "40")  # every block is hot
+    cut_up = agree()
+    spark.conf.unset("popweave.spread")
+
+    def stored(*_):
+        raise AssertionError("a table was stored besides the state of a pass")
+
+    monkeypatch.setattr(jobs, "cut", stored)
+    assert agree() == cut_up and len(cut_up) > 80
+    monkeypatch.setattr(jobs, "FEW_SUMS", 0)  # as where traits have many values
+    assert agree() == cut_up
