@@ -64,3 +64,19 @@ def test_job_files_are_parsed_once(spark, tmp_path):
         for kind in jobs.EXCLUSIVE_TYPES:
             sums[(family, seg, w, h, kind, "C000", seg[:2])] = n * jobs.job_type_equations()[kind].get(source, 0)
     assert got == {(*k[:6], n, k[6]) for k, n in sums.items() if n}
+
+
+def test_counts_of_an_id_are_stored_as_one_list_without_zeros(spark, monkeypatch):
+    from popweave.plans import jobs
+    stored, store = {}, jobs.cut
+    monkeypatch.setattr(jobs, "cut", lambda df, label="cut": stored.setdefault(label, store(df, label)))
+    rows_ = [("nc", "od", "main", kind, "2010", "01", "02", n, 0, m) for kind, n, m in (("JT00", 3 * 10**12, 4), ("JT01", 10**12, 9), ("JT02", 3 * 10**12, None))]
+    files = spark.createDataFrame([*rows_, ("nc", "wac", "SA01", "JT03", "2010", "01", None, 6, 7, None)],
+                                  "state string, od string, segpart string, jobtype string, year string, w_geocode string, h_geocode string, n0 long, n1 long, n2 long")
+    counts = {"od": ["S000", "SA01", "SA02"], "wac": ["C000"], "rac": ["C000"]}
+    out = jobs.county_job_tables(files, spark.createDataFrame([("01",)], "block string"), counts)
+    got = {tuple(r) for r in out.select("od", "jobtype", "name", "jobcount").collect()}
+    assert got == {("od", "JT07", "S000", 10**12), ("od", "JT07", "SA02", 9), ("od", "JT09", "S000", 3 * 10**12), ("od", "JT11", "S000", -(10**12)), ("od", "JT11", "SA02", -5),
+                   *[("wac", kind, "C000", n) for kind, n in (("JT03", 6), ("JT07", -6), ("JT09", -6), ("JT11", 6))]}
+    assert len(stored["tallies"].columns) == 6
+    assert stored["tallies"].selectExpr("max(size(_counts))").first()[0] == 8  # the second count of the work file has no name, but is not zero
